@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = r"(?U)\s+"
-EDGE_SPACE = r"(?U)^\s+|\s+$"
+EDGE_SPACE = r"(?U)^\s+|(?<!\s)\s+$"  # the lookbehind keeps long inner runs linear
 KEY_JOINTS = r"(?U)[\s/\-‐-―−]+"
 
 
