@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions.keys import standing
+from brindle.functions.keys import norm_key, standing
+from brindle.llm import abuse, alignment, mixing, splitting, tokens
 from brindle.llm import conversations as chats
-from brindle.llm import splitting, tokens
+from brindle.session import spread
 from brindle.tables import load
 
 
@@ -40,10 +41,58 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return p4_pieces(spark, base).filter("chunk_index = 0 and n_pieces > 1").select("table_name", "item_id")
 
 
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    """Sentences that translate one another: statements by sentence, acts by title and long title."""
+    said = standing(load(spark, base, "hansards_statement").select("id", "content_en", "content_fr"), ["id"], None)
+    said = alignment.align_documents(spread(said.withColumn("id", F.col("id").cast("string"))), ["id"], "content_en", "content_fr")
+    acts = load(spark, base, "acts").select(norm_key(F.col("act_id")).alias("key"), "language", "updated_at", "id", "title", "long_title").filter("key is not null and language in ('en', 'fr')")
+    acts = standing(acts, ["key", "language"], "updated_at", "id")
+    side = lambda code: F.max(F.when(F.col("language") == code, F.struct(F.array("title", "long_title").alias("a")))).getField("a").alias(code)
+    titles = alignment.align_documents(acts.groupBy("key").agg(side("en"), side("fr")), ["key"], "en", "fr")
+    row = lambda df, table, key: df.select(F.lit(table).alias("table_name"), F.col(key).alias("record_key"), "en_pos", "fr_pos")
+    return row(said, "hansards_statement", "id").unionByName(row(titles, "acts", "key"))
+
+
 def p7_ids(spark: SparkSession, base: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_texts(load(spark, base, "documents").select("doc_id", "text"), "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_reasons": p2_reasons, "p2_conversations": p2_conversations, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_ids": p7_ids}
+def p8_mixture(spark: SparkSession, base: str) -> DataFrame:
+    """Rate and copies of every document in the mixture of sources."""
+    sized = tokens.count_tokens(load(spark, base, "documents").select("doc_id", "source", "text"), "text")
+    return mixing.mix_sources(sized, load(spark, base, "source_targets"))
+
+
+def p8_shares(spark: SparkSession, base: str) -> DataFrame:
+    """The shares that the mixture reaches."""
+    return mixing.share_report(p8_mixture(spark, base), load(spark, base, "source_targets"))
+
+
+def p9_scores(spark: SparkSession, base: str) -> DataFrame:
+    """Score of every document, by a classifier fitted on the labelled ones."""
+    documents = load(spark, base, "documents")
+    model = abuse.fit(abuse.labelled(load(spark, base, "abuse_labels"), documents))
+    return abuse.score_documents(documents, model)
+
+
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    """Documents with an abusive, hateful or sexual passage."""
+    return p9_scores(spark, base).filter("abusive").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, base: str) -> DataFrame:
+    """Documents, abusive documents and their rate by source."""
+    by = p9_scores(spark, base).groupBy(mixing.source_name(F.col("source")).alias("source")).agg(F.count(F.lit(1)).alias("documents"), F.count_if("abusive").alias("abusive"))
+    return by.withColumn("rate", F.col("abusive") / F.col("documents"))
+
+
+QUERIES = {
+    "p2_found": p2_found, "p2_reasons": p2_reasons, "p2_conversations": p2_conversations,
+    "p4_found": p4_found, "p4_pieces": p4_pieces,
+    "p6_found": p6_found,
+    "p7_ids": p7_ids,
+    "p8_mixture": p8_mixture, "p8_shares": p8_shares,
+    "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
+}
 ORACLE: dict[str, str] = {}
