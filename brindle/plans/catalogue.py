@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from brindle.plans import data_quality
+from brindle.plans import data_quality, relational, retrieval
 
-MODULES = [data_quality]
+MODULES = [retrieval, relational, data_quality]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
