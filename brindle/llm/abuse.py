@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 from typing import NamedTuple
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 LABELLED, LANDMARKS, WIDTH = 2000, 500, 1 << 15
 #: Subsequence lengths with the widest span each, and the weight of every skipped character.
 SPANS, DECAY = ((3, 5), (4, 7)), 0.6
+#: How much more frequent in abusive texts than in all a telling word is.
+LIFT = 11.0
 #: Decision value above which a passage is abusive.
 THRESHOLD = -0.35
 #: Passages longer than this many words are scored in overlapping stretches.
@@ -139,10 +142,12 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, w: np.ndarray | None =
     return w
 
 
-def fit(docs: list[tuple[str, bool]], c: float = 8.0, turns: int = 6, seed: int = 7) -> Model | None:
+def fit(docs: list[tuple[str, bool]], common: dict[str, int] | None = None, n_docs: int = 0, c: float = 8.0, turns: int = 6, seed: int = 7) -> Model | None:
     """Fit on labelled texts. A text is abusive if one of its passages is, so the passages' labels are found in turns.
 
-    Null if there are no texts of either kind.
+    ``common`` tells in how many of all ``n_docs`` documents a word occurs: only passages with a word that is ``LIFT``
+    times as frequent in abusive texts as in all are suspected of making a text abusive, and a text without any is left out as a
+    mistake of its annotators. All passages are suspected without ``common``. Null if there are no texts of either kind.
     """
     bags = [(list(dict.fromkeys(passages(t))), bad) for t, bad in docs]
     texts = [p for ps, _ in bags for p in ps]
@@ -152,6 +157,11 @@ def fit(docs: list[tuple[str, bool]], c: float = 8.0, turns: int = 6, seed: int
         return None
     clean_texts = {p for ps, bad in bags if not bad for p in ps}
     suspect = bad_bag[bag] & np.array([p not in clean_texts for p in texts])
+    if common is not None:
+        seen = Counter(w for ps, bad in bags if bad for w in {w for p in ps for w in p.split()})
+        lift = {w: n / bad_bag.sum() * (n_docs + 1) / (common.get(w, 0) + 1 + n_docs / 1000) for w, n in seen.items()}
+        telling = np.array([max((lift.get(w, 0.0) for w in p.split()), default=0.0) >= LIFT for p in texts])
+        suspect &= telling if (suspect & telling).any() else True
     rng = np.random.default_rng(seed)
     pool, rest = rng.permutation(np.flatnonzero(suspect)), rng.permutation(np.flatnonzero(~bad_bag[bag]))
     blocks = lambda: ((i, embedded(texts[i : i + 256])) for i in range(0, len(texts), 256))
@@ -202,6 +212,33 @@ def labelled(labels: DataFrame, documents: DataFrame, most: int = LABELLED) -> l
     return [(r["text"], r["_v"] > 0) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
+def word_frequencies(documents: DataFrame, docs: list[tuple[str, bool]]) -> tuple[dict[str, int], int]:
+    """In how many of all documents each word of the abusive labelled texts occurs, and how many documents have a text.
+
+    The words looked for are those of a bounded sample, so that they can be sent to all tasks and their counts collected.
+    """
+    wanted = frozenset(w for text, bad in docs if bad for p in passages(text) for w in p.split())
+    shared = documents.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, n = Counter(), 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                n += 1
+                counts.update(shared.value.intersection(w for p in passages(text) for w in p.split()))
+        yield pa.RecordBatch.from_arrays([pa.array(["", *counts], pa.string()), pa.array([n, *counts.values()], pa.int64())], ["word", "n"])
+
+    rows = documents.filter("text is not null").select(F.col("text").cast("string")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    found = {r["word"]: r["n"] for r in rows}
+    return found, found.pop("", 0)
+
+
+def train(labels: DataFrame, documents: DataFrame) -> Model | None:
+    """A model from the labelled documents, with word frequencies of all documents."""
+    docs = labelled(labels, documents)
+    return fit(docs, *word_frequencies(documents, docs)) if docs else None
+
+
 def score_documents(documents: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id``, ``source``, ``score`` (of the worst passage) and ``abusive`` for every document.
 

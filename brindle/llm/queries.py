@@ -72,8 +72,7 @@ def p8_shares(spark: SparkSession, base: str) -> DataFrame:
 def p9_scores(spark: SparkSession, base: str) -> DataFrame:
     """Score of every document, by a classifier fitted on the labelled ones."""
     documents = load(spark, base, "documents")
-    model = abuse.fit(abuse.labelled(load(spark, base, "abuse_labels"), documents))
-    return abuse.score_documents(documents, model)
+    return abuse.score_documents(documents, abuse.train(load(spark, base, "abuse_labels"), documents))
 
 
 def p9_found(spark: SparkSession, base: str) -> DataFrame:

@@ -121,16 +121,19 @@ def test_folding():
 
 def test_held_out_accuracy(spark, medium):
     base = medium.replace("sf0.01", "sf0.1")
-    docs = abuse.labelled(spark.read.parquet(f"{base}/abuse_labels.parquet"), spark.read.parquet(f"{base}/documents.parquet"))
+    documents = spark.read.parquet(f"{base}/documents.parquet")
+    docs = abuse.labelled(spark.read.parquet(f"{base}/abuse_labels.parquet"), documents)
     rng = random.Random(4)
     rng.shuffle(docs)
     half = len(docs) * 2 // 3
-    model = abuse.fit(docs[:half])
+    common, n = abuse.word_frequencies(documents, docs[:half])
+    assert n == documents.filter("text is not null").count() and set(common) <= {w for t, _ in docs[:half] for p in abuse.passages(t) for w in p.split()}
+    model = abuse.fit(docs[:half], common, n)
     right = wrong = lost = 0
     for text, bad in docs[half:]:
         found = max(abuse.scores(list(abuse.passages(text)), model), default=-9) > model.threshold
         right, wrong, lost = right + (found and bad), wrong + (found and not bad), lost + (not found and bad)
-    assert right / (right + wrong) > 0.75 and right / (right + lost) > 0.6
+    assert right / (right + wrong) > 0.8 and right / (right + lost) > 0.6
 
 
 def test_scores_of_odd_texts(spark):
@@ -138,5 +141,6 @@ def test_scores_of_odd_texts(spark):
     model = abuse.fit([("you filthy vermin.", True), ("filthy vermin all of you", True), ("the harbour is quiet.", False), ("costs rose in the spring", False)])
     got = {r["doc_id"]: r for r in abuse.score_documents(docs, model).collect()}
     assert [got[i]["score"] for i in (1, 2, 3)] == [None] * 3 and got[4]["abusive"] and not got[5]["abusive"]
+    assert abuse.word_frequencies(docs.limit(0), [("a b", True)]) == ({}, 0) and abuse.word_frequencies(docs, [("Filthy harbour?", True)]) == ({"filthy": 1, "harbour": 1}, 4)
     assert abuse.fit([]) is None and abuse.fit([("a b", False)]) is None
     assert abuse.score_documents(docs, None).filter("abusive").count() == 0 and abuse.score_documents(docs.limit(0), model).count() == 0
