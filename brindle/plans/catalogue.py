@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from brindle.plans import data_quality, documents, relational, retrieval
+from brindle.plans import data_quality, documents, relational, retrieval, sources
 
-MODULES = [retrieval, relational, documents, data_quality]
+MODULES = [retrieval, relational, documents, sources, data_quality]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

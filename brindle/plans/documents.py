@@ -79,13 +79,6 @@ def bilingual_expand(spark: SparkSession, base: str) -> DataFrame:
     return b.select("id", F.explode(F.array(side("en"), side("fr"))).alias("r")).select("id", "r.*").withColumn("resource_key", F.concat_ws(":", F.lit("bill"), F.col("id").cast("string"), "language", F.lit("0")))
 
 
-def json_array_explode(spark: SparkSession, base: str) -> DataFrame:
-    r = load(spark, base, "leg_resources").select("id", "metadata").distinct()
-    items = F.from_json(F.get_json_object("metadata", "$.recentAmendments"), "array<struct<citation: string, date: string>>")
-    plain = F.get_json_object("metadata", "$.recentAmendments").rlike(r"^\[\{")
-    return r.filter(plain).select("id", F.posexplode(items).alias("place", "a")).select("id", "place", "a.citation", "a.date").filter("citation is not null")
-
-
 def citation_links(spark: SparkSession, base: str) -> DataFrame:
     """Bilingual citation text and address of each reference, the target's address for references to acts and regulations."""
     x = load(spark, base, "cross_references").select("id", "target_type", norm_key(F.col("target_ref")).alias("ref"), "source_section_label").distinct().filter("ref is not null")
@@ -108,7 +101,7 @@ def _terms(spark: SparkSession, base: str) -> DataFrame:
     named = a.filter("title is not null and title <> ''")
     other = named.select(F.col("doc").alias("d2"), F.col("language").alias("l2"), F.col("title").alias("t2"))
     both = named.join(other, (F.col("doc") == F.col("d2")) & (F.col("language") != F.col("l2")), "left")
-    told = F.pmod(F.crc32("id"), F.lit(3))
+    told = F.ascii(F.right("id", F.lit(1))) % 3
     paired = F.when(told == 0, F.col("t2")).when(told == 1, F.concat(F.lit("x or "), F.col("t2")))
     return both.select("id", "language", F.substring("doc", 1, 1).alias("doc"), F.year("enacted_date").cast("string").alias("section"), F.col("title").alias("term"), paired.alias("paired_term"))
 
@@ -156,7 +149,7 @@ def sequence_gaps(spark: SparkSession, base: str) -> DataFrame:
     return ln.sequence_breaks(h, "document_id", ["statement_time", "id"], "sequence").select("id", "document_id", "sequence", "before")
 
 
-QUERIES = {f.__name__: f for f in (language_detect, ref_number_extract, normalize_terms, sentence_split, estimate_tokens, scalar_functions, query_reformulations, mention_flags, unit_counts, bilingual_expand, json_array_explode, citation_links, paired_resources, three_pass_link, near_match_levenshtein, verify_diff, integrity_fk, integrity_totals, vote_sums, unique_keys, sequence_gaps)}
+QUERIES = {f.__name__: f for f in (language_detect, ref_number_extract, normalize_terms, sentence_split, estimate_tokens, scalar_functions, query_reformulations, mention_flags, unit_counts, bilingual_expand, citation_links, paired_resources, three_pass_link, near_match_levenshtein, verify_diff, integrity_fk, integrity_totals, vote_sums, unique_keys, sequence_gaps)}
 QUERIES |= {
     "chunk_text": _chunks(lambda t: ch.by_chars(t, 600, 100)), "chunk_tokens": _chunks(lambda t: ch.by_tokens(t, 100, 20)), "legal_units": _chunks(ch.legal_units),
     "legal_chunks": _chunks(lambda t: ch.legal_chunks(t, 100, 20, "§ ")), "bill_chunks": _chunks(lambda t: ch.bill_chunks(t, "Bill: ", 600, 100)), "paragraph_chunks": _chunks(lambda t: ch.paragraph_chunks(t, "", 600, 100)),
@@ -169,7 +162,11 @@ _KEY = lambda x: rf"nullif(regexp_replace(upper(regexp_replace({x}, '^[{_WSQ}]+|
 _CHECKS = {"result_known": "result IN ('Y', 'N', 'T')", "totals_not_negative": "yea_total >= 0 AND nay_total >= 0", "passed_has_majority": "result <> 'Y' OR yea_total > nay_total", "bill_given": "bill_id IS NOT NULL"}
 _ANCHOR = "regexp_replace(coalesce(source_section_label, ''), '[^a-zA-Z0-9.]', '', 'g')"
 
+_TERMS = f"t0 AS (SELECT {_KEY('act_id')} AS d, language, id, title, enacted_date FROM acts QUALIFY row_number() OVER (PARTITION BY {_KEY('act_id')}, language ORDER BY updated_at DESC NULLS LAST, id DESC, title DESC NULLS LAST, enacted_date DESC NULLS LAST) = 1), n AS (SELECT * FROM t0 WHERE title <> ''), t AS (SELECT a.id, a.language, CASE a.language WHEN 'en' THEN 'fr' ELSE 'en' END AS other, left(a.d, 1) AS doc, CAST(year(a.enacted_date) AS VARCHAR) AS section, {_FOLD.format(x='a.title')} AS norm, CASE ascii(right(a.id, 1)) % 3 WHEN 0 THEN trim(b.title) WHEN 1 THEN trim('x or ' || b.title) END AS paired FROM n a LEFT JOIN n b ON a.d = b.d AND a.language <> b.language)"
+_LINKS = f"told AS (SELECT * FROM t WHERE paired <> '' AND NOT regexp_matches(paired, '(?i)^((Version (anglaise|française) seulement)|((English|French) version only))$')), parts AS (SELECT id, other, doc, section, paired, list_filter(list_transform(regexp_split_to_array(paired, '(?i)\\s+(?:or|ou)\\s+|,\\s*'), lambda x: trim(x)), lambda x: x <> '' AND x <> paired) AS p FROM told), cand AS (SELECT id, other, doc, section, unnest(CASE WHEN contains(paired, 'Version') OR contains(paired, 'version only') THEN [paired] ELSE list_concat([paired], p) END) AS c, generate_subscripts(CASE WHEN contains(paired, 'Version') OR contains(paired, 'version only') THEN [paired] ELSE list_concat([paired], p) END, 1) AS place FROM parts), target AS (SELECT language, doc, section, norm, max(id) AS linked FROM t GROUP BY ALL), p1 AS (SELECT c.id, arg_min(g.linked, c.place) AS linked_id FROM cand c JOIN target g ON c.other = g.language AND c.doc = g.doc AND c.section = g.section AND g.norm = {_FOLD.format(x='c.c')} WHERE g.norm <> '' GROUP BY c.id), u AS (SELECT language, doc, norm, max(id) AS uid FROM t GROUP BY ALL HAVING count(*) = 1), p2 AS (SELECT s.id, u.uid AS linked_id FROM told s JOIN u ON s.other = u.language AND s.doc = u.doc AND u.norm = {_FOLD.format(x='s.paired')} WHERE s.id IN (SELECT uid FROM u) AND s.id NOT IN (SELECT id FROM p1)), q AS (SELECT * FROM t WHERE coalesce(paired, '') = '' AND id NOT IN (SELECT id FROM p1) AND id NOT IN (SELECT id FROM p2) AND doc IS NOT NULL AND section IS NOT NULL), one AS (SELECT doc, section, max(id) FILTER (language = 'en') AS a, max(id) FILTER (language = 'fr') AS b FROM q GROUP BY ALL HAVING count(*) FILTER (language = 'en') = 1 AND count(*) FILTER (language = 'fr') = 1)"
+
 ORACLE = {
+    "three_pass_link": f"WITH {_TERMS}, {_LINKS} SELECT id, linked_id, 1 AS pass FROM p1 UNION ALL SELECT id, linked_id, 2 FROM p2 UNION ALL SELECT a, b, 3 FROM one UNION ALL SELECT b, a, 3 FROM one",
     "ref_number_extract": r"SELECT doc_id, upper(regexp_extract(text, '\b([CScs]-\d+)\b', 1)) AS bill FROM documents WHERE regexp_extract(text, '\b([CScs]-\d+)\b', 1) <> ''",
     "language_detect": rf"SELECT doc_id, CASE WHEN n >= 2 OR (n >= 1 AND regexp_matches(lower(text), '[àâäéèêëïîôùûüÿœæç]')) THEN 'fr' ELSE 'en' END AS language FROM (SELECT doc_id, text, len(list_filter(regexp_extract_all(replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_]', '  ', 'g'), 'projet  de  loi', 'projetdeloi'), '[\p{{L}}\p{{N}}_]+'), lambda w: w IN ({', '.join(repr(w) for w in tx.FRENCH_WORDS)}, 'projetdeloi'))) AS n FROM documents)",
     "normalize_terms": f"SELECT DISTINCT id, {_FOLD.format(x='title')} AS term FROM acts WHERE title IS NOT NULL",
@@ -180,7 +177,6 @@ ORACLE = {
     "mention_flags": "SELECT doc_id, regexp_matches(lower(text), 'bill|projet de loi') AS bill, regexp_matches(lower(text), 'vote|voix') AS vote, regexp_matches(lower(text), 'committee|comité') AS committee, contains(lower(text), 'minist') AS minister FROM documents WHERE text IS NOT NULL",
     "unit_counts": r"SELECT doc_id, n AS subsections FROM (SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '(\(\d+\))', '\1 ', 'g'), '(^|[\s\x0B])\(\d+\) [\s\x0BA-Z]')) AS n FROM documents) WHERE n > 0",
     "bilingual_expand": "WITH b AS (SELECT DISTINCT id, bill_number, name_en, name_fr, short_title_en, short_title_fr FROM bills_bill) SELECT id, language, concat_ws(chr(10), head || bill_number, nullif(name, ''), nullif(short, '')) AS content, 'bill:' || id || ':' || language || ':0' AS resource_key FROM (SELECT id, bill_number, 'en' AS language, 'Bill ' AS head, name_en AS name, short_title_en AS short FROM b UNION ALL SELECT id, bill_number, 'fr', 'Projet de loi ', name_fr, short_title_fr FROM b)",
-    "json_array_explode": "WITH r AS (SELECT DISTINCT id, metadata->'recentAmendments' AS a FROM leg_resources WHERE starts_with(CAST(metadata->'recentAmendments' AS VARCHAR), '[{')), x AS (SELECT id, unnest(range(CAST(json_array_length(a) AS BIGINT)))::INT AS place, a FROM r) SELECT id, place, json_extract_string(a, '$[' || place || '].citation') AS citation, json_extract_string(a, '$[' || place || '].date') AS date FROM x WHERE json_extract_string(a, '$[' || place || '].citation') IS NOT NULL",
     "citation_links": f"WITH x AS (SELECT DISTINCT id, target_type, {_KEY('target_ref')} AS ref, {_ANCHOR} AS a, source_section_label FROM cross_references) SELECT id, ref || CASE WHEN a <> '' THEN ', s ' || a ELSE '' END AS text_en, ref || CASE WHEN a <> '' THEN ', art ' || a ELSE '' END AS text_fr, 'https://laws.example/eng/' || CASE WHEN coalesce(target_type, '') = 'act' THEN 'acts' ELSE 'regulations' END || '/' || ref || CASE WHEN a <> '' THEN '#sec' || a ELSE '' END AS url_en, 'https://laws.example/fra/' || CASE WHEN coalesce(target_type, '') = 'act' THEN 'lois' ELSE 'reglements' END || '/' || ref || CASE WHEN a <> '' THEN '#sec' || a ELSE '' END AS url_fr FROM x WHERE ref IS NOT NULL",
     "paired_resources": "WITH r AS (SELECT resource_key, paired_resource_key, language, id FROM leg_resources QUALIFY row_number() OVER (PARTITION BY resource_key ORDER BY updated_at DESC, paired_resource_key DESC NULLS LAST, language DESC NULLS LAST, id DESC) = 1) SELECT r.resource_key, r.language, o.language AS other_language, o.id AS other_id FROM r LEFT JOIN r o ON r.paired_resource_key = o.resource_key",
     "near_match_levenshtein": "WITH n AS (SELECT DISTINCT language, lower(title) AS s FROM acts WHERE length(title) >= 5) SELECT a.language, a.s AS name_a, b.s AS name_b, levenshtein(a.s, b.s) AS distance FROM n a JOIN n b ON a.language = b.language AND a.s < b.s AND abs(length(a.s) - length(b.s)) <= 3 WHERE levenshtein(a.s, b.s) <= greatest(least(3, length(a.s) // 4), 2)",
