@@ -18,6 +18,8 @@ BEADS = ((1, 1), (1, 0), (0, 1), (2, 1), (1, 2), (2, 2), (2, 2))
 PRIOR = np.array([0.1, 2.8, 3.0, 3.2, 3.0, 5.5, 3.4])
 #: Variance of a length per character; greatest cost of a length; cost of a number without its like; weight of shared words.
 VARIANCE, FARTHEST, NUMBER, SHARED = 8.0, 6.0, 1.6, 0.55
+#: Most sentences on a side that are aligned at once.
+WINDOW = 600
 #: Evidence that sentences left over by the path need to be paired out of order.
 MOVED = 2.5
 
@@ -62,10 +64,28 @@ def _length_cost(x: np.ndarray, y: np.ndarray, ratio: float) -> np.ndarray:
 
 
 def align(left: list[str], right: list[str], ratio: float) -> list[tuple[int, int]]:
-    """Pairs (left, right) of sentences that translate one another, on the cheapest path of beads; then moved ones."""
+    """Pairs (left, right) of sentences that translate one another.
+
+    Documents of over ``WINDOW`` sentences on a side are aligned in windows of that many: the pairs of a window's first two
+    thirds stand, up to an end of a bead, and the next window begins there. All sentences are seen; memory stays bounded.
+    """
+    pairs, i, j = [], 0, 0
+    while True:
+        last = len(left) - i <= WINDOW and len(right) - j <= WINDOW
+        found, ends = _align_window(left[i : i + WINDOW], right[j : j + WINDOW], ratio)
+        stops = [e for e in ends if 3 * max(e) >= 2 * WINDOW]
+        if last or not stops:
+            return pairs + [(i + a, j + b) for a, b in found]
+        a_end, b_end = stops[0]
+        pairs += [(i + a, j + b) for a, b in found if a < a_end and b < b_end]
+        i, j = i + a_end, j + b_end
+
+
+def _align_window(left: list[str], right: list[str], ratio: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Pairs on the cheapest path of beads, then moved ones; and the ends of the beads."""
     n, m = len(left), len(right)
     if not n or not m:
-        return []
+        return [], []
     x, y = np.array([len(s.strip()) for s in left], float), np.array([len(s.strip()) for s in right], float)
     (num_a, word_a), (num_b, word_b) = zip(*map(_anchors, left)), zip(*map(_anchors, right))
     same = _shared(num_a, num_b, False)
@@ -100,8 +120,9 @@ def align(left: list[str], right: list[str], ratio: float) -> list[tuple[int, in
         best = reach.argmin(0)
         came[cell], total[cell] = best, reach[best, np.arange(len(cell))]
 
-    pairs, i, j = [], n, m
+    pairs, ends, i, j = [], [], n, m
     while i or j:
+        ends.append((i, j))
         bead = int(came[(i + 2) * width + j + 2])
         a, b = BEADS[bead]
         i, j = i - a, j - b
@@ -118,7 +139,7 @@ def align(left: list[str], right: list[str], ratio: float) -> list[tuple[int, in
             p, q = np.unravel_index(int(gain.argmax()), gain.shape)
             pairs.append((free_a[p], free_b[q]))
             gain[p, :] = gain[:, q] = -np.inf
-    return sorted(pairs)
+    return sorted(pairs), ends[::-1]
 
 
 def length_ratio(df: DataFrame, left: str, right: str) -> float:

@@ -36,11 +36,11 @@ def test_alignment_of_cut_merged_and_swapped_sentences(medium):
 def test_alignment_of_odd_rows(spark):
     said = "The vote was 212 to 9. Costs rose by 4.5% in Ostrand. We will oppose it!"
     rendered = "Il y a eu 212 voix contre 9. À Ostrand, les coûts ont augmenté de 4,5 %. Nous nous y opposerons !"
-    rows = [(1, said, rendered, 0), (2, None, rendered, 0), (3, said, "", 0), (4, " ", None, 0), (5, said * 60, rendered * 60, 0), (None, said, rendered, 0)]
+    rows = [(1, said, rendered, 0), (2, None, rendered, 0), (3, said, "", 0), (4, " ", None, 0), (5, (said + " ") * 500, (rendered + " ") * 500, 0), (None, said, rendered, 0)]
     df = spark.createDataFrame(rows, "k int, a string, b string, en_pos int")
     got = alignment.align_documents(df, ["k"], "a", "b").collect()
     assert {(r["k"], r["en_pos"], r["fr_pos"]) for r in got if r["k"] != 5} == {(k, i, i) for k in (1, None) for i in range(3)}
-    assert sum(r["en_pos"] == r["fr_pos"] for r in got if r["k"] == 5) > 110
+    assert sum(r["en_pos"] == r["fr_pos"] for r in got if r["k"] == 5) > 1400
     lists = spark.createDataFrame([(1, ["Seed Act", None], ["", "Loi sur les semences"]), (2, None, ["x"]), (3, [], [])], "k int, a array<string>, b array<string>")
     assert [tuple(r) for r in alignment.align_documents(lists, ["k"], "a", "b").collect()] == [(1, 0, 1)]
     assert alignment.align_documents(df.limit(0), ["k"], "a", "b").count() == 0
