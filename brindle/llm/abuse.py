@@ -42,18 +42,28 @@ def folded(text: str) -> str:
     return text.lower()
 
 
+def _word(raw: str) -> str:
+    """A folded word without outer signs, look-alikes as Latin letters, drawn-out letters once; numbers as 0."""
+    core = _WORD.search(raw)
+    if not core:
+        return ""
+    w = core.group()
+    return _RUN.sub(r"\1", w.translate(ALIKE)) if any(c.isalpha() for c in w) else "0"
+
+
+_words: dict[str, str] = {}
+
+
 def words_of(sentence: str) -> list[str]:
+    if len(_words) > 300_000:
+        _words.clear()
     out = []
-    for w in sentence.split():
-        core = _WORD.search(w)
-        if not core:
-            continue
-        w = core.group()
-        if any(c.isalpha() for c in w):
-            w = _RUN.sub(r"\1", w.translate(ALIKE))
-        else:
-            w = "0"
-        out.append(w)
+    for raw in sentence.split():
+        w = _words.get(raw)
+        if w is None:
+            w = _words[raw] = _word(raw)
+        if w:
+            out.append(w)
     return out
 
 
@@ -72,40 +82,43 @@ _MASS = float((_WEIGHTS**2).sum())  # of the subsequences that begin at one char
 
 
 #: Odd factors of the hash.
-_MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD]
+_MIX = [np.uint32(m) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, hashed subsequence, weight) of every subsequence of the texts within the spans."""
+def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray, np.float32]]]:
+    """(characters of each text, text of each character, and for every shape of subsequence: the hashed subsequence that
+    begins at each character, whether it ends within the text, and its weight)."""
     padded = [f" {t} " for t in texts]
     size = np.fromiter(map(len, padded), np.int64, len(padded))
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(padded)), size)
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32)
     left = np.repeat(np.cumsum(size), size) - np.arange(len(codes))  # characters from here to the text's end
-    mixed = [codes * np.uint64(m) for m in _MIX]
-    rows, cols, weights = [], [], []
-    for offsets, weight in zip(_OFFSETS, _WEIGHTS):
-        n = len(codes) - offsets[-1]
-        if n <= 0:
-            continue
-        whole = left[:n] > offsets[-1]
-        h = mixed[0][:n] + mixed[1][offsets[1] : n + offsets[1]] + mixed[2][offsets[2] : n + offsets[2]]
-        if len(offsets) > 3:
-            h += mixed[3][offsets[3] : n + offsets[3]]
-        h = h[whole]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(_MIX[4])
-        rows.append(owner[:n][whole])
-        cols.append((h >> np.uint64(64 - WIDTH.bit_length() + 1)).astype(np.int64))
-        weights.append(np.full(len(h), weight, np.float32))
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(rows), np.concatenate(cols), np.concatenate(weights)) if rows else (none, none, np.zeros(0, np.float32))
+    mixed = [codes * m for m in _MIX[:4]]
+    shift = np.uint32(33 - WIDTH.bit_length())
+
+    def shapes() -> Iterator[tuple[np.ndarray, np.ndarray, np.float32]]:
+        for offsets, weight in zip(_OFFSETS, _WEIGHTS):
+            n = len(codes) - offsets[-1]
+            if n > 0:
+                h = mixed[0][:n] + mixed[1][offsets[1] : n + offsets[1]]
+                for k in range(2, len(offsets)):
+                    h += mixed[k][offsets[k] : n + offsets[k]]
+                h ^= h >> np.uint32(15)
+                h *= _MIX[4]
+                h ^= h >> np.uint32(13)
+                h *= _MIX[0]
+                yield h >> shift, left[:n] > offsets[-1], weight
+
+    return size, np.repeat(np.arange(len(padded)), size), shapes()
 
 
 def embedded(texts: list[str]) -> np.ndarray:
     """Rows whose inner products are the kernel, each divided by the root of its text's length."""
-    rows, cols, weights = features(texts)
-    dense = np.bincount(rows * WIDTH + cols, weights, len(texts) * WIDTH).astype(np.float32).reshape(len(texts), WIDTH)
+    _, owner, shapes = _hashed(texts)
+    cells, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+    for cols, whole, weight in shapes:
+        cells.append((owner[: len(cols)] * WIDTH + cols)[whole])
+        weights.append(np.full(len(cells[-1]), weight, np.float32))
+    dense = np.bincount(np.concatenate(cells), np.concatenate(weights), len(texts) * WIDTH).astype(np.float32).reshape(len(texts), WIDTH)
     return dense / np.sqrt(_lengths(texts))[:, None]
 
 
@@ -123,8 +136,11 @@ def scores(texts: list[str], model: Model) -> np.ndarray:
     """Decision value of each passage; the sum over landmarks collapses to one weight a subsequence."""
     if not texts:
         return np.zeros(0)
-    rows, cols, weights = features(texts)
-    return np.bincount(rows, weights * model.weights[cols], len(texts)) / np.sqrt(_lengths(texts)) + model.bias
+    size, _, shapes = _hashed(texts)
+    value = np.zeros(size.sum(), np.float32)  # of what begins at each character
+    for cols, whole, weight in shapes:
+        value[: len(cols)] += (model.weights * weight)[cols] * whole
+    return np.add.reduceat(value, np.cumsum(size) - size) / np.sqrt(_lengths(texts)) + model.bias
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, w: np.ndarray | None = None, rounds: int = 10) -> np.ndarray:
