@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from oracle import differences
 
 from brindle.llm import conversations as chats
 from brindle.llm import queries as q
@@ -25,6 +26,11 @@ def encoder():
         return FragmentEncoder(f.read(), public_tokenizers.PATTERN)
 
 
+@pytest.mark.parametrize("name", sorted(q.ORACLE))
+def test_agrees_with_sql(spark, medium, name):
+    assert differences(spark, medium, q.QUERIES[name], q.ORACLE[name]) == ""
+
+
 def encoded(encoder, texts):
     sizes, ids = encoder.encode(pa.array(texts, pa.string()))
     ids = iter(ids)
