@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions.text import RESULTS, either, label
+from brindle.operators import records as rec
 from brindle.operators import relational as rel
 from brindle.tables import load
 
@@ -169,9 +170,38 @@ def or_fallback_columns(spark: SparkSession, base: str) -> DataFrame:
     return b.join(v, b["id"] == v["bill_id"]).select("id", "title", "outcome")
 
 
-QUERIES = {f.__name__: f for f in (metadata_search, metadata_count, metadata_distinct, json_filters, enumerate_members, grouped_lists, latest_per_entity, current_rows, interval_overlap, left_join_labels, star_join, anti_join_new_keys, semi_join_keys, group_zero_fill, group_by_model, distinct_union_ids, set_difference, asof_latest_before, keyset_page, batch_bound, cursor_page_has_more, range_window_cap, trailing_24h_count, running_size_cap, catalog_counts, sort_nulls_last, or_fallback_columns)}
+def upsert_latest(spark: SparkSession, base: str) -> DataFrame:
+    e = load(spark, base, "events").select("user_id", "ts", "event_id", "value")
+    return rec.upsert(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), ["user_id"], "ts")
+
+
+def cascade_delete(spark: SparkSession, base: str) -> DataFrame:
+    gone = load(spark, base, "orders").filter("o_orderstatus = 'F'")
+    return rec.without_parents(load(spark, base, "lineitem"), "l_orderkey", gone, "o_orderkey").select("l_orderkey", "l_linenumber")
+
+
+def backfill(spark: SparkSession, base: str) -> DataFrame:
+    d = load(spark, base, "documents").select("doc_id", "lang", "text")
+    return rec.filled_in(d, "lang", F.when(F.length("text") > 500, "long").otherwise("short")).select("doc_id", "lang")
+
+
+def name_coverage(spark: SparkSession, base: str) -> DataFrame:
+    clean = lambda t: load(spark, base, t).select(F.lower(F.trim("source")).alias("source")).filter("source is not null")
+    return rec.coverage(clean("source_targets"), clean("documents"), "source")
+
+
+def evaluation_summary(spark: SparkSession, base: str) -> DataFrame:
+    return rec.evaluation(load(spark, base, "events"), "value", 10.0).withColumn("mean_score", F.round("mean_score", 4))
+
+
+QUERIES = {f.__name__: f for f in (upsert_latest, cascade_delete, backfill, name_coverage, evaluation_summary, metadata_search, metadata_count, metadata_distinct, json_filters, enumerate_members, grouped_lists, latest_per_entity, current_rows, interval_overlap, left_join_labels, star_join, anti_join_new_keys, semi_join_keys, group_zero_fill, group_by_model, distinct_union_ids, set_difference, asof_latest_before, keyset_page, batch_bound, cursor_page_has_more, range_window_cap, trailing_24h_count, running_size_cap, catalog_counts, sort_nulls_last, or_fallback_columns)}
 
 ORACLE = {
+    "upsert_latest": "SELECT user_id, ts, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "cascade_delete": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')",
+    "backfill": "SELECT doc_id, coalesce(lang, CASE WHEN length(text) > 500 THEN 'long' ELSE 'short' END) AS lang FROM documents",
+    "name_coverage": "WITH a AS (SELECT DISTINCT lower(trim(source)) AS source FROM source_targets), b AS (SELECT DISTINCT lower(trim(source)) AS source FROM documents WHERE source IS NOT NULL) SELECT coalesce(a.source, b.source) AS source, CASE WHEN b.source IS NULL THEN 'gap' WHEN a.source IS NULL THEN 'extra' ELSE 'covered' END AS status FROM a FULL JOIN b ON a.source = b.source",
+    "evaluation_summary": "SELECT count(*) AS cases, count(*) FILTER (value >= 10.0) AS passed, round(avg(value), 4) AS mean_score FROM events",
     "metadata_search": "SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders WHERE o_orderstatus = 'F' AND strftime(o_orderdate, '%Y-%m-%d') BETWEEN '1995-01-01' AND '1996-06-30' ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 100 OFFSET 20",
     "metadata_count": "SELECT event_type, count(*) AS events, count(*) FILTER (CAST(props->>'k' AS INT) >= 50) AS large, count(*) FILTER (props->>'k' IS NULL) AS unset FROM events GROUP BY event_type",
     "metadata_distinct": "SELECT DISTINCT metadata->>'documentTitle' AS title FROM leg_resources WHERE metadata->>'documentTitle' <> ''",

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from brindle.functions import provisions as pv
 from brindle.functions import text as tx
 from brindle.operators import chunking as ch
 from brindle.operators import linking as ln
@@ -241,3 +242,19 @@ def test_streams(spark, small, tmp_path):
     query.awaitTermination(120)
     assert spark.table("counts").agg(F.sum("rows")).first()[0] == 24 * events.count()
     assert messages.over_limit(spark.table("counts"), 0).count() == spark.table("counts").count()
+
+
+def test_section_numbers_and_scopes(spark):
+    cases = {"sections 17 to 19 and 21 to 23": ["17", "18", "19", "21", "22", "23"], "sectionsto.73 75": ["73", "74", "75"], "90.02 to 90.24": ["90.02", "90.24"], "section 4": ["4"], "1 to 900000": ["1", "900000"], None: [], "": []}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", pv.section_numbers("t").alias("n")).collect()
+    assert {r["t"]: r["n"] for r in rows} == cases
+    scopes = {"In this Act,": "act", "Dans la présente partie": "part", "in this Regulation": "regulation", "apply in this section and sections 3 to 5": "section", "apply in sections 2 to 4": "section", "hello": None, None: None}
+    rows = spark.createDataFrame([(t,) for t in scopes], "t string").select("t", pv.scope_kind(F.col("t")).alias("k")).collect()
+    assert {r["t"]: r["k"] for r in rows} == scopes
+
+
+def test_corrections_and_json(spark):
+    df = spark.createDataFrame([("A", "Recieve RECIEVE recieve"), ("B", "recieve"), ("A", None), (None, "x")], "d string, t string")
+    assert [r[0] for r in df.select(pv.corrected(F.col("d"), F.col("t"), {"A": [("recieve", "receive")]})).collect()] == ["Receive RECEIVE receive", "recieve", None, "x"]
+    js = spark.createDataFrame([('{"b": 1, "a": null}', '{"b": 1}', True), ('[1, 2]', '[2, 1]', False), ('{"a": [{"x": 1, "y": 2}]}', '{"a": [{"y": 2, "x": 1}]}', True), (None, "null", False), ("{", "{", True)], "a string, b string, same boolean")
+    assert all(r[0] for r in js.select(pv.comparable_json("a").eqNullSafe(pv.comparable_json("b")) == F.col("same")).collect())
