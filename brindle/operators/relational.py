@@ -78,9 +78,19 @@ def as_of(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time
 
 
 def trailing_count(df: DataFrame, by: str, time: str, hours: int, name: str = "trailing") -> DataFrame:
-    """How many rows of the same key lie within the ``hours`` up to each row's time, itself included."""
-    window = Window.partitionBy(by).orderBy(F.unix_micros(F.col(time).cast("timestamp"))).rangeBetween(-hours * 3_600_000_000, 0)
-    return df.withColumn(name, F.count(F.lit(1)).over(window))
+    """How many rows of the same key lie within the ``hours`` up to each row's time, itself included.
+
+    Each row is counted in its stretch of ``hours`` and, for the rows of the next one, there too; so a task holds two
+    stretches of a key and never its whole history. Rows without time count with each other. Columns keep their names.
+    """
+    length = hours * 3_600_000_000
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    own = F.floor(at / length)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(by).alias("_by"), at.alias("_at"), own.alias("_own"))
+    placed = rows.withColumn("_stretch", F.explode(F.when(F.col("_own").isNull(), F.array("_own")).otherwise(F.array("_own", F.col("_own") + 1))))
+    window = Window.partitionBy("_by", "_stretch").orderBy("_at").rangeBetween(-length, 0)
+    counted = placed.withColumn("_n", F.count(F.lit(1)).over(window)).filter(F.col("_stretch").eqNullSafe(F.col("_own")))
+    return counted.select("_row.*", F.col("_n").alias(name))
 
 
 def running_size(df: DataFrame, by: str, order: str, size: Column, cap: int, rows: int) -> DataFrame:

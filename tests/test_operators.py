@@ -258,3 +258,13 @@ def test_corrections_and_json(spark):
     assert [r[0] for r in df.select(pv.corrected(F.col("d"), F.col("t"), {"A": [("recieve", "receive")]})).collect()] == ["Receive RECEIVE receive", "recieve", None, "x"]
     js = spark.createDataFrame([('{"b": 1, "a": null}', '{"b": 1}', True), ('[1, 2]', '[2, 1]', False), ('{"a": [{"x": 1, "y": 2}]}', '{"a": [{"y": 2, "x": 1}]}', True), (None, "null", False), ("{", "{", True)], "a string, b string, same boolean")
     assert all(r[0] for r in js.select(pv.comparable_json("a").eqNullSafe(pv.comparable_json("b")) == F.col("same")).collect())
+
+
+def test_trailing_counts_of_a_hot_key(spark):
+    rng, t0 = random.Random(3), dt.datetime(2024, 1, 1)
+    rows = [(i, rng.choice([1, 1, 1, 2, None]), t0 + dt.timedelta(minutes=30 * rng.randrange(300)) if i % 25 else None, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, k int, t timestamp_ntz, _n int")
+    got = {r["id"]: (r["trailing"], r["_n"]) for r in rel.trailing_count(df, "k", "t", 24).collect()}
+    near = lambda a, b: a is None and b is None or None not in (a, b) and dt.timedelta(0) <= a - b <= dt.timedelta(hours=24)
+    assert got == {i: (sum(k2 == k and near(t, t2) for _, k2, t2, _ in rows), i) for i, k, t, _ in rows}
+    assert rel.trailing_count(df.limit(0), "k", "t", 24).count() == 0
