@@ -24,9 +24,8 @@ LIFT = 11.0
 THRESHOLD = -0.35
 #: Passages longer than this many words are scored in overlapping stretches.
 STRETCH = 14
-#: Letters of other scripts that look like Latin ones (fixed values).
-ALIKE = str.maketrans("аеорсухіјѕһԁԛԝвнкмтαορνικτυεηґбз013457@$!|", "aeopcyxijshdqwbhkmtaopvikтuenгбзoieast" + "asil")
-ALIKE[ord("т")] = "t"
+#: Cyrillic and Greek letters, digits and signs that stand for Latin letters (fixed values).
+ALIKE = str.maketrans("аеорсухіјѕһԁԛԝвнкмт" + "αορνικτυεη" + "013457@$!|", "aeopcyxijshdqwbhkmt" + "aopviktuen" + "oieastasil")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _RUN = re.compile(r"(\w)\1{2,}")
 _DRAWN = re.compile(r"(?<![^\W_])([^\W\d_])(?:([^\w\s]|[_ ])([^\W\d_])(?=\2|(?![^\W_]))){2,}")
@@ -36,7 +35,7 @@ _PLAIN = str.maketrans({"’": "'", "œ": "oe", "æ": "ae", "Œ": "oe", "Æ": "a
 
 
 def folded(text: str) -> str:
-    """Compatibility forms, lower case, no accents or invisible characters, look-alikes as Latin letters, numbers as one sign."""
+    """Compatibility forms in lower case without accents, ligatures and signs without width."""
     if not text.isascii():
         text = _UNSEEN.sub("", unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text))).translate(_PLAIN)
     return text.lower()
