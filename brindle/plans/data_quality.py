@@ -167,13 +167,14 @@ def _sql_references() -> str:
     return f"WITH res AS ({latest}), refs AS ({refs}), parents AS ({parents})"
 
 
-def _sql_p3(report: bool) -> str:
+def _sql_p3(columns: str | None) -> str:
+    """The orphans' ``columns``, or their report."""
     backed = "SELECT 1 FROM parents p WHERE p.kind = r.kind AND p.key = r.key AND p.s <= r.at"
     status = f"CASE WHEN NOT EXISTS (SELECT 1 FROM parents p WHERE p.kind = r.kind AND p.key = r.key) THEN 'missing' WHEN NOT EXISTS ({backed}) THEN 'late' ELSE 'deleted' END"
     orphans = f"SELECT r.*, {status} AS status FROM refs r WHERE NOT EXISTS ({backed} AND (p.e IS NULL OR p.e > r.at))"
-    if report:
+    if columns is None:
         return f"{_sql_references()} SELECT table_name, field_name, strftime(o.at, '%Y-%m') AS month, status, count(*) AS orphans FROM ({orphans}) o GROUP BY ALL"
-    return f"{_sql_references()} SELECT table_name, row_id, field_name FROM ({orphans})"
+    return f"{_sql_references()} SELECT {columns} FROM ({orphans}) o"
 
 
-ORACLE = {"p1_found": _sql_p1(), "p3_found": _sql_p3(False), "p3_report": _sql_p3(True)}
+ORACLE = {"p1_found": _sql_p1(), "p3_found": _sql_p3("table_name, row_id, field_name"), "p3_orphans": _sql_p3("table_name, row_id, field_name, kind, key, o.at, status"), "p3_report": _sql_p3(None)}
