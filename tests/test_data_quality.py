@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from oracle import differences
 
 from brindle.functions.json_index import JsonIndex, Values
-from brindle.operators.diff import assign, diff_copies
+from brindle.operators.diff import assign, diff_copies, transport
 from brindle.operators.nested import Path, flatten_nested
 from brindle.operators.references import orphan_references
 from brindle.plans import data_quality as q
@@ -50,6 +50,35 @@ def test_diff_pairs_duplicates(spark, exact_rows):
     assert len(d) == 2 if exact_rows else 2 <= len(d) <= 3
 
 
+def test_large_keys_are_paired_at_least_cost(spark):
+    columns = "_n string, `f` string, g string, copies string"
+    left, right = spark.createDataFrame(LEFT, columns), spark.createDataFrame(RIGHT, columns)
+    totals = {n: sorted(r["copies"] for r in diff_copies(left, right, ["_n"], ["f", "g"], n).filter("_n = 'd'").collect()) for n in (400, 0)}
+    assert sum(totals[400]) == sum(totals[0]) == 2
+
+
+@given(st.integers(1, 4), st.integers(1, 7), st.integers(1, 7), st.integers(1, 4), st.randoms(use_true_random=False))
+@settings(max_examples=400, deadline=None)
+def test_network_is_as_cheap_as_the_assignment(fields, n, m, values, rng):
+    x, y = (np.array([[rng.randrange(-1, values) for _ in range(fields)] for _ in range(k)]) for k in (n, m))
+    have, want = (np.array([rng.randint(1, 4) for _ in range(k)]) for k in (n, m))
+    i, j, units = transport(x, y, have, want)
+    assert (units > 0).all() and units.sum() == min(have.sum(), want.sum())
+    assert (np.bincount(i, units, n) <= have).all() and (np.bincount(j, units, m) <= want).all()
+    a, b = x.repeat(have, 0), y.repeat(want, 0)
+    cost = ((a[:, None] != b[None]) | (a[:, None] < 0)).sum(2).astype(float)
+    assert (units * ((x[i] != y[j]) | (x[i] < 0)).sum(1)).sum() == sum(cost[p] for p in assign(cost))
+
+
+def test_hot_key_agrees_with_the_dense_assignment(spark):
+    rng = random.Random(5)
+    rows = lambda n: [(rng.choice(["hot", None]), *(rng.choice([None, "", *"abcd"]) for _ in range(3))) for _ in range(n)]
+    left, right = (spark.createDataFrame(rows(n), "k string, f string, g string, h string") for n in (300, 260))
+    dense, sparse = ([tuple(r) for r in diff_copies(left, right, ["k"], ["f", "g", "h"], n).collect()] for n in (10_000, 0))
+    count = lambda got: {(k, gone): sum(r[4] for r in got if r[0] == k and r[1].startswith("missing") == gone) for k in ("hot", None) for gone in (True, False)}
+    assert count(dense) == count(sparse) and count(sparse)["hot", False] > 20
+
+
 def test_diff_of_empty_tables(spark):
     columns = "k string, f string"
     none, one = spark.createDataFrame([], columns), spark.createDataFrame([("a", None), ("a", None)], columns)
