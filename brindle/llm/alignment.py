@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,7 +20,7 @@ BEADS = ((1, 1), (1, 0), (0, 1), (2, 1), (1, 2), (2, 2), (2, 2))
 PRIOR = np.array([0.1, 2.8, 3.0, 3.2, 3.0, 5.5, 3.4])
 #: Variance of a length per character; greatest cost of a length; cost of a number without its like; weight of shared words.
 VARIANCE, FARTHEST, NUMBER, SHARED = 8.0, 6.0, 1.6, 0.55
-#: Most sentences on a side that are aligned at once.
+#: Sentences on a side of one tile of the table of costs.
 WINDOW = 600
 #: Evidence that sentences left over by the path need to be paired out of order.
 MOVED = 2.5
@@ -43,8 +45,16 @@ def _anchors(sentence: str) -> tuple[set[str], set[str]]:
     return numbers, {s for w in _WORD.findall(sentence) if (s := _stem(w))}
 
 
-def _shared(left: list[set[str]], right: list[set[str]], weighted: bool) -> np.ndarray:
-    """For each pair of sentences, how many anchors they share, or how much those weigh (rare ones more)."""
+def _weights(left: list[set[str]], right: list[set[str]]) -> dict[str, float]:
+    """The weight of each anchor that both sides have, over the whole document (rare ones weigh more)."""
+    a, b = (Counter(x for anchors in rows for x in anchors) for rows in (left, right))
+    both = [x for x in a if x in b]
+    weigh = np.log1p(len(left) * len(right) / np.maximum([a[x] * b[x] for x in both], 1.0)).clip(0.2, 4)
+    return dict(zip(both, weigh.tolist()))
+
+
+def _shared(left: list[set[str]], right: list[set[str]], weights: dict[str, float] | None) -> np.ndarray:
+    """For each pair of sentences, how many anchors they share, or how much those weigh."""
     ids: dict[str, int] = {}
     common = set().union(*left) & set().union(*right)
     a, b = np.zeros((len(left), len(common))), np.zeros((len(right), len(common)))
@@ -52,8 +62,8 @@ def _shared(left: list[set[str]], right: list[set[str]], weighted: bool) -> np.n
         for i, anchors in enumerate(rows):
             for x in anchors & common:
                 table[i, ids.setdefault(x, len(ids))] = 1
-    if weighted and common:
-        a *= np.log1p(len(left) * len(right) / np.maximum(a.sum(0) * b.sum(0), 1)).clip(0.2, 4)
+    if weights and common:
+        a *= np.array([weights[x] for x in ids])
     return a @ b.T
 
 
@@ -63,83 +73,140 @@ def _length_cost(x: np.ndarray, y: np.ndarray, ratio: float) -> np.ndarray:
     return np.minimum(delta * delta / 2, FARTHEST)
 
 
+class _Document:
+    """Lengths and anchors of both sides, and the table of the cheapest totals in tiles of ``WINDOW`` by ``WINDOW`` cells."""
+
+    def __init__(self, left: list[str], right: list[str], ratio: float):
+        self.n, self.m, self.ratio = len(left), len(right), ratio
+        self.x, self.y = np.array([len(s.strip()) for s in left], float), np.array([len(s.strip()) for s in right], float)
+        (self.num_a, self.word_a), (self.num_b, self.word_b) = zip(*map(_anchors, left)), zip(*map(_anchors, right))
+        self.lack_a, self.lack_b = np.array([len(s) for s in self.num_a], float), np.array([len(s) for s in self.num_b], float)
+        self.words, self.numbers = _weights(self.word_a, self.word_b), _weights(self.num_a, self.num_b)
+        # totals of the last two rows of cells of each row of tiles, and of the last two columns of each column of tiles
+        self.below, self.beside = {}, {}
+
+    def tile(self, r: int, c: int) -> tuple[np.ndarray, int, int]:
+        """The best bead of each cell of tile (r, c), after the tiles above and before it; and the cell at its corner.
+
+        A cell (i, j) stands for i sentences taken on the left and j on the right. The first two rows and columns of a tile
+        behind others are cells of those; their totals are copied.
+        """
+        i0, j0 = max(0, r * WINDOW - 1), max(0, c * WINDOW - 1)
+        i1, j1 = min(self.n, (r + 1) * WINDOW), min(self.m, (c + 1) * WINDOW)
+        p, q = slice(i0, i1), slice(j0, j1)
+        x, y, lack_a, lack_b, ratio = self.x[p], self.y[q], self.lack_a[p], self.lack_b[q], self.ratio
+        n, m = len(x), len(y)
+        same = _shared(self.num_a[p], self.num_b[q], None)
+        fit = SHARED * (_shared(self.word_a[p], self.word_b[q], self.words) + 1.5 * _shared(self.num_a[p], self.num_b[q], self.numbers)) + 2 * NUMBER * same
+        evidence = fit - NUMBER * (lack_a[:, None] + lack_b[None, :])
+
+        cost = np.full((len(BEADS), n + 3, m + 3), np.inf)  # by the last sentences taken; two rows and columns before the first
+        at = lambda k, i, j: cost[k, 2 + i :, 2 + j :][: n + 1 - i, : m + 1 - j]
+        at(0, 1, 1)[:] = PRIOR[0] + _length_cost(x[:, None], y[None, :], ratio) - evidence
+        at(1, 1, 0)[:] = PRIOR[1]
+        at(2, 0, 1)[:] = PRIOR[2]
+        pair_x, pair_y = x[:-1] + x[1:], y[:-1] + y[1:]
+        rows = fit[:-1] + fit[1:] - NUMBER * (lack_a[:-1] + lack_a[1:])[:, None]
+        if n > 1:
+            at(3, 2, 1)[:] = PRIOR[3] + _length_cost(pair_x[:, None], y[None, :], ratio) - (rows - NUMBER * lack_b[None, :])
+        if m > 1:
+            at(4, 1, 2)[:] = PRIOR[4] + _length_cost(x[:, None], pair_y[None, :], ratio) - (fit[:, :-1] + fit[:, 1:] - NUMBER * (lack_a[:, None] + (lack_b[:-1] + lack_b[1:])[None, :]))
+        if n > 1 and m > 1:
+            at(5, 2, 2)[:] = PRIOR[5] + _length_cost(pair_x[:, None], pair_y[None, :], ratio) - (rows[:, :-1] + rows[:, 1:] - NUMBER * (lack_b[:-1] + lack_b[1:])[None, :])
+            single = cost[0, 3:, 3:]
+            at(6, 2, 2)[:] = PRIOR[6] + single[:-1, 1:] + single[1:, :-1]
+
+        width = m + 3
+        flat, table, came = cost.reshape(len(BEADS), -1), np.full((n + 3, width), np.inf), np.zeros((n + 3) * width, np.int8)
+        if r:
+            table[2:4, 2:] = self.below[r - 1][:, j0 : j1 + 1]
+        if c:
+            table[2:, 2:4] = self.beside[c - 1][i0 : i1 + 1]
+        if not r and not c:
+            table[2, 2] = 0
+        total, top, edge = table.reshape(-1), 2 * bool(r), 2 * bool(c)
+        back = np.array([a * width + b for a, b in BEADS])[:, None]
+        for k in range(top + edge or 1, n + m + 1):
+            i = np.arange(max(top, k - m), min(n, k - edge) + 1)
+            cell = (i + 2) * width + (k - i + 2)
+            reach = total[cell[None, :] - back] + flat[:, cell]
+            best = reach.argmin(0)
+            came[cell], total[cell] = best, reach[best, np.arange(len(cell))]
+        self.below.setdefault(r, np.full((2, self.m + 1), np.inf))[:, j0 : j1 + 1] = table[-2:, 2:]
+        self.beside.setdefault(c, np.full((self.n + 1, 2), np.inf))[i0 : i1 + 1] = table[2:, -2:]
+        return came.reshape(n + 3, width)[2:, 2:], i0, j0
+
+    def path(self) -> list[tuple[int, int]]:
+        """Pairs on the cheapest path of beads. Only the tiles that it passes are held again, one at a time."""
+        own = lambda k: max(0, k - 1) // WINDOW
+        for r in range(own(self.n) + 1):
+            for c in range(own(self.m) + 1):
+                came, i0, j0 = self.tile(r, c)
+        here, pairs, i, j = (r, c), [], self.n, self.m
+        while i or j:
+            if here != (own(i), own(j)):
+                here = own(i), own(j)
+                came, i0, j0 = self.tile(*here)
+            bead = int(came[i - i0, j - j0])
+            a, b = BEADS[bead]
+            i, j = i - a, j - b
+            if bead == 6:
+                pairs += [(i, j + 1), (i + 1, j)]
+            elif bead == 5:
+                pairs += [(i, j), (i + 1, j + 1)]
+            else:
+                pairs += [(i + p, j + q) for p in range(a) for q in range(b)]
+        return pairs
+
+    def moved(self, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Pairs of sentences that ``pairs`` leave over, greatest gain first, looked up by shared anchors."""
+        free_a, free_b = sorted(set(range(self.n)) - {i for i, _ in pairs}), np.array(sorted(set(range(self.m)) - {j for _, j in pairs}), int)
+        if not free_a or not len(free_b):
+            return []
+        y, lack = self.y[free_b], self.lack_b[free_b]
+        places: list[dict[str, list[int]]] = [{}, {}]
+        for index, known, rows in zip(places, (self.words, self.numbers), (self.word_b, self.num_b)):
+            for q, j in enumerate(free_b):
+                for anchor in rows[j] & known.keys():
+                    index.setdefault(anchor, []).append(q)
+        open_, queue = np.ones(len(free_b), bool), []
+
+        def put(p: int) -> None:
+            i, fit = free_a[p], np.zeros(len(free_b))
+            for anchor in sorted(self.word_a[i] & places[0].keys()):
+                fit[places[0][anchor]] += SHARED * self.words[anchor]
+            for anchor in sorted(self.num_a[i] & places[1].keys()):
+                fit[places[1][anchor]] += 1.5 * SHARED * self.numbers[anchor] + 2 * NUMBER
+            gain = np.where(open_, fit - NUMBER * (self.lack_a[i] + lack) - _length_cost(self.x[i], y, self.ratio), -np.inf)
+            q = int(gain.argmax())
+            if gain[q] > MOVED:
+                heapq.heappush(queue, (-gain[q], p, q))
+
+        for p in range(len(free_a)):
+            put(p)
+        found = []
+        while queue:
+            _, p, q = heapq.heappop(queue)
+            if open_[q]:
+                open_[q] = False
+                found.append((free_a[p], int(free_b[q])))
+            else:
+                put(p)
+        return found
+
+
 def align(left: list[str], right: list[str], ratio: float) -> list[tuple[int, int]]:
     """Pairs (left, right) of sentences that translate one another.
 
-    Documents of over ``WINDOW`` sentences on a side are aligned in windows of that many: the pairs of a window's first two
-    thirds stand, up to an end of a bead, and the next window begins there. All sentences are seen; memory stays bounded.
+    The cheapest path of beads over the whole document, then sentences left over anywhere in it, paired out of order. The
+    table of costs is computed in tiles of ``WINDOW`` sentences a side, of which only the edges are kept, and tiles are
+    computed again on the way back; the result does not depend on ``WINDOW``.
     """
-    pairs, i, j = [], 0, 0
-    while True:
-        last = len(left) - i <= WINDOW and len(right) - j <= WINDOW
-        found, ends = _align_window(left[i : i + WINDOW], right[j : j + WINDOW], ratio)
-        stops = [e for e in ends if 3 * max(e) >= 2 * WINDOW]
-        if last or not stops:
-            return pairs + [(i + a, j + b) for a, b in found]
-        a_end, b_end = stops[0]
-        pairs += [(i + a, j + b) for a, b in found if a < a_end and b < b_end]
-        i, j = i + a_end, j + b_end
-
-
-def _align_window(left: list[str], right: list[str], ratio: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Pairs on the cheapest path of beads, then moved ones; and the ends of the beads."""
-    n, m = len(left), len(right)
-    if not n or not m:
-        return [], []
-    x, y = np.array([len(s.strip()) for s in left], float), np.array([len(s.strip()) for s in right], float)
-    (num_a, word_a), (num_b, word_b) = zip(*map(_anchors, left)), zip(*map(_anchors, right))
-    same = _shared(num_a, num_b, False)
-    lack_a, lack_b = np.array([len(s) for s in num_a], float), np.array([len(s) for s in num_b], float)
-    fit = SHARED * (_shared(word_a, word_b, True) + 1.5 * _shared(num_a, num_b, True)) + 2 * NUMBER * same
-    evidence = fit - NUMBER * (lack_a[:, None] + lack_b[None, :])
-
-    cost = np.full((len(BEADS), n + 3, m + 3), np.inf)  # by the last sentences taken; two rows and columns before the first
-    at = lambda k, i, j: cost[k, 2 + i :, 2 + j :][: n + 1 - i, : m + 1 - j]
-    at(0, 1, 1)[:] = PRIOR[0] + _length_cost(x[:, None], y[None, :], ratio) - evidence
-    at(1, 1, 0)[:] = PRIOR[1]
-    at(2, 0, 1)[:] = PRIOR[2]
-    pair_x, pair_y = x[:-1] + x[1:], y[:-1] + y[1:]
-    rows = fit[:-1] + fit[1:] - NUMBER * (lack_a[:-1] + lack_a[1:])[:, None]
-    if n > 1:
-        at(3, 2, 1)[:] = PRIOR[3] + _length_cost(pair_x[:, None], y[None, :], ratio) - (rows - NUMBER * lack_b[None, :])
-    if m > 1:
-        at(4, 1, 2)[:] = PRIOR[4] + _length_cost(x[:, None], pair_y[None, :], ratio) - (fit[:, :-1] + fit[:, 1:] - NUMBER * (lack_a[:, None] + (lack_b[:-1] + lack_b[1:])[None, :]))
-    if n > 1 and m > 1:
-        at(5, 2, 2)[:] = PRIOR[5] + _length_cost(pair_x[:, None], pair_y[None, :], ratio) - (rows[:, :-1] + rows[:, 1:] - NUMBER * (lack_b[:-1] + lack_b[1:])[None, :])
-        single = cost[0, 3:, 3:]
-        at(6, 2, 2)[:] = PRIOR[6] + single[:-1, 1:] + single[1:, :-1]
-
-    width = m + 3
-    flat, total, came = cost.reshape(len(BEADS), -1), np.full((n + 3) * width, np.inf), np.zeros((n + 3) * width, np.int8)
-    total[2 * width + 2] = 0
-    back = np.array([a * width + b for a, b in BEADS])[:, None]
-    for k in range(1, n + m + 1):
-        i = np.arange(max(0, k - m), min(n, k) + 1)
-        cell = (i + 2) * width + (k - i + 2)
-        reach = total[cell[None, :] - back] + flat[:, cell]
-        best = reach.argmin(0)
-        came[cell], total[cell] = best, reach[best, np.arange(len(cell))]
-
-    pairs, ends, i, j = [], [], n, m
-    while i or j:
-        ends.append((i, j))
-        bead = int(came[(i + 2) * width + j + 2])
-        a, b = BEADS[bead]
-        i, j = i - a, j - b
-        if bead == 6:
-            pairs += [(i, j + 1), (i + 1, j)]
-        elif bead == 5:
-            pairs += [(i, j), (i + 1, j + 1)]
-        else:
-            pairs += [(i + p, j + q) for p in range(a) for q in range(b)]
-    free_a, free_b = sorted(set(range(n)) - {i for i, _ in pairs}), sorted(set(range(m)) - {j for _, j in pairs})
-    if free_a and free_b:
-        gain = (evidence - _length_cost(x[:, None], y[None, :], ratio))[np.ix_(free_a, free_b)]
-        while gain.size and gain.max() > MOVED:
-            p, q = np.unravel_index(int(gain.argmax()), gain.shape)
-            pairs.append((free_a[p], free_b[q]))
-            gain[p, :] = gain[:, q] = -np.inf
-    return sorted(pairs), ends[::-1]
+    if not left or not right:
+        return []
+    document = _Document(left, right, ratio)
+    pairs = document.path()
+    return sorted(pairs + document.moved(pairs))
 
 
 def length_ratio(df: DataFrame, left: str, right: str) -> float:

@@ -33,6 +33,27 @@ def test_alignment_of_cut_merged_and_swapped_sentences(medium):
     assert right > 80 and 2 * right / (2 * right + wrong + lost) > 0.93
 
 
+def test_alignment_does_not_depend_on_the_window(medium, monkeypatch):
+    """Over 600 sentences a side, with sentences moved over an edge and far away and a long run left out."""
+    rng = random.Random(7)
+    a = [f"Item {1000 + i} was {rng.choice(['passed', 'read', 'tabled'])} in {rng.randrange(1, 99)} places." for i in range(1700)]
+    order = [*range(100), *range(900, 1700)]  # 800 are left out
+    for i, place in ((950, 60), (1299, 250), (1650, 5), (20, 880)):
+        order.remove(i)
+        order.insert(place, i)
+    b = [f"Le point {a[i].split()[1]} a été traité à {a[i].split()[-2]} endroits." for i in order]
+    got = alignment.align(a, b, 1.0)
+    true = {(i, j) for j, i in enumerate(order)}
+    assert len(true & set(got)) >= 898 and len(set(got) - true) <= 2
+    rows = [(SPLIT(r.content_en), SPLIT(r.content_fr)) for r in pd.read_parquet(f"{medium}/hansards_statement.parquet").head(60).itertuples()]
+    whole = [alignment.align(x, y, 1.17) for x, y in rows]
+    for window in (1, 2, 3, 5, 8):
+        monkeypatch.setattr(alignment, "WINDOW", window)
+        assert [alignment.align(x, y, 1.17) for x, y in rows] == whole
+    monkeypatch.setattr(alignment, "WINDOW", 2000)
+    assert alignment.align(a, b, 1.0) == got
+
+
 def test_alignment_of_odd_rows(spark):
     said = "The vote was 212 to 9. Costs rose by 4.5% in Ostrand. We will oppose it!"
     rendered = "Il y a eu 212 voix contre 9. À Ostrand, les coûts ont augmenté de 4,5 %. Nous nous y opposerons !"
