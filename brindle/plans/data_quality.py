@@ -51,7 +51,7 @@ def _references(spark: SparkSession, base: str) -> DataFrame:
     fields = ["crossRefId", "targetType", "targetRef", "enablingActId"]
     meta = F.from_json("metadata", ", ".join(f"{f} string" for f in fields))
     res = load(spark, base, "leg_resources").select("id", "updated_at", "created_at", meta.alias("m")).select("id", "updated_at", "created_at", *[F.col(f"m.{f}").alias(f) for f in fields])
-    res = standing(res.filter("crossRefId is not null or targetRef is not null or enablingActId is not null"), ["id"], "updated_at")
+    res = standing(res, ["id"], "updated_at").filter("crossRefId is not null or targetRef is not null or enablingActId is not null")  # the latest version may have dropped its references
     target = F.lower(F.trim("targetType"))
     ref = lambda field, kind: F.struct(F.lit(field).alias("field_name"), kind.alias("kind"), norm_key(F.col(field)).alias("key"))
     refs = F.explode(F.array(ref("crossRefId", F.lit("cross_reference")), ref("targetRef", F.when(target == "act", "act").when(target == "regulation", "regulation").otherwise("none")), ref("enablingActId", F.lit("act"))))

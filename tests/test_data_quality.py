@@ -96,6 +96,23 @@ def test_reference_status(spark):
     assert orphan_references(refs, parents.limit(0)).count() == 8 and orphan_references(refs.limit(0), parents).count() == 0
 
 
+def test_dropped_references_are_not_reported(spark, small, tmp_path):
+    import shutil
+
+    for name in ("acts", "regulations", "cross_references", "bills_bill", "bills_votequestion"):
+        shutil.copy(f"{small}/{name}.parquet", tmp_path)
+    like = spark.read.parquet(f"{small}/leg_resources.parquet").select("id", "metadata", "created_at", "updated_at")
+    day = lambda n: dt.datetime(2024, 1, n)
+    stale, none = json.dumps({"crossRefId": "no such"}), json.dumps({"language": "en"})
+    rows = [("dropped", stale, day(1), day(1)), ("dropped", none, day(1), day(2)), ("kept", none, day(1), day(1)), ("kept", stale, day(1), day(2)), ("nothing", stale, day(1), day(1)), ("nothing", None, day(1), day(2))]
+    spark.createDataFrame(rows, like.schema).coalesce(1).write.parquet(f"{tmp_path}/leg_resources.dir")
+    shutil.copy(next((tmp_path / "leg_resources.dir").glob("*.parquet")), tmp_path / "leg_resources.parquet")
+    found = q.p3_found(spark, str(tmp_path)).filter("table_name = 'leg_resources'").collect()
+    assert [tuple(r)[1:] for r in found] == [("kept", "crossRefId")]
+    for name in ("p3_found", "p3_orphans", "p3_report"):
+        assert differences(spark, str(tmp_path), q.QUERIES[name], q.ORACLE[name]) == ""
+
+
 def strict(text):
     def refuse(_):
         raise ValueError
