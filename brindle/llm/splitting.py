@@ -21,13 +21,21 @@ def cleaned(col: Column) -> Column:
     return F.regexp_replace(lines, r"(?U)^[\s\x1c-\x1f]+|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]+$", "")
 
 
-def snap(text: str, target: int, low: int, high: int) -> int:
-    """The strongest boundary in (low, high], of equals the nearest to ``target``; without any, a place between characters."""
+def boundary(text: str, target: int, low: int, high: int) -> int | None:
+    """The strongest boundary in (low, high], of equals the nearest to ``target``."""
     window = text[low:high]
-    for boundary in BOUNDARIES:
-        places = [low + m.end() for m in boundary.finditer(window) if low < low + m.end()]
+    for pattern in BOUNDARIES:
+        places = [low + m.end() for m in pattern.finditer(window) if low < low + m.end()]
         if places:
             return min(places, key=lambda p: (abs(p - target), p))
+    return None
+
+
+def snap(text: str, target: int, low: int, high: int) -> int:
+    """The boundary in (low, high]; without any, a place between characters."""
+    place = boundary(text, target, low, high)
+    if place is not None:
+        return place
     place = min(max(target, low + 1), high)
     while place > low + 1 and MARKS.match(text, place):  # a mark stays with its letter
         place -= 1
@@ -38,8 +46,9 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, reach: int
     """Spans of the pieces: none longer than ``limit``, consecutive ones overlapping by up to ``overlap``, all text covered.
 
     The least number of pieces is computed and targets are set at equal lengths; each is moved to the strongest boundary
-    within ``reach``, and the targets of what remains are set again from there. Where the rest would no longer fit into
-    the pieces that are left, a piece is added.
+    within ``reach``, and the targets of what remains are set again from there. Without any, the reach is doubled up to the
+    last cut and the limit, and only a stretch without boundary is cut between characters. Where the rest would no longer
+    fit into the pieces that are left, a piece is added.
     """
     n = len(text)
     if n <= limit:
@@ -49,8 +58,15 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, reach: int
     while n - start > limit:
         pieces = max(pieces, least(n - start))
         target = start + round((n - start + (pieces - 1) * overlap) / pieces)
-        high = min(max(target + reach, done + 1), start + limit, n - 1)
-        end = snap(text, target, min(max(target - reach, done), high - 1), high)
+        end, near = None, reach
+        while end is None:
+            high = min(max(target + near, done + 1), start + limit, n - 1)
+            low = min(max(target - near, done), high - 1)
+            if low == done and high == min(start + limit, n - 1):  # all that a cut may take
+                end = snap(text, target, low, high)
+            else:
+                end = boundary(text, target, low, high)
+            near = 2 * near + 1
         spans.append((start, end))
         begin = max(end - overlap, start + 1)
         places = [begin + m.end() for b in BOUNDARIES[:3] for m in b.finditer(text[begin:end]) if begin + m.end() < end]

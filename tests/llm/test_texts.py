@@ -137,6 +137,16 @@ def test_pieces_cover_and_keep_the_limits(text, limit, overlap):
     assert len(text) > limit or len(spans) == 1
 
 
+@pytest.mark.parametrize("before", [4400, 4500, 4700])
+def test_long_runs_are_cut_only_where_no_boundary_is_left(before):
+    words = "word " * 4000
+    text = words[:before] + "x" * 1500 + " " + words[:4000]
+    spans = split_text(text)
+    assert all(text[z - 1] == " " for _, z in spans[:-1]) and len(spans) > 1
+    assert all(0 < z - a <= 6144 for a, z in spans) and all(z0 >= a1 for (_, z0), (a1, _) in zip(spans, spans[1:]))
+    assert [z for _, z in split_text("x" * 9000)] == [5012, 9000]
+
+
 def clean(t):
     import re
 
