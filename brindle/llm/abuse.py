@@ -11,11 +11,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most labelled documents that the classifier is fitted on, most landmarks, and the hashed width of the kernel's features.
-LABELLED, LANDMARKS, WIDTH = 2000, 500, 1 << 15
+#: Most labelled documents that the classifier is fitted on, and the characters of theirs; of their passages, the most that are
+#: held against the suspected ones.
+LABELLED, LABELLED_CHARS, AGAINST = 2000, 20_000_000, 12000
+#: Most landmarks, and the hashed width of the kernel's features.
+LANDMARKS, WIDTH = 500, 1 << 14
 #: Subsequence lengths with the widest span each, and the weight of every skipped character.
 SPANS, DECAY = ((3, 5), (4, 7)), 0.6
 #: How much more frequent in abusive texts than in all a telling word is.
@@ -50,29 +53,78 @@ def _word(raw: str) -> str:
     return _RUN.sub(r"\1", w.translate(ALIKE)) if any(c.isalpha() for c in w) else "0"
 
 
-_words: dict[str, str] = {}
+def plain_words(line: str) -> Iterator[list[str]]:
+    """The words of each sentence of a line, by patterns over the folded line; spelled-out words joined."""
+    for sentence in _SENTENCE.split(folded(line)):
+        joined = _DRAWN.sub(lambda m: re.sub(r"[^\w]|_", "", m.group()), sentence)
+        if words := [w for raw in joined.split() if (w := _word(raw))]:
+            yield words
 
 
-def words_of(sentence: str) -> list[str]:
-    if len(_words) > 300_000:
-        _words.clear()
-    out = []
-    for raw in sentence.split():
-        w = _words.get(raw)
-        if w is None:
-            w = _words[raw] = _word(raw)
-        if w:
-            out.append(w)
-    return out
+#: Marks that a remembered token carries: letters that all stand alone, a last letter that does, white space within.
+_LONE, _LONE_END, _SPACED = "\x01", "\x02", "\x03"
+_SPELLED = re.compile(rf"[{_LONE}{_LONE_END}][^ ]* {_LONE}")
+_MARKED = re.compile(rf"[{_LONE}{_LONE_END}{_SPACED}]")
+_LETTER = re.compile(r"[^\W\d_]")
+
+
+class _Tokens(dict):
+    """Raw tokens to their words, with marks; the line end behind a word ends its sentence. Forgets all when it is full."""
+
+    def __missing__(self, raw: str) -> str:
+        if len(self) > 300_000:
+            self.clear()
+        whole = folded(raw)
+        joined = _DRAWN.sub(lambda m: re.sub(r"[^\w]|_", "", m.group()), whole)
+        runs = re.findall(r"[^\W_]+", joined)
+        mark = ""
+        if any(c.isspace() for c in whole):
+            mark = _SPACED
+        elif runs and all(len(r) == 1 and _LETTER.match(r) for r in runs):
+            mark = _LONE * len(runs)
+        elif runs and len(runs[-1]) == 1 and _LETTER.match(runs[-1]):
+            mark = _LONE_END
+        found = self[raw] = mark + _word(joined) + ("\n" if whole[-1:] in tuple(".!?…") else "")
+        return found
+
+
+class _Words(_Tokens):
+    """Raw tokens to their bare words."""
+
+    def __missing__(self, raw: str) -> str:
+        found = self[raw] = _MARKED.sub("", _tokens[raw]).rstrip("\n")
+        return found
+
+
+_tokens, _words = _Tokens(), _Words()
+
+
+def words_of(text: str) -> Iterator[list[str]]:
+    """The words of each sentence: as :func:`plain_words`, but every token is folded once and remembered.
+
+    Only lines with letters that stand alone side by side, which may spell a word, and tokens that fold to several, go
+    through the patterns again; letters at the beginning of a longer token do not count.
+    """
+    for line in text.split("\n"):
+        joined = " ".join(map(_tokens.__getitem__, line.split()))
+        if _LONE in joined or _LONE_END in joined or _SPACED in joined:
+            if _SPACED in joined or _SPELLED.search(joined):
+                yield from plain_words(line)
+                continue
+            joined = _MARKED.sub("", joined)
+        for sentence in joined.split("\n"):
+            if words := sentence.split():
+                yield words
 
 
 def passages(text: str) -> Iterator[str]:
     """The sentences of a text, long ones as overlapping stretches of words, folded; spelled-out words joined."""
-    for sentence in _SENTENCE.split(folded(text)):
-        words = words_of(_DRAWN.sub(lambda m: re.sub(r"[^\w]|_", "", m.group()), sentence))
-        for at in range(0, max(1, len(words) - STRETCH // 2), STRETCH // 2):
-            if piece := words[at : at + STRETCH]:
-                yield " ".join(piece)
+    for words in words_of(text):
+        if len(words) <= STRETCH:
+            yield " ".join(words)
+        else:
+            for at in range(0, len(words) - STRETCH // 2, STRETCH // 2):
+                yield " ".join(words[at : at + STRETCH])
 
 
 _OFFSETS = [(0, *o) for p, span in SPANS for o in combinations(range(1, span), p - 1)]
@@ -149,8 +201,8 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, w: np.ndarray | None =
     ridge[-1] = 1e-3
     for _ in range(rounds):
         active = y * (x @ w) < 1
-        xa = x[active] * cost[active, None]
-        step = np.linalg.solve(xa.T @ x[active] + np.diag(ridge), xa.T @ y[active])
+        xa = x[active] * np.sqrt(cost[active, None]).astype(x.dtype)
+        step = np.linalg.solve((xa.T @ xa).astype(np.float64) + np.diag(ridge), xa.T.astype(np.float64) @ (y[active] * np.sqrt(cost[active])))
         w, moved = step, np.abs(step - w).max()
         if moved < 1e-3 * np.abs(w).max():
             break
@@ -162,7 +214,9 @@ def fit(docs: list[tuple[str, bool]], common: dict[str, int] | None = None, n_do
 
     ``common`` tells in how many of all ``n_docs`` documents a word occurs: only passages with a word that is ``LIFT``
     times as frequent in abusive texts as in all are suspected of making a text abusive, and a text without any is left out as a
-    mistake of its annotators. All passages are suspected without ``common``. Null if there are no texts of either kind.
+    mistake of its annotators. All passages are suspected without ``common``. Suspected passages are held against up to
+    ``AGAINST`` others: at first any, then those that the first machine takes for the worst. Null if there are no texts of
+    either kind.
     """
     bags = [(list(dict.fromkeys(passages(t))), bad) for t, bad in docs]
     texts = [p for ps, _ in bags for p in ps]
@@ -178,32 +232,43 @@ def fit(docs: list[tuple[str, bool]], common: dict[str, int] | None = None, n_do
         telling = np.array([max((lift.get(w, 0.0) for w in p.split()), default=0.0) >= LIFT for p in texts])
         suspect &= telling if (suspect & telling).any() else True
     rng = np.random.default_rng(seed)
-    pool, rest = rng.permutation(np.flatnonzero(suspect)), rng.permutation(np.flatnonzero(~bad_bag[bag]))
-    blocks = lambda: ((i, embedded(texts[i : i + 256])) for i in range(0, len(texts), 256))
-    negatives, share = ~bad_bag[bag], 1.0 / np.bincount(bag, suspect, len(bags))[bag].clip(1)
-    value, label, cost, use = None, np.where(suspect, 1.0, -1.0), np.where(suspect, share, 1.0) * c, negatives | suspect
+    pool, rest = rng.permutation(np.flatnonzero(suspect)), rng.permutation(np.flatnonzero(~suspect))
+    share = 1.0 / np.bincount(bag, suspect, len(bags))[bag].clip(1)
+    model, value = None, np.zeros(len(texts))
     for stage in range(2):
-        if stage:  # landmarks again, from what the first ones found
+        if stage:  # landmarks and the passages held against them again, from what the first ones found
+            value = np.concatenate([scores(texts[i : i + 2000], model) for i in range(0, len(texts), 2000)])
             pool = np.array(sorted(np.flatnonzero(suspect & (value > -0.6)), key=lambda i: -value[i]), np.int64)
-            rest = np.array(sorted(np.flatnonzero(negatives), key=lambda i: -value[i]), np.int64)
-        marks = embedded([texts[i] for i in np.concatenate([_spread(texts, pool, LANDMARKS * 2 // 3), _spread(texts, rest, LANDMARKS // 3)])])
+            rest = np.array(sorted(np.flatnonzero(~suspect), key=lambda i: -value[i]), np.int64)
+        clean = rest[~bad_bag[bag[rest]]]
+        marks = embedded([texts[i] for i in np.concatenate([_spread(texts, pool, LANDMARKS * 2 // 3), _spread(texts, clean, LANDMARKS // 3)])])
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         keep = values > 1e-5 * values[-1]
         root = vectors[:, keep] / np.sqrt(values[keep])
-        x = np.ones((len(texts), root.shape[1] + 1))
-        for i, block in blocks():
-            x[i : i + len(block), :-1] = (block @ marks.T) @ root
-        w = None
+        taken = np.sort(np.concatenate([np.flatnonzero(suspect), rest[:AGAINST]]))
+        x = np.ones((len(taken), root.shape[1] + 1), np.float32)
+        for i in range(0, len(taken), 128):
+            x[i : i + 128, :-1] = (embedded([texts[k] for k in taken[i : i + 128]]) @ marks.T) @ root
+        own, maybe, negative = bag[taken], suspect[taken], ~bad_bag[bag[taken]]
+        label, cost, use, w = np.where(maybe, 1.0, -1.0), np.where(maybe, share[taken], 1.0) * c, negative | maybe, None
+        if stage:
+            label, cost, use = _turn(value[taken], own, maybe, negative, bad_bag, c)
         for _ in range(turns):
             w = _svm(x[use], label[use], cost[use], w)
-            value = x @ w
-            best = np.full(len(bags), -np.inf)
-            np.maximum.at(best, bag[suspect], value[suspect])
-            found = best[bag] > -0.5
-            positive = suspect & ((value >= best[bag]) | (value > 0.3))
-            use = negatives | positive | (bad_bag[bag] & found & (value < -0.5))
-            label, cost = np.where(positive, 1.0, -1.0), np.where(positive & ~found, 0.2 * c, c)
-    return Model((marks.T @ (root @ w[:-1])).astype(np.float32), float(w[-1]), THRESHOLD)
+            label, cost, use = _turn(x @ w, own, maybe, negative, bad_bag, c)
+        model = Model((marks.T @ (root @ w[:-1])).astype(np.float32), float(w[-1]), THRESHOLD)
+    return model
+
+
+def _turn(value: np.ndarray, bag: np.ndarray, maybe: np.ndarray, negative: np.ndarray, bad_bag: np.ndarray, c: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Label and cost of each passage by the values found, and whether it is used: the worst suspected one of each abusive
+    text is abusive, others if they look it; of texts that are settled so, what looks harmless is."""
+    best = np.full(len(bad_bag), -np.inf)
+    np.maximum.at(best, bag[maybe], value[maybe])
+    found = best[bag] > -0.5
+    positive = maybe & ((value >= best[bag]) | (value > 0.3))
+    use = negative | positive | (bad_bag[bag] & found & (value < -0.5))
+    return np.where(positive, 1.0, -1.0), np.where(positive & ~found, 0.2 * c, c), use
 
 
 def _spread(texts: list[str], pool: np.ndarray, most: int) -> np.ndarray:
@@ -219,11 +284,14 @@ def _spread(texts: list[str], pool: np.ndarray, most: int) -> np.ndarray:
     return np.array([*first, *later][:most], np.int64)
 
 
-def labelled(labels: DataFrame, documents: DataFrame, most: int = LABELLED) -> list[tuple[str, bool]]:
-    """Up to ``most`` documents with most of their annotators on one side: (text, abusive). The bound is a parameter."""
+def labelled(labels: DataFrame, documents: DataFrame, most: int = LABELLED, chars: int = LABELLED_CHARS) -> list[tuple[str, bool]]:
+    """Up to ``most`` documents of up to ``chars`` characters in all with most of their annotators on one side:
+    (text, abusive), taken in the order of a hash. Both bounds are parameters."""
     side = F.when(F.col("label").isin("abusive", "hateful", "sexual"), 1).when(F.col("label") == "none", -1)
     votes = labels.groupBy("doc_id").agg(F.sum(side).alias("_v")).filter("_v <> 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = documents.select("doc_id", "text").join(votes, "doc_id").filter("text is not null").select("text", "_v", "doc_id").collect()
+    texts = documents.select("doc_id", "text").join(F.broadcast(votes), "doc_id").filter("text is not null")
+    so_far = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # ``most`` rows
+    rows = texts.withColumn("_chars", so_far).filter(F.col("_chars") <= chars).select("text", "_v", "doc_id").collect()
     return [(r["text"], r["_v"] > 0) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
@@ -231,6 +299,7 @@ def word_frequencies(documents: DataFrame, docs: list[tuple[str, bool]]) -> tupl
     """In how many of all documents each word of the abusive labelled texts occurs, and how many documents have a text.
 
     The words looked for are those of a bounded sample, so that they can be sent to all tasks and their counts collected.
+    Letters that spell a word between white space are not put together here.
     """
     wanted = frozenset(w for text, bad in docs if bad for p in passages(text) for w in p.split())
     shared = documents.sparkSession.sparkContext.broadcast(wanted)
@@ -240,7 +309,7 @@ def word_frequencies(documents: DataFrame, docs: list[tuple[str, bool]]) -> tupl
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
-                counts.update(shared.value.intersection(w for p in passages(text) for w in p.split()))
+                counts.update(shared.value.intersection(map(_words.__getitem__, set(text.split()))))
         yield pa.RecordBatch.from_arrays([pa.array(["", *counts], pa.string()), pa.array([n, *counts.values()], pa.int64())], ["word", "n"])
 
     rows = documents.filter("text is not null").select(F.col("text").cast("string")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()

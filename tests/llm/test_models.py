@@ -140,6 +140,20 @@ def test_folding():
     assert list(abuse.passages(" ?! \n")) == []
 
 
+def test_remembered_tokens_agree_with_the_patterns(medium):
+    """But for letters at the beginning of a longer token, the words are those of the patterns over whole lines."""
+    rng, odd = random.Random(3), ["i", "d.", "i", "o", "t!", "n'y", "a", "y", "a-t-il", "foo-b", "\u00a8x", "x\u00a0y", "…", "Ｆｕｌｌ", "ﬁn", "w\u200bo", "s. t. u", "\u0301", "!!!", "ЅОЅ", "12", "e2e", "ça…", "\u2028", "\x85"]
+    texts = [t for t in pd.read_parquet(f"{medium}/documents.parquet").text if t] + [rng.choice([" ", "\n", "  "]).join(rng.choice(odd) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    checked = 0
+    for text in texts:
+        lines = text.split("\n")
+        if any(abuse._LONE in abuse._tokens[raw] or abuse._LONE_END in abuse._tokens[raw] for raw in text.split()) and any(abuse.re.match(r"[^\W_][^\w\s]", abuse.folded(raw)) for raw in text.split()):
+            continue
+        checked += 1
+        assert list(abuse.words_of(text)) == [w for line in lines for w in abuse.plain_words(line)], text
+    assert checked > 1200
+
+
 def test_held_out_accuracy(spark, medium):
     base = medium.replace("sf0.01", "sf0.1")
     documents = spark.read.parquet(f"{base}/documents.parquet")
@@ -149,6 +163,7 @@ def test_held_out_accuracy(spark, medium):
     half = len(docs) * 2 // 3
     common, n = abuse.word_frequencies(documents, docs[:half])
     assert n == documents.filter("text is not null").count() and set(common) <= {w for t, _ in docs[:half] for p in abuse.passages(t) for w in p.split()}
+    assert len(abuse.labelled(spark.read.parquet(f"{base}/abuse_labels.parquet"), documents, 50)) in range(45, 51) and not abuse.labelled(spark.read.parquet(f"{base}/abuse_labels.parquet"), documents, 50, 3)
     model = abuse.fit(docs[:half], common, n)
     right = wrong = lost = 0
     for text, bad in docs[half:]:
