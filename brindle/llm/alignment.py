@@ -6,8 +6,9 @@ import heapq
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from itertools import chain
+from math import log1p
 
 import numpy as np
 import pyarrow as pa
@@ -22,35 +23,49 @@ PRIOR = np.array([0.1, 2.8, 3.0, 3.2, 3.0, 5.5, 3.4])
 VARIANCE, FARTHEST, NUMBER, SHARED = 8.0, 6.0, 1.6, 0.55
 #: Sentences on a side of one tile of the table of costs.
 WINDOW = 600
+#: Documents of up to so many sentences a side are aligned together, over tables of so many cells in all.
+SMALL, CELLS = 160, 60_000
 #: Evidence that sentences left over by the path need to be paired out of order.
 MOVED = 2.5
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _NUMBER = re.compile(r"\d+(?:[.,   ]\d+)*")
 _WORD = re.compile(r"[^\W\d_]{3,}")
+_DIGIT, _NO_DIGIT = re.compile(r"\d"), re.compile(r"\D")
 
 
 def sentences(text: str | None) -> list[str]:
     return [s for s in _SENTENCE.split(text or "") if s.strip()]
 
 
-@lru_cache(100_000)
-def _stem(word: str) -> str:
-    plain = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c)).lower()
-    return plain if word[0].isupper() and len(plain) <= 5 else plain[:5] if len(plain) >= 5 else ""
+class _Stems(dict):
+    """Raw tokens to the anchors among their words: the first five letters without accents, or short names whole."""
+
+    def __missing__(self, raw: str) -> tuple[str, ...]:
+        if len(self) > 200_000:
+            self.clear()
+        found = self[raw] = tuple(s for w in _WORD.findall(raw) if (s := self.stem(w)))
+        return found
+
+    @staticmethod
+    def stem(word: str) -> str:
+        plain = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c)).lower()
+        return plain if word[0].isupper() and len(plain) <= 5 else plain[:5] if len(plain) >= 5 else ""
+
+
+_stems = _Stems()
 
 
 def _anchors(sentence: str) -> tuple[set[str], set[str]]:
-    numbers = {re.sub(r"\D", "", n) for n in _NUMBER.findall(sentence)}
-    return numbers, {s for w in _WORD.findall(sentence) if (s := _stem(w))}
+    numbers = {_NO_DIGIT.sub("", n) for n in _NUMBER.findall(sentence)} if _DIGIT.search(sentence) else set()
+    return numbers, set(chain.from_iterable(map(_stems.__getitem__, sentence.split())))
 
 
 def _weights(left: list[set[str]], right: list[set[str]]) -> dict[str, float]:
     """The weight of each anchor that both sides have, over the whole document (rare ones weigh more)."""
-    a, b = (Counter(x for anchors in rows for x in anchors) for rows in (left, right))
-    both = [x for x in a if x in b]
-    weigh = np.log1p(len(left) * len(right) / np.maximum([a[x] * b[x] for x in both], 1.0)).clip(0.2, 4)
-    return dict(zip(both, weigh.tolist()))
+    a, b = (Counter(chain.from_iterable(rows)) for rows in (left, right))
+    cells = len(left) * len(right)
+    return {x: min(max(log1p(cells / (n * b[x])), 0.2), 4.0) for x, n in a.items() if x in b}
 
 
 def _shared(left: list[set[str]], right: list[set[str]], weights: dict[str, float] | None) -> np.ndarray:
@@ -73,6 +88,42 @@ def _length_cost(x: np.ndarray, y: np.ndarray, ratio: float) -> np.ndarray:
     return np.minimum(delta * delta / 2, FARTHEST)
 
 
+def _costs(x: np.ndarray, y: np.ndarray, lack_a: np.ndarray, lack_b: np.ndarray, fit: np.ndarray, ratio: float) -> np.ndarray:
+    """The cost of each bead by the last sentences that it takes: (bead, left, right, document), two rows and columns before
+    the first. Lengths and numbers of sentences are (sentence, document), ``fit`` is (left, right, document)."""
+    n, m = len(x), len(y)
+    cost = np.full((len(BEADS), n + 3, m + 3, x.shape[1]), np.inf)
+    at = lambda k, i, j: cost[k, 2 + i :, 2 + j :][: n + 1 - i, : m + 1 - j]
+    at(0, 1, 1)[:] = PRIOR[0] + _length_cost(x[:, None], y[None, :], ratio) - (fit - NUMBER * (lack_a[:, None] + lack_b[None, :]))
+    at(1, 1, 0)[:] = PRIOR[1]
+    at(2, 0, 1)[:] = PRIOR[2]
+    pair_x, pair_y = x[:-1] + x[1:], y[:-1] + y[1:]
+    rows = fit[:-1] + fit[1:] - NUMBER * (lack_a[:-1] + lack_a[1:])[:, None]
+    if n > 1:
+        at(3, 2, 1)[:] = PRIOR[3] + _length_cost(pair_x[:, None], y[None, :], ratio) - (rows - NUMBER * lack_b[None, :])
+    if m > 1:
+        at(4, 1, 2)[:] = PRIOR[4] + _length_cost(x[:, None], pair_y[None, :], ratio) - (fit[:, :-1] + fit[:, 1:] - NUMBER * (lack_a[:, None] + (lack_b[:-1] + lack_b[1:])[None, :]))
+    if n > 1 and m > 1:
+        at(5, 2, 2)[:] = PRIOR[5] + _length_cost(pair_x[:, None], pair_y[None, :], ratio) - (rows[:, :-1] + rows[:, 1:] - NUMBER * (lack_b[:-1] + lack_b[1:])[None, :])
+        single = cost[0, 3:, 3:]
+        at(6, 2, 2)[:] = PRIOR[6] + single[:-1, 1:] + single[1:, :-1]
+    return cost
+
+
+def _sweep(cost: np.ndarray, table: np.ndarray, top: int, edge: int) -> np.ndarray:
+    """Fills ``table`` (left, right, document) with the cheapest totals, diagonal by diagonal, from row ``top`` and column
+    ``edge`` on; gives the best bead of each cell."""
+    n, m, docs, width = table.shape[0] - 3, table.shape[1] - 3, table.shape[2], table.shape[1]
+    flat, total, came = cost.reshape(len(BEADS), -1, docs), table.reshape(-1, docs), np.zeros((table.shape[0] * width, docs), np.int8)
+    back = np.array([a * width + b for a, b in BEADS])[:, None]
+    for k in range(top + edge or 1, n + m + 1):
+        i = np.arange(max(top, k - m), min(n, k - edge) + 1)
+        cell = (i + 2) * width + (k - i + 2)
+        reach = total[cell[None, :] - back] + flat[:, cell]
+        came[cell], total[cell] = reach.argmin(0), reach.min(0)
+    return came.reshape(table.shape)
+
+
 class _Document:
     """Lengths and anchors of both sides, and the table of the cheapest totals in tiles of ``WINDOW`` by ``WINDOW`` cells."""
 
@@ -85,6 +136,23 @@ class _Document:
         # totals of the last two rows of cells of each row of tiles, and of the last two columns of each column of tiles
         self.below, self.beside = {}, {}
 
+    def shares(self) -> tuple[list[int], list[int], list[float]]:
+        """What each pair of sentences shares: left, right and weight of every anchor that both have."""
+        left, right, weight = [], [], []
+        for rows_a, rows_b, known, scale, more in ((self.word_a, self.word_b, self.words, SHARED, 0.0), (self.num_a, self.num_b, self.numbers, 1.5 * SHARED, 2 * NUMBER)):
+            places: dict[str, list[int]] = {x: [] for x in known}
+            for j, anchors in enumerate(rows_b):
+                for x in anchors:
+                    if x in places:
+                        places[x].append(j)
+            for i, anchors in enumerate(rows_a):
+                for x in anchors:
+                    if at := places.get(x):
+                        left += [i] * len(at)
+                        right += at
+                        weight += [scale * known[x] + more] * len(at)
+        return left, right, weight
+
     def tile(self, r: int, c: int) -> tuple[np.ndarray, int, int]:
         """The best bead of each cell of tile (r, c), after the tiles above and before it; and the cell at its corner.
 
@@ -94,69 +162,36 @@ class _Document:
         i0, j0 = max(0, r * WINDOW - 1), max(0, c * WINDOW - 1)
         i1, j1 = min(self.n, (r + 1) * WINDOW), min(self.m, (c + 1) * WINDOW)
         p, q = slice(i0, i1), slice(j0, j1)
-        x, y, lack_a, lack_b, ratio = self.x[p], self.y[q], self.lack_a[p], self.lack_b[q], self.ratio
-        n, m = len(x), len(y)
         same = _shared(self.num_a[p], self.num_b[q], None)
         fit = SHARED * (_shared(self.word_a[p], self.word_b[q], self.words) + 1.5 * _shared(self.num_a[p], self.num_b[q], self.numbers)) + 2 * NUMBER * same
-        evidence = fit - NUMBER * (lack_a[:, None] + lack_b[None, :])
-
-        cost = np.full((len(BEADS), n + 3, m + 3), np.inf)  # by the last sentences taken; two rows and columns before the first
-        at = lambda k, i, j: cost[k, 2 + i :, 2 + j :][: n + 1 - i, : m + 1 - j]
-        at(0, 1, 1)[:] = PRIOR[0] + _length_cost(x[:, None], y[None, :], ratio) - evidence
-        at(1, 1, 0)[:] = PRIOR[1]
-        at(2, 0, 1)[:] = PRIOR[2]
-        pair_x, pair_y = x[:-1] + x[1:], y[:-1] + y[1:]
-        rows = fit[:-1] + fit[1:] - NUMBER * (lack_a[:-1] + lack_a[1:])[:, None]
-        if n > 1:
-            at(3, 2, 1)[:] = PRIOR[3] + _length_cost(pair_x[:, None], y[None, :], ratio) - (rows - NUMBER * lack_b[None, :])
-        if m > 1:
-            at(4, 1, 2)[:] = PRIOR[4] + _length_cost(x[:, None], pair_y[None, :], ratio) - (fit[:, :-1] + fit[:, 1:] - NUMBER * (lack_a[:, None] + (lack_b[:-1] + lack_b[1:])[None, :]))
-        if n > 1 and m > 1:
-            at(5, 2, 2)[:] = PRIOR[5] + _length_cost(pair_x[:, None], pair_y[None, :], ratio) - (rows[:, :-1] + rows[:, 1:] - NUMBER * (lack_b[:-1] + lack_b[1:])[None, :])
-            single = cost[0, 3:, 3:]
-            at(6, 2, 2)[:] = PRIOR[6] + single[:-1, 1:] + single[1:, :-1]
-
-        width = m + 3
-        flat, table, came = cost.reshape(len(BEADS), -1), np.full((n + 3, width), np.inf), np.zeros((n + 3) * width, np.int8)
+        cost = _costs(self.x[p, None], self.y[q, None], self.lack_a[p, None], self.lack_b[q, None], fit[:, :, None], self.ratio)
+        table = np.full((i1 - i0 + 3, j1 - j0 + 3, 1), np.inf)
         if r:
-            table[2:4, 2:] = self.below[r - 1][:, j0 : j1 + 1]
+            table[2:4, 2:, 0] = self.below[r - 1][:, j0 : j1 + 1]
         if c:
-            table[2:, 2:4] = self.beside[c - 1][i0 : i1 + 1]
+            table[2:, 2:4, 0] = self.beside[c - 1][i0 : i1 + 1]
         if not r and not c:
             table[2, 2] = 0
-        total, top, edge = table.reshape(-1), 2 * bool(r), 2 * bool(c)
-        back = np.array([a * width + b for a, b in BEADS])[:, None]
-        for k in range(top + edge or 1, n + m + 1):
-            i = np.arange(max(top, k - m), min(n, k - edge) + 1)
-            cell = (i + 2) * width + (k - i + 2)
-            reach = total[cell[None, :] - back] + flat[:, cell]
-            best = reach.argmin(0)
-            came[cell], total[cell] = best, reach[best, np.arange(len(cell))]
-        self.below.setdefault(r, np.full((2, self.m + 1), np.inf))[:, j0 : j1 + 1] = table[-2:, 2:]
-        self.beside.setdefault(c, np.full((self.n + 1, 2), np.inf))[i0 : i1 + 1] = table[2:, -2:]
-        return came.reshape(n + 3, width)[2:, 2:], i0, j0
+        came = _sweep(cost, table, 2 * bool(r), 2 * bool(c))
+        self.below.setdefault(r, np.full((2, self.m + 1), np.inf))[:, j0 : j1 + 1] = table[-2:, 2:, 0]
+        self.beside.setdefault(c, np.full((self.n + 1, 2), np.inf))[i0 : i1 + 1] = table[2:, -2:, 0]
+        return came[2:, 2:, 0], i0, j0
 
     def path(self) -> list[tuple[int, int]]:
         """Pairs on the cheapest path of beads. Only the tiles that it passes are held again, one at a time."""
         own = lambda k: max(0, k - 1) // WINDOW
         for r in range(own(self.n) + 1):
             for c in range(own(self.m) + 1):
-                came, i0, j0 = self.tile(r, c)
-        here, pairs, i, j = (r, c), [], self.n, self.m
-        while i or j:
-            if here != (own(i), own(j)):
-                here = own(i), own(j)
-                came, i0, j0 = self.tile(*here)
-            bead = int(came[i - i0, j - j0])
-            a, b = BEADS[bead]
-            i, j = i - a, j - b
-            if bead == 6:
-                pairs += [(i, j + 1), (i + 1, j)]
-            elif bead == 5:
-                pairs += [(i, j), (i + 1, j + 1)]
-            else:
-                pairs += [(i + p, j + q) for p in range(a) for q in range(b)]
-        return pairs
+                held = (r, c), self.tile(r, c)
+
+        def bead(i: int, j: int) -> int:
+            nonlocal held
+            if held[0] != (own(i), own(j)):
+                held = (own(i), own(j)), self.tile(own(i), own(j))
+            came, i0, j0 = held[1]
+            return int(came[i - i0, j - j0])
+
+        return _traced(self.n, self.m, bead)
 
     def moved(self, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """Pairs of sentences that ``pairs`` leave over, greatest gain first, looked up by shared anchors."""
@@ -195,18 +230,67 @@ class _Document:
         return found
 
 
-def align(left: list[str], right: list[str], ratio: float) -> list[tuple[int, int]]:
-    """Pairs (left, right) of sentences that translate one another.
-
-    The cheapest path of beads over the whole document, then sentences left over anywhere in it, paired out of order. The
-    table of costs is computed in tiles of ``WINDOW`` sentences a side, of which only the edges are kept, and tiles are
-    computed again on the way back; the result does not depend on ``WINDOW``.
+def _traced(i: int, j: int, bead: Callable[[int, int], int]) -> list[tuple[int, int]]:
+    """The pairs on the way back from cell (i, j) by the best bead of each."""
+    pairs = []
+    while i or j:
+        kind = bead(i, j)
+        a, b = BEADS[kind]
+        i, j = i - a, j - b
+        if kind == 6:
+            pairs += [(i, j + 1), (i + 1, j)]
+        elif kind == 5:
+            pairs += [(i, j), (i + 1, j + 1)]
+        else:
+            pairs += [(i + p, j + q) for p in range(a) for q in range(b)]
+    return pairs
+
+
+def _paths(docs: list[_Document], ratio: float) -> list[list[tuple[int, int]]]:
+    """The cheapest path of each of some small documents, over one table with a layer a document."""
+    n, m, count = max(d.n for d in docs), max(d.m for d in docs), len(docs)
+    x, y, lack_a, lack_b = (np.zeros((size, count)) for size in (n, m, n, m))
+    for k, d in enumerate(docs):
+        x[: d.n, k], y[: d.m, k], lack_a[: d.n, k], lack_b[: d.m, k] = d.x, d.y, d.lack_a, d.lack_b
+    shares = [d.shares() for d in docs]
+    layer = np.repeat(np.arange(count), [len(w) for _, _, w in shares])
+    left, right, weight = (np.fromiter(chain.from_iterable(s[part] for s in shares), float, len(layer)) for part in range(3))
+    fit = np.bincount(((left * m + right) * count + layer).astype(np.int64), weight, n * m * count).reshape(n, m, count)
+    table = np.full((n + 3, m + 3, count), np.inf)
+    table[2, 2] = 0
+    came = _sweep(_costs(x, y, lack_a, lack_b, fit, ratio), table, 0, 0)
+    out = []
+    for k, d in enumerate(docs):
+        own = came[2 : d.n + 3, 2 : d.m + 3, k].tolist()
+        out.append(_traced(d.n, d.m, lambda i, j: own[i][j]))  # noqa: B023
+    return out
+
+
+def align_all(texts: list[tuple[list[str], list[str]]], ratio: float) -> list[list[tuple[int, int]]]:
+    """For each document (sentences of the left, of the right): the pairs that translate one another.
+
+    The cheapest path of beads over the whole document, then sentences left over anywhere in it, paired out of order. Small
+    documents are laid on one another in tables of up to ``CELLS`` cells, others have their own, computed in tiles of
+    ``WINDOW`` sentences a side, of which only the edges are kept, and tiles are computed again on the way back. The result
+    depends on none of these.
     """
-    if not left or not right:
-        return []
-    document = _Document(left, right, ratio)
-    pairs = document.path()
-    return sorted(pairs + document.moved(pairs))
+    docs = {k: _Document(a, b, ratio) for k, (a, b) in enumerate(texts) if a and b}
+    paths = {k: d.path() for k, d in docs.items() if max(d.n, d.m) > SMALL}
+    size = lambda k: (max(docs[k].n, docs[k].m), min(docs[k].n, docs[k].m))
+    group: list[int] = []
+    for k in sorted(docs.keys() - paths.keys(), key=size):
+        if group and (len(group) + 1) * (size(k)[0] + 3) ** 2 > CELLS:
+            paths |= zip(group, _paths([docs[g] for g in group], ratio))
+            group = []
+        group.append(k)
+    if group:
+        paths |= zip(group, _paths([docs[g] for g in group], ratio))
+    return [sorted(paths[k] + docs[k].moved(paths[k])) if k in docs else [] for k in range(len(texts))]
+
+
+def align(left: list[str], right: list[str], ratio: float) -> list[tuple[int, int]]:
+    """The pairs of one document."""
+    return align_all([(left, right)], ratio)[0]
 
 
 def length_ratio(df: DataFrame, left: str, right: str) -> float:
@@ -216,21 +300,22 @@ def length_ratio(df: DataFrame, left: str, right: str) -> float:
 
 
 def _aligner(keys: int, ratio: float, split: bool):
+    filled = lambda row: [i for i, s in enumerate(row) if s and s.strip()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            which, lefts, rights = [], [], []
-            for r, (a, b) in enumerate(zip(batch.column(keys).to_pylist(), batch.column(keys + 1).to_pylist())):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                texts = list(zip(batch.column(keys).to_pylist(), batch.column(keys + 1).to_pylist()))
                 if split:
-                    pairs = align(sentences(a), sentences(b), ratio)
+                    found = align_all([(sentences(a), sentences(b)) for a, b in texts], ratio)
                 else:  # the places of blank sentences are kept
-                    p, q = [i for i, s in enumerate(a) if s and s.strip()], [i for i, s in enumerate(b) if s and s.strip()]
-                    pairs = [(p[i], q[j]) for i, j in align([a[i] for i in p], [b[j] for j in q], ratio)]
-                for i, j in pairs:
-                    which.append(r)
-                    lefts.append(i)
-                    rights.append(j)
-            rows = pa.array(which, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(rows) for k in range(keys)], pa.array(lefts, pa.int32()), pa.array(rights, pa.int32())], [*batch.schema.names[:keys], "en_pos", "fr_pos"])
+                    places = [(filled(a), filled(b)) for a, b in texts]
+                    pairs = align_all([([a[i] for i in p], [b[j] for j in q]) for (a, b), (p, q) in zip(texts, places)], ratio)
+                    found = [[(p[i], q[j]) for i, j in own] for own, (p, q) in zip(pairs, places)]
+                rows = pa.array(np.repeat(np.arange(len(found)), [len(own) for own in found]))
+                lefts, rights = (pa.array([pair[side] for own in found for pair in own], pa.int32()) for side in (0, 1))
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(rows) for k in range(keys)], lefts, rights], [*batch.schema.names[:keys], "en_pos", "fr_pos"])
 
     return run
 

@@ -43,12 +43,16 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     """Sentences that translate one another: statements by sentence, acts by title and long title."""
-    said = standing(load(spark, base, "hansards_statement").select("id", "content_en", "content_fr"), ["id"], None)
-    said = alignment.align_documents(spread(said.withColumn("id", F.col("id").cast("string"))), ["id"], "content_en", "content_fr")
+    said = load(spark, base, "hansards_statement").select("id", "content_en", "content_fr")
+    ratio = alignment.length_ratio(said, "content_en", "content_fr")  # repeats count too, so that they need not be settled twice
+    said = standing(said, ["id"], None).withColumn("id", F.col("id").cast("string"))
+    said = alignment.align_documents(spread(said), ["id"], "content_en", "content_fr", ratio)
     acts = load(spark, base, "acts").select(norm_key(F.col("act_id")).alias("key"), "language", "updated_at", "id", "title", "long_title").filter("key is not null and language in ('en', 'fr')")
+    chars = lambda code: F.sum(F.when(F.col("language") == code, F.length(F.concat_ws(" ", "title", "long_title"))))
+    en, fr = acts.agg(chars("en"), chars("fr")).first()
     acts = standing(acts, ["key", "language"], "updated_at", "id")
     side = lambda code: F.max(F.when(F.col("language") == code, F.struct(F.array("title", "long_title").alias("a")))).getField("a").alias(code)
-    titles = alignment.align_documents(acts.groupBy("key").agg(side("en"), side("fr")), ["key"], "en", "fr")
+    titles = alignment.align_documents(acts.groupBy("key").agg(side("en"), side("fr")), ["key"], "en", "fr", fr / en if en and fr else 1.0)
     row = lambda df, table, key: df.select(F.lit(table).alias("table_name"), F.col(key).alias("record_key"), "en_pos", "fr_pos")
     return row(said, "hansards_statement", "id").unionByName(row(titles, "acts", "key"))
 
