@@ -5,15 +5,15 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.session import cut_lineage
 
 #: Newton steps at most, and the relative error of a source's tokens at which they end.
 STEPS, CLOSE = 60, 1e-9
-#: Bins of the rounding threshold's search, twice over.
-BINS = 1024
+#: Bins of the rounding threshold's search, twice over, and the most sizes a power of two that fill what it leaves.
+BINS, SIZES = 1024, 64
 
 
 class Goal(NamedTuple):
@@ -100,8 +100,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: float | None = None)
     trimmed and in lower case.
 
     Rates come from :func:`balance`. Copies are the rate rounded down or up by a hash of ``doc_id`` against a threshold
-    that is set for each source so that its tokens come nearest to the goal. No document has more copies than
-    ``max_repeats``. Documents without tokens, of a null source or of one without target have rate and copies 0. An empty
+    that is set for each source so that its tokens come near to the goal; what is then short is filled up with documents
+    behind the threshold whose sizes fit (see :func:`_fill`). No document has more copies than ``max_repeats``. Documents without tokens, of a null source or of one without target have rate and copies 0. An empty
     table gives an empty one.
     """
     spark = docs.sparkSession
@@ -121,14 +121,25 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: float | None = None)
     low = F.least(F.floor("rate"), F.col("cap").cast("bigint"))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(20)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rated = rated.withColumn("low", F.coalesce(low, F.lit(0))).withColumn("z", chance - (F.col("rate") - F.col("low"))).withColumn("may", (F.col("low") < F.col("cap")) & (F.col("rate") > F.col("low")))
-    edges = _thresholds(rated, {g.source: g.tokens for g in wanted})
-    cut = F.broadcast(spark.createDataFrame([(s, float(e)) for s, e in edges.items()], "source string, edge double"))
+    rated = cut_lineage(rated.drop("level", "tilt", "mean", "full"))
+    edges, short = _thresholds(rated, {g.source: g.tokens for g in wanted})
+    cut = F.broadcast(spark.createDataFrame([(s, float(e), float(short[s])) for s, e in edges.items()], "source string, edge double, short double"))
+    rated = rated.join(cut, "source", "left")
+    behind = rated.filter("may and z >= edge")
+    picks = [(s, size, n) for s, sizes in _fill(behind, short).items() for size, n in sizes]
     up = F.coalesce(F.col("may") & (F.col("z") < F.col("edge")), F.lit(False))
-    return rated.join(cut, "source", "left").select("doc_id", "source", "n_tokens", "rate", (F.col("low") + up.cast("bigint")).cast("int").alias("copies"))
-
-
-def _thresholds(rated: DataFrame, goal: dict[str, float]) -> dict[str, float]:
-    """For each source, where to cut ``z`` so that the tokens come nearest to the goal: sums by bins, then within one bin."""
+    if picks:
+        chosen = F.broadcast(spark.createDataFrame(picks, "source string, n_tokens bigint, most int"))
+        place = F.row_number().over(Window.partitionBy("source", "n_tokens").orderBy("z", "doc_id"))
+        extra = behind.join(chosen, ["source", "n_tokens"]).withColumn("place", place).filter(F.col("place") <= F.least("most", F.lit(max(n for *_, n in picks)))).select(F.col("doc_id").alias("_id"), F.lit(True).alias("_extra"))
+        rated = rated.join(extra, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+        up = up | F.coalesce("_extra", F.lit(False))
+    return rated.select("doc_id", "source", "n_tokens", "rate", (F.col("low") + up.cast("bigint")).cast("int").alias("copies"))
+
+
+def _thresholds(rated: DataFrame, goal: dict[str, float]) -> tuple[dict[str, float], dict[str, float]]:
+    """For each source, where to cut ``z`` so that the tokens come near to the goal without exceeding it, and how many are
+    then short: sums by bins, then within one bin."""
     spark = rated.sparkSession
     base = {r["source"]: r["t"] for r in rated.filter("cap is not null").groupBy("source").agg(F.sum(F.col("low") * F.col("n_tokens")).alias("t")).collect()}
     span = {s: (-1.0, 2.0 / BINS) for s in goal}
@@ -142,13 +153,35 @@ def _thresholds(rated: DataFrame, goal: dict[str, float]) -> dict[str, float]:
             found[r["source"]][r["bin"]] = r["t"]
         for s, (lo, w) in span.items():
             through = np.concatenate([[0.0], np.cumsum(found[s])])
-            if last:
-                edges[s] = lo + w * int(np.abs(through - left[s]).argmin())
-            else:
-                k = int(np.clip(np.searchsorted(through, left[s], "right") - 1, 0, BINS - 1))
-                left[s] -= through[k]
-                span[s] = (lo + k * w, w / BINS)
-    return edges
+            k = int(np.clip(np.searchsorted(through, left[s] + 1e-6, "right") - 1, 0, BINS if last else BINS - 1))
+            left[s] -= through[k]
+            edges[s], span[s] = lo + k * w, (lo + k * w, w / BINS)
+    return edges, left
+
+
+def _fill(behind: DataFrame, short: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
+    """For each source, (size, documents) of those ``behind`` the threshold that make up for the tokens that are ``short``.
+
+    Greedy by falling size, then one more document if that comes nearer. The sizes come from a histogram of the documents
+    that are not larger than twice what is short: of each power of two the ``SIZES`` most frequent sizes.
+    """
+    place = F.row_number().over(Window.partitionBy("source", F.floor(F.log2("n_tokens"))).orderBy(F.desc("count"), "n_tokens"))
+    usable = behind.filter((F.col("short") >= 0.5) & (F.col("n_tokens") <= 2 * F.col("short"))).groupBy("source", "n_tokens").count()
+    have: dict[str, dict[int, int]] = {}
+    for r in usable.withColumn("place", place).filter(F.col("place") <= SIZES).collect():  # sources times 64 powers times SIZES at most
+        have.setdefault(r["source"], {})[r["n_tokens"]] = r["count"]
+    out = {}
+    for s, sizes in have.items():
+        rest, taken = short[s], {}
+        for size in sorted(sizes, reverse=True):
+            if n := min(sizes[size], int(rest // size)):
+                taken[size] = n
+                rest -= n * size
+        one = min((z for z in sizes if sizes[z] > taken.get(z, 0)), key=lambda z: (abs(z - rest), z), default=None)
+        if one is not None and abs(one - rest) < rest:
+            taken[one] = taken.get(one, 0) + 1
+        out[s] = sorted(taken.items())
+    return out
 
 
 def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -104,6 +104,21 @@ def test_mixture_meets_shares_within_caps(spark):
     assert empty.count() == 0 and mixing.share_report(empty, targets).count() == 4
 
 
+def test_few_large_documents_meet_their_share(spark):
+    """One document is worth many small ones: the tokens still come as near to the goal as half of the least spare one."""
+    rng = random.Random(4)
+    for trial in range(3):
+        sizes = [rng.choice([16_340, 22_044, 9_000, *range(100, 2_500, 97)]) for _ in range(30)]
+        rows = [(i, "few", n, 0) for i, n in enumerate(sizes)] + [(1000 + i, "many", rng.randrange(1, 400), 0) for i in range(3000)]
+        targets = spark.createDataFrame([("few", rng.choice([0.2, 0.31]), 3), ("many", 0.4, 1)], "source string, target_share double, max_repeats int")
+        got = mixing.mix_sources(make_docs(spark, rows), targets).collect()
+        tokens = {s: sum(r["copies"] * r["n_tokens"] for r in got if r["source"] == s) for s in ("few", "many")}
+        aims = [(r["source"], r["target_share"], r["max_repeats"]) for r in targets.collect()]
+        want = {g.source: g.tokens for g in mixing.goals(aims, {s: sum(n for _, t, n, _ in rows if t == s) for s in ("few", "many")}, None)}
+        assert all(0 <= r["copies"] <= {"few": 3, "many": 1}[r["source"]] for r in got)
+        assert all(abs(tokens[s] - want[s]) <= 60 for s in want), (tokens, want)
+
+
 def test_goals_beyond_reach_exhaust_small_sources():
     aims = [("a", 0.5, 1), ("b", 0.5, 2), ("c", 0.0, 3)]
     got = {g.source: (g.tokens, g.full) for g in mixing.goals(aims, {"a": 1000, "b": 100, "c": 5}, total=800)}
