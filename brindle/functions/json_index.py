@@ -16,6 +16,8 @@ _ESCAPES = np.zeros(256, bool)
 _ESCAPES[[ord(c) for c in '"\\/bfnrtu']] = True
 _HEX = np.zeros(256, bool)
 _HEX[[ord(c) for c in "0123456789abcdefABCDEF"]] = True
+#: Bytes of scalars that are compared together.
+_WIDTH = 24
 _PLAIN = re.compile(rb"true|false|null|-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?")
 
 
@@ -30,25 +32,31 @@ class JsonIndex:
 
     def __init__(self, texts: list[str | None]):
         raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-        self.data = b"\n".join(raw) + b"\n"
+        self.data = b"".join(r + b"\n" for r in raw)
         b = np.frombuffer(self.data, np.uint8)
         n, count = len(b), len(raw)
         size = np.fromiter((len(r) + 1 for r in raw), np.int64, count)
-        bounds = np.concatenate([[0], np.cumsum(size)])
-        self.count, at = count, np.arange(n)
-        doc_of = np.repeat(np.arange(count), size)
+        del raw
+        place = np.int32 if n < 1 << 31 else np.int64  # of the arrays that have an entry a byte
+        bounds = np.concatenate([[0], np.cumsum(size)]).astype(place)
+        self.count, at = count, np.arange(n, dtype=place)
+        doc_of = np.repeat(np.arange(count, dtype=place), size)
         base = bounds[doc_of]
         bad = np.zeros(count, bool)
 
         # quotes that no backslash escapes: a character is escaped after an odd run of backslashes within its text
         slash = b == 0x5C
-        last = np.maximum.accumulate(np.where(slash, -1, at))
-        run = at - np.maximum(np.concatenate([[-1], last[:-1]]), base - 1) - 1
+        run = np.where(slash, place(-1), at)
+        np.maximum.accumulate(run, out=run)
+        run[1:] = run[:-1].copy()
+        run[:1] = -1
+        run = at - np.maximum(run, base - 1, out=run) - 1
         escaped = (run % 2 == 1) & (at > base)
+        del run, at
         quote = (b == 0x22) & ~escaped
-        total = np.cumsum(quote)
-        before = np.concatenate([[0], total])
-        parity = (total - before[base]) % 2
+        total = np.cumsum(quote, dtype=place)
+        parity = ((total - (total - quote)[base]) % 2).astype(np.int8)
+        del total, base
         inside = (parity == 1) | quote  # a string with both its quotes
         ends = bounds[1:] - 1
         bad |= parity[ends] == 1
@@ -62,13 +70,13 @@ class JsonIndex:
             bad[doc_of[uni[~_HEX[b[four]].all(1)]]] = True
 
         # tokens: structural characters, opening quotes and the first bytes of scalars, all outside strings
-        kinds = np.where(inside, 0, _KIND[b])
+        kinds = np.where(inside, np.int8(0), _KIND[b])
         kinds[quote & (parity == 1)] = STRING
         scalar = ~inside & (kinds == 0) & ~_SPACE[b]
         first = scalar & ~np.concatenate([[False], scalar[:-1]])
         kinds[first] = SCALAR
         start = np.flatnonzero(kinds)
-        kind, doc = kinds[start], doc_of[start]
+        kind, doc = kinds[start], doc_of[start].astype(np.int64)
         end = start + 1
         closing = np.flatnonzero(quote & (parity == 0))
         strings = np.flatnonzero(kind == STRING)
@@ -77,12 +85,13 @@ class JsonIndex:
         scalars = np.flatnonzero(kind == SCALAR)
         lasts = np.flatnonzero(scalar & ~np.concatenate([scalar[1:], [False]]))
         end[scalars] = lasts[np.searchsorted(lasts, start[scalars])] + 1 if len(scalars) else 0
-        known: dict[bytes, bool] = {}
-        for i in scalars:
-            word = self.data[start[i] : end[i]]
-            if word not in known:
-                known[word] = bool(_PLAIN.fullmatch(word))
-            if not known[word]:
+        del quote, inside, parity, escaped, slash, kinds, scalar, first, doc_of
+        short = scalars[end[scalars] - start[scalars] <= _WIDTH]
+        words, which = np.unique(self._words(start[short], end[short]), return_inverse=True)
+        plain = np.array([bool(_PLAIN.fullmatch(w)) for w in words.tolist()], bool)
+        bad[doc[short[~plain[which]]]] = True
+        for i in scalars[end[scalars] - start[scalars] > _WIDTH]:
+            if not _PLAIN.fullmatch(self.data[start[i] : end[i]]):
                 bad[doc[i]] = True
 
         # depth by prefix sums; level: the depth of the container that a token opens, closes or stands in
@@ -171,6 +180,24 @@ class JsonIndex:
         self._children = children[np.argsort(parent[children], kind="stable")]
         self._sorted_parent = parent[self._children]
 
+    def _words(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The bytes of short spans as one array of fixed width."""
+        b, place = np.frombuffer(self.data, np.uint8), start[:, None] + np.arange(_WIDTH)
+        own = place < end[:, None]
+        return np.where(own, b[np.minimum(place, len(b) - 1)], 0).astype(np.uint8).reshape(-1).view(f"S{_WIDTH}")
+
+    def named(self, tokens: np.ndarray, name: str) -> np.ndarray:
+        """Whether each member name is ``name``; only those with escapes are read one by one."""
+        start, end = self.start[tokens] + 1, self.end[tokens] - 1
+        raw = np.frombuffer(name.encode("utf-8", "surrogatepass"), np.uint8)
+        b, same = np.frombuffer(self.data, np.uint8), end - start == len(raw)
+        same[same] = (b[start[same][:, None] + np.arange(len(raw))] == raw).all(1)
+        slashes = np.flatnonzero(b == 0x5C)
+        if len(slashes):
+            escaped = np.searchsorted(slashes, end) > np.searchsorted(slashes, start)
+            same[escaped] = [json.loads(self.text(t)) == name for t in tokens[escaped]]
+        return same
+
     def text(self, token: int) -> str:
         return self.data[self.start[token] : self.end[token]].decode("utf-8", "surrogatepass")
 
@@ -214,32 +241,34 @@ class Values:
         for index, rows, tokens, pos in self.parts:
             objects = np.flatnonzero(index.kind[tokens] == OPEN_OBJECT)
             which, child = index.children(tokens[objects])
-            named = np.fromiter((json.loads(index.text(index.key[c])) == name for c in child), bool, len(child))
+            named = index.named(index.key[child], name)
             which, child = which[named], child[named]
             last = np.concatenate([which[1:] != which[:-1], [True]]) if len(which) else np.zeros(0, bool)
             out.append((index, rows[objects][which[last]], child[last], pos[objects][which[last]]))
         return Values([p for p in out if len(p[1])]).unwrapped()
 
-    def elements(self) -> list[tuple[int, int, int, JsonIndex, int]]:
-        """(row, place of the value, place in the array, index, token) of each object in the arrays; an object in place
-        of an array is an array of one; other elements give nothing but keep their place."""
+    def elements(self) -> Elements:
+        """Each object in the arrays; an object in place of an array is an array of one; other elements give nothing but
+        keep their place."""
         out = []
         for index, rows, tokens, pos in self.parts:
             kinds = index.kind[tokens]
-            for i in np.flatnonzero(kinds == OPEN_OBJECT):
-                out.append((int(rows[i]), int(pos[i]), 0, index, int(tokens[i])))
+            one = np.flatnonzero(kinds == OPEN_OBJECT)
             arrays = np.flatnonzero(kinds == OPEN_ARRAY)
             which, child = index.children(tokens[arrays])
             keep = index.kind[child] == OPEN_OBJECT
-            for w, c in zip(arrays[which[keep]], child[keep]):
-                out.append((int(rows[w]), int(pos[w]), int(index.pos[c]), index, int(c)))
-        return out
-
-
-def as_values(elements: list[tuple[int, int, int, JsonIndex, int]]) -> Values:
-    """Elements as values, their place in the array as place."""
-    by: dict[int, list] = {}
-    for e in elements:
-        by.setdefault(id(e[3]), []).append(e)
-    col = lambda es, i: np.array([e[i] for e in es], np.int64)
-    return Values([(es[0][3], col(es, 0), col(es, 4), col(es, 2)) for es in by.values()])
+            many, child = arrays[which[keep]], child[keep]
+            both = np.concatenate([one, many])
+            out.append((index, rows[both], pos[both], np.concatenate([np.zeros(len(one), np.int64), index.pos[child]]), np.concatenate([tokens[one], child])))
+        return Elements([p for p in out if len(p[1])])
+
+
+class Elements:
+    """Objects of arrays by index: the row, the place of the array's value, the place in the array and the token of each."""
+
+    def __init__(self, parts: list[tuple[JsonIndex, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
+        self.parts = parts
+
+    def values(self) -> Values:
+        """The objects as values, their place in the array as place."""
+        return Values([(index, rows, tokens, pos) for index, rows, _, pos, tokens in self.parts])

@@ -93,16 +93,16 @@ def _latest(df: DataFrame, *columns: str) -> DataFrame:
     return standing(df.select("id", "updated_at", *columns), ["id"], "updated_at")
 
 
-def p5_elements(spark: SparkSession, base: str) -> DataFrame:
+def p5_elements(spark: SparkSession, base: str, with_text: bool = True) -> DataFrame:
     """Every object element of the nested columns, from the latest row of each id, with its JSON text."""
-    acts = flatten_nested(_latest(load(spark, base, "acts"), "preamble", "signature_blocks"), "id", ACT_PATHS)
-    resources = flatten_nested(_latest(load(spark, base, "leg_resources"), "metadata"), "id", RESOURCE_PATHS)
+    acts = flatten_nested(_latest(load(spark, base, "acts"), "preamble", "signature_blocks"), "id", ACT_PATHS, with_text)
+    resources = flatten_nested(_latest(load(spark, base, "leg_resources"), "metadata"), "id", RESOURCE_PATHS, with_text)
     return acts.select(F.lit("acts").alias("table_name"), "*").unionByName(resources.select(F.lit("leg_resources").alias("table_name"), "*"))
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     """Keys and places of the flat tables' rows."""
-    return p5_elements(spark, base).select("table_name", "parent_id", "item", "outer_pos", "pos")
+    return p5_elements(spark, base, with_text=False).select("table_name", "parent_id", "item", "outer_pos", "pos")
 
 
 def _item(item: str, schema: str, table: str):

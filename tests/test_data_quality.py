@@ -6,11 +6,13 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import differences
 
+from brindle.functions.arrow import byte_slices
 from brindle.functions.json_index import JsonIndex, Values
 from brindle.operators.diff import assign, diff_copies, transport
 from brindle.operators.nested import Path, flatten_nested
@@ -113,6 +115,20 @@ def test_dropped_references_are_not_reported(spark, small, tmp_path):
         assert differences(spark, str(tmp_path), q.QUERIES[name], q.ORACLE[name]) == ""
 
 
+def test_slices_by_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(["k"] * 6), pa.array(["x" * n if n is not None else None for n in (3, None, 8, 50, 0, 4)])], ["k", "t"])
+    assert [[len(t or "") for t in b.column(1).to_pylist()] for b in byte_slices(batch, [1], 11)] == [[3, 0, 8], [50], [0, 4]]
+    assert list(byte_slices(batch.slice(0, 0), [1], 11)) == []
+
+
+def test_scalars_and_names_of_any_length():
+    texts = ["1" * 40, "1" * 30 + "x", '{"a\\u0062": [{}], "ab": [{"x": 1}, 2]}', '{"abc": [{}]}', '{"a: [{}]}', "tru"]
+    index = JsonIndex(texts)
+    assert [bool(r >= 0) for r in index.root] == [True, False, True, True, False, False]
+    found = Values.parse(texts).member("ab").elements()
+    assert [(list(rows), list(pos), [index.text(t) for t in tokens]) for index, rows, _, pos, tokens in found.parts] == [([2], [0], ['{"x": 1}'])]
+
+
 def strict(text):
     def refuse(_):
         raise ValueError
@@ -191,4 +207,4 @@ def test_nested_edge_cases(spark):
     assert {tuple(r) for r in got if r["parent_id"] != "6"} == {("1", "o", -1, 0, '{"a": 1}'), ("1", "o", -1, 3, "{}"), ("5", "o", -1, 0, json.dumps({"x": json.dumps([{"y": "é"}])})), ("5", "i", 0, 0, json.dumps({"y": "é"})), (None, "o", -1, 0, '{"x": {"y": 2}}'), (None, "i", 0, 0, '{"y": 2}')}
     assert sorted(r["pos"] for r in got if r["parent_id"] == "6") == list(range(5000))
     assert flatten_nested(df.limit(0), "element", [Path("o", "item")]).count() == 0
-    assert Values.parse([]).elements() == []
+    assert Values.parse([]).elements().parts == []
