@@ -13,20 +13,22 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     ``key``, ``start``, ``end``: a record holds from ``start`` (included) until ``end`` (excluded; null is open).
     ``status``: ``missing`` (no record of the key at any time), ``late`` (all records start after ``at``) or ``deleted``.
 
-    Both sides are co-partitioned and sorted by ``kind`` and ``key`` and merged in one pass (a sort-merge join). A key's
-    intervals are first reduced to a set, so that the parent side has one row per key, however often records repeat; a key
-    with very many references is split by the adaptive skew join while its single parent row is copied.
+    Both sides are co-partitioned and sorted by ``kind`` and ``key`` and merged in one pass: a sort-merge anti-join that
+    reads a key's validity intervals beside its references and stops at the first that holds. Intervals are not gathered
+    in one row: repeats are left out before the shuffle, the rest stay rows that spill. A key with very many references
+    is split by the adaptive skew join. Only what is left over meets the first start of its key, on the same partitioning.
 
     References with a null key or kind are no references and are left out. A reference with a null ``at`` is compared
     with all times. Records with a null ``start`` never hold. Empty parents make every reference ``missing``.
     """
-    spans = parents.filter("kind is not null and key is not null and start is not null").groupBy("kind", "key").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
-    live = refs.filter("kind is not null and key is not null")
-    merged = live.hint("merge").join(spans.withColumnsRenamed({"kind": "_kind", "key": "_key"}), (F.col("kind") == F.col("_kind")) & (F.col("key") == F.col("_key")), "left")
-    holds = F.exists("_spans", lambda s: F.col("at").isNull() | ((s["start"] <= F.col("at")) & (s["end"].isNull() | (s["end"] > F.col("at")))))
-    begun = F.exists("_spans", lambda s: s["start"] <= F.col("at"))
-    status = F.when(F.col("_spans").isNull(), "missing").when(holds, None).when(begun, "deleted").otherwise("late")
-    return merged.withColumn("status", status).filter("status is not null").drop("_spans", "_kind", "_key")
+    names = {"kind": "_kind", "key": "_key", "start": "_start", "end": "_end"}
+    spans = parents.filter("kind is not null and key is not null and start is not null").select(*names).distinct().withColumnsRenamed(names)
+    same = (F.col("kind") == F.col("_kind")) & (F.col("key") == F.col("_key"))
+    holds = F.col("at").isNull() | ((F.col("_start") <= F.col("at")) & (F.col("_end").isNull() | (F.col("_end") > F.col("at"))))
+    orphans = refs.filter("kind is not null and key is not null").join(spans.hint("merge"), same & holds, "left_anti")
+    first = spans.groupBy("_kind", "_key").agg(F.min("_start").alias("_first"))
+    status = F.when(F.col("_first").isNull(), "missing").when(F.col("_first") <= F.col("at"), "deleted").otherwise("late")
+    return orphans.join(first.hint("merge"), same, "left").withColumn("status", status).drop("_kind", "_key", "_first")
 
 
 def orphan_report(orphans: DataFrame, *by: str) -> DataFrame:
