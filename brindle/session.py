@@ -13,6 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
 }
 
@@ -39,7 +40,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and return a frame that reads it back; survives the loss of executors."""
+    """Write ``df`` to the checkpoint folder and return a frame that reads it back; survives the loss of executors.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints``, which :func:`build_session` sets, the files go when no frame
+    refers to them any more."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
