@@ -25,15 +25,17 @@ def tidy(text: str) -> str:
 
 
 def by_chars(text: str, size: int = CHARS, overlap: int = CHAR_OVERLAP) -> list[str]:
-    """Windows of about ``size`` characters; an end moves behind the last sentence within 200 of it, the next window begins
-    ``overlap`` before it. A last window longer than the overlap is followed by its tail."""
+    """A text of up to ``size`` characters whole; else windows of about that length. An end moves behind the mark of the last
+    sentence end within 200 of it, the next window begins ``overlap`` before it. A last window longer than the overlap is
+    followed by its tail."""
     text, out, start = tidy(text), [], 0
+    if len(text) <= size:
+        return [text] if text else []
     while start < len(text):
         end = min(start + size, len(text))
         if end < len(text):
-            low = max(start, end - MOVE)
-            ends = [m.end() for m in _ENDS.finditer(text, low, min(len(text), end + MOVE))]
-            end = ends[-1] if ends else end
+            marks = [m.start() + 1 for m in _ENDS.finditer(text, max(start, end - MOVE), min(len(text), end + MOVE))]
+            end = marks[-1] if marks else end
         if piece := text[start:end].strip():
             out.append(piece)
         if end - overlap <= start:
@@ -69,14 +71,17 @@ class _Packer:
         self.used += tokens
 
 
-def packed(units: list[str], most: int, overlap: int, count: Callable[[str], int]) -> list[str]:
-    """Units packed into chunks of ``most`` tokens; a unit beyond that is cut by words."""
+def packed(units: list[str], most: int, overlap: int, count: Callable[[str], int], whole_rest: bool = False) -> list[str]:
+    """Units packed into chunks of ``most`` tokens; a unit beyond that is cut by words. What its last cut leaves counts as
+    one unit in the next overlap if ``whole_rest``, else word by word."""
     box = _Packer(most, overlap)
     for unit in units:
         if (tokens := count(unit)) > most:
             box.close()
             for word in unit.split():
                 box.add(word, count(word + " "))
+            if whole_rest and box.pieces:
+                box.pieces = [(" ".join(p for p, _ in box.pieces), box.used)]
         else:
             box.add(unit, tokens)
     box.close()
@@ -114,45 +119,72 @@ def legal_units(text: str) -> list[Unit]:
     return units + [Unit(p, kind_of_marker(m), m) for p, (_, m) in zip(parts[1:], marks) if p]
 
 
+def history(notes: list[dict], lang: str = "en") -> str:
+    """Historical notes as one closing paragraph; dates follow a note whose text does not give them."""
+    label, enacted, in_force = ("Historique", "édicté", "en vigueur") if lang == "fr" else ("History", "enacted", "in force")
+    parts = []
+    for note in notes:
+        text, made, held = note["text"], note.get("enactedDate"), note.get("inForceStartDate")
+        told = f" ({enacted}: {made})" if made and made not in text else ""
+        parts.append(text + told + (f" ({in_force}: {held})" if held and held != made and held not in text else ""))
+    return f"\n\n{label}: {'; '.join(parts)}" if parts else ""
+
+
 def legal_chunks(text: str, most: int = TOKENS, overlap: int = TOKEN_OVERLAP, prefix: str = "", count: Callable[[str], int] = estimate) -> list[str]:
-    """Provisions packed into chunks, cut at markers where possible, each headed by ``prefix`` (10 tokens are kept free)."""
-    text = tidy(text)
-    room = most - (count(prefix) + 10 if prefix else 0)
-    if not text:
+    """A provision whole if it fits with its ``prefix``; else packed into chunks, cut at markers where possible, each headed by
+    the prefix (10 tokens are kept free)."""
+    if not text.strip():
         return []
-    body = [text] if count(text) <= room else packed([u.content for u in legal_units(text)], room, overlap, count)
+    if count(prefix + text) <= most:
+        return [prefix + text]
+    room, text = most - (count(prefix) + 10 if prefix else 0), tidy(text)
+    body = [text] if count(text) <= room else packed([u.content for u in legal_units(text)], room, overlap, count, whole_rest=True)
     return [prefix + b for b in body]
 
 
-def bill_chunks(text: str, header: str = "", size: int = CHARS, overlap: int = CHAR_OVERLAP) -> list[str]:
-    """Sections at a bill's headings, the text before them if it is over 100 characters; long sections by characters."""
+def headed(parts: list[str]) -> str:
+    """The parts that are given as one heading line and a blank one."""
+    return " | ".join(p for p in parts if p) + "\n\n" if any(parts) else ""
+
+
+def _under(header: str, text: str, size: int, overlap: int) -> list[str]:
+    return [header + text] if len(header) + len(text) <= size else [header + c for c in by_chars(text, size - len(header), overlap)]
+
+
+def bill_chunks(text: str, parts: tuple[str, ...] = (), size: int = CHARS, overlap: int = CHAR_OVERLAP) -> list[str]:
+    """Sections at a bill's headings, the text before them if it is over 100 characters; long sections by characters. Every
+    chunk is headed by ``parts`` and the section's heading line, ``PREAMBLE`` for the text before."""
+    if not text.strip():
+        return []
     text = re.sub(r"\n{3,}", "\n\n", text.replace("\r\n", "\n"))
-    marks = sorted({m.start() for pattern, _ in BILL_HEADINGS for m in re.finditer(pattern, text, re.MULTILINE)})
+    marks = sorted((m.start(), m.group(1).strip()) for pattern, _ in BILL_HEADINGS for m in re.finditer(pattern, text, re.MULTILINE))
     if not marks:
-        return with_header(text, header, size, overlap)
-    parts = [text[: marks[0]]] if marks[0] > 100 else []
-    parts += [text[a:z] for a, z in zip(marks, [*marks[1:], len(text)])]
-    return [c for p in parts if p.strip() for c in with_header(p, header, size, overlap)]
+        return _under(headed([*parts]), text, size, overlap)
+    sections = [("PREAMBLE", text[: marks[0][0]])] if marks[0][0] > 100 else []
+    sections += [(name, text[at:end]) for (at, name), (end, _) in zip(marks, [*marks[1:], (len(text), "")])]
+    return [c for name, body in sections if body.strip() for c in _under(headed([*parts, name]), body.strip(), size, overlap)]
 
 
 def with_header(text: str, header: str, size: int = CHARS, overlap: int = CHAR_OVERLAP) -> list[str]:
     """Chunks by characters, each headed; the header counts towards the size."""
     whole = tidy(text)
-    if not whole:
-        return []
-    return [header + whole] if len(header) + len(whole) <= size else [header + c for c in by_chars(whole, size - len(header), overlap)]
+    return _under(headed([header]), whole, size, overlap) if whole else []
 
 
-def paragraph_chunks(text: str, header: str = "", size: int = CHARS, overlap: int = CHAR_OVERLAP) -> list[str]:
-    """Paragraphs of a text without its tags, packed up to the size; a longer paragraph by characters."""
-    plain = re.sub(r"[ \t]+", " ", re.sub("<[^>]+>", "", text.replace("\r\n", "\n"))).strip()
+def paragraph_chunks(text: str, parts: tuple[str, ...] = (), size: int = CHARS, overlap: int = CHAR_OVERLAP) -> list[str]:
+    """A speech without its tags (those of paragraphs are line ends) whole if it fits with its heading, else its paragraphs
+    packed up to the size; a longer paragraph, or a speech of only one, by characters. Nothing but tags gives nothing."""
+    plain = re.sub(r"\n{3,}", "\n\n", text.replace("\r\n", "\n"))
+    plain, header = re.sub("<[^>]+>", "", re.sub(r"</?p>", "\n", plain)).strip(), headed([*parts])
+    paragraphs = [p.strip() for p in re.split(r"\n\n+", plain) if p.strip()]
+    if not plain or len(paragraphs) < 2 or len(header) + len(plain) <= size:
+        return _under(header, plain, size, overlap) if plain else []
     room, out, held = size - len(header), [], ""
-    for p in filter(None, (p.strip() for p in re.split(r"\n\n+", plain))):
-        if held and len(held) + len(p) + 2 > room:
+    for p in paragraphs:
+        if held and (len(held) + len(p) + 2 > room or len(p) > room):
             out, held = [*out, held], ""
         if len(p) > room:
-            out += ([held] if held else []) + by_chars(p, room, overlap)
-            held = ""
+            out += by_chars(p, room, overlap)
         else:
             held = f"{held}\n\n{p}" if held else p
     return [header + c for c in ([*out, held] if held else out)]

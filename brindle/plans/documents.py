@@ -152,9 +152,26 @@ def sequence_gaps(spark: SparkSession, base: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (language_detect, ref_number_extract, normalize_terms, sentence_split, estimate_tokens, scalar_functions, query_reformulations, mention_flags, unit_counts, bilingual_expand, citation_links, paired_resources, three_pass_link, near_match_levenshtein, verify_diff, integrity_fk, integrity_totals, vote_sums, unique_keys, sequence_gaps)}
 QUERIES |= {
     "chunk_text": _chunks(lambda t: ch.by_chars(t, 600, 100)), "chunk_tokens": _chunks(lambda t: ch.by_tokens(t, 100, 20)), "legal_units": _chunks(ch.legal_units),
-    "legal_chunks": _chunks(lambda t: ch.legal_chunks(t, 100, 20, "§ ")), "bill_chunks": _chunks(lambda t: ch.bill_chunks(t, "Bill: ", 600, 100)), "paragraph_chunks": _chunks(lambda t: ch.paragraph_chunks(t, "", 600, 100)),
+    "legal_chunks": _chunks(lambda t: ch.legal_chunks(t, 100, 20, "§ ")), "paragraph_chunks": _chunks(lambda t: ch.paragraph_chunks(t, ("Speaker: A",), 600, 100)),
 }
 
+
+def bill_chunks(spark: SparkSession, base: str) -> DataFrame:
+    """Documents as bills: every third line that stands alone in capitals or begins a part is a heading."""
+    marked = _docs(spark, base).withColumn("text", BILL_TEXT(F.col("text")))
+    rows = ch.chunk_rows(marked, "doc_id", "text", lambda t: ch.bill_chunks(t, ("Bill C-1", "Session: 44-1"), 600, 100))
+    return rows.select(F.col("item_id").alias("doc_id"), "chunk_index", "content", "kind", "marker")
+
+
+def BILL_TEXT(col):  # noqa: N802
+    """A text with headings put before its sentences that begin with a few words, so that there are sections to find."""
+    for word, heading in (("The ", "SUMMARY"), ("We ", "PART 1 Fees"), ("Le ", "SCHEDULE"), ("Nous ", "DIVISION 2 Rules")):
+        col = F.regexp_replace(col, rf"([.!?]) {word}", f"$1\n{heading}\n{word}")
+    return col
+
+
+QUERIES["bill_chunks"] = bill_chunks
+
 _FR = "|".join(tx.FRENCH_WORDS + tx.FRENCH_PHRASES)
 _FOLD = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(replace(replace(lower({x}), 'œ', 'oe'), 'æ', 'ae'), '" + tx.ACCENTED + "', '" + tx.PLAIN + r"'), '[\x{{0300}}-\x{{036F}}]', '', 'g'), '[–—-]', ' ', 'g'), '[^a-z0-9\s\x0B]', '', 'g'), '[\s\x0B]+', ' ', 'g'))"
 _WSQ = r"\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -165,7 +182,74 @@ _ANCHOR = "regexp_replace(coalesce(source_section_label, ''), '[^a-zA-Z0-9.]', '
 _TERMS = f"t0 AS (SELECT {_KEY('act_id')} AS d, language, id, title, enacted_date FROM acts QUALIFY row_number() OVER (PARTITION BY {_KEY('act_id')}, language ORDER BY updated_at DESC NULLS LAST, id DESC, title DESC NULLS LAST, enacted_date DESC NULLS LAST) = 1), n AS (SELECT * FROM t0 WHERE title <> ''), t AS (SELECT a.id, a.language, CASE a.language WHEN 'en' THEN 'fr' ELSE 'en' END AS other, left(a.d, 1) AS doc, CAST(year(a.enacted_date) AS VARCHAR) AS section, {_FOLD.format(x='a.title')} AS norm, CASE ascii(right(a.id, 1)) % 3 WHEN 0 THEN trim(b.title) WHEN 1 THEN trim('x or ' || b.title) END AS paired FROM n a LEFT JOIN n b ON a.d = b.d AND a.language <> b.language)"
 _LINKS = f"told AS (SELECT * FROM t WHERE paired <> '' AND NOT regexp_matches(paired, '(?i)^((Version (anglaise|française) seulement)|((English|French) version only))$')), parts AS (SELECT id, other, doc, section, paired, list_filter(list_transform(regexp_split_to_array(paired, '(?i)\\s+(?:or|ou)\\s+|,\\s*'), lambda x: trim(x)), lambda x: x <> '' AND x <> paired) AS p FROM told), cand AS (SELECT id, other, doc, section, unnest(CASE WHEN contains(paired, 'Version') OR contains(paired, 'version only') THEN [paired] ELSE list_concat([paired], p) END) AS c, generate_subscripts(CASE WHEN contains(paired, 'Version') OR contains(paired, 'version only') THEN [paired] ELSE list_concat([paired], p) END, 1) AS place FROM parts), target AS (SELECT language, doc, section, norm, max(id) AS linked FROM t GROUP BY ALL), p1 AS (SELECT c.id, arg_min(g.linked, c.place) AS linked_id FROM cand c JOIN target g ON c.other = g.language AND c.doc = g.doc AND c.section = g.section AND g.norm = {_FOLD.format(x='c.c')} WHERE g.norm <> '' GROUP BY c.id), u AS (SELECT language, doc, norm, max(id) AS uid FROM t GROUP BY ALL HAVING count(*) = 1), p2 AS (SELECT s.id, u.uid AS linked_id FROM told s JOIN u ON s.other = u.language AND s.doc = u.doc AND u.norm = {_FOLD.format(x='s.paired')} WHERE s.id IN (SELECT uid FROM u) AND s.id NOT IN (SELECT id FROM p1)), q AS (SELECT * FROM t WHERE coalesce(paired, '') = '' AND id NOT IN (SELECT id FROM p1) AND id NOT IN (SELECT id FROM p2) AND doc IS NOT NULL AND section IS NOT NULL), one AS (SELECT doc, section, max(id) FILTER (language = 'en') AS a, max(id) FILTER (language = 'fr') AS b FROM q GROUP BY ALL HAVING count(*) FILTER (language = 'en') = 1 AND count(*) FILTER (language = 'fr') = 1)"
 
+#: White space of Python's texts, in a class of the SQL engine's patterns.
+_SPACES = r"\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_STRIP = lambda x: f"regexp_replace({x}, '^[{_SPACES}]+|[{_SPACES}]+$', '', 'g')"
+_TIDY = lambda x: _STRIP(f"regexp_replace(replace({x}, chr(13) || chr(10), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def _windows_sql(source: str, size: str, overlap: int) -> str:
+    """Windows of the texts ``x`` of ``source`` (``k``, ``x``, ``n`` characters, and ``size``) as ``w``: start ``s``, end ``e``."""
+    end = lambda s: f"CASE WHEN {s} + {size} >= t.n THEN t.n ELSE greatest({s}, {s} + {size} - 200) + coalesce(nullif(length(regexp_extract(substr(t.x, CAST(greatest({s}, {s} + {size} - 200) + 1 AS BIGINT), CAST({s} + {size} + 200 - greatest({s}, {s} + {size} - 200) AS BIGINT)), '(?s)^(.*[.!?])[{_SPACES}]', 1)), 0), {s} + {size} - greatest({s}, {s} + {size} - 200)) END"
+    first = f"SELECT t.k, 0 AS i, 0 AS s, CASE WHEN t.n <= {size} THEN t.n ELSE {end('0')} END AS e FROM {source} t"
+    more = f"SELECT t.k, w.i + 1, w.e - {overlap}, {end(f'(w.e - {overlap})')} FROM w JOIN {source} t ON w.k = t.k WHERE t.n > {size} AND w.e - {overlap} > w.s"
+    return f"w(k, i, s, e) AS ({first} UNION ALL {more})"
+
+
+def _pack_sql(source: str, most: str, overlap: int, whole_rest: bool = False) -> str:
+    """Chunks of the pieces of ``source`` (``k``, ``pieces``, ``sizes`` and the places ``breaks`` that begin a chunk) as ``c``:
+    first piece ``a`` (with the overlap), first new piece ``f``, last piece ``b``."""
+    last = lambda a, f: f"greatest({f}, least(coalesce(list_filter(p.breaks, lambda y: y > {f})[1] - 1, len(p.pieces)), len(list_filter(p.sums, lambda y: y <= p.sums[{a}] + {most})) - 1))"
+    first = f"SELECT p.k, 1 AS a, 1 AS f, {last('1', '1')} AS b FROM {source} p"
+    tail = f"CASE WHEN list_contains(p.breaks, c.b + 1) THEN c.b + 1 ELSE greatest(c.a, len(list_filter(p.sums, lambda y: y < p.sums[c.b + 1] - {overlap})) + 1) END"
+    whole = "CASE WHEN q <= o AND ends[q] <= o AND q > greatest(old, firsts[q]) THEN ends[q] + 1 ELSE q END"  # what a cut unit leaves is one piece
+    more = f"SELECT k, a, f, {last('a', 'f')} FROM (SELECT *, {whole if whole_rest else 'q'} AS a, o + 1 AS f FROM (SELECT p.*, {tail} AS q, c.b AS o, c.a AS old FROM c JOIN {source} p ON c.k = p.k WHERE c.b < len(p.pieces))) p"
+    return f"c(k, a, f, b) AS ({first} UNION ALL {more})"
+
+
+_TEXTS = f"t AS (SELECT doc_id AS k, x, length(x) AS n, raw FROM (SELECT doc_id, {_TIDY('text')} AS x, text AS raw FROM documents WHERE text IS NOT NULL) WHERE x <> '')"
+_SENTENCES = f"list_filter(string_split(regexp_replace(x, '([.!?])[{_SPACES}]+', '\\1' || chr(57585), 'g'), chr(57585)), lambda y: {_STRIP('y')} <> '')"
+_WORDS = f"list_filter(regexp_split_to_array(y, '[{_SPACES}]+'), lambda z: z <> '')"
+_MARKER = r"(\(\d+\)|\([a-z]\)|\([ivxlcdm]+\)|\([A-Z]\))"
+_MARKED = f"regexp_replace(x, '(^|[{_SPACES}]){_MARKER}([{_SPACES}A-Z])', '\\1' || chr(57585) || '\\2\\3', 'g')"
+_PARTS = f"string_split({_MARKED.replace('(x,', '(' + _MARKED + ',')}, chr(57585))"
+_KIND = r"CASE WHEN regexp_matches(m, '^\(\d+\)$') THEN 'subsection' WHEN regexp_matches(m, '^\((?i:[ivx]{2,}|[ivx])\)$') THEN 'subparagraph' WHEN regexp_matches(m, '^\([a-z]\)$') THEN 'paragraph' WHEN regexp_matches(m, '^\([A-Z]\)$') THEN 'clause' END"
+_SUMS = "list_concat([0], list_transform(range(1, len(sizes) + 1), lambda i: CAST(list_sum(sizes[1:i]) AS BIGINT)))"
+_CHUNKS = "SELECT k AS doc_id, CAST(row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS INT) AS chunk_index, content, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS marker FROM ({rows}) WHERE content <> ''"
+
+
+def _packed_sql(units: str, most: str, overlap: int, whole: str, prefix: str, body: str = "x", whole_rest: bool = False) -> str:
+    """Chunks of the list ``units`` over the texts, those beyond ``most`` by words; ``whole`` tells which texts stay whole."""
+    pieces = f"SELECT k, pos, CASE WHEN ceil(length(y) / 4) > {most} THEN {_WORDS} ELSE [y] END AS own, ceil(length(y) / 4) > {most} AS cut FROM (SELECT k, unnest(u) AS y, generate_subscripts(u, 1) AS pos FROM (SELECT k, {units} AS u FROM t WHERE NOT {whole}))"
+    sized = "SELECT k, flatten(list(own ORDER BY pos)) AS pieces, flatten(list(CASE WHEN cut THEN list_transform(own, lambda z: CAST(ceil((length(z) + 1) / 4) AS BIGINT)) ELSE [CAST(ceil(length(own[1]) / 4) AS BIGINT)] END ORDER BY pos)) AS sizes, flatten(list(list_transform(own, lambda z, i: cut AND i = 1) ORDER BY pos)) AS starts, flatten(list(list_transform(own, lambda z: upto - len(own) + 1) ORDER BY pos)) AS firsts, flatten(list(list_transform(own, lambda z: upto) ORDER BY pos)) AS ends FROM (SELECT *, CAST(sum(len(own)) OVER (PARTITION BY k ORDER BY pos) AS BIGINT) AS upto FROM pc) GROUP BY k"
+    source = f"SELECT k, pieces, {_SUMS} AS sums, list_filter(range(1, len(pieces) + 1), lambda i: starts[i]) AS breaks, firsts, ends FROM sz"
+    rows = f"SELECT k, 0 AS i, {prefix} || {body} AS content FROM t WHERE {whole} UNION ALL SELECT c.k, c.f, {prefix} || {_STRIP(chr(39).join(['array_to_string(pc2.pieces[c.a:c.b], ', ' ', ')']))} FROM c JOIN pc2 ON c.k = pc2.k"
+    return f"WITH RECURSIVE {_TEXTS}, pc AS ({pieces}), sz AS ({sized}), pc2 AS ({source}), {_pack_sql('pc2', most, overlap, whole_rest)} {_CHUNKS.format(rows=rows)}"
+
+
+def _under_sql(source: str, order: str, size: int, overlap: int) -> str:
+    """The texts ``body`` of ``source`` (``k``, ``ord``, ``head``, ``body``) under their heads, by windows if they do not fit."""
+    rows = f"SELECT k, ord, head, body AS x, length(body) AS n, {size} - length(head) AS sz FROM {source}"
+    long = f"SELECT k * 100000 + ord AS k, {_TIDY('x')} AS x, length({_TIDY('x')}) AS n, sz, head FROM un WHERE n > sz"
+    cut = _STRIP("substr(l.x, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT))")
+    out = f"SELECT k, ord * 100000 AS i, head || x AS content FROM un WHERE n <= sz UNION ALL SELECT l.k // 100000, (l.k % 100000) * 100000 + w.i, l.head || {cut} FROM w JOIN lg l ON w.k = l.k WHERE {cut} <> ''"
+    return f"un AS ({rows}), lg AS ({long}), {_windows_sql('lg', 't.sz', overlap)}, o AS ({out}) {order}"
+
+
+_HEADS = "'Speaker: A' || chr(10) || chr(10)"
+_PLAIN_SPEECH = _STRIP("regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), '</?p>', chr(10), 'g'), '<[^>]+>', '', 'g')")
+_PARAGRAPHS = f"list_filter(list_transform(regexp_split_to_array(x, '\\n\\n+'), lambda y: {_STRIP('y')}), lambda y: y <> '')"
+_SPEECHES = f"t AS (SELECT doc_id AS k, {_PLAIN_SPEECH} AS x FROM documents WHERE text IS NOT NULL), p0 AS (SELECT *, {_PARAGRAPHS} AS ps FROM t WHERE x <> ''), sz AS (SELECT k, ps AS pieces, list_transform(ps, lambda y: length(y) + 2) AS sizes FROM p0 WHERE len(ps) > 1 AND length(x) > 588), pc2 AS (SELECT k, pieces, {_SUMS} AS sums, list_filter(range(1, len(pieces) + 1), lambda i: sizes[i] > 590 OR (i > 1 AND sizes[i - 1] > 590)) AS breaks FROM sz)"
+_BILL = "CASE WHEN text IS NOT NULL THEN " + "regexp_replace(" * 4 + "text" + "".join(f", '([.!?]) {word}', '\\1' || chr(10) || '{heading}' || chr(10) || '{word}', 'g')" for word, heading in (("The ", "SUMMARY"), ("We ", "PART 1 Fees"), ("Le ", "SCHEDULE"), ("Nous ", "DIVISION 2 Rules"))) + " END"
+_BILLS = f"t AS (SELECT doc_id AS k, regexp_replace(replace({_BILL}, chr(13) || chr(10), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g') AS x FROM documents WHERE text IS NOT NULL), p AS (SELECT k, string_split(regexp_replace(x, '(?m)^(PART +\\d+(?: +.+)?|DIVISION +\\d+(?: +.+)?|(?i:SCHEDULE) *\\d*|SUMMARY|RECOMMENDATION|TABLE OF PROVISIONS|SHORT TITLE|INTERPRETATION) *$', chr(57585) || '\\1', 'g'), chr(57585)) AS ps FROM t WHERE {_STRIP('x')} <> ''), u AS (SELECT k, len(ps) AS parts, unnest(ps) AS part, generate_subscripts(ps, 1) AS ord FROM p), src AS (SELECT k, ord, 'Bill C-1 | Session: 44-1' || CASE WHEN parts = 1 THEN '' WHEN ord = 1 THEN ' | PREAMBLE' ELSE ' | ' || string_split(part, chr(10))[1] END || chr(10) || chr(10) AS head, CASE WHEN parts = 1 THEN part ELSE {_STRIP('part')} END AS body FROM u WHERE parts = 1 OR ({_STRIP('part')} <> '' AND (ord > 1 OR length(part) > 100)))"
+
 ORACLE = {
+    "legal_chunks": _packed_sql(f"list_filter(list_transform({_PARTS}, lambda y: {_STRIP('y')}), lambda y: y <> '')", "89", 20, "(ceil((length(raw) + 2) / 4) <= 100 OR ceil(n / 4) <= 89)", "'§ '", "CASE WHEN ceil((length(raw) + 2) / 4) <= 100 THEN raw ELSE x END", whole_rest=True),
+    "paragraph_chunks": f"WITH RECURSIVE {_SPEECHES}, {_pack_sql('pc2', '590', 0)}, src AS (SELECT k, 0 AS ord, {_HEADS} AS head, x AS body FROM p0 WHERE NOT (len(ps) > 1 AND length(x) > 588) UNION ALL SELECT c.k, c.f, {_HEADS}, array_to_string(pc2.pieces[c.a:c.b], chr(10) || chr(10)) FROM c JOIN pc2 ON c.k = pc2.k), {_under_sql('src', _CHUNKS.format(rows='FROM o'), 600, 100)}",
+    "bill_chunks": f"WITH RECURSIVE {_BILLS}, {_under_sql('src', _CHUNKS.format(rows='FROM o'), 600, 100)}",
+    "chunk_text": f"WITH RECURSIVE {_TEXTS}, {_windows_sql('t', '600', 100)} {_CHUNKS.format(rows='SELECT w.k, i, ' + _STRIP('substr(t.x, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT))') + ' AS content FROM w JOIN t ON w.k = t.k')}",
+    "chunk_tokens": _packed_sql(_SENTENCES, "100", 20, "ceil(n / 4) <= 100", "''"),
+    "legal_units": f"WITH t AS (SELECT doc_id AS k, text AS x FROM documents WHERE text IS NOT NULL), u AS (SELECT k, unnest(p) AS part, generate_subscripts(p, 1) AS pos, len(p) AS parts FROM (SELECT k, {_PARTS} AS p FROM t WHERE x <> '')), v AS (SELECT k, pos, parts, {_STRIP('part')} AS content, CASE WHEN pos > 1 THEN regexp_extract(part, '^{_MARKER}', 1) END AS m FROM u) SELECT k AS doc_id, CAST(row_number() OVER (PARTITION BY k ORDER BY pos) - 1 AS INT) AS chunk_index, content, {_KIND} AS kind, m AS marker FROM v WHERE content <> '' OR parts = 1",
     "three_pass_link": f"WITH {_TERMS}, {_LINKS} SELECT id, linked_id, 1 AS pass FROM p1 UNION ALL SELECT id, linked_id, 2 FROM p2 UNION ALL SELECT a, b, 3 FROM one UNION ALL SELECT b, a, 3 FROM one",
     "ref_number_extract": r"SELECT doc_id, upper(regexp_extract(text, '\b([CScs]-\d+)\b', 1)) AS bill FROM documents WHERE regexp_extract(text, '\b([CScs]-\d+)\b', 1) <> ''",
     "language_detect": rf"SELECT doc_id, CASE WHEN n >= 2 OR (n >= 1 AND regexp_matches(lower(text), '[àâäéèêëïîôùûüÿœæç]')) THEN 'fr' ELSE 'en' END AS language FROM (SELECT doc_id, text, len(list_filter(regexp_extract_all(replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_]', '  ', 'g'), 'projet  de  loi', 'projetdeloi'), '[\p{{L}}\p{{N}}_]+'), lambda w: w IN ({', '.join(repr(w) for w in tx.FRENCH_WORDS)}, 'projetdeloi'))) AS n FROM documents)",

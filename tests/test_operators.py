@@ -109,6 +109,8 @@ def test_chunks_of_known_texts(text, want):
 
 def test_chunks_without_boundaries():
     assert [len(c) for c in ch.by_chars("a" * 1000, 200, 50)] == [200] * 6 + [100, 50]
+    assert ch.by_chars("b" * 479, 600, 100) == ["b" * 479] and [len(c) for c in ch.by_chars("b" * 601, 600, 100)] == [600, 101, 100]
+    assert ch.by_chars("x" * 90 + ". " + "y" * 60, 100, 20) == ["x" * 90 + ".", "x" * 19 + ". " + "y" * 60, "y" * 20]
 
 
 @given(st.text(st.sampled_from("ab. ?\n"), max_size=3000), st.integers(300, 700), st.integers(0, 60))
@@ -117,7 +119,7 @@ def test_chunks_cover_the_text(text, size, overlap):
     chunks, whole, at = ch.by_chars(text, size, overlap), ch.tidy(text), 0
     for c in chunks:
         found = whole.find(c)
-        assert found >= 0 and len(c) <= size + ch.MOVE
+        assert found >= 0 and (len(c) <= size + ch.MOVE or c == whole)
         at = max(at, found + len(c))
     assert "".join(whole.split()) == "" or chunks
     budget = ch.by_tokens(text, 40, 8)
@@ -133,11 +135,33 @@ def test_units_of_provisions():
     assert [ch.kind_of_marker(m) for m in ("(A)", "(I)", "(c)", "(12)", "(ab)")] == ["clause", "subparagraph", "paragraph", "subsection", None]
 
 
-def test_bill_and_paragraph_chunks():
+def test_bill_chunks_name_their_section():
     bill = "x" * 120 + "\nSUMMARY\nShort.\nPART 1 Fees\n" + "Fees rise. " * 100
-    got = ch.bill_chunks(bill, "Bill C-1\n", 400, 50)
-    assert got[0].endswith("x" * 120) and got[1] == "Bill C-1\nSUMMARY\nShort." and all(len(c) <= 400 + ch.MOVE for c in got) and len(got) > 4
-    assert ch.paragraph_chunks("<p>One</p>\n\nTwo\n\n" + "Three. " * 100, "H: ", 100, 10)[0] == "H: One\n\nTwo"
+    got = ch.bill_chunks(bill, ("Bill C-1",), 400, 50)
+    assert got[:2] == ["Bill C-1 | PREAMBLE\n\n" + "x" * 120, "Bill C-1 | SUMMARY\n\nSUMMARY\nShort."]
+    assert len(got) > 4 and all(c.startswith("Bill C-1 | PART 1 Fees\n\n") and len(c) <= 400 + ch.MOVE for c in got[2:])
+    assert ch.bill_chunks("no heading", ("Bill C-1", "")) == ["Bill C-1\n\nno heading"] and ch.bill_chunks("SUMMARY\na") == ["SUMMARY\n\nSUMMARY\na"] and ch.bill_chunks(" ") == []
+
+
+def test_speeches_by_paragraphs():
+    assert ch.paragraph_chunks("<p>One</p><p>Two</p> <b>x</b>", ("Speaker: A",)) == ["Speaker: A\n\nOne\n\nTwo\n x"]
+    got = ch.paragraph_chunks("<p>One</p><p>Two</p><p>" + "Three. " * 30 + "</p>", ("S",), 100, 10)
+    assert got[0] == "S\n\nOne\n\nTwo" and got[1].startswith("S\n\nThree. Three.") and all(len(c) <= 100 + ch.MOVE for c in got)
+    assert ch.paragraph_chunks("z" * 150, ("S",), 100, 10) == ["S\n\n" + "z" * 97, "S\n\n" + "z" * 63, "S\n\n" + "z" * 10]
+    assert ch.paragraph_chunks("<p> </p>", ("S",)) == []
+    assert ch.with_header("a\r\nb", "H", 20) == ["H\n\na\nb"] and ch.with_header(" ", "H") == []
+
+
+def test_provisions_with_prefix_and_history():
+    notes = [{"text": "S.C. 2001", "enactedDate": "2001-02-03", "inForceStartDate": "2001-02-03"}, {"text": "am. 2002-01-01", "enactedDate": "2002-01-01", "inForceStartDate": "2003-01-01"}]
+    assert ch.history(notes) == "\n\nHistory: S.C. 2001 (enacted: 2001-02-03); am. 2002-01-01 (in force: 2003-01-01)"
+    assert ch.history(notes[:1], "fr") == "\n\nHistorique: S.C. 2001 (édicté: 2001-02-03)" and ch.history([]) == ""
+    assert ch.legal_chunks("short text", 10, 2, "P\n\n") == ["P\n\nshort text"] and ch.legal_chunks("  ", 10, 2, "P") == []
+    text = "Intro words here. " + " ".join(f"({n}) " + "word " * 12 for n in range(1, 6))
+    got = ch.legal_chunks(text, 40, 16, "P\n\n")
+    assert got[0].startswith("P\n\nIntro") and all(ch.estimate(c) <= 40 for c in got) and got[1].startswith("P\n\n(")
+    long_unit = ch.packed(["w " * 60, "tail"], 20, 10, ch.estimate, whole_rest=True)
+    assert long_unit[-1].endswith("tail")
 
 
 def test_text_functions(spark):
