@@ -10,9 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_NUMBER = r"\d+(?:\.\d+)?"
-#: Ranges of more sections than this keep their ends only.
-LONGEST = 10_000
+#: A section's number has up to six digits before its decimals, so that a range has a million sections at most.
+_NUMBER = r"(?<!\d)\d{1,6}(?!\d)(?:\.\d+)?"
 #: A number this near behind the start of a range belongs to the range (fixed value).
 NEAR = 30
 
@@ -29,16 +28,54 @@ def section_list(text: str | None) -> list[str]:
     for m in re.finditer(rf"({_NUMBER})\s*(?:to|-)\s*({_NUMBER})", wording):
         a, z = m.groups()
         starts.append(m.start())
-        if "." in a + z or int(z) - int(a) >= LONGEST:
+        if "." in a + z:
             out += [a, z] if a != z else [a]
         else:
             out += map(str, range(int(a), int(z) + 1))
+    named = set(out)
     for m in re.finditer(rf"\b{_NUMBER}\b", wording):
-        if m.group() not in out and not any(s <= m.start() < s + NEAR for s in starts):
+        if m.group() not in named and not any(s <= m.start() < s + NEAR for s in starts):
             out.append(m.group())
+            named.add(m.group())
     return out
 
 
+# Wordings that name further sections, or all of them.
+_FURTHER = [re.compile(r"(?i)in this section and (?:in )?sections?\s+(.+?)(?:\.|$)"), re.compile(r"(?i)au présent article et aux articles?\s*(?:à\.?)?\s*([\d\s.,àto-]+)")]
+_APPLIED = [re.compile(r"(?i)(?:apply|definitions apply) in sections?\s*(?:to\.?)?\s*([\d\s.,to-]+)"), re.compile(r"(?i)(?:s'appliquent|appliquent)\s*(?:aux|au)\s*articles?\s*(?:à\.?)?\s*([\d\s.,àto-]+)")]
+
+
+def scope_of(wording: str | None, current: str | None, document: str = "act") -> tuple[str, list[str] | None]:
+    """What a definition covers and, for sections, which: the whole document unless its wording says otherwise."""
+    low = (wording or "").lower()
+    if kind := wide_scope(low):
+        return kind, None
+    for here, further in zip(("in this section", "présent article"), _FURTHER):
+        if here in low:
+            more = further.search(low)
+            return "section", list(dict.fromkeys([*([current] if current else []), *(section_list(more.group(1)) if more else [])]))
+    for pattern in _APPLIED:
+        if (found := pattern.search(low)) and (sections := section_list(found.group(1))):
+            return "section", sections
+    return document, None
+
+
+def wide_scope(low: str) -> str | None:
+    """The scope of a wording in lower case that covers a document or a part."""
+    if ("in this act" in low and "in this act and" not in low) or "la présente loi" in low:
+        return "act"
+    if ("in this regulation" in low and "sections" not in low) or "le présent règlement" in low:
+        return "regulation"
+    if ("in this part" in low and "sections" not in low) or ("dans la présente partie" in low and "articles" not in low):
+        return "part"
+    return None
+
+
+@F.pandas_udf(T.StructType([T.StructField("kind", T.StringType()), T.StructField("sections", T.ArrayType(T.StringType()))]))
+def scope(wording: pd.Series, current: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([scope_of(w, c) for w, c in zip(wording, current)], columns=["kind", "sections"])
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def section_numbers(text: pd.Series) -> pd.Series:
     return text.map(section_list)

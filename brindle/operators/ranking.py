@@ -138,6 +138,24 @@ def top_per_type(df: DataFrame, usable: Column) -> DataFrame:
     return df.filter(usable).withColumn("_first", first).filter("_first = 1").drop("_first")
 
 
+def top_per_type_of_document(df: DataFrame, types: list[str], owners: dict[str, tuple[str, list[str]]]) -> DataFrame:
+    """The first usable row of each of ``types``; a row of a document's type must name it.
+
+    ``owners``: for each column that names a document, the type that a row made up for it has, and all types that show it.
+    Where a list shows none of those but some row names a document, the first such row stands for it, as that type.
+    """
+    usable = F.col("source_type").isin(types)
+    for column, (_, own) in owners.items():
+        usable = usable & (~F.col("source_type").isin(own) | F.col(column).isNotNull())
+    out = top_per_type(df, F.coalesce(usable, F.lit(False)))
+    for column, (made, own) in owners.items():
+        shown = out.filter(F.col("source_type").isin(own)).select("list_id").distinct()
+        first = F.row_number().over(in_order())
+        named = df.filter(F.col(column).isNotNull()).withColumn("_first", first).filter("_first = 1").drop("_first")
+        out = out.unionByName(named.join(shown, "list_id", "left_anti").withColumn("source_type", F.lit(made)))
+    return out
+
+
 def boosted_merge(definitions: DataFrame, sections: DataFrame, limit: int, boost: float = 0.15) -> DataFrame:
     """Definitions with a boost (1 at most) together with sections, best of each resource, in order."""
     lifted = definitions.withColumn("similarity", F.least(F.lit(1.0), F.col("similarity") + boost))

@@ -29,6 +29,13 @@ def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_m")).select(*keys, "_m.*").select(*df.columns)
 
 
+def preferred(df: DataFrame, keys: list[str], wanted: Column, *order: str) -> DataFrame:
+    """One row a key: one for which ``wanted`` holds, else another; of several the greatest by ``order``, then by all columns."""
+    rest = [c for c in df.columns if c not in order]
+    ranked = F.struct(F.coalesce(wanted, F.lit(False)).alias("_w"), F.struct(*order, *rest).alias("_r"))
+    return df.groupBy(*keys).agg(F.max(ranked).alias("_m")).select("_m._r.*").select(*df.columns)
+
+
 def current_or_last(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """The open row with the latest start of each key, else the one with the latest start; ``is_current`` tells which."""
     order = F.struct(F.col(end).isNull().alias("o"), F.col(start).alias("s"), F.struct(*[F.col(c) for c in df.columns]).alias("r"))

@@ -30,7 +30,9 @@ def xml_sections(spark: SparkSession, base: str) -> DataFrame:
 
 
 def xml_audit(spark: SparkSession, base: str) -> DataFrame:
-    return xml.element_audit(_statements_xml(spark, base), "xml").select("tag", "elements", F.array_join("children", ",").alias("children"))
+    """What elements, attributes, children and paths the documents have, with samples of each."""
+    found = xml.element_audit(_statements_xml(spark, base), "xml")
+    return found.select("tag", "elements", "n_paths", "n_children", *[F.array_join(c, ",").alias(c) for c in ("attrs", "children", "paths")])
 
 
 def html_links(spark: SparkSession, base: str) -> DataFrame:
@@ -63,9 +65,25 @@ def row_reconciliation(spark: SparkSession, base: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (xml_sections, xml_audit, html_links, html_strip, incremental_rows, changed_pages, row_reconciliation)}
 
 _H = "h AS (SELECT DISTINCT id, document_id, sequence, h1_en, h2_en, who_en, content_en FROM hansards_statement)"
+
+
+def _audit_sql() -> str:
+    """Each kind of element that the documents are made of: how many, where, and with what attributes and children."""
+    first = lambda what: f"array_to_string(list_sort(list_distinct(list({what})))[1:5], ',')"
+    docs, rows = "SELECT {c} FROM (SELECT DISTINCT document_id FROM h)", "SELECT {c} FROM h"
+    parts = [
+        docs.format(c="'Statute' AS tag, count(*) AS elements, 1 AS n_paths, 1 AS n_children, '' AS attrs, 'Body' AS children, '/Statute' AS paths"),
+        docs.format(c="'Body', count(*), 1, 2, '', 'Heading,Section', '/Statute/Body'"),
+        rows.format(c=f"'Heading', 2 * count(*), 1, 0, 'level=1,level=2', '', '/Statute/Body/Heading'"),
+        rows.format(c=f"'Section', count(*), 1, 3, {first(chr(39) + 'id=' + chr(39) + ' || id')}, 'Label,MarginalNote,Text', '/Statute/Body/Section'"),
+    ]
+    parts += [rows.format(c=f"'{x}', count(*), 1, 0, '', '', '/Statute/Body/Section/{x}'") for x in ("Label", "MarginalNote", "Text")]
+    return f"WITH {_H} " + " UNION ALL ".join(parts)
+
+
 ORACLE = {
     "xml_sections": rf"WITH {_H} SELECT CAST(document_id AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY document_id ORDER BY sequence, id) AS ordinal, CAST(sequence AS VARCHAR) AS label, length(trim(regexp_replace(coalesce(content_en, ''), '[\s\x0B\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g'))) AS chars, trim(coalesce(h1_en, '')) || '|' || trim(coalesce(h2_en, '')) AS path FROM h",
-    "xml_audit": f"WITH {_H} SELECT tag, n AS elements, children FROM (SELECT 'Statute' AS tag, count(DISTINCT document_id) AS n, 'Body' AS children FROM h UNION ALL SELECT 'Body', count(DISTINCT document_id), 'Heading,Section' FROM h UNION ALL SELECT 'Heading', 2 * count(*), NULL FROM h UNION ALL SELECT 'Section', count(*), 'Label,MarginalNote,Text' FROM h UNION ALL SELECT x, count(*), NULL FROM h CROSS JOIN (SELECT unnest(['Label', 'MarginalNote', 'Text']) AS x) GROUP BY x)",
+    "xml_audit": _audit_sql(),
     "html_links": "SELECT DISTINCT id, '/laws/' || target_ref AS url, 0 AS place FROM cross_references WHERE target_ref IS NOT NULL",
     "html_strip": r"SELECT doc_id, trim(regexp_replace(replace(regexp_replace(text, '[<>&]', '', 'g'), chr(160), ' '), '[\s\x0B]+', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL",
     "incremental_rows": "SELECT DISTINCT resource_key FROM leg_resources WHERE resource_key NOT IN (SELECT resource_key FROM leg_resources WHERE language = 'fr')",

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import re
 import xml.etree.ElementTree as ET
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Elements that are captured whole, that count as one section inside a schedule, and that are looked through.
@@ -115,23 +116,37 @@ def lookup_table(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
 
 
 def element_audit(docs: DataFrame, xml_col: str, samples: int = 5) -> DataFrame:
-    """Per element name: how often it occurs, some of its attributes' values and the names of its children."""
+    """Per element name: how often it occurs, the first ``samples`` of its attributes' values, of the names of its children and
+    of the paths it stands at, and how many children and paths there are.
+
+    Distinct values are ranked and cut before they are gathered, so that no task holds all values of a frequent element.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tags, attrs, children = [], [], []
+            seen: Counter = Counter()  # (element, kind, value) of the batch
             for text in batch.column(0).to_pylist():
                 try:
-                    nodes = list(ET.fromstring(text).iter()) if text else []
+                    todo = [(ET.fromstring(text), "")] if text else []
                 except ET.ParseError:
-                    nodes = []
-                for node in nodes:
-                    tags.append(node.tag)
-                    attrs.append([f"{k}={v[:100]}" for k, v in sorted(node.attrib.items())])
-                    children.append(sorted({c.tag for c in node}))
-            yield pa.RecordBatch.from_arrays([pa.array(tags, pa.string()), pa.array(attrs, pa.list_(pa.string())), pa.array(children, pa.list_(pa.string()))], ["tag", "attrs", "children"])
-
-    nodes = docs.select(F.col(xml_col).cast("string").alias("xml")).mapInArrow(run, "tag string, attrs array<string>, children array<string>")
-    counts = nodes.groupBy("tag").agg(F.count(F.lit(1)).alias("elements"))
-    gather = lambda name: nodes.select("tag", F.explode(name).alias("x")).distinct().groupBy("tag").agg(F.sort_array(F.collect_set("x")).alias(name))
-    return counts.join(gather("attrs").withColumn("attrs", F.slice("attrs", 1, samples)), "tag", "left").join(gather("children"), "tag", "left")
+                    continue
+                while todo:
+                    node, above = todo.pop()
+                    path = f"{above}/{node.tag}"
+                    seen[node.tag, "elements", ""] += 1
+                    seen[node.tag, "paths", path] += 1
+                    for k, v in node.attrib.items():
+                        seen[node.tag, "attrs", f"{k}={v[:100]}"] += 1
+                    for child in node:
+                        seen[node.tag, "children", child.tag] += 1
+                        todo.append((child, path))
+            columns = list(zip(*seen)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([*[pa.array(list(c), pa.string()) for c in columns], pa.array(list(seen.values()), pa.int64())], ["tag", "kind", "value", "n"])
+
+    found = docs.select(F.col(xml_col).cast("string").alias("xml")).mapInArrow(run, "tag string, kind string, value string, n bigint")
+    values = found.groupBy("tag", "kind", "value").agg(F.sum("n").alias("n"))
+    counts = values.groupBy("tag").agg(F.sum(F.when(F.col("kind") == "elements", F.col("n"))).alias("elements"), F.count_if(F.col("kind") == "paths").alias("n_paths"), F.count_if(F.col("kind") == "children").alias("n_children"))
+    place = F.row_number().over(Window.partitionBy("tag", "kind").orderBy("value"))
+    first = values.filter("kind <> 'elements'").withColumn("place", place).filter(F.col("place") <= samples)
+    gather = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("value")))).alias(kind)
+    return counts.join(first.groupBy("tag").agg(gather("attrs"), gather("children"), gather("paths")), "tag", "left")

@@ -1,6 +1,7 @@
 """Ranking against loops over lists, chunkers on known cases, sources and streams on small files."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -8,9 +9,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from brindle.functions import checks as ck
+from brindle.functions import citation as ct
+from brindle.functions import jsonb as js
 from brindle.functions import provisions as pv
 from brindle.functions import text as tx
+from brindle.functions import wording as wd
 from brindle.operators import chunking as ch
+from brindle.operators import hydration as hy
 from brindle.operators import linking as ln
 from brindle.operators import ranking as rk
 from brindle.operators import relational as rel
@@ -253,6 +259,78 @@ def test_loads_are_repeatable(spark, tmp_path):
     assert loading.unexpected_tables(spark, [t.name for t in spark.catalog.listTables()]) == []
 
 
+def test_dump_is_read_by_blocks(spark, tmp_path):
+    rows = "".join(f"{i}\tname\\t{i}\t\\N\n" for i in range(20_000))
+    (tmp_path / "d.sql").write_text("SET x;\nCOPY public.a (id, \"name\", note) FROM stdin;\n" + rows + "\\.\n\nCOPY public.b (id) FROM stdin;\n1\n\\.\nCOPY public.c (x) FROM stdin;\nC:\\\\new\\nline\n\\.\nSELECT 1;\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        lines = loading.dump_lines(spark, str(tmp_path / "d.sql"))
+        assert lines.rdd.getNumPartitions() > 3
+        found = loading.dump_rows(lines, "parliament", ["a", "c"])
+        assert {(r["table_name"], r["n"]) for r in found.groupBy("table_name").agg(F.count(F.lit(1)).alias("n")).collect()} == {("parliament.a", 20_000), ("parliament.c", 1)}
+        assert loading.dump_table(found, "parliament.c", ["x"]).first()[0] == "C:\\new\nline"
+        a = loading.dump_table(found, "parliament.a", ["id", "name", "note", "gone"]).filter("id = '7'").first()
+        assert tuple(a) == ("7", "name\t7", None, None)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_checks_of_inputs(spark):
+    ids = ["A-1", "c-38.8", "1-A", None, ""]
+    rows = spark.createDataFrame([(i,) for i in ids], "x string").select(ck.valid_act_id(F.col("x")), ck.valid_label(F.col("x"))).collect()
+    assert [tuple(r) for r in rows] == [(True, True), (True, True), (False, True), (False, False), (False, False)]
+    numbers = spark.createDataFrame([("12",), ("0",), (" 7x",), ("1000001",), (None,), ("12345678",), ("-3",)], "t string").select(ck.positive_integer(F.col("t"))).collect()
+    assert [r[0] for r in numbers] == [12, None, 7, None, None, None, None]
+    assert [ck.clamped(n) for n in (None, -5, 7, 5000)] == [10, 1, 7, 100]
+    got = spark.range(1).select(ck.amendment(F.lit("2023, C. 8, s. 46")).alias("a"), ck.amendment(F.lit("2019, c. 10")).alias("b"), ck.amendment(F.lit("x")).alias("c"), ck.regulation_id(F.lit("C.R.C., c. 10/2")).alias("d"), ck.file_name(F.lit("SOR/97 1")).alias("e")).first()
+    assert (tuple(got["a"]), tuple(got["b"]), got["c"], got["d"], got["e"]) == ((2023, 8, 46), (2019, 10, None), None, "C.R.C._c. 10-2", "SOR-97_1")
+
+
+def test_json_tests_and_changes(spark):
+    texts = ['{"a": 1, "r": [{"c": "x"}, 2], "é\\"": null, "o": {"z": [1.5]}}', '{"r": "[]"}', "[1]", None, '{"r": []}', "{"]
+    t = F.col("t")
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select(js.array_length(t, "r"), js.has_element(t, "r", "x", "c"), js.contains(t, {"a": 1}), js.with_member(t, "a", F.lit('q"é'))).collect()
+    assert [r[0] for r in rows] == [2, None, None, None, 0, None] and [r[1] for r in rows] == [True] + [False] * 5 and [r[2] for r in rows] == [True] + [False] * 5
+    assert [json.loads(r[3]) if r[3] else None for r in rows] == [{"o": {"z": [1.5]}, "r": [{"c": "x"}, 2], 'é"': None, "a": 'q"é'}, {"r": "[]", "a": 'q"é'}, None, None, {"r": [], "a": 'q"é'}, None]
+
+
+def test_wordings(spark):
+    fields = {"a": F.lit("x"), "b": F.lit(""), "n": F.lit(3)}
+    cases = {"{a|d} {b|d{n}}": "x d3", "<a:[{a}<b:!>]><!b: none>": "[x] none", "plain": "plain", "{z}": "", "": ""}
+    row = spark.range(1).select(*[wd.worded(w, fields).alias(f"c{i}") for i, w in enumerate(cases)], wd.lined(["?A: {a}", "?B: {b}", "C: {b}", "?D: {a} {z}"], fields).alias("l")).first()
+    assert list(row)[:-1] == list(cases.values()) and row["l"] == "A: x\nC: "
+
+
+def test_known_citations(spark):
+    law = {"actId": "C-46", "documentTitle": "Criminal Code", "sectionLabel": "3.1(a)", "targetType": "act", "targetRef": "A-1"}
+    fields = ct.legislation_fields({k: F.lit(v) for k, v in law.items()})
+    got = spark.range(1).select(*[ct.citation(F.lit(kind), fields, ct.LEGISLATION).alias(kind) for kind in ("act_section", "cross_reference", "marginal_note")]).first()
+    assert got["act_section"]["text_fr"] == "[Criminal Code, art 3.1(a)]" and got["act_section"]["url_en"] == "https://laws-lois.justice.gc.ca/eng/acts/C-46/page-1.html#sec3.1a"
+    assert got["cross_reference"]["text_en"] == "[Criminal Code → Act A-1]" and got["cross_reference"]["url_fr"].endswith("/fra/lois/A-1/page-1.html")
+    assert got["marginal_note"]["title_fr"] == "Article 3.1(a) de Criminal Code: Note marginale"
+    house = ct.parliament_fields({"billNumber": F.lit("C-35"), "sessionId": F.lit("44-1"), "result": F.lit("N"), "politicianName": F.lit("")})
+    bill = spark.range(1).select(ct.citation(F.lit("bill"), house, ct.PARLIAMENT).alias("b"), ct.citation(F.lit("vote_member"), house, ct.PARLIAMENT).alias("v"), ct.citation(F.lit("none"), house, ct.PARLIAMENT).alias("n")).first()
+    assert bill["b"]["text_en"] == "[Bill C-35, 44th Parliament, 1st Session]" and bill["b"]["url_fr"] == "https://www.parl.ca/legisinfo/fr/projet-de-loi/44-1/c-35"
+    assert bill["v"]["text_fr"] == "[Député inconnu, date inconnue, Non]" and bill["n"]["text_en"] is None
+
+
+def test_documents_are_cut_to_their_caps(spark):
+    docs = spark.createDataFrame([("A", "en", "Act", "Long", "in-force", None, None), ("B", "fr", "Loi", None, None, None, None)], "doc string, language string, title string, long_title string, status string, consolidated string, enabling string")
+    sections = spark.createDataFrame([("A", "en", i, str(i), None, "section", "x" * 50) for i in range(40)], "doc string, language string, ord int, label string, note string, kind string, content string")
+    got = {r["doc"]: r for r in hy.document_markdown(docs, sections, 30, 1200).collect()}
+    a = got["A"]["markdown"]
+    assert got["A"]["total"] == 40 and a.startswith("# Act\n\n*Long*\n\n> *Showing 30 of 40 sections.") and a.endswith("See Justice Canada website for full text.*") and len(a) < 1300
+    assert "## Table of Contents\n\n- 0\n" in a and got["A"]["shown"] == a.count("### Section ") > 3
+    assert (got["B"]["markdown"], got["B"]["shown"], got["B"]["total"]) == ("# Loi\n", 0, 0)
+
+
+def test_bill_bodies(spark):
+    text = "Intro Short Title of it\nPART 2 Fees apply\n1 (1) x (a) one (b) two\nFirst (i) a (ii) b\nfee means a sum"
+    got = spark.range(1).select(hy.bill_body(F.lit(text)).alias("b")).first()[0]
+    assert "### Short Title of it" in got and "## Part 2 — Fees apply" in got and "- (a) one\n- (b) two" in got and "- **fee** — a sum" in got
+
+
 def test_streams(spark, small, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     events = spark.read.parquet(f"{small}/events.parquet")
@@ -269,7 +347,7 @@ def test_streams(spark, small, tmp_path):
 
 
 def test_section_numbers_and_scopes(spark):
-    cases = {"sections 17 to 19 and 21 to 23": ["17", "18", "19", "21", "22", "23"], "sectionsto.73 75": ["73", "74", "75"], "90.02 to 90.24": ["90.02", "90.24"], "section 4": ["4"], "1 to 900000": ["1", "900000"], None: [], "": []}
+    cases = {"sections 17 to 19 and 21 to 23": ["17", "18", "19", "21", "22", "23"], "sectionsto.73 75": ["73", "74", "75"], "90.02 to 90.24": ["90.02", "90.24"], "section 4": ["4"], "1 to 9000000": ["1"], None: [], "": []}
     rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", pv.section_numbers("t").alias("n")).collect()
     assert {r["t"]: r["n"] for r in rows} == cases
     scopes = {"In this Act,": "act", "Dans la présente partie": "part", "in this Regulation": "regulation", "apply in this section and sections 3 to 5": "section", "apply in sections 2 to 4": "section", "hello": None, None: None}
@@ -277,6 +355,16 @@ def test_section_numbers_and_scopes(spark):
     assert {r["t"]: r["k"] for r in rows} == scopes
 
 
+def test_scopes_name_their_sections(spark):
+    assert pv.scope_of("The definitions apply in this section and in sections 3 to 5.", "2") == ("section", ["2", "3", "4", "5"])
+    assert pv.scope_of("s'appliquent au présent article et aux articles 7 et 9", "6") == ("section", ["6", "7"])
+    assert pv.scope_of("The following definitions apply in sections 90.02 to 90.24.", None) == ("section", ["90.02", "90.24"])
+    assert pv.scope_of("In this Act,", "1") == ("act", None) and pv.scope_of("x", "1", "regulation") == ("regulation", None) and pv.scope_of(None, None) == ("act", None)
+    assert len(pv.section_list("sections 1 to 20000")) == 20_000
+    rows = spark.createDataFrame([("In this Part", "1"), ("apply in this section", "4"), (None, None)], "w string, c string").select(pv.scope("w", "c").alias("s")).collect()
+    assert [tuple(r["s"]) for r in rows] == [("part", None), ("section", ["4"]), ("act", None)]
+
+
 def test_corrections_and_json(spark):
     df = spark.createDataFrame([("A", "Recieve RECIEVE recieve"), ("B", "recieve"), ("A", None), (None, "x")], "d string, t string")
     assert [r[0] for r in df.select(pv.corrected(F.col("d"), F.col("t"), {"A": [("recieve", "receive")]})).collect()] == ["Receive RECEIVE receive", "recieve", None, "x"]
