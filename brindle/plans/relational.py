@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brindle.functions.text import RESULTS, either, label
 from brindle.operators import records as rec
 from brindle.operators import relational as rel
-from brindle.tables import load
+from brindle.tables import TABLES, load
 
 
 def metadata_search(spark: SparkSession, base: str) -> DataFrame:
@@ -154,8 +154,9 @@ def running_size_cap(spark: SparkSession, base: str) -> DataFrame:
 
 
 def catalog_counts(spark: SparkSession, base: str) -> DataFrame:
-    tables = ["acts", "customer", "documents", "events", "lineitem", "message_v2", "orders", "part"]
-    return reduce(DataFrame.unionByName, [load(spark, base, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table_name"), "n") for t in tables])
+    """Rows of every table, and of all together."""
+    counts = reduce(DataFrame.unionByName, [load(spark, base, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table_name"), "n") for t in TABLES])
+    return counts.unionByName(counts.agg(F.lit("all").alias("table_name"), F.sum("n").alias("n")))
 
 
 def sort_nulls_last(spark: SparkSession, base: str) -> DataFrame:
@@ -226,7 +227,7 @@ ORACLE = {
     "range_window_cap": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey BETWEEN 1000 AND least(1500, 1099)",
     "trailing_24h_count": "SELECT event_id, count(*) OVER w AS trailing, count(*) OVER w > 20 AS limited FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW)",
     "running_size_cap": "WITH h AS (SELECT DISTINCT id, document_id, length(content_en) AS n FROM hansards_statement WHERE content_en IS NOT NULL) SELECT id, document_id, sum(n) OVER w AS running FROM h WINDOW w AS (PARTITION BY document_id ORDER BY id) QUALIFY sum(n) OVER w <= 20000 AND row_number() OVER w <= 15",
-    "catalog_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ("acts", "customer", "documents", "events", "lineitem", "message_v2", "orders", "part")),
+    "catalog_counts": "WITH c AS (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in TABLES) + ") SELECT * FROM c UNION ALL SELECT 'all', CAST(sum(n) AS BIGINT) FROM c",
     "sort_nulls_last": "SELECT doc_id, published_on FROM documents ORDER BY published_on ASC NULLS LAST, doc_id LIMIT 200",
     "or_fallback_columns": "SELECT b.id, b.title, v.outcome FROM (SELECT DISTINCT id, coalesce(nullif(short_title_fr, ''), nullif(short_title_en, ''), name_en) AS title FROM bills_bill) b JOIN (SELECT DISTINCT bill_id, CASE result WHEN 'Y' THEN 'Passed' WHEN 'N' THEN 'Failed' WHEN 'T' THEN 'Tie' ELSE result END AS outcome FROM bills_votequestion) v ON b.id = v.bill_id",
 }

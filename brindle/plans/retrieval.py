@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import text as tx
 from brindle.functions.vector import is_valid
 from brindle.operators import ranking as rk
-from brindle.operators.retrieval import search
+from brindle.operators.retrieval import SOURCES, search, search_by_reference, search_source
+from brindle.session import cut_lineage
 from brindle.tables import load
 
 
@@ -19,8 +22,10 @@ def _resources(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _queries(resources: DataFrame) -> DataFrame:
-    term = F.regexp_extract(F.lower(F.coalesce("text", F.lit(""))), "[a-z]{8,}", 0)
-    return resources.filter("resource_id % 100 = 0").select(F.col("resource_id").alias("query_id"), "vector", "language", F.array(term).alias("terms"))
+    """Every row whose id is divisible by 100 is a query, with up to three words of its own text as terms."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{8,}"), 0)
+    terms = F.slice(F.array_distinct(words), 1, (F.col("resource_id") / 100 % 3).cast("int") + 1)
+    return resources.filter("resource_id % 100 = 0").select(F.col("resource_id").alias("query_id"), "vector", "language", terms.alias("terms"))
 
 
 def _plain(found: DataFrame) -> DataFrame:
@@ -43,6 +48,53 @@ def per_source_topk(spark: SparkSession, base: str) -> DataFrame:
     return _plain(search(_queries(r), r, 3, 0.0, per_source=True))
 
 
+def _numbered(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """Queries and resources with the bill number that their text names; sources as parliament's kinds, by id."""
+    r = _resources(spark, base)
+    kind = F.element_at(F.array(*map(F.lit, SOURCES)), (F.col("resource_id") % len(SOURCES)).cast("int") + 1)
+    r = r.withColumn("source_type", kind).withColumn("reference", tx.bill_number(F.col("text")))
+    q = _queries(r).join(r.select(F.col("resource_id").alias("query_id"), "reference"), "query_id")
+    return q.withColumn("terms", F.array().cast("array<string>")), r
+
+
+def source_searches(spark: SparkSession, base: str) -> DataFrame:
+    """Each query within each of parliament's source types; bills and vote questions by the number that a query names."""
+    q, r = _numbered(spark, base)
+    q, r = cut_lineage(q), cut_lineage(r)
+    return reduce(DataFrame.unionByName, [search_source(q, r, source, 3, 0.1).withColumn("source_type", F.lit(source)) for source in SOURCES])
+
+
+def reference_search(spark: SparkSession, base: str) -> DataFrame:
+    """Resources that name the same bill as the query, in English, the ten nearest."""
+    q, r = _numbered(spark, base)
+    return search_by_reference(q, r.filter("language = 'en'"), 10, -0.2)
+
+
+def filtered_search(spark: SparkSession, base: str) -> DataFrame:
+    """A search with a further condition on resources, in the query's language if it has any there."""
+    q, r = _numbered(spark, base)
+    return search_source(q, r, "hansard", 5, 0.0, F.length("text") > 300, fallback=True)
+
+
+def variant_search(spark: SparkSession, base: str) -> DataFrame:
+    """Each query with its two reformulations, whose words take the place of its terms; the best row of each resource."""
+    r = _resources(spark, base)
+    q = _queries(r).join(r.select(F.col("resource_id").alias("query_id"), "text"), "query_id")
+    wordings = F.concat(F.array(F.array_join("terms", " ")), tx.reformulations(F.coalesce("text", F.lit("")), F.col("language")))
+    words = F.filter(F.split(F.lower("wording"), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    v = q.select("query_id", "vector", "language", F.posexplode(wordings).alias("variant", "wording")).select((F.col("query_id") * 3 + F.col("variant")).alias("query_id"), "vector", "language", words.alias("terms"))
+    found = search(v, r, 10, 0.2).withColumn("list_id", F.floor(F.col("query_id") / 3)).withColumn("similarity", F.col("score"))
+    best = found.groupBy("list_id", "resource_id").agg(F.max("similarity").alias("similarity"))
+    return rk.reranked(best, F.desc("similarity"), F.col("resource_id")).filter("rank <= 10").select("list_id", "resource_id", "similarity", "rank")
+
+
+def scored_rerank(spark: SparkSession, base: str) -> DataFrame:
+    """The chain of ranking with a scorer of one's own in place of the similarity, and a least score."""
+    c = candidates(spark, base).withColumn("similarity", F.col("similarity"))
+    out = rk.rerank_pipeline(c, ["resource_id"], 8, scorer=F.round(F.lit(1.0) / (F.lit(1) + F.col("resource_id") % 17), 6))
+    return out.filter(F.col("similarity") >= 0.1).withColumn("similarity", F.round("similarity", 6)).select(*COLUMNS)
+
+
 def cosine_topk(spark: SparkSession, base: str) -> DataFrame:
     e = load(spark, base, "embeddings").select(F.col("vec_id").alias("resource_id"), F.lit(None).cast("string").alias("source_type"), F.lit(None).cast("string").alias("language"), F.col("embedding").alias("vector"), F.lit(None).cast("string").alias("text"))
     q = e.filter("resource_id % 100 = 0").select(F.col("resource_id").alias("query_id"), "vector", "language", F.array().cast("array<string>").alias("terms"))
@@ -124,16 +176,18 @@ QUERIES = {
     "slot_allocation": _ranking(lambda c: rk.slots(c, ["legal_section", "bill_summary"], ["hansard"], 2, 8)),
     "multi_query_union_dedup": multi_query_union_dedup, "source_diversity": source_diversity, "heuristic_rerank": heuristic_rerank,
     "rerank_pipeline": rerank_pipeline, "definition_boost": definition_boost, "snippet_citations": snippet_citations,
+    "source_searches": source_searches, "reference_search": reference_search, "filtered_search": filtered_search, "variant_search": variant_search, "scored_rerank": scored_rerank,
     "top_per_type": top_per_type, "allowed_citations": allowed_citations, "valid_vectors": valid_vectors,
 }
 
 _R = r"r AS (SELECT d.doc_id AS id, lower(trim(d.source)) AS source_type, lower(trim(d.lang)) AS language, CAST(e.embedding AS DOUBLE[]) AS v, regexp_extract_all(lower(coalesce(d.text, '')), '[\p{L}\p{N}]+') AS tokens, d.text FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"
-_Q = "q AS (SELECT id AS query_id, v, language, regexp_extract(lower(coalesce(text, '')), '[a-z]{8,}') AS term FROM r WHERE id % 100 = 0)"
-_PAIRS = "p0 AS (SELECT q.query_id, r.id AS resource_id, r.source_type, r.language, list_cosine_similarity(q.v, r.v) AS c, CASE WHEN q.term <> '' THEN len(list_filter(r.tokens, lambda w: w = q.term)) ELSE 0 END AS tf, coalesce({lang} = r.language, false) AS own FROM q CROSS JOIN r), p AS (SELECT *, round(c, 6) AS cosine, round(tf / (tf + 1.0), 6) AS keyword, round(0.7 * c + 0.3 * (tf / (tf + 1.0)), 6) AS score FROM p0)"
+_TERMS = "(WITH w AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{8,}')) AS t, generate_subscripts(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{8,}'), 1) AS i) SELECT list(t ORDER BY i) FROM (SELECT t, min(i) AS i FROM w GROUP BY t ORDER BY i LIMIT 3))"
+_Q = f"q AS (SELECT id AS query_id, v, language, coalesce({_TERMS}[1:(id // 100) % 3 + 1], []) AS terms FROM r WHERE id % 100 = 0)"
+_PAIRS = "p1 AS (SELECT q.query_id, r.id AS resource_id, r.source_type, r.language, list_cosine_similarity(q.v, r.v) AS c, list_transform(q.terms, lambda t: len(list_filter(r.tokens, lambda w: w = t))) AS tfs, coalesce({lang} = r.language, false) AS own FROM q CROSS JOIN r), p0 AS (SELECT *, CASE WHEN len(tfs) > 0 AND len(list_filter(tfs, lambda n: n = 0)) = 0 THEN list_avg(list_transform(tfs, lambda n: n / (n + 1.0))) ELSE 0 END AS kw FROM p1), p AS (SELECT *, round(c, 6) AS cosine, round(kw, 6) AS keyword, round(0.7 * c + 0.3 * kw, 6) AS score FROM p0)"
 
 
 def _search_sql(k: int, threshold: float, by: str = "query_id", lang: str = "q.language", fallback: bool = False) -> str:
-    keep = "f AS (SELECT *, max(CAST(own AS INT)) OVER (PARTITION BY query_id) AS any_own FROM p WHERE round(c, 6) >= {t} OR tf > 0)".format(t=threshold)
+    keep = "f AS (SELECT *, max(CAST(own AS INT)) OVER (PARTITION BY query_id) AS any_own FROM p WHERE round(c, 6) >= {t} OR kw > 0)".format(t=threshold)
     where = "WHERE own OR any_own = 0" if fallback else ""
     return f"{_R}, {_Q}, {_PAIRS.format(lang=lang)}, {keep}, s AS (SELECT query_id, resource_id, source_type, language, cosine, keyword, score, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, resource_id) AS rank FROM f {where} QUALIFY rank <= {k})"
 
@@ -174,7 +228,17 @@ def _slots_sql(of: str, primary: str, secondary: str, cap: int, limit: int) -> s
 _SEARCHED = "SELECT query_id, resource_id, source_type, language, cosine, keyword, score, rank FROM s"
 _SNIPPET = r"""WITH_SNIP AS (SELECT c.list_id, c.resource_id, c.rank, trim(regexp_replace(coalesce(d.text, ''), '[\s\x0B]+', ' ', 'g')) AS t FROM c JOIN documents d ON d.doc_id = c.resource_id), h AS (SELECT *, left(t, 480) AS head FROM WITH_SNIP), e AS (SELECT *, greatest(CASE WHEN instr(head, '. ') > 0 THEN length(head) - instr(reverse(head), ' .') ELSE 0 END, CASE WHEN instr(head, '? ') > 0 THEN length(head) - instr(reverse(head), ' ?') ELSE 0 END, CASE WHEN instr(head, '! ') > 0 THEN length(head) - instr(reverse(head), ' !') ELSE 0 END) AS last FROM h), sn AS (SELECT list_id, resource_id, rank, CASE WHEN length(t) <= 480 THEN t WHEN last > 200 THEN left(head, last) ELSE rtrim(head) || '…' END AS snippet FROM e)"""
 
+_NUMBERED = f"WITH {_R}, n AS (SELECT id, v, language, text, [{', '.join(repr(x) for x in SOURCES)}][id % {len(SOURCES)} + 1] AS kind, nullif(upper(regexp_extract(text, '\\b([CScs]-\\d+)\\b', 1)), '') AS ref FROM r), x AS (SELECT q.id AS query_id, n.id AS resource_id, n.kind, n.text, n.language, q.language AS own, q.ref AS qref, n.ref, round(list_cosine_similarity(q.v, n.v), 6) AS cosine FROM n q CROSS JOIN n WHERE q.id % 100 = 0)"
+_BEST = "row_number() OVER (PARTITION BY query_id, kind ORDER BY round(0.7 * cosine, 6) DESC, resource_id)"
+_WORDED = "list_filter(regexp_split_to_array(lower(wording), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+_VARIANTS = "v0 AS (SELECT query_id, v, language, terms, nullif(upper(regexp_extract(coalesce((SELECT text FROM documents WHERE doc_id = query_id), ''), '\\b([CScs]-\\d+)\\b', 1)), '') AS bill FROM q), v1 AS (SELECT query_id, v, unnest([array_to_string(terms, ' '), CASE WHEN bill IS NULL THEN CASE WHEN coalesce(language, '') = 'fr' THEN 'Contexte parlementaire lié' ELSE 'Related parliamentary context' END WHEN coalesce(language, '') = 'fr' THEN 'Résumé du projet de loi ' || bill ELSE 'Summary of Bill ' || bill END, CASE WHEN bill IS NULL THEN CASE WHEN coalesce(language, '') = 'fr' THEN 'Informations officielles pertinentes' ELSE 'Relevant official information' END WHEN coalesce(language, '') = 'fr' THEN 'Contexte et statut du projet de loi ' || bill ELSE 'Context and status of Bill ' || bill END]) AS wording, unnest([0, 1, 2]) AS variant FROM v0), v2 AS (SELECT query_id, variant, v, list_distinct({w}) AS terms FROM v1), vp AS (SELECT v2.query_id, variant, r.id AS resource_id, list_cosine_similarity(v2.v, r.v) AS c, list_transform(v2.terms, lambda t: len(list_filter(r.tokens, lambda w: w = t))) AS tfs FROM v2 CROSS JOIN r), vs AS (SELECT *, CASE WHEN len(tfs) > 0 AND len(list_filter(tfs, lambda n: n = 0)) = 0 THEN list_avg(list_transform(tfs, lambda n: n / (n + 1.0))) ELSE 0 END AS kw FROM vp), vk AS (SELECT query_id, variant, resource_id, round(0.7 * c + 0.3 * kw, 6) AS score FROM vs WHERE round(c, 6) >= 0.2 OR kw > 0 QUALIFY row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, resource_id) <= 10)".format(w=_WORDED)
+
 ORACLE = {
+    "source_searches": f"{_NUMBERED}, g AS (SELECT query_id, resource_id, cosine, kind AS source_type, CASE WHEN kind IN ('bill', 'vote_question') AND qref IS NOT NULL THEN row_number() OVER (PARTITION BY query_id, kind ORDER BY cosine DESC, resource_id) ELSE {_BEST} END AS rank FROM x WHERE CASE WHEN kind IN ('bill', 'vote_question') AND qref IS NOT NULL THEN ref = qref AND cosine >= CASE kind WHEN 'bill' THEN 0.5 ELSE 0.1 END ELSE cosine >= 0.1 END) SELECT * FROM g WHERE rank <= 3",
+    "reference_search": f"{_NUMBERED} SELECT query_id, resource_id, ref AS reference, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, resource_id) AS rank FROM x WHERE language = 'en' AND ref = qref AND cosine >= -0.2 QUALIFY rank <= 10",
+    "filtered_search": f"{_NUMBERED}, h AS (SELECT *, coalesce(own = language, false) AS mine FROM x WHERE kind = 'hansard' AND length(text) > 300 AND cosine >= 0), a AS (SELECT *, max(mine::INT) OVER (PARTITION BY query_id) AS any_mine FROM h) SELECT query_id, resource_id, cosine, {_BEST} AS rank FROM a WHERE mine OR any_mine = 0 QUALIFY rank <= 5",
+    "variant_search": f"WITH {_R}, {_Q}, {_VARIANTS} SELECT query_id AS list_id, resource_id, max(score) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, resource_id) AS rank FROM vk GROUP BY query_id, resource_id QUALIFY rank <= 10",
+    "scored_rerank": f"{_lists()}, sc AS (SELECT list_id, resource_id, source_type, round(1.0 / (1 + resource_id % 17), 6) AS similarity, rank AS old FROM c), sr AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY similarity DESC, old) AS rank FROM sc), f24 AS (SELECT * FROM sr WHERE rank <= 24), {_diverse('sr', 'f24')} SELECT {_OUT} FROM ({_ADAPT.format(o='list_id, resource_id, source_type, similarity', ratio=0.7, floor=0.1, of='d')}) WHERE rank <= 8 AND similarity >= 0.1",
     "hybrid_search": f"WITH {_search_sql(10, 0.2)} {_SEARCHED}",
     "hybrid_lang_fallback": f"WITH {_search_sql(10, 0.2, lang=chr(40) + 'CASE WHEN q.query_id % 200 = 0 THEN ' + chr(39) + 'xx' + chr(39) + ' ELSE q.language END' + chr(41), fallback=True)} {_SEARCHED}",
     "per_source_topk": f"WITH {_search_sql(3, 0.0, by='query_id, source_type')} {_SEARCHED}",

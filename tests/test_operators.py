@@ -103,6 +103,24 @@ def test_search_by_loops_in_blocks(spark):
     for kw in ({}, {"fallback": True}, {"per_source": True}):
         one = {tuple(r) for r in search(queries, resources, 5, 0.3, **kw).collect()}
         assert one == {tuple(r) for r in search(queries, resources, 5, 0.3, block=1, **kw).collect()} and one
+    from brindle.operators import retrieval
+
+    one = {tuple(r) for r in search(queries, resources, 5, 0.3).collect()}
+    with pytest.MonkeyPatch.context() as m:  # in one process: the parts and the rows held do not change the result
+        scored = retrieval._scorer
+        def small(block, *args):
+            run = scored(block, *args)
+            def limited(batches):
+                retrieval.SCORED_AT_ONCE, retrieval.HELD = 2, 7
+                return run(batches)
+            return limited
+        m.setattr(retrieval, "_scorer", small)
+        assert {tuple(r) for r in search(queries, resources, 5, 0.3).collect()} == one
+    near = retrieval.search_by_reference(queries.withColumn("reference", F.when(F.col("query_id") < 3, "en")), resources.withColumnRenamed("language", "reference"), 4, -1.0).collect()
+    for q, v in ((1, [1.0, 0, 0, 0]), (2, [0, 1.0, 0, 0])):
+        cos = lambda w: sum(a * b for a, b in zip(v, w)) / sum(b * b for b in w) ** 0.5  # noqa: B023, E731
+        want = sorted((r for r in rows if r[2] == "en" and r[3]), key=lambda r: (-round(cos(r[3]), 5), r[0]))[:4]
+        assert [r["resource_id"] for r in sorted(near, key=lambda r: r["rank"]) if r["query_id"] == q] == [r[0] for r in want]
     hit = search(queries.filter("query_id = 1"), resources, 200, 2.0).collect()
     assert {r["resource_id"] for r in hit} == {r[0] for r in rows if r[4] in ("Grain law", "law law GRAIN")}
     assert search(queries.limit(0), resources, 5, 0.3).count() == 0 and search(queries, resources.limit(0), 5, 0.3).count() == 0
