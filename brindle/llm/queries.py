@@ -101,7 +101,18 @@ QUERIES = {
 _WS = r"\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _LONG = "length(regexp_replace(regexp_replace(regexp_replace({x}, '\\r\\n?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[" + _WS.replace("{", "{{").replace("}", "}}") + "]+|[" + _WS.replace("{", "{{").replace("}", "}}") + "]+$', '', 'g')) > 6144"
 _HAS_TEXT = f"len(list_filter(json_extract(j, '$[*]'), lambda x: json_extract_string(x, '$.type') = 'text' AND json_type(x, '$.text') = 'VARCHAR' AND regexp_matches(json_extract_string(x, '$.text'), '[^{_WS}]'))) > 0"
+_PARTS_TEXT = f"array_to_string(list_filter(list_transform(list_filter(json_extract(j, '$[*]'), lambda x: json_extract_string(x, '$.type') = 'text' AND json_type(x, '$.text') = 'VARCHAR'), lambda x: json_extract_string(x, '$.text')), lambda x: regexp_matches(x, '[^{_WS}]')), chr(10))"
+_CHATS = (
+    f"m AS (SELECT DISTINCT id, chat_id, lower(regexp_replace(role, '^[{_WS}]+|[{_WS}]+$', '', 'g')) AS role, TRY_CAST(parts AS JSON) AS j, created_at FROM message_v2 WHERE chat_id IS NOT NULL), "
+    f"f AS (SELECT *, coalesce(json_type(j) = 'ARRAY', false) AS arr, coalesce({_HAS_TEXT}, false) AS has_text FROM m), "
+    "t AS (SELECT chat_id, role, has_text, count(*) FILTER (role = 'user') OVER (PARTITION BY chat_id ORDER BY created_at, role <> 'user', id ROWS UNBOUNDED PRECEDING) AS g FROM f WHERE role IN ('user', 'assistant')), "
+    "grp AS (SELECT chat_id, g, bool_or(role = 'assistant' AND has_text) AS answered, bool_or(role = 'user' AND NOT has_text) AS mute FROM t GROUP BY ALL), "
+    "bad AS (SELECT chat_id, bool_or(g = 0 OR NOT answered) AS open, bool_or(mute) AS mute FROM grp GROUP BY chat_id), "
+    "why AS (SELECT f.chat_id, CASE WHEN bool_or(created_at IS NULL OR role IS NULL OR role NOT IN ('user', 'assistant', 'system') OR NOT arr) THEN 'broken' WHEN count(*) FILTER (role <> 'system') = 0 THEN 'empty' WHEN any_value(bad.mute) THEN 'empty_turn' WHEN any_value(bad.open) THEN 'missing_reply_or_opening' END AS reason FROM f LEFT JOIN bad USING (chat_id) GROUP BY f.chat_id)"
+)
 ORACLE = {
+    "p2_reasons": f"WITH {_CHATS} SELECT reason, count(*) AS chats FROM why WHERE reason IS NOT NULL GROUP BY reason",
+    "p2_conversations": f"WITH {_CHATS} SELECT chat_id, row_number() OVER (PARTITION BY chat_id ORDER BY created_at, role <> 'user', id) - 1 AS turn, role, {_PARTS_TEXT} AS text, created_at FROM f WHERE chat_id IN (SELECT chat_id FROM why WHERE reason IS NULL)",
     "p2_found": f"WITH m AS (SELECT DISTINCT id, chat_id, lower(regexp_replace(role, '^[{_WS}]+|[{_WS}]+$', '', 'g')) AS role, TRY_CAST(parts AS JSON) AS j, created_at FROM message_v2 WHERE chat_id IS NOT NULL), f AS (SELECT *, coalesce(json_type(j) = 'ARRAY', false) AS arr, coalesce({_HAS_TEXT}, false) AS has_text FROM m), t AS (SELECT chat_id, role, has_text, count(*) FILTER (role = 'user') OVER (PARTITION BY chat_id ORDER BY created_at, role <> 'user', id ROWS UNBOUNDED PRECEDING) AS g FROM f WHERE role IN ('user', 'assistant')), grp AS (SELECT chat_id, g, bool_or(role = 'assistant' AND has_text) AS answered, bool_or(role = 'user' AND NOT has_text) AS mute FROM t GROUP BY ALL) SELECT chat_id FROM f GROUP BY chat_id HAVING bool_or(created_at IS NULL OR role IS NULL OR role NOT IN ('user', 'assistant', 'system') OR NOT arr) OR count(*) FILTER (role <> 'system') = 0 UNION SELECT chat_id FROM grp WHERE g = 0 OR mute OR NOT answered",
     "p4_found": f"SELECT DISTINCT 'chunk_input' AS table_name, item_id FROM chunk_input WHERE {_LONG.format(x='content')} UNION ALL SELECT DISTINCT 'hansards_statement', id FROM hansards_statement WHERE {_LONG.format(x='content_fr')}",
 }
