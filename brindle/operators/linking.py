@@ -46,23 +46,33 @@ def link_terms(terms: DataFrame) -> DataFrame:
     return done.unionByName(pass3)
 
 
+#: Pieces that a name is cut into at most, and characters of a piece at least.
+PIECES, PIECE_CHARS = 12, 4
+
+
 def near_matches(df: DataFrame, id_col: str, group: str, name: str, most: int = 3) -> DataFrame:
     """Pairs of different names of a group within a small edit distance: the group, ``name_a``, ``name_b``, ``distance``.
 
     Names of five letters and more, of about the same length; the distance may be a quarter of the first name's length, 2 at
-    least and ``most`` at most. Names are reduced to distinct ones first. Two names within distance d share one of d + 1
-    equal parts of the shorter at nearly its place; only pairs that share a piece are compared, never a whole group's.
+    least and ``most`` at most. Names are reduced to distinct ones first.
+
+    A name is cut into up to ``PIECES`` pieces. ``most`` edits break as many of them at most, so that of any ``most + 1``
+    pieces of the shorter name one stands in the longer one, at nearly its place. The pieces looked up are the rarest ones,
+    so that a beginning that many names share is no hot key; only names that share such a piece are compared.
     """
-    names = df.select(F.col(group).alias("g"), F.lower(name).alias("s"), F.col(id_col).alias("i")).filter("length(s) >= 5").groupBy("g", "s").agg(F.count(F.lit(1)).alias("n"))
-    # every name is cut for each length a partner may have; the piece of the shorter name is looked up in the longer one
-    parts = most + 1
+    names = df.select(F.col(group).alias("g"), F.lower(name).alias("s")).filter("length(s) >= 5").distinct()
+    pieces = lambda size: F.greatest(F.lit(most + 1), F.least(F.lit(PIECES), F.floor(size / PIECE_CHARS))).cast("int")
+    edge = lambda p, size: F.floor(p * size / pieces(size)).cast("int")
     size = F.length("s")
-    cut = names.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("lo", F.floor(F.col("p") * size / parts).cast("int")).withColumn("hi", F.floor((F.col("p") + 1) * size / parts).cast("int"))
-    short = cut.select("g", "s", F.col("n").alias("n"), F.col("p"), F.col("lo"), F.substring(F.col("s"), F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("piece"), size.alias("len"))
-    slides = names.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(5), size - most), size))).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    slides = slides.withColumn("lo", F.floor(F.col("p") * F.col("len") / parts).cast("int")).withColumn("hi", F.floor((F.col("p") + 1) * F.col("len") / parts).cast("int")).withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("lo") - most), F.col("lo") + most)))
-    long_ = slides.select("g", F.col("s").alias("t"), F.col("n").alias("m"), "p", "len", F.substring(F.col("s"), F.col("at") + 1, F.col("hi") - F.col("lo")).alias("piece")).distinct()
-    pairs = short.join(long_, ["g", "p", "len", "piece"]).filter((F.col("s") != F.col("t")) & ((F.length("s") < F.length("t")) | (F.col("s") < F.col("t")))).select("g", "s", "t", "n", "m").distinct()
+    cut = names.withColumn("len", size).withColumn("p", F.explode(F.sequence(F.lit(0), pieces(size) - 1)))
+    cut = cut.withColumn("lo", edge(F.col("p"), F.col("len"))).withColumn("piece", F.substring(F.col("s"), F.col("lo") + 1, edge(F.col("p") + 1, F.col("len")) - F.col("lo")))
+    often = cut.groupBy("g", "p", "len", "piece").agg(F.count(F.lit(1)).alias("often"))
+    rarest = F.row_number().over(Window.partitionBy("g", "s").orderBy("often", "p"))  # ``PIECES`` rows
+    short = cut.join(often, ["g", "p", "len", "piece"]).withColumn("place", rarest).filter(F.col("place") <= most + 1).select("g", "p", "len", "piece", "s")
+    slides = names.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(5), size - most), size))).withColumn("p", F.explode(F.sequence(F.lit(0), pieces(F.col("len")) - 1)))
+    slides = slides.withColumn("lo", edge(F.col("p"), F.col("len"))).withColumn("hi", edge(F.col("p") + 1, F.col("len"))).withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("lo") - most), F.col("lo") + most)))
+    long_ = slides.select("g", "p", "len", F.substring(F.col("s"), F.col("at") + 1, F.col("hi") - F.col("lo")).alias("piece"), F.col("s").alias("t")).distinct()
+    pairs = short.join(long_, ["g", "p", "len", "piece"]).filter((F.col("s") != F.col("t")) & ((F.length("s") < F.length("t")) | (F.col("s") < F.col("t")))).select("g", "s", "t").distinct()
     both = pairs.withColumn("distance", F.levenshtein("s", "t")).withColumn("name_a", F.least("s", "t")).withColumn("name_b", F.greatest("s", "t"))
     allowed = F.greatest(F.least(F.lit(most), F.floor(F.length("name_a") / 4)), F.lit(2))
     return both.filter(F.col("distance") <= allowed).select(F.col("g").alias(group), "name_a", "name_b", "distance")
@@ -78,10 +88,19 @@ def repeated_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
 
 
-def sequence_breaks(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
-    """Rows whose ``value`` does not exceed the one before in the group."""
-    before = F.lag(value).over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("before", before).filter(F.col(value) <= F.col("before"))
+def sequence_breaks(df: DataFrame, group: str, order: list[str], value: str, stretch: Column | None = None) -> DataFrame:
+    """Rows whose ``value`` does not exceed the one before in the group, with that as ``before``.
+
+    ``stretch`` cuts a group into parts that follow each other in ``order`` (the day of a time), so that no task sorts a
+    whole group; the last value of a part is carried into the next one.
+    """
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(group).alias("_g"), (F.lit(0) if stretch is None else stretch).alias("_s"), F.struct(*order).alias("_o"), F.col(value).alias("_v"))
+    inner = Window.partitionBy("_g", "_s").orderBy("_o")
+    placed = rows.withColumn("_b", F.lag("_v").over(inner)).withColumn("_first", F.row_number().over(inner) == 1)
+    ends = rows.groupBy("_g", "_s").agg(F.max_by("_v", "_o").alias("_end"))
+    carried = ends.select(F.col("_g").alias("_eg"), F.col("_s").alias("_es"), F.lag("_end").over(Window.partitionBy("_g").orderBy("_s")).alias("_into"))
+    joined = placed.join(carried, F.col("_g").eqNullSafe(F.col("_eg")) & F.col("_s").eqNullSafe(F.col("_es")), "left")
+    return joined.withColumn("before", F.when(F.col("_first"), F.col("_into")).otherwise(F.col("_b"))).filter(F.col("_v") <= F.col("before")).select("_row.*", "before")
 
 
 def violations(df: DataFrame, **rules: Column) -> DataFrame:

@@ -101,7 +101,11 @@ def trailing_count(df: DataFrame, by: str, time: str, hours: int, name: str = "t
 
 
 def running_size(df: DataFrame, by: str, order: str, size: Column, cap: int, rows: int) -> DataFrame:
-    """The first ``rows`` rows of each key while their sizes add up to ``cap`` at most; ``running`` is the sum."""
+    """The first ``rows`` rows of each key while their sizes add up to ``cap`` at most; ``running`` is the sum.
+
+    A key is cut to its first rows before the shuffle, so that no task sorts all rows of one.
+    """
     seen = Window.partitionBy(by).orderBy(order)
-    counted = df.withColumn("running", F.sum(size).over(seen.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(seen))
-    return counted.filter((F.col("running") <= cap) & (F.col("_n") <= rows)).drop("_n")
+    first = df.withColumn("_n", F.row_number().over(seen)).filter(F.col("_n") <= rows)
+    counted = first.withColumn("running", F.sum(size).over(seen.rowsBetween(Window.unboundedPreceding, 0)))
+    return counted.filter(F.col("running") <= cap).drop("_n")

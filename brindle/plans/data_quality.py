@@ -177,4 +177,42 @@ def _sql_p3(columns: str | None) -> str:
     return f"{_sql_references()} SELECT {columns} FROM ({orphans}) o"
 
 
-ORACLE = {"p1_found": _sql_p1(), "p3_found": _sql_p3("table_name, row_id, field_name"), "p3_orphans": _sql_p3("table_name, row_id, field_name, kind, key, o.at, status"), "p3_report": _sql_p3(None)}
+def _unwrapped(x: str, levels: int = 3) -> str:
+    """A JSON value; a string that holds JSON as that JSON, up to so many levels."""
+    for _ in range(levels):
+        x = f"(SELECT CASE WHEN json_type(v) = 'VARCHAR' THEN TRY_CAST(json_extract_string(v, '$') AS JSON) ELSE v END FROM (SELECT {x} AS v))"
+    return x
+
+
+def _elements_sql(name: str, source: str, value: str) -> str:
+    """The objects of the array ``value`` of each row of ``source`` (``id``, ``place``) as ``name``: ``id``, ``place``, ``pos``, ``e``."""
+    count = "CASE json_type(v) WHEN 'ARRAY' THEN CAST(json_array_length(v) AS INT) WHEN 'OBJECT' THEN 1 ELSE 0 END"
+    rows = f"SELECT id, place, v, unnest(range(0, {count}))::INT AS pos FROM (SELECT id, place, {_unwrapped(value)} AS v FROM {source})"
+    return f"{name} AS (SELECT * FROM (SELECT id, place, pos, CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[' || pos || ']') ELSE v END AS e FROM ({rows})) WHERE json_type(e) = 'OBJECT')"
+
+
+def _nested_sql(out: str) -> str:
+    latest = lambda t, columns: f"SELECT id, -1 AS place, {columns} FROM {t} QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1"
+    member = lambda x, m: f"(SELECT CASE WHEN json_type(w) = 'OBJECT' THEN json_extract(w, '$.{m}') END FROM (SELECT {_unwrapped(x)} AS w))"
+    ctes = [
+        f"ac AS ({latest('acts', 'TRY_CAST(preamble AS JSON) AS p, TRY_CAST(signature_blocks AS JSON) AS s')})", f"rs AS ({latest('leg_resources', 'TRY_CAST(metadata AS JSON) AS m')})",
+        _elements_sql("pre", "ac", "p"), _elements_sql("blk", "ac", "s"), "bl AS (SELECT id, pos AS place, e FROM blk)", _elements_sql("lin", "bl", "json_extract(e, '$.lines')"),
+        _elements_sql("stg", "rs", member(member("m", "billHistory"), "stages")), _elements_sql("amd", "rs", member("m", "recentAmendments")),
+    ]
+    return f"WITH {', '.join(ctes)} {out}"
+
+
+_ITEMS = {"preamble": ("acts", "pre"), "signature_block": ("acts", "blk"), "signature_line": ("acts", "lin"), "stage": ("leg_resources", "stg"), "amendment": ("leg_resources", "amd")}
+
+
+def _fields_sql(item: str, *fields: str) -> str:
+    cells = ", ".join(f"json_extract_string(e, '$.{f}') AS {f}" for f in fields)
+    return _nested_sql(f"SELECT id AS parent_id, place AS outer_pos, pos, {cells} FROM {_ITEMS[item][1]}")
+
+
+NESTED_ORACLE = {
+    "p5_found": _nested_sql(" UNION ALL ".join(f"SELECT '{t}' AS table_name, id AS parent_id, '{item}' AS item, place AS outer_pos, pos FROM {cte}" for item, (t, cte) in _ITEMS.items())),
+    "p5_preamble": _fields_sql("preamble", "text", "marginalNote"), "p5_signature_blocks": _fields_sql("signature_block", "witnessClause", "doneAt"),
+    "p5_signature_lines": _fields_sql("signature_line", "signatureName", "signatureTitle", "signatureDate", "signatureLocation"), "p5_stages": _fields_sql("stage", "stage", "date"), "p5_amendments": _fields_sql("amendment", "citation", "date", "link"),
+}
+ORACLE = {"p1_found": _sql_p1(), "p3_found": _sql_p3("table_name, row_id, field_name"), "p3_orphans": _sql_p3("table_name, row_id, field_name, kind, key, o.at, status"), "p3_report": _sql_p3(None)} | NESTED_ORACLE

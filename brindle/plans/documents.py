@@ -145,8 +145,9 @@ def unique_keys(spark: SparkSession, base: str) -> DataFrame:
 
 
 def sequence_gaps(spark: SparkSession, base: str) -> DataFrame:
-    h = load(spark, base, "hansards_statement").select("id", "document_id", "sequence", "statement_time").distinct()
-    return ln.sequence_breaks(h, "document_id", ["statement_time", "id"], "sequence").select("id", "document_id", "sequence", "before")
+    """Statements whose length does not exceed that of the one before in their document."""
+    h = load(spark, base, "hansards_statement").select("id", "document_id", F.col("wordcount").alias("sequence"), "statement_time").distinct()
+    return ln.sequence_breaks(h, "document_id", ["statement_time", "id"], "sequence", F.date_trunc("hour", "statement_time")).select("id", "document_id", "sequence", "before")
 
 
 QUERIES = {f.__name__: f for f in (language_detect, ref_number_extract, normalize_terms, sentence_split, estimate_tokens, scalar_functions, query_reformulations, mention_flags, unit_counts, bilingual_expand, citation_links, paired_resources, three_pass_link, near_match_levenshtein, verify_diff, integrity_fk, integrity_totals, vote_sums, unique_keys, sequence_gaps)}
@@ -269,5 +270,5 @@ ORACLE = {
     "integrity_totals": "WITH v AS (SELECT DISTINCT * FROM bills_votequestion) " + " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER (NOT ({r})) AS rows FROM v" for n, r in _CHECKS.items()),
     "vote_sums": "SELECT l_orderkey, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1 HAVING a + n + r >= 7 AND abs(a - r) < 2",
     "unique_keys": "SELECT document_id, sequence, count(*) AS rows FROM hansards_statement GROUP BY ALL HAVING count(*) > 1",
-    "sequence_gaps": "WITH h AS (SELECT DISTINCT id, document_id, sequence, statement_time FROM hansards_statement), w AS (SELECT *, lag(sequence) OVER (PARTITION BY document_id ORDER BY statement_time NULLS FIRST, id) AS before FROM h) SELECT id, document_id, sequence, before FROM w WHERE sequence <= before",
+    "sequence_gaps": "WITH h AS (SELECT DISTINCT id, document_id, wordcount AS sequence, statement_time FROM hansards_statement), w AS (SELECT *, lag(sequence) OVER (PARTITION BY document_id ORDER BY statement_time NULLS FIRST, id) AS before FROM h) SELECT id, document_id, sequence, before FROM w WHERE sequence <= before",
 }

@@ -275,7 +275,7 @@ def integrity_keys(spark: SparkSession, base: str) -> DataFrame:
 def sequence_breaks(spark: SparkSession, base: str) -> DataFrame:
     """Events of a user whose value does not exceed the one before."""
     e = load(spark, base, "events").select("event_id", "user_id", "ts", "value")
-    return ln.sequence_breaks(e, "user_id", ["ts", "event_id"], "value").select("event_id", "user_id", "value", "before")
+    return ln.sequence_breaks(e, "user_id", ["ts", "event_id"], "value", F.date_trunc("day", "ts")).select("event_id", "user_id", "value", "before")
 
 
 def new_model(spark: SparkSession, base: str) -> DataFrame:

@@ -212,6 +212,28 @@ def test_candidates_and_near_names(spark):
     assert got == want and len(want) > 100
 
 
+def test_names_that_share_a_beginning(spark):
+    """All names begin alike; the pieces looked up are those that tell them apart."""
+    rng = random.Random(4)
+    names = ["an act to establish a fund for " + "".join(rng.choice("abcdefghij") for _ in range(14)) for _ in range(150)]
+    names += [n[:-1] for n in names[:30]] + [n[:35] + "x" + n[36:] for n in names[30:60]] + [n + "yz" for n in names[60:80]]
+    got = {(r["name_a"], r["name_b"], r["distance"]) for r in ln.near_matches(spark.createDataFrame([(i, "g", n) for i, n in enumerate(names)], "i int, g string, n string"), "i", "g", "n").collect()}
+    assert got == {(a, b, d) for a in set(names) for b in set(names) if a < b and (d := edit(a, b)) <= 3} and len(got) >= 80
+
+
+def test_sequence_breaks_over_stretches(spark):
+    rng, t0 = random.Random(6), dt.datetime(2024, 1, 1)
+    rows = [(i, rng.choice(["hot", "hot", "b", None]), t0 + dt.timedelta(hours=rng.randrange(400)), rng.choice([None, *range(6)]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, g string, t timestamp_ntz, v int, _v int")
+    want = set()
+    for g in ("hot", "b", None):
+        own = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0]))
+        want |= {(y[0], x[3]) for x, y in zip(own, own[1:]) if x[3] is not None and y[3] is not None and y[3] <= x[3]}
+    for stretch in (None, F.date_trunc("day", "t"), F.date_trunc("hour", "t")):
+        assert {(r["id"], r["before"]) for r in ln.sequence_breaks(df, "g", ["t", "id"], "v", stretch).collect()} == want
+    assert ln.sequence_breaks(df.limit(0), "g", ["t", "id"], "v").count() == 0
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
