@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # French function words, accents and accent folding.
-FRENCH_WORDS = "le la les de du des un une que qui est sont pour dans avec sur par ce cette ces au aux en et ou mais donc parlement député gouvernement ministre".split()
+FRENCH_WORDS = ["le", "la", "les", "de", "du", "des", "un", "une", "que", "qui", "est", "sont", "pour", "dans", "avec", "sur", "par", "ce", "cette", "ces", "au", "aux", "en", "et", "ou", "mais", "donc", "parlement", "député", "gouvernement", "ministre"]
 FRENCH_PHRASES = ["projet de loi"]
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 BILL_NUMBER = r"(?i)\b([CS]-\d+)\b"
@@ -114,6 +114,14 @@ def reformulations(query: Column, lang: Column) -> Column:
     return F.when(bill.isNotNull(), F.when(lang == "fr", fr).otherwise(en)).otherwise(F.when(lang == "fr", fixed_fr).otherwise(fixed_en))
 
 
+def historical_notes(notes: Column, lang: Column) -> Column:
+    """Notes (``text``, ``made``) as one closing paragraph; the date follows a note whose text does not give it."""
+    either = lambda en, fr: F.when(lang == "fr", fr).otherwise(en)
+    told = lambda n: F.coalesce((n["made"] != "") & ~n["text"].contains(n["made"]), F.lit(False))
+    parts = F.transform(notes, lambda n: F.concat(n["text"], F.when(told(n), F.concat(either(" (enacted: ", " (édicté: "), n["made"], F.lit(")"))).otherwise("")))
+    return F.when(F.size(notes) > 0, F.concat(F.lit("\n\n"), either("History: ", "Historique: "), F.array_join(parts, "; ")))
+
+
 def marker_type(marker: Column) -> Column:
     """The level of a provision's marker such as ``(1)``, ``(a)``, ``(ii)`` or ``(A)``; null for other texts."""
     inner = F.substring(marker, 2, 1_000_000)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.operators.relational import numbered_within
 from brindle.session import cut_lineage
 
 #: Most leftover rows of one key that are paired over a dense table of costs; keys beyond go through a sparse network.
@@ -177,18 +178,6 @@ def transport(x: np.ndarray, y: np.ndarray, have: np.ndarray, want: np.ndarray)
     return np.concatenate([i, a[p]]), np.concatenate([j, b[q]]), np.concatenate([units, more])
 
 
-def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, salts: int = 64) -> DataFrame:
-    """Row numbers from 1 within each key, without one task per key: numbers within salted parts plus offsets."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    sizes = salted.groupBy(*keys, "_salt").count()
-    before = F.sum("count").over(Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_salt").alias("_s"), F.coalesce(before, F.lit(0)).alias("_before"))
-    inner = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_salt") == F.col("_s")]
-    joined = salted.withColumn("_inner", inner).join(offsets, reduce(lambda a, b: a & b, same))
-    return joined.withColumn(name, F.col("_inner") + F.col("_before")).drop("_salt", "_inner", "_before", "_s", *[f"_k_{k}" for k in keys])
-
-
 def diff_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], exact_rows: int = EXACT_ROWS) -> DataFrame:
     """One row per difference between two tables that hold ``keys`` and ``fields``.
 
@@ -256,7 +245,7 @@ def _pair_up(f: list[str], side: str):
 def _pair_in_order(large: DataFrame, k: list[str], f: list[str]) -> DataFrame:
     """Pairs for keys with very many leftovers of one field: all pairs differ in it, so numbered rows are paired."""
     rest = large.select(*k, *f, "_n").withColumn("_u", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_n"))))
-    a, b = (number_within(rest.filter(side), k, [*f, "_u"], "_i") for side in ("_n > 0", "_n < 0"))
+    a, b = (numbered_within(rest.filter(side), k, [*f, "_u"], "_i") for side in ("_n > 0", "_n < 0"))
     same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in k] + [F.col("a._i") == F.col("b._i")])
     both = a.alias("a").join(b.alias("b"), same, "full_outer")
     side = lambda t: F.when(F.col(f"{t}._n").isNotNull(), F.struct(*[F.col(f"{t}.{c}").alias(c) for c in f]))

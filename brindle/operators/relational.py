@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.session import cut_lineage
+
 
 def all_of(*conditions: Column | None) -> Column:
     """The conjunction of the conditions that are given."""
@@ -100,6 +102,36 @@ def trailing_count(df: DataFrame, by: str, time: str, hours: int, name: str = "t
     return counted.select("_row.*", F.col("_n").alias(name))
 
 
+def numbered_within(df: DataFrame, keys: list[str], order: list[str], name: str, salts: int = 64) -> DataFrame:
+    """Row numbers from 1 within each key, in no order that means anything, without one task per key: numbers within salted parts
+    plus offsets."""
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    sizes = salted.groupBy(*keys, "_salt").count()
+    before = F.sum("count").over(Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_salt").alias("_s"), F.coalesce(before, F.lit(0)).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_salt") == F.col("_s")]
+    joined = salted.withColumn("_inner", inner).join(offsets, reduce(lambda a, b: a & b, same))
+    return joined.withColumn(name, F.col("_inner") + F.col("_before")).drop("_salt", "_inner", "_before", "_s", *[f"_k_{k}" for k in keys])
+
+
+def placed(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Row numbers from 1 within each key in the given order, without one task per key.
+
+    All rows are range-partitioned by key and order; a task numbers its stretch of a key, to which the sizes of the
+    stretches before are added (a row a key and task). The sorted rows are written to the checkpoint folder, so that stretches
+    stay what they were counted as.
+    """
+    at = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    cut = cut_lineage(at.withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id()))
+    sizes = cut.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_seq").alias("_from"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.withColumn("_before", before).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p"), "_from", "_before")
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_part") == F.col("_p")]
+    joined = cut.join(starts, reduce(lambda a, b: a & b, same))
+    return joined.withColumn(name, F.col("_seq") - F.col("_from") + F.col("_before") + 1).select(*df.columns, name)
+
+
 def running_size(df: DataFrame, by: str, order: str, size: Column, cap: int, rows: int) -> DataFrame:
     """The first ``rows`` rows of each key while their sizes add up to ``cap`` at most; ``running`` is the sum.
 

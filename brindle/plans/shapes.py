@@ -318,7 +318,75 @@ def table_sizes(spark: SparkSession, base: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [load(spark, base, t).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows", F.lit(len(load(spark, base, t).columns)).alias("n_columns")) for t in TABLES])
 
 
-QUERIES = {f.__name__: f for f in (array_filters, json_containment, json_members, json_array_explode, json_equality, entity_fallback, valid_inputs, instrument_ids, cache_keys, cached_values, event_lines, replayed_events, display_dates, term_pairs, provision_scopes, corrected_titles, top_orders, line_details, dissenting_lines, referenced_acts, bill_votes, members_in_range, sorted_members, act_statistics, stored_totals, categories, top_of_documents, mention_checks, verification, integrity_rules, integrity_keys, sequence_breaks, new_model, named_subset, dump_tables, table_sizes)}
+def date_filters(spark: SparkSession, base: str) -> DataFrame:
+    """Orders before, after, on and between days, by their ISO text."""
+    o, day = load(spark, base, "orders").select("o_orderkey", "o_orderdate"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    cases = {"before": {"before": "1992-02-01"}, "after": {"after": "1998-07-01"}, "on": {"on": "1995-05-05"}, "between": {"between": ("1994-01-01", "1994-01-10")}}
+    hits = F.filter(F.array(*[F.when(rel.date_condition(day, **case), name) for name, case in cases.items()]), lambda x: x.isNotNull())
+    return o.select("o_orderkey", F.explode(hits).alias("filter"))
+
+
+def law_search(spark: SparkSession, base: str) -> DataFrame:
+    """Resources by kind, language and document, newest first, the third page of twenty; with how many there are."""
+    r = standing(load(spark, base, "leg_resources").select("id", "updated_at", "language", "source_type", "metadata", "resource_key"), ["id"], "updated_at")
+    hit = rel.all_of(F.col("source_type").isin("act_section", "act"), F.col("language") == "en", None, js.contains(F.col("metadata"), {"language": "en"}))
+    found = r.filter(hit)
+    page = found.orderBy(F.desc("updated_at"), "id").offset(40).limit(ck.clamped(20)).select("id", "resource_key", "updated_at")
+    return page.join(F.broadcast(found.agg(F.count(F.lit(1)).alias("total"))))  # one row
+
+
+def latest_vote(spark: SparkSession, base: str) -> DataFrame:
+    """Each bill's latest vote in its latest session: a join, then the greatest."""
+    b = standing(load(spark, base, "bills_bill").select("id", "bill_number", "session_id"), ["id"], None)
+    v = load(spark, base, "bills_votequestion").select("bill_id", "vote_date", F.col("id").alias("vote_id"), "result")
+    joined = b.join(v, b["id"] == v["bill_id"]).select("bill_number", "session_id", "vote_date", "vote_id", "result")
+    return rel.latest(joined, ["bill_number"], "session_id", "vote_date", "vote_id")
+
+
+def enumerated_members(spark: SparkSession, base: str) -> DataFrame:
+    """Customers by region and nation: complete lists with places, the largest nation of a region first."""
+    c, n, r = (load(spark, base, t) for t in ("customer", "nation", "region"))
+    sizes = c.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("members"))
+    order = F.row_number().over(Window.partitionBy("n_regionkey").orderBy(F.desc("members"), "n_name"))
+    nations = n.join(sizes, n["n_nationkey"] == sizes["c_nationkey"]).withColumn("nation_place", order).join(r, n["n_regionkey"] == r["r_regionkey"])  # a row a nation
+    numbered = rel.placed(c.select("c_nationkey", "c_custkey", "c_name"), ["c_nationkey"], ["c_name", "c_custkey"], "member_place")
+    return numbered.join(F.broadcast(nations.select("n_nationkey", "n_name", "r_name", "members", "nation_place")), F.col("c_nationkey") == F.col("n_nationkey")).select("r_name", "n_name", "nation_place", "members", "c_name", "member_place")
+
+
+def dimension_names(spark: SparkSession, base: str) -> DataFrame:
+    """Suppliers and customers of one nation and segment with names looked up; a missing one shows its id."""
+    o, c = load(spark, base, "orders").select("o_orderkey", "o_custkey"), load(spark, base, "customer").filter("c_mktsegment = 'BUILDING'")
+    return o.join(c.select("c_custkey", "c_name"), o["o_custkey"] == c["c_custkey"], "left").select("o_orderkey", F.coalesce("c_name", F.concat(F.lit("#"), F.col("o_custkey").cast("string"))).alias("who"))
+
+
+def message_limits(spark: SparkSession, base: str) -> DataFrame:
+    """How many user messages each chat has had in the day up to each of them, with the chat's first message: a join, then
+    trailing counts."""
+    m = standing(load(spark, base, "message_v2").select("id", "chat_id", F.lower(F.trim("role")).alias("role"), "created_at"), ["id"], None).filter("chat_id is not null and created_at is not null")
+    chats = m.groupBy("chat_id").agg(F.min("created_at").alias("begun"))
+    asked = m.filter("role = 'user'").join(chats, "chat_id")
+    return rel.trailing_count(asked, "chat_id", "created_at", 24).select("id", "chat_id", "begun", "trailing")
+
+
+def mock_types(spark: SparkSession, base: str) -> DataFrame:
+    """The kind of question that a text is, by its words; the first that fits."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    kinds = [("vote", "vote|voted|voix"), ("bill", "bill|projet de loi"), ("committee", "committee|comité"), ("member", "member|député")]
+    out = F.lit("general")
+    for name, pattern in reversed(kinds):
+        out = F.when(low.rlike(pattern), name).otherwise(out)
+    return load(spark, base, "documents").select("doc_id", out.alias("kind"))
+
+
+def note_texts(spark: SparkSession, base: str) -> DataFrame:
+    """Amendments of a resource as a closing paragraph of historical notes, in its language."""
+    r = _latest_resources(spark, base).select("id", "language", js.array_at(F.col("metadata"), "recentAmendments").alias("a")).filter("size(a) > 0")
+    get = lambda x, name: F.try_variant_get(x, f"$.{name}", "string")
+    notes = F.transform("a", lambda x: F.struct(F.coalesce(get(x, "citation"), F.lit("")).alias("text"), get(x, "date").alias("made")))
+    return r.select("id", tx.historical_notes(notes, F.col("language")).alias("notes"))
+
+
+QUERIES = {f.__name__: f for f in (array_filters, json_containment, json_members, json_array_explode, json_equality, entity_fallback, valid_inputs, instrument_ids, cache_keys, cached_values, event_lines, replayed_events, display_dates, term_pairs, provision_scopes, corrected_titles, top_orders, line_details, dissenting_lines, referenced_acts, bill_votes, members_in_range, sorted_members, act_statistics, stored_totals, categories, top_of_documents, mention_checks, verification, integrity_rules, integrity_keys, sequence_breaks, new_model, named_subset, dump_tables, table_sizes, date_filters, law_search, latest_vote, enumerated_members, dimension_names, message_limits, mock_types, note_texts)}
 
 _L = "r AS (SELECT * FROM leg_resources QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1)"
 _IS_ARRAY = "json_type(metadata, '$.recentAmendments') = 'ARRAY'"
@@ -378,5 +446,13 @@ ORACLE = {
     "new_model": "SELECT vec_id, CASE WHEN label = 2 AND vec_id % 2 = 0 THEN 'next' ELSE CAST(label AS VARCHAR) END AS model, round(CAST(embedding[1] AS DOUBLE) * CASE WHEN label = 2 AND vec_id % 2 = 0 THEN 2 ELSE 1 END, 6) AS first FROM embeddings",
     "named_subset": f"WITH {_L}, ac AS (SELECT DISTINCT {_sql_key('act_id')} AS id FROM acts), rg AS (SELECT DISTINCT {_sql_key('metadata->>' + chr(39) + 'regulationId' + chr(39))} AS id, {_sql_key('metadata->>' + chr(39) + 'enablingActId' + chr(39))} AS act FROM r), w AS (SELECT unnest(['D-1', 'H-1.2', 'NO-SUCH-1', 'SOR-2017-2', 'NO-SUCH-2']) AS id UNION SELECT id FROM rg WHERE act IN ('D-1', 'H-1.2', 'NO-SUCH-1', 'SOR-2017-2', 'NO-SUCH-2') AND id IS NOT NULL) SELECT id, id IN (SELECT id FROM ac WHERE id IS NOT NULL UNION SELECT id FROM rg WHERE id IS NOT NULL) AS known FROM w",
     "dump_tables": "SELECT 'parliament.part' AS table_name, CAST(p_partkey AS VARCHAR) AS c0, CASE WHEN p_partkey % 5 <> 0 THEN replace(p_name, ' ', chr(9)) END AS c1, CASE WHEN p_partkey % 5 <> 0 THEN replace(p_brand, ' ', chr(9)) END AS c2 FROM part UNION ALL SELECT 'parliament.nation', CAST(n_nationkey AS VARCHAR), CASE WHEN n_nationkey % 5 <> 0 THEN replace(n_name, ' ', chr(9)) END, CASE WHEN n_nationkey % 5 <> 0 THEN CAST(n_regionkey AS VARCHAR) END FROM nation",
+    "date_filters": " UNION ALL ".join(f"SELECT o_orderkey, '{n}' AS filter FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') {c}" for n, c in (("before", "< '1992-02-01'"), ("after", "> '1998-07-01'"), ("on", "= '1995-05-05'"), ("between", "BETWEEN '1994-01-01' AND '1994-01-10'"))),
+    "law_search": f"WITH {_L}, f AS (SELECT * FROM r WHERE source_type IN ('act_section', 'act') AND language = 'en' AND metadata->>'language' = 'en') SELECT id, resource_key, updated_at, (SELECT count(*) FROM f) AS total FROM f ORDER BY updated_at DESC, id LIMIT 20 OFFSET 40",
+    "latest_vote": "WITH b AS (SELECT id, bill_number, session_id FROM bills_bill QUALIFY row_number() OVER (PARTITION BY id ORDER BY bill_number DESC NULLS LAST, session_id DESC NULLS LAST) = 1) SELECT bill_number, b.session_id, vote_date, v.id AS vote_id, result FROM b JOIN bills_votequestion v ON b.id = v.bill_id QUALIFY row_number() OVER (PARTITION BY bill_number ORDER BY b.session_id DESC NULLS LAST, vote_date DESC NULLS LAST, v.id DESC, result DESC NULLS LAST) = 1",
+    "enumerated_members": "WITH s AS (SELECT n_nationkey, n_name, r_name, count(*) AS members FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY r_name ORDER BY members DESC, n_name) AS nation_place FROM s) SELECT r_name, n_name, nation_place, members, c_name, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_name, c_custkey) AS member_place FROM customer JOIN o ON c_nationkey = n_nationkey",
+    "dimension_names": "SELECT o_orderkey, coalesce(c_name, '#' || o_custkey) AS who FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey",
+    "message_limits": "WITH m AS (SELECT id, chat_id, lower(trim(role, ' ')) AS role, created_at FROM message_v2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY chat_id DESC NULLS LAST, lower(trim(role, ' ')) DESC NULLS LAST, created_at DESC NULLS LAST) = 1), k AS (SELECT *, min(created_at) OVER (PARTITION BY chat_id) AS begun FROM m WHERE chat_id IS NOT NULL AND created_at IS NOT NULL) SELECT id, chat_id, begun, count(*) OVER (PARTITION BY chat_id ORDER BY created_at RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS trailing FROM k WHERE role = 'user'",
+    "mock_types": "SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), 'vote|voted|voix') THEN 'vote' WHEN regexp_matches(lower(text), 'bill|projet de loi') THEN 'bill' WHEN regexp_matches(lower(text), 'committee|comité') THEN 'committee' WHEN regexp_matches(lower(text), 'member|député') THEN 'member' ELSE 'general' END AS kind FROM documents",
+    "note_texts": f"WITH {_L}, x AS (SELECT id, language, unnest(range(0, CAST(json_array_length(metadata, '$.recentAmendments') AS INT)))::INT AS pos, metadata FROM r WHERE {_IS_ARRAY}), y AS (SELECT id, language, pos, coalesce(json_extract_string(metadata, '$.recentAmendments[' || pos || '].citation'), '') AS c, json_extract_string(metadata, '$.recentAmendments[' || pos || '].date') AS d FROM x) SELECT id, chr(10) || chr(10) || CASE WHEN language = 'fr' THEN 'Historique: ' ELSE 'History: ' END || string_agg(c || CASE WHEN d <> '' AND NOT contains(c, d) THEN CASE WHEN language = 'fr' THEN ' (édicté: ' ELSE ' (enacted: ' END || d || ')' ELSE '' END, '; ' ORDER BY pos) AS notes FROM y GROUP BY id, language",
     "table_sizes": " UNION ALL ".join(f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS n_rows, (SELECT count(*) FROM (DESCRIBE {t}))::INT AS n_columns" for t in TABLES),
 }

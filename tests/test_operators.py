@@ -412,6 +412,18 @@ def test_corrections_and_json(spark):
     assert all(r[0] for r in js.select(pv.comparable_json("a").eqNullSafe(pv.comparable_json("b")) == F.col("same")).collect())
 
 
+def test_places_of_a_hot_key(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([None, *range(30)])) for i in range(700)]
+    got = rel.placed(spark.createDataFrame(rows, "id int, k string, v int").repartition(7), ["k"], ["v", "id"], "place").collect()
+    want = {}
+    for k in ("hot", "b", None):
+        own = sorted((r for r in rows if r[1] == k), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+        want |= {r[0]: i + 1 for i, r in enumerate(own)}
+    assert {r["id"]: r["place"] for r in got} == want
+    assert rel.placed(spark.createDataFrame([], "id int, k string, v int"), ["k"], ["v"], "place").count() == 0
+
+
 def test_trailing_counts_of_a_hot_key(spark):
     rng, t0 = random.Random(3), dt.datetime(2024, 1, 1)
     rows = [(i, rng.choice([1, 1, 1, 2, None]), t0 + dt.timedelta(minutes=30 * rng.randrange(300)) if i % 25 else None, i) for i in range(400)]
