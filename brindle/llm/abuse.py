@@ -209,7 +209,8 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, w: np.ndarray | None =
     return w
 
 
-def fit(docs: list[tuple[str, bool]], common: dict[str, int] | None = None, n_docs: int = 0, c: float = 8.0, turns: int = 6, seed: int = 7) -> Model | None:
+def fit(docs: list[tuple[str, bool]], common: dict[str, int] | None = None, n_docs: int = 0, c: float = 8.0, turns: int = 6,
+    seed: int = 7) -> Model | None:
     """Fit on labelled texts. A text is abusive if one of its passages is, so the passages' labels are found in turns.
 
     ``common`` tells in how many of all ``n_docs`` documents a word occurs: only passages with a word that is ``LIFT``
@@ -260,7 +261,8 @@ def fit(docs: list[tuple[str, bool]], common: dict[str, int] | None = None, n_do
     return model
 
 
-def _turn(value: np.ndarray, bag: np.ndarray, maybe: np.ndarray, negative: np.ndarray, bad_bag: np.ndarray, c: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _turn(value: np.ndarray, bag: np.ndarray, maybe: np.ndarray, negative: np.ndarray, bad_bag: np.ndarray, c: float) -> tuple[np.ndarray, np.ndarray,
+    np.ndarray]:
     """Label and cost of each passage by the values found, and whether it is used: the worst suspected one of each abusive
     text is abusive, others if they look it; of texts that are settled so, what looks harmless is."""
     best = np.full(len(bad_bag), -np.inf)
@@ -312,7 +314,8 @@ def word_frequencies(documents: DataFrame, docs: list[tuple[str, bool]]) -> tupl
                 counts.update(shared.value.intersection(map(_words.__getitem__, set(text.split()))))
         yield pa.RecordBatch.from_arrays([pa.array(["", *counts], pa.string()), pa.array([n, *counts.values()], pa.int64())], ["word", "n"])
 
-    rows = documents.filter("text is not null").select(F.col("text").cast("string")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = documents.filter("text is not null").select(F.col("text").cast("string")).mapInArrow(run,
+        "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
     found = {r["word"]: r["n"] for r in rows}
     return found, found.pop("", 0)
 
@@ -345,6 +348,8 @@ def score_documents(documents: DataFrame, model: Model | None) -> DataFrame:
                     known.update(zip(fresh[k : k + 400], scores(fresh[k : k + 400], model).tolist()))
                 best += [max((known[p] for p in ps), default=None) for ps in texts]
             bad = [s is not None and s > model.threshold for s in best]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.float64()), pa.array(bad, pa.bool_())], ["doc_id", "source", "score", "abusive"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.float64()), pa.array(bad, pa.bool_())],
+                ["doc_id", "source", "score", "abusive"])
 
-    return documents.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, source string, score double, abusive boolean")
+    return documents.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(run,
+        "doc_id bigint, source string, score double, abusive boolean")

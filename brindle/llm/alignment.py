@@ -102,9 +102,11 @@ def _costs(x: np.ndarray, y: np.ndarray, lack_a: np.ndarray, lack_b: np.ndarray,
     if n > 1:
         at(3, 2, 1)[:] = PRIOR[3] + _length_cost(pair_x[:, None], y[None, :], ratio) - (rows - NUMBER * lack_b[None, :])
     if m > 1:
-        at(4, 1, 2)[:] = PRIOR[4] + _length_cost(x[:, None], pair_y[None, :], ratio) - (fit[:, :-1] + fit[:, 1:] - NUMBER * (lack_a[:, None] + (lack_b[:-1] + lack_b[1:])[None, :]))
+        at(4, 1, 2)[:] = PRIOR[4] + _length_cost(x[:, None], pair_y[None, :], ratio) - (fit[:, :-1]
+            + fit[:, 1:] - NUMBER * (lack_a[:, None] + (lack_b[:-1] + lack_b[1:])[None, :]))
     if n > 1 and m > 1:
-        at(5, 2, 2)[:] = PRIOR[5] + _length_cost(pair_x[:, None], pair_y[None, :], ratio) - (rows[:, :-1] + rows[:, 1:] - NUMBER * (lack_b[:-1] + lack_b[1:])[None, :])
+        at(5, 2, 2)[:] = PRIOR[5] + _length_cost(pair_x[:, None], pair_y[None, :], ratio) - (rows[:, :-1]
+            + rows[:, 1:] - NUMBER * (lack_b[:-1] + lack_b[1:])[None, :])
         single = cost[0, 3:, 3:]
         at(6, 2, 2)[:] = PRIOR[6] + single[:-1, 1:] + single[1:, :-1]
     return cost
@@ -139,7 +141,8 @@ class _Document:
     def shares(self) -> tuple[list[int], list[int], list[float]]:
         """What each pair of sentences shares: left, right and weight of every anchor that both have."""
         left, right, weight = [], [], []
-        for rows_a, rows_b, known, scale, more in ((self.word_a, self.word_b, self.words, SHARED, 0.0), (self.num_a, self.num_b, self.numbers, 1.5 * SHARED, 2 * NUMBER)):
+        for rows_a, rows_b, known, scale, more in ((self.word_a, self.word_b, self.words, SHARED, 0.0),
+            (self.num_a, self.num_b, self.numbers, 1.5 * SHARED, 2 * NUMBER)):
             places: dict[str, list[int]] = {x: [] for x in known}
             for j, anchors in enumerate(rows_b):
                 for x in anchors:
@@ -163,7 +166,8 @@ class _Document:
         i1, j1 = min(self.n, (r + 1) * WINDOW), min(self.m, (c + 1) * WINDOW)
         p, q = slice(i0, i1), slice(j0, j1)
         same = _shared(self.num_a[p], self.num_b[q], None)
-        fit = SHARED * (_shared(self.word_a[p], self.word_b[q], self.words) + 1.5 * _shared(self.num_a[p], self.num_b[q], self.numbers)) + 2 * NUMBER * same
+        fit = SHARED * (_shared(self.word_a[p], self.word_b[q], self.words)
+            + 1.5 * _shared(self.num_a[p], self.num_b[q], self.numbers)) + 2 * NUMBER * same
         cost = _costs(self.x[p, None], self.y[q, None], self.lack_a[p, None], self.lack_b[q, None], fit[:, :, None], self.ratio)
         table = np.full((i1 - i0 + 3, j1 - j0 + 3, 1), np.inf)
         if r:
@@ -315,7 +319,8 @@ def _aligner(keys: int, ratio: float, split: bool):
                     found = [[(p[i], q[j]) for i, j in own] for own, (p, q) in zip(pairs, places)]
                 rows = pa.array(np.repeat(np.arange(len(found)), [len(own) for own in found]))
                 lefts, rights = (pa.array([pair[side] for own in found for pair in own], pa.int32()) for side in (0, 1))
-                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(rows) for k in range(keys)], lefts, rights], [*batch.schema.names[:keys], "en_pos", "fr_pos"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(rows) for k in range(keys)], lefts, rights],
+                    [*batch.schema.names[:keys], "en_pos", "fr_pos"])
 
     return run
 

@@ -64,8 +64,10 @@ def _read(with_text: bool):
                     symbols.append(BROKEN)
                 else:
                     symbols.append((USER if text else TEXTLESS_USER) if role == "user" else (ASSISTANT if text else TEXTLESS_ASSISTANT))
-            out = [batch.column(0), batch.column(1), batch.column(4), pa.array([0 if r == "user" else 1 for r in roles], pa.int8()), pa.array(symbols, pa.int8())]
-            yield pa.RecordBatch.from_arrays(out + [batch.column(2), pa.array(texts, pa.string())] * with_text, ["id", "chat_id", "at", "later", "symbol", "role", "text"][: 7 if with_text else 5])
+            out = [batch.column(0), batch.column(1), batch.column(4), pa.array([0 if r == "user" else 1 for r in roles], pa.int8()),
+                pa.array(symbols, pa.int8())]
+            yield pa.RecordBatch.from_arrays(out + [batch.column(2), pa.array(texts, pa.string())] * with_text,
+                ["id", "chat_id", "at", "later", "symbol", "role", "text"][: 7 if with_text else 5])
 
     return run
 
@@ -79,7 +81,8 @@ def ordered_messages(messages: DataFrame, with_text: bool) -> DataFrame:
     role = F.lower(F.regexp_replace("role", r"(?U)^\s+|(?<!\s)\s+$", ""))
     columns = messages.select("id", "chat_id", role.alias("role"), "parts", F.col("created_at").alias("at")).filter("chat_id is not null")
     schema = "id string, chat_id string, at timestamp_ntz, later tinyint, symbol tinyint" + ", role string, text string" * with_text
-    read = columns.select(F.col("id").cast("string"), F.col("chat_id").cast("string"), "role", "parts", F.col("at").cast("timestamp_ntz")).mapInArrow(_read(with_text), schema)
+    read = columns.select(F.col("id").cast("string"), F.col("chat_id").cast("string"), "role", "parts", F.col("at")
+        .cast("timestamp_ntz")).mapInArrow(_read(with_text), schema)
     rest = [c for c in read.columns if c != "id"]
     same = F.when(F.col("id").isNull(), F.xxhash64(*rest))
     once = read.groupBy("id", same.alias("_same")).agg(F.max(F.struct(*rest)).alias("_m")).select("id", "_m.*")
@@ -106,7 +109,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _segment_batch(out: dict[str, list[int]], part: int) -> pa.RecordBatch:
     col = lambda i: pa.array([v[i] for v in out.values()], pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array([part] * len(out), pa.int32()), col(0), col(1), col(2)], ["chat_id", "part", "made", "symbols", "size"])
+    return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array([part] * len(out), pa.int32()), col(0), col(1), col(2)],
+        ["chat_id", "part", "made", "symbols", "size"])
 
 
 #: A packed map applied to a state, in SQL.
@@ -129,7 +133,8 @@ def reason(state: str = "state", symbols: str = "symbols"):
     """Why a chat is left out, the gravest reason first; null if it is kept."""
     has = lambda s: F.col(symbols).bitwiseAND(F.lit(1 << s)) != 0
     empty = F.col(symbols).bitwiseAND(F.lit(~(1 << SYSTEM))) == 0
-    return F.when(F.col(state) == ANSWERED, None).when(has(BROKEN), "broken").when(empty, "empty").when(has(TEXTLESS_USER), "empty_turn").otherwise("missing_reply_or_opening")
+    return F.when(F.col(state) == ANSWERED, None).when(has(BROKEN), "broken").when(empty, "empty").when(has(TEXTLESS_USER),
+        "empty_turn").otherwise("missing_reply_or_opening")
 
 
 def refused_chats(messages: DataFrame) -> DataFrame:
@@ -147,11 +152,13 @@ def conversations(messages: DataFrame) -> DataFrame:
     The turn number is the place within the partition's stretch of the chat plus the sizes of its stretches before.
     """
     ordered = cut_lineage(_numbered(ordered_messages(messages, with_text=True)))
-    sizes = ordered.groupBy("chat_id", "part").agg(F.count(F.lit(1)).alias("size"), F.bit_or("symbols").alias("symbols"), F.max(F.struct("place", "made")).alias("last"))
+    sizes = ordered.groupBy("chat_id", "part").agg(F.count(F.lit(1)).alias("size"), F.bit_or("symbols").alias("symbols"),
+        F.max(F.struct("place", "made")).alias("last"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("chat_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     made = F.expr(f"aggregate(array_sort(collect_list(struct(part, last.made as made)) over (partition by chat_id)), {START}, {APPLY})")
     kept = sizes.withColumn("state", made).withColumn("before", before).filter(F.col("state") == ANSWERED).select("chat_id", "part", "before")
-    return ordered.join(kept, ["chat_id", "part"]).select("chat_id", (F.col("place") + F.col("before")).alias("turn"), "role", "text", F.col("at").alias("created_at"))
+    return ordered.join(kept, ["chat_id", "part"]).select("chat_id", (F.col("place") + F.col("before")).alias("turn"), "role", "text", F.col("at")
+        .alias("created_at"))
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +174,10 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place += 1
         n = batch.num_rows
         symbols = pa.array([1 << s for s in batch.column(4).to_pylist()], pa.int32())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], symbols, pa.array([part] * n, pa.int32()), pa.array(places, pa.int64()), pa.array(maps, pa.int32())], ["chat_id", "at", "role", "text", "symbols", "part", "place", "made"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], symbols, pa.array([part] * n, pa.int32()), pa.array(places, pa.int64()),
+            pa.array(maps, pa.int32())], ["chat_id", "at", "role", "text", "symbols", "part", "place", "made"])
 
 
 def _numbered(ordered: DataFrame) -> DataFrame:
-    return ordered.select("chat_id", "at", "role", "text", "symbol").mapInArrow(_number, "chat_id string, at timestamp_ntz, role string, text string, symbols int, part int, place bigint, made int")
+    return ordered.select("chat_id", "at", "role", "text", "symbol").mapInArrow(_number,
+        "chat_id string, at timestamp_ntz, role string, text string, symbols int, part int, place bigint, made int")

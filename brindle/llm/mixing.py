@@ -78,7 +78,8 @@ def balance(sizes: DataFrame, wanted: list[Goal], held: dict[str, int], docs: di
         r = _rate(F.col("level"), F.col("tilt"), x, F.col("cap"))
         slope = r * (1 - r / F.col("cap"))
         c = F.col("count")
-        sums = sizes.join(F.broadcast(now), "source").groupBy("source").agg(F.sum(c * r).alias("g0"), F.sum(c * r * x).alias("g1"), F.sum(c * slope).alias("h0"), F.sum(c * slope * x).alias("h1"), F.sum(c * slope * x * x).alias("h2")).collect()
+        sums = sizes.join(F.broadcast(now), "source").groupBy("source").agg(F.sum(c * r).alias("g0"), F.sum(c * r * x).alias("g1"), F.sum(c * slope)
+            .alias("h0"), F.sum(c * slope * x).alias("h1"), F.sum(c * slope * x * x).alias("h2")).collect()
         for s in sums:
             goal = of[s["source"]].tokens * docs[s["source"]] / held[s["source"]]  # in mean lengths; as many documents
             off = np.array([s["g0"] - goal, s["g1"] - goal])
@@ -105,11 +106,15 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: float | None = None)
     table gives an empty one.
     """
     spark = docs.sparkSession
-    sized = cut_lineage(docs.select("doc_id", source_name(F.col("source")).alias("source"), F.coalesce(F.col("n_tokens"), F.lit(0)).cast("bigint").alias("n_tokens")))
-    aims = [(r["source"], float(r["share"]), int(r["cap"])) for r in targets.groupBy(source_name(F.col("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).filter("source is not null and share is not null and cap is not null").orderBy("source").collect()]
+    sized = cut_lineage(docs.select("doc_id", source_name(F.col("source")).alias("source"), F.coalesce(F.col("n_tokens"), F.lit(0)).cast("bigint")
+        .alias("n_tokens")))
+    aims = [(r["source"], float(r["share"]), int(r["cap"])) for r in targets.groupBy(source_name(F.col("source")).alias("source"))
+        .agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap"))
+        .filter("source is not null and share is not null and cap is not null").orderBy("source").collect()]
     known = spark.createDataFrame([(s,) for s, _, _ in aims], "source string")
     sizes = cut_lineage(sized.filter("n_tokens > 0").join(F.broadcast(known), "source").groupBy("source", "n_tokens").count())
-    sums = {r["source"]: (r["tokens"], r["docs"]) for r in sizes.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("count")).alias("tokens"), F.sum("count").alias("docs")).collect()}
+    sums = {r["source"]: (r["tokens"], r["docs"]) for r in sizes.groupBy("source")
+        .agg(F.sum(F.col("n_tokens") * F.col("count")).alias("tokens"), F.sum("count").alias("docs")).collect()}
     held, number = {s: v[0] for s, v in sums.items()}, {s: v[1] for s, v in sums.items()}
     wanted = goals(aims, held, total)
     dual = balance(sizes, wanted, held, number)
@@ -120,7 +125,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: float | None = None)
     rated = sized.join(solved, "source", "left").withColumn("rate", F.when((F.col("n_tokens") > 0) & F.col("cap").isNotNull(), tilted).otherwise(0.0))
     low = F.least(F.floor("rate"), F.col("cap").cast("bigint"))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(20)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rated = rated.withColumn("low", F.coalesce(low, F.lit(0))).withColumn("z", chance - (F.col("rate") - F.col("low"))).withColumn("may", (F.col("low") < F.col("cap")) & (F.col("rate") > F.col("low")))
+    rated = rated.withColumn("low", F.coalesce(low, F.lit(0))).withColumn("z", chance - (F.col("rate") - F.col("low"))).withColumn("may",
+        (F.col("low") < F.col("cap")) & (F.col("rate") > F.col("low")))
     rated = cut_lineage(rated.drop("level", "tilt", "mean", "full"))
     edges, short = _thresholds(rated, {g.source: g.tokens for g in wanted})
     cut = F.broadcast(spark.createDataFrame([(s, float(e), float(short[s])) for s, e in edges.items()], "source string, edge double, short double"))
@@ -131,7 +137,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: float | None = None)
     if picks:
         chosen = F.broadcast(spark.createDataFrame(picks, "source string, n_tokens bigint, most int"))
         place = F.row_number().over(Window.partitionBy("source", "n_tokens").orderBy("z", "doc_id"))
-        extra = behind.join(chosen, ["source", "n_tokens"]).withColumn("place", place).filter(F.col("place") <= F.least("most", F.lit(max(n for *_, n in picks)))).select(F.col("doc_id").alias("_id"), F.lit(True).alias("_extra"))
+        extra = behind.join(chosen, ["source", "n_tokens"]).withColumn("place",
+            place).filter(F.col("place") <= F.least("most", F.lit(max(n for *_, n in picks)))).select(F.col("doc_id").alias("_id"), F.lit(True)
+            .alias("_extra"))
         rated = rated.join(extra, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
         up = up | F.coalesce("_extra", F.lit(False))
     return rated.select("doc_id", "source", "n_tokens", "rate", (F.col("low") + up.cast("bigint")).cast("int").alias("copies"))
@@ -141,13 +149,15 @@ def _thresholds(rated: DataFrame, goal: dict[str, float]) -> tuple[dict[str, flo
     """For each source, where to cut ``z`` so that the tokens come near to the goal without exceeding it, and how many are
     then short: sums by bins, then within one bin."""
     spark = rated.sparkSession
-    base = {r["source"]: r["t"] for r in rated.filter("cap is not null").groupBy("source").agg(F.sum(F.col("low") * F.col("n_tokens")).alias("t")).collect()}
+    base = {r["source"]: r["t"] for r in rated.filter("cap is not null").groupBy("source").agg(F.sum(F.col("low") * F.col("n_tokens")).alias("t"))
+        .collect()}
     span = {s: (-1.0, 2.0 / BINS) for s in goal}
     left = {s: goal[s] - base.get(s, 0) for s in goal}
     edges = dict.fromkeys(goal, 0.0)
     for last in (False, True):
         bounds = F.broadcast(spark.createDataFrame([(s, lo, w) for s, (lo, w) in span.items()], "source string, lo double, w double"))
-        binned = rated.filter("may").join(bounds, "source").withColumn("bin", F.floor((F.col("z") - F.col("lo")) / F.col("w"))).filter(F.col("bin").between(0, BINS - 1))
+        binned = rated.filter("may").join(bounds, "source").withColumn("bin", F.floor((F.col("z") - F.col("lo")) / F.col("w"))).filter(F.col("bin")
+            .between(0, BINS - 1))
         found: dict[str, np.ndarray] = {s: np.zeros(BINS) for s in goal}
         for r in binned.groupBy("source", "bin").agg(F.sum("n_tokens").alias("t")).collect():  # sources times bins at most
             found[r["source"]][r["bin"]] = r["t"]
@@ -189,10 +199,13 @@ def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
 
     Sources of the targets without documents, and sources without target (null too), have their row.
     """
-    have = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"))
-    aim = targets.groupBy(source_name(F.col("source")).alias("s")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    have = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.sum("copies").alias("copies"),
+        F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"))
+    aim = targets.groupBy(source_name(F.col("source")).alias("s")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeats")
+        .alias("max_repeats"))
     both = have.join(aim, F.col("source").eqNullSafe(F.col("s")), "full_outer")
     whole = mixed.agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("whole"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     share = F.when(F.col("whole") > 0, F.coalesce(F.col("mixed_tokens"), F.lit(0)) / F.col("whole")).otherwise(0.0)
-    return both.join(F.broadcast(whole)).select(F.coalesce("source", "s").alias("source"), zero("documents"), zero("tokens"), zero("copies"), zero("mixed_tokens"), share.alias("actual_share"), "target_share", "max_repeats")
+    return both.join(F.broadcast(whole)).select(F.coalesce("source", "s").alias("source"), zero("documents"), zero("tokens"), zero("copies"),
+        zero("mixed_tokens"), share.alias("actual_share"), "target_share", "max_repeats")

@@ -85,7 +85,8 @@ def split_items(df: DataFrame, id_col: str, text_col: str, limit: int = LIMIT, o
         raise ValueError("overlap must be less than limit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["item_id", "chunk_index", "n_pieces", "start", "end", "item_chars", "text"], [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        names, kinds = ["item_id", "chunk_index", "n_pieces", "start", "end", "item_chars", "text"], [pa.string(), pa.int32(), pa.int32(), pa.int64(),
+            pa.int64(), pa.int64(), pa.string()]
         flush = lambda rows: pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
         for batch in batches:
             rows, size = [], 0
@@ -102,4 +103,5 @@ def split_items(df: DataFrame, id_col: str, text_col: str, limit: int = LIMIT, o
                 yield flush(rows)
 
     schema = "item_id string, chunk_index int, n_pieces int, start bigint, end bigint, item_chars bigint, text string"
-    return df.select(F.col(f"`{id_col}`").cast("string").alias("item_id"), cleaned(F.col(f"`{text_col}`").cast("string")).alias("text")).filter("text <> ''").mapInArrow(run, schema)
+    return df.select(F.col(f"`{id_col}`").cast("string").alias("item_id"), cleaned(F.col(f"`{text_col}`").cast("string"))
+        .alias("text")).filter("text <> ''").mapInArrow(run, schema)

@@ -102,7 +102,8 @@ def _over_texts(df: DataFrame, text_col: str, tokenizer: str | None, name: str,
                 sizes, ids = encoder.encode(part.column(len(keep)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], column(sizes, ids)], [*keep, name])
 
-    schema = df.select(*[F.col(f"`{c}`") for c in keep], F.lit(None).cast({"list<element: int32>": "array<int>"}.get(str(kind), "bigint")).alias(name)).schema
+    schema = df.select(*[F.col(f"`{c}`") for c in keep], F.lit(None).cast({"list<element: int32>": "array<int>"}.get(str(kind), "bigint"))
+        .alias(name)).schema
     return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_text")).mapInArrow(run, schema)
 
 
@@ -114,7 +115,8 @@ def encode_texts(df: DataFrame, text_col: str, tokenizer: str | None = None, nam
     replaced.
     """
     df = df.drop(name) if name != text_col else df
-    lists = lambda sizes, ids: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.fromiter(ids, np.int32, int(sizes.sum()))))
+    lists = lambda sizes, ids: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()),
+        pa.array(np.fromiter(ids, np.int32, int(sizes.sum()))))
     return _over_texts(df, text_col, tokenizer, name, pa.list_(pa.field("element", pa.int32())), lists)
 
 

@@ -57,12 +57,14 @@ def test_alignment_does_not_depend_on_the_window(medium, monkeypatch):
 def test_alignment_of_odd_rows(spark):
     said = "The vote was 212 to 9. Costs rose by 4.5% in Ostrand. We will oppose it!"
     rendered = "Il y a eu 212 voix contre 9. À Ostrand, les coûts ont augmenté de 4,5 %. Nous nous y opposerons !"
-    rows = [(1, said, rendered, 0), (2, None, rendered, 0), (3, said, "", 0), (4, " ", None, 0), (5, (said + " ") * 500, (rendered + " ") * 500, 0), (None, said, rendered, 0)]
+    rows = [(1, said, rendered, 0), (2, None, rendered, 0), (3, said, "", 0), (4, " ", None, 0), (5, (said + " ") * 500, (rendered + " ") * 500, 0),
+        (None, said, rendered, 0)]
     df = spark.createDataFrame(rows, "k int, a string, b string, en_pos int")
     got = alignment.align_documents(df, ["k"], "a", "b").collect()
     assert {(r["k"], r["en_pos"], r["fr_pos"]) for r in got if r["k"] != 5} == {(k, i, i) for k in (1, None) for i in range(3)}
     assert sum(r["en_pos"] == r["fr_pos"] for r in got if r["k"] == 5) > 1400
-    lists = spark.createDataFrame([(1, ["Seed Act", None], ["", "Loi sur les semences"]), (2, None, ["x"]), (3, [], [])], "k int, a array<string>, b array<string>")
+    lists = spark.createDataFrame([(1, ["Seed Act", None], ["", "Loi sur les semences"]), (2, None, ["x"]), (3, [], [])],
+        "k int, a array<string>, b array<string>")
     assert [tuple(r) for r in alignment.align_documents(lists, ["k"], "a", "b").collect()] == [(1, 0, 1)]
     assert alignment.align_documents(df.limit(0), ["k"], "a", "b").count() == 0
 
@@ -85,8 +87,10 @@ def make_docs(spark, rows):
 def test_mixture_meets_shares_within_caps(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice([" Big", "big", "big"]), rng.randrange(1, 900), 0) for i in range(6000)]
-    rows += [(10_000 + i, "small", rng.randrange(1, 300), 0) for i in range(400)] + [(20_000, None, 50, 0), (20_001, "other", 50, 0), (20_002, "big", 0, 0), (20_003, "big", None, 0)]
-    targets = spark.createDataFrame([("BIG", 0.6, 1), ("small ", 0.3, 4), ("gone", 0.1, 9), (None, 0.2, 1)], "source string, target_share double, max_repeats int")
+    rows += [(10_000 + i, "small", rng.randrange(1, 300), 0) for i in range(400)] + [(20_000, None, 50, 0), (20_001, "other", 50, 0),
+        (20_002, "big", 0, 0), (20_003, "big", None, 0)]
+    targets = spark.createDataFrame([("BIG", 0.6, 1), ("small ", 0.3, 4), ("gone", 0.1, 9), (None, 0.2, 1)],
+        "source string, target_share double, max_repeats int")
     mixed = mixing.mix_sources(make_docs(spark, rows), targets).cache()
     got = {r["doc_id"]: r for r in mixed.collect()}
     assert set(got) == {r[0] for r in rows} and all(got[i]["copies"] == 0 for i in range(20_000, 20_004))
@@ -110,7 +114,8 @@ def test_few_large_documents_meet_their_share(spark):
     for trial in range(3):
         sizes = [rng.choice([16_340, 22_044, 9_000, *range(100, 2_500, 97)]) for _ in range(30)]
         rows = [(i, "few", n, 0) for i, n in enumerate(sizes)] + [(1000 + i, "many", rng.randrange(1, 400), 0) for i in range(3000)]
-        targets = spark.createDataFrame([("few", rng.choice([0.2, 0.31]), 3), ("many", 0.4, 1)], "source string, target_share double, max_repeats int")
+        targets = spark.createDataFrame([("few", rng.choice([0.2, 0.31]), 3), ("many", 0.4, 1)],
+            "source string, target_share double, max_repeats int")
         got = mixing.mix_sources(make_docs(spark, rows), targets).collect()
         tokens = {s: sum(r["copies"] * r["n_tokens"] for r in got if r["source"] == s) for s in ("few", "many")}
         aims = [(r["source"], r["target_share"], r["max_repeats"]) for r in targets.collect()]
@@ -157,12 +162,15 @@ def test_folding():
 
 def test_remembered_tokens_agree_with_the_patterns(medium):
     """But for letters at the beginning of a longer token, the words are those of the patterns over whole lines."""
-    rng, odd = random.Random(3), ["i", "d.", "i", "o", "t!", "n'y", "a", "y", "a-t-il", "foo-b", "\u00a8x", "x\u00a0y", "…", "Ｆｕｌｌ", "ﬁn", "w\u200bo", "s. t. u", "\u0301", "!!!", "ЅОЅ", "12", "e2e", "ça…", "\u2028", "\x85"]
-    texts = [t for t in pd.read_parquet(f"{medium}/documents.parquet").text if t] + [rng.choice([" ", "\n", "  "]).join(rng.choice(odd) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    rng, odd = random.Random(3), ["i", "d.", "i", "o", "t!", "n'y", "a", "y", "a-t-il", "foo-b", "\u00a8x", "x\u00a0y", "…", "Ｆｕｌｌ", "ﬁn", "w\u200bo",
+        "s. t. u", "\u0301", "!!!", "ЅОЅ", "12", "e2e", "ça…", "\u2028", "\x85"]
+    texts = [t for t in pd.read_parquet(f"{medium}/documents.parquet").text if t] + [rng.choice([" ", "\n", "  "])
+        .join(rng.choice(odd) for _ in range(rng.randrange(12))) for _ in range(3000)]
     checked = 0
     for text in texts:
         lines = text.split("\n")
-        if any(abuse._LONE in abuse._tokens[raw] or abuse._LONE_END in abuse._tokens[raw] for raw in text.split()) and any(abuse.re.match(r"[^\W_][^\w\s]", abuse.folded(raw)) for raw in text.split()):
+        if any(abuse._LONE in abuse._tokens[raw] or abuse._LONE_END in abuse._tokens[raw] for raw in text.split()) and any(
+            abuse.re.match(r"[^\W_][^\w\s]", abuse.folded(raw)) for raw in text.split()):
             continue
         checked += 1
         assert list(abuse.words_of(text)) == [w for line in lines for w in abuse.plain_words(line)], text
@@ -177,8 +185,10 @@ def test_held_out_accuracy(spark, medium):
     rng.shuffle(docs)
     half = len(docs) * 2 // 3
     common, n = abuse.word_frequencies(documents, docs[:half])
-    assert n == documents.filter("text is not null").count() and set(common) <= {w for t, _ in docs[:half] for p in abuse.passages(t) for w in p.split()}
-    assert len(abuse.labelled(spark.read.parquet(f"{base}/abuse_labels.parquet"), documents, 50)) in range(45, 51) and not abuse.labelled(spark.read.parquet(f"{base}/abuse_labels.parquet"), documents, 50, 3)
+    assert n == documents.filter("text is not null").count() and set(common) <= {w for t, _ in docs[:half] for p in abuse.passages(t)
+        for w in p.split()}
+    assert len(abuse.labelled(spark.read.parquet(f"{base}/abuse_labels.parquet"), documents, 50)) in range(45,
+        51) and not abuse.labelled(spark.read.parquet(f"{base}/abuse_labels.parquet"), documents, 50, 3)
     model = abuse.fit(docs[:half], common, n)
     right = wrong = lost = 0
     for text, bad in docs[half:]:
@@ -188,10 +198,13 @@ def test_held_out_accuracy(spark, medium):
 
 
 def test_scores_of_odd_texts(spark):
-    docs = spark.createDataFrame([(1, "a", None, 0.5), (2, None, "", 0.5), (3, "a", "!!! ...", 0.5), (4, "a", "you filthy vermin " * 50_000, 0.5), (5, "a", "the harbour is quiet", 0.5)], "doc_id long, source string, text string, score double")
-    model = abuse.fit([("you filthy vermin.", True), ("filthy vermin all of you", True), ("the harbour is quiet.", False), ("costs rose in the spring", False)])
+    docs = spark.createDataFrame([(1, "a", None, 0.5), (2, None, "", 0.5), (3, "a", "!!! ...", 0.5), (4, "a", "you filthy vermin " * 50_000, 0.5),
+        (5, "a", "the harbour is quiet", 0.5)], "doc_id long, source string, text string, score double")
+    model = abuse.fit([("you filthy vermin.", True), ("filthy vermin all of you", True), ("the harbour is quiet.", False),
+        ("costs rose in the spring", False)])
     got = {r["doc_id"]: r for r in abuse.score_documents(docs, model).collect()}
     assert [got[i]["score"] for i in (1, 2, 3)] == [None] * 3 and got[4]["abusive"] and not got[5]["abusive"]
-    assert abuse.word_frequencies(docs.limit(0), [("a b", True)]) == ({}, 0) and abuse.word_frequencies(docs, [("Filthy harbour?", True)]) == ({"filthy": 1, "harbour": 1}, 4)
+    assert abuse.word_frequencies(docs.limit(0), [("a b", True)]) == ({}, 0) and abuse.word_frequencies(docs,
+        [("Filthy harbour?", True)]) == ({"filthy": 1, "harbour": 1}, 4)
     assert abuse.fit([]) is None and abuse.fit([("a b", False)]) is None
     assert abuse.score_documents(docs, None).filter("abusive").count() == 0 and abuse.score_documents(docs.limit(0), model).count() == 0

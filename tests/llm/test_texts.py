@@ -37,7 +37,8 @@ def encoded(encoder, texts):
     return [[next(ids) for _ in range(n)] for n in sizes]
 
 
-@given(st.lists(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(list(" \t\n\r  　\u0085'stlrevmd.!aéП1"))), max_size=40), max_size=6))
+@given(st.lists(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(list(" \t\n\r  　\u0085'stlrevmd.!aéП1"))), max_size=40),
+    max_size=6))
 @settings(max_examples=1500, deadline=None)
 def test_fragments_give_the_ids_of_whole_texts(encoder, texts):
     assert encoded(encoder, texts) == [encoder.encoding.encode_ordinary(t) for t in texts]
@@ -155,7 +156,8 @@ def clean(t):
 
 def test_oversized_items(spark, medium):
     chunk, said = pd.read_parquet(f"{medium}/chunk_input.parquet"), pd.read_parquet(f"{medium}/hansards_statement.parquet")
-    want = {("chunk_input", r.item_id) for r in chunk.itertuples() if len(clean(r.content)) > 6144} | {("hansards_statement", r.id) for r in said.itertuples() if len(clean(r.content_fr)) > 6144}
+    want = {("chunk_input", r.item_id) for r in chunk.itertuples() if len(clean(r.content)) > 6144} | {("hansards_statement", r.id)
+        for r in said.itertuples() if len(clean(r.content_fr)) > 6144}
     got = [tuple(r) for r in q.p4_found(spark, medium).collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
     texts = {("chunk_input", r.item_id): clean(r.content) for r in chunk.itertuples()}
