@@ -259,7 +259,8 @@ class Values:
             keep = index.kind[child] == OPEN_OBJECT
             many, child = arrays[which[keep]], child[keep]
             both = np.concatenate([one, many])
-            out.append((index, rows[both], pos[both], np.concatenate([np.zeros(len(one), np.int64), index.pos[child]]), np.concatenate([tokens[one], child])))
+            out.append((index, rows[both], pos[both], np.concatenate([np.zeros(len(one), np.int64), index.pos[child]]),
+                np.concatenate([tokens[one], child])))
         return Elements([p for p in out if len(p[1])])
 
 

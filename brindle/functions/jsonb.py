@@ -30,7 +30,8 @@ def contains(text: Column, wanted: Mapping[str, str | int | bool]) -> Column:
     """Whether the object has all these members with these values."""
     doc, out = F.try_parse_json(text), F.lit(True)
     for name, value in wanted.items():
-        out = out & F.coalesce(F.try_variant_get(doc, f"$.{name}", "string") == (value if isinstance(value, str) else json.dumps(value)), F.lit(False))
+        out = out & F.coalesce(F.try_variant_get(doc, f"$.{name}", "string") == (value if isinstance(value, str) else json.dumps(value)),
+            F.lit(False))
     return out
 
 
@@ -38,6 +39,7 @@ def with_member(text: Column, name: str, value: Column) -> Column:
     """The object with the member ``name`` set to a text, last; other members stay as they are. Null where it is no object."""
     members = F.try_variant_get(F.try_parse_json(text), "$", "map<string, variant>")
     quoted = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
-    kept = F.transform(F.map_entries(F.map_filter(members, lambda k, _: k != name)), lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.to_json(e["value"])))
+    kept = F.transform(F.map_entries(F.map_filter(members, lambda k, _: k != name)),
+        lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.to_json(e["value"])))
     own = F.concat(quoted(F.lit(name)), F.lit(":"), quoted(value))
     return F.when(members.isNotNull(), F.concat(F.lit("{"), F.array_join(F.concat(kept, F.array(own)), ","), F.lit("}")))

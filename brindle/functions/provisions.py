@@ -41,8 +41,10 @@ def section_list(text: str | None) -> list[str]:
 
 
 # Wordings that name further sections, or all of them.
-_FURTHER = [re.compile(r"(?i)in this section and (?:in )?sections?\s+(.+?)(?:\.|$)"), re.compile(r"(?i)au présent article et aux articles?\s*(?:à\.?)?\s*([\d\s.,àto-]+)")]
-_APPLIED = [re.compile(r"(?i)(?:apply|definitions apply) in sections?\s*(?:to\.?)?\s*([\d\s.,to-]+)"), re.compile(r"(?i)(?:s'appliquent|appliquent)\s*(?:aux|au)\s*articles?\s*(?:à\.?)?\s*([\d\s.,àto-]+)")]
+_FURTHER = [re.compile(r"(?i)in this section and (?:in )?sections?\s+(.+?)(?:\.|$)"),
+    re.compile(r"(?i)au présent article et aux articles?\s*(?:à\.?)?\s*([\d\s.,àto-]+)")]
+_APPLIED = [re.compile(r"(?i)(?:apply|definitions apply) in sections?\s*(?:to\.?)?\s*([\d\s.,to-]+)"),
+    re.compile(r"(?i)(?:s'appliquent|appliquent)\s*(?:aux|au)\s*articles?\s*(?:à\.?)?\s*([\d\s.,àto-]+)")]
 
 
 def scope_of(wording: str | None, current: str | None, document: str = "act") -> tuple[str, list[str] | None]:

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # French function words, accents and accent folding.
-FRENCH_WORDS = ["le", "la", "les", "de", "du", "des", "un", "une", "que", "qui", "est", "sont", "pour", "dans", "avec", "sur", "par", "ce", "cette", "ces", "au", "aux", "en", "et", "ou", "mais", "donc", "parlement", "député", "gouvernement", "ministre"]
+FRENCH_WORDS = ["le", "la", "les", "de", "du", "des", "un", "une", "que", "qui", "est", "sont", "pour", "dans", "avec", "sur", "par", "ce", "cette",
+    "ces", "au", "aux", "en", "et", "ou", "mais", "donc", "parlement", "député", "gouvernement", "ministre"]
 FRENCH_PHRASES = ["projet de loi"]
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 BILL_NUMBER = r"(?i)\b([CS]-\d+)\b"
@@ -65,7 +66,8 @@ def translated_regulation_id(col: Column, to: str) -> Column:
     statute = ("_c. ", "_s. ", "_ch. ", "_art. ")
     if to == "en":
         pairs, statute = [(b, a) for a, b in pairs], statute[2:] + statute[:2]
-    out = F.when(col.contains(statute[0]) & col.contains(statute[1]), F.replace(F.replace(col, F.lit(statute[0]), F.lit(statute[2])), F.lit(statute[1]), F.lit(statute[3]))).otherwise(col)
+    out = F.when(col.contains(statute[0]) & col.contains(statute[1]),
+        F.replace(F.replace(col, F.lit(statute[0]), F.lit(statute[2])), F.lit(statute[1]), F.lit(statute[3]))).otherwise(col)
     for a, b in reversed(pairs):
         out = F.when(col.startswith(a), F.concat(F.lit(b), F.substring(col, len(a) + 1, 1_000_000))).otherwise(out)
     return out
@@ -101,7 +103,8 @@ def label(col: Column, names: dict[str, str]) -> Column:
 
 def parsed_date(col: Column) -> Column:
     """YYYYMMDD or ISO text as a date; null for anything else."""
-    return F.when(col.rlike(r"^\d{8}$"), F.try_to_date(col, "yyyyMMdd")).when(col.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.left(col, F.lit(10)), "yyyy-MM-dd"))
+    return F.when(col.rlike(r"^\d{8}$"), F.try_to_date(col, "yyyyMMdd")).when(col.rlike(r"^\d{4}-\d{2}-\d{2}"),
+        F.try_to_date(F.left(col, F.lit(10)), "yyyy-MM-dd"))
 
 
 def reformulations(query: Column, lang: Column) -> Column:
@@ -118,7 +121,8 @@ def historical_notes(notes: Column, lang: Column) -> Column:
     """Notes (``text``, ``made``) as one closing paragraph; the date follows a note whose text does not give it."""
     either = lambda en, fr: F.when(lang == "fr", fr).otherwise(en)
     told = lambda n: F.coalesce((n["made"] != "") & ~n["text"].contains(n["made"]), F.lit(False))
-    parts = F.transform(notes, lambda n: F.concat(n["text"], F.when(told(n), F.concat(either(" (enacted: ", " (édicté: "), n["made"], F.lit(")"))).otherwise("")))
+    parts = F.transform(notes, lambda n: F.concat(n["text"], F.when(told(n), F.concat(either(" (enacted: ", " (édicté: "), n["made"], F.lit(")")))
+        .otherwise("")))
     return F.when(F.size(notes) > 0, F.concat(F.lit("\n\n"), either("History: ", "Historique: "), F.array_join(parts, "; ")))
 
 
@@ -127,7 +131,8 @@ def marker_type(marker: Column) -> Column:
     inner = F.substring(marker, 2, 1_000_000)
     inner = F.left(inner, F.length(inner) - 1)
     roman = inner.rlike(r"(?i)^(?:[ivx]{2,}|i|v|x)$")
-    return F.when(inner.rlike(r"^\d+$"), "subsection").when(roman, "subparagraph").when(inner.rlike("^[a-z]$"), "paragraph").when(inner.rlike("^[A-Z]$"), "clause")
+    return F.when(inner.rlike(r"^\d+$"), "subsection").when(roman, "subparagraph").when(inner.rlike("^[a-z]$"),
+        "paragraph").when(inner.rlike("^[A-Z]$"), "clause")
 
 
 def is_repealed(status: Column, content: Column) -> Column:

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 CHARS, CHAR_OVERLAP, MOVE = 6144, 1024, 200
 TOKENS, TOKEN_OVERLAP = 1536, 256
 # The headings that divide a bill, as multi-line patterns.
-BILL_HEADINGS = [(r"^(PART\s+\d+(?:\s+.+)?)\s*$", "PART"), (r"^(DIVISION\s+\d+(?:\s+.+)?)\s*$", "DIVISION"), (r"(?i)^(SCHEDULE\s*\d*)\s*$", "SCHEDULE"), (r"^(SUMMARY)\s*$", "SUMMARY"), (r"^(RECOMMENDATION)\s*$", "RECOMMENDATION"), (r"^(TABLE OF PROVISIONS)\s*$", "TABLE"), (r"^(SHORT TITLE)\s*$", "SHORT_TITLE"), (r"^(INTERPRETATION)\s*$", "INTERPRETATION")]
+BILL_HEADINGS = [(r"^(PART\s+\d+(?:\s+.+)?)\s*$", "PART"), (r"^(DIVISION\s+\d+(?:\s+.+)?)\s*$", "DIVISION"),
+    (r"(?i)^(SCHEDULE\s*\d*)\s*$", "SCHEDULE"), (r"^(SUMMARY)\s*$", "SUMMARY"), (r"^(RECOMMENDATION)\s*$", "RECOMMENDATION"),
+    (r"^(TABLE OF PROVISIONS)\s*$", "TABLE"), (r"^(SHORT TITLE)\s*$", "SHORT_TITLE"), (r"^(INTERPRETATION)\s*$", "INTERPRETATION")]
 MARKER = re.compile(r"(?:^|\s)(\(\d+\)|\([a-z]\)|\([ivxlcdm]+\)|\([A-Z]\))(?=\s|[A-Z])")
 _SENTENCE_GAP = re.compile(r"(?<=[.!?])\s+")
 _ENDS = re.compile(r"[.!?]\s")
@@ -201,6 +203,8 @@ def chunk_rows(df: DataFrame, id_col: str, text_col: str, chunk: Callable[[str],
                     unit = c if isinstance(c, Unit) else Unit(c, None, None)
                     rows.append((item, i, *unit))
             cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()))], ["item_id", "chunk_index", "content", "kind", "marker"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols,
+                (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()))], ["item_id", "chunk_index", "content", "kind", "marker"])
 
-    return df.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run, "item_id bigint, chunk_index int, content string, kind string, marker string")
+    return df.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run,
+        "item_id bigint, chunk_index int, content string, kind string, marker string")

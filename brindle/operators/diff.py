@@ -196,9 +196,11 @@ def diff_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: list
     Columns besides ``keys`` and ``fields`` are ignored, whatever their names.
     """
     k, f = [f"_k{i}" for i in range(len(keys))], [f"_f{i}" for i in range(len(fields))]
-    pick = lambda df, sign: df.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(keys + fields, k + f)], F.lit(sign).cast("long").alias("_n"))
+    pick = lambda df, sign: df.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(keys + fields, k + f)], F.lit(sign).cast("long")
+        .alias("_n"))
     net = pick(left, 1).unionByName(pick(right, -1)).groupBy(*k, *f).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
-    size = net.groupBy(*k).agg(F.sum(F.when(F.col("_n") > 0, F.col("_n")).otherwise(0)).alias("_l"), F.sum(F.when(F.col("_n") < 0, -F.col("_n")).otherwise(0)).alias("_r"))
+    size = net.groupBy(*k).agg(F.sum(F.when(F.col("_n") > 0, F.col("_n")).otherwise(0)).alias("_l"),
+        F.sum(F.when(F.col("_n") < 0, -F.col("_n")).otherwise(0)).alias("_r"))
     same_key = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in k])
     sized = cut_lineage(net.alias("n").join(size.alias("s"), same_key("n", "s")).select("n.*", "s._l", "s._r"))
 
@@ -215,7 +217,8 @@ def diff_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: list
     pairs = paired.unionByName(exact)
     if not large.isEmpty():
         pairs = pairs.unionByName(_pair_in_order(large, k, f) if len(f) == 1 else _pair_by_flow(large, k, f))
-    lone = one_sided.select(*k, F.when(F.col("_n") > 0, F.struct(*f)).alias("_a"), F.when(F.col("_n") < 0, F.struct(*f)).alias("_b"), F.abs("_n").alias("_c"))
+    lone = one_sided.select(*k, F.when(F.col("_n") > 0, F.struct(*f)).alias("_a"), F.when(F.col("_n") < 0, F.struct(*f)).alias("_b"), F.abs("_n")
+        .alias("_c"))
     return _report(pairs.unionByName(lone), keys, k, fields, f)
 
 
@@ -234,7 +237,8 @@ def _pair_up(f: list[str], side: str):
                 x, y = np.array([code(r) for r in a]), np.array([code(r) for r in b])
                 found = assign((x[:, None, :] != y[None, :, :]).sum(2).astype(float))
                 used_a, used_b = {i for i, _ in found}, {j for _, j in found}
-                got = [(a[i], b[j]) for i, j in found] + [(r, None) for i, r in enumerate(a) if i not in used_a] + [(None, r) for j, r in enumerate(b) if j not in used_b]
+                got = [(a[i], b[j]) for i, j in found] + [(r, None) for i, r in enumerate(a) if i not in used_a] + [(None, r) for j,
+                    r in enumerate(b) if j not in used_b]
                 cut = lambda r: None if r is None else {c: r[c] for c in f}
                 out.append([{"_a": cut(p), "_b": cut(q), "_c": 1} for p, q in got])
             yield pd.Series(out)
@@ -285,7 +289,8 @@ def _pair_by_flow(large: DataFrame, k: list[str], f: list[str]) -> DataFrame:
             order = np.argsort(mine, kind="stable")
             order, gone = order[mine[order] >= 0], order[mine[order] < 0]
             p, q, cut = _overlaps(units[own][1], size[order])
-            mine, other, size = np.concatenate([rows[own][p], mine[gone]]), np.concatenate([other[order[q]], other[gone]]), np.concatenate([cut, size[gone]])
+            mine, other, size = np.concatenate([rows[own][p], mine[gone]]), np.concatenate([other[order[q]], other[gone]]), np.concatenate(
+                [cut, size[gone]])
             i, j = (mine, other) if own == 0 else (other, mine)
 
         def values(row: np.ndarray) -> pa.Array:

@@ -11,9 +11,13 @@ from brindle.functions.wording import lined
 # Most sections and characters of a text, and from how many sections on it has a table of contents of how many.
 MOST_SECTIONS, MOST_CHARS, CONTENTS_FROM, CONTENTS = 150, 100_000, 10, 30
 # In English and French.
-SHOWN = ("> *Showing {a} of {b} sections. See Justice Canada website for full text.*", "> *Affichage de {a} sur {b} sections. Consultez le site Justice Canada pour le texte complet.*")
-CUT = ("\n\n---\n*Content truncated. See Justice Canada website for full text.*", "\n\n---\n*Contenu tronqué. Consultez le site Justice Canada pour le texte complet.*")
-LABELS = {"status": ("Status", "Statut"), "consolidated": ("Consolidation Date", "Date de consolidation"), "enabling": ("Enabling Act", "Loi habilitante"), "contents": ("Table of Contents", "Table des matières"), "section": ("### Section ", "### Article ")}
+SHOWN = ("> *Showing {a} of {b} sections. See Justice Canada website for full text.*",
+    "> *Affichage de {a} sur {b} sections. Consultez le site Justice Canada pour le texte complet.*")
+CUT = ("\n\n---\n*Content truncated. See Justice Canada website for full text.*",
+    "\n\n---\n*Contenu tronqué. Consultez le site Justice Canada pour le texte complet.*")
+LABELS = {"status": ("Status", "Statut"), "consolidated": ("Consolidation Date", "Date de consolidation"),
+    "enabling": ("Enabling Act", "Loi habilitante"), "contents": ("Table of Contents", "Table des matières"),
+    "section": ("### Section ", "### Article ")}
 
 
 def document_markdown(docs: DataFrame, sections: DataFrame, most: int = MOST_SECTIONS, chars: int = MOST_CHARS) -> DataFrame:
@@ -32,16 +36,21 @@ def document_markdown(docs: DataFrame, sections: DataFrame, most: int = MOST_SEC
     either = lambda pair: F.when(fr, pair[1]).otherwise(pair[0])
     label, note = F.coalesce("label", F.lit("")), filled(F.col("note"))
     dash = F.when(note.isNotNull(), F.concat(F.lit(" — "), note)).otherwise("")
-    head = F.when(F.col("kind") == "heading", F.concat(F.lit("## "), label, dash)).when(F.col("kind") == "schedule", F.concat(F.lit("## "), label, F.when(note.isNotNull(), F.concat(F.lit("\n*"), note, F.lit("*"))).otherwise(""))).otherwise(F.concat(either(LABELS["section"]), label, dash))
-    entry = F.when(F.col("kind") == "heading", F.trim(F.concat(F.lit("- **"), label, F.lit("** "), F.coalesce(note, F.lit(""))))).otherwise(F.concat(F.lit("- "), label, dash))
+    head = F.when(F.col("kind") == "heading", F.concat(F.lit("## "), label, dash)).when(F.col("kind") == "schedule",
+        F.concat(F.lit("## "), label, F.when(note.isNotNull(), F.concat(F.lit("\n*"), note, F.lit("*"))).otherwise(""))).otherwise(
+        F.concat(either(LABELS["section"]), label, dash))
+    entry = F.when(F.col("kind") == "heading", F.trim(F.concat(F.lit("- **"), label, F.lit("** "), F.coalesce(note, F.lit(""))))).otherwise(
+        F.concat(F.lit("- "), label, dash))
     texts = first.withColumn("entry", entry).withColumn("text", F.concat(head, F.lit("\n\n"), F.coalesce("content", F.lit("")), F.lit("\n")))
     sized = texts.withColumn("upto", F.sum(F.length("text")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     bounded = F.struct("n", "entry", "upto", F.when(F.col("upto") <= chars, F.col("text")).alias("text"))
     held = sized.groupBy("doc", "language").agg(F.sort_array(F.collect_list(bounded)).alias("s"))  # ``most`` rows at most
 
-    both = docs.join(held, ["doc", "language"], "left").join(totals, ["doc", "language"], "left").withColumn("s", F.coalesce("s", F.array().cast(held.schema["s"].dataType))).withColumn("total", F.coalesce("total", F.lit(0)))
+    both = docs.join(held, ["doc", "language"], "left").join(totals, ["doc", "language"], "left").withColumn("s",
+        F.coalesce("s", F.array().cast(held.schema["s"].dataType))).withColumn("total", F.coalesce("total", F.lit(0)))
     count = F.size("s")
-    fact = lambda name: F.when(filled(F.col(name).cast("string")).isNotNull(), F.concat(F.lit("- **"), either(LABELS[name]), F.lit(":** "), F.col(name).cast("string")))
+    fact = lambda name: F.when(filled(F.col(name).cast("string")).isNotNull(),
+        F.concat(F.lit("- **"), either(LABELS[name]), F.lit(":** "), F.col(name).cast("string")))
     facts = F.array_compact(F.array(*[fact(name) for name in ("status", "consolidated", "enabling")]))
     none = F.array().cast("array<string>")
     shown = F.replace(F.replace(either(SHOWN), F.lit("{a}"), count.cast("string")), F.lit("{b}"), F.col("total").cast("string"))
@@ -49,14 +58,17 @@ def document_markdown(docs: DataFrame, sections: DataFrame, most: int = MOST_SEC
     rest = F.when(count > CONTENTS, F.array(F.concat(F.lit("- ... ("), (count - CONTENTS).cast("string"), F.lit(" more sections)")))).otherwise(none)
     lines = F.concat(
         F.array(F.concat(F.lit("# "), F.coalesce("title", F.lit("")))),
-        F.when((filled(F.col("long_title")).isNotNull()) & ~F.col("long_title").eqNullSafe(F.col("title")), F.array(F.concat(F.lit("\n*"), F.col("long_title"), F.lit("*")))).otherwise(none),
+        F.when((filled(F.col("long_title")).isNotNull()) & ~F.col("long_title").eqNullSafe(F.col("title")),
+            F.array(F.concat(F.lit("\n*"), F.col("long_title"), F.lit("*")))).otherwise(none),
         F.array(F.lit("")),
         F.when(F.col("total") > count, F.array(shown, F.lit(""))).otherwise(none),
         F.when(F.size(facts) > 0, F.concat(facts, F.array(F.lit("")))).otherwise(none),
-        F.when(count > CONTENTS_FROM, F.concat(F.array(F.concat(F.lit("## "), either(LABELS["contents"])), F.lit("")), entries, rest, F.array(F.lit("")))).otherwise(none),
+        F.when(count > CONTENTS_FROM, F.concat(F.array(F.concat(F.lit("## "), either(LABELS["contents"])), F.lit("")), entries, rest,
+            F.array(F.lit("")))).otherwise(none),
     )
     built = both.withColumn("head", F.array_join(lines, "\n")).withColumn("kept", F.filter("s", lambda x: F.length("head") + x["upto"] <= chars))
-    body = F.concat(F.array(F.col("head")), F.transform("kept", lambda x: x["text"]), F.when(F.size("kept") < count, F.array(either(CUT))).otherwise(none))
+    body = F.concat(F.array(F.col("head")), F.transform("kept", lambda x: x["text"]), F.when(F.size("kept") < count, F.array(either(CUT)))
+        .otherwise(none))
     return built.select("doc", "language", F.array_join(body, "\n").alias("markdown"), F.size("kept").alias("shown"), "total")
 
 
@@ -65,7 +77,8 @@ def bill_body(text: Column) -> Column:
     definitions as lists. Line by line, without leaving the JVM."""
     t = F.regexp_replace(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit(" "), F.lit(" ")), "[ \t]{2,}", " ")
     t = F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"), F.lit(" \t\n\r"))
-    for mark in (r"(PART\s+\d+(?:\s+[A-Z][A-Za-z0-9 ,''()-]+)?)", r"(Short Title)\b", r"(Definitions)\b", r"(Enactment(?: of Act)?)\b", r"(\d+\s*\(\d+\)\s+)"):
+    for mark in (r"(PART\s+\d+(?:\s+[A-Z][A-Za-z0-9 ,''()-]+)?)", r"(Short Title)\b", r"(Definitions)\b", r"(Enactment(?: of Act)?)\b",
+        r"(\d+\s*\(\d+\)\s+)"):
         t = F.regexp_replace(t, r"\s+" + mark, "\n\n$1")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
 
@@ -82,7 +95,8 @@ def bill_body(text: Column) -> Column:
             .when(line.rlike(r"(?i)^(Short Title|Definitions|Enactment(?: of Act)?)\b"), F.concat(F.lit("### "), F.regexp_replace(line, r"\s+", " ")))
             .when(line.rlike(r"\s\([a-z]\)\s"), listed(line, "[a-z]", "- "))
             .when(line.rlike(r"(?i)\s\([ivx]+\)\s"), listed(line, "[ivx]+", "  - ", "i"))
-            .when(line.rlike(means), F.concat(F.lit("- **"), F.trim(F.regexp_extract(line, means, 1)), F.lit("** — "), F.trim(F.regexp_extract(line, means, 2))))
+            .when(line.rlike(means), F.concat(F.lit("- **"), F.trim(F.regexp_extract(line, means, 1)), F.lit("** — "),
+                F.trim(F.regexp_extract(line, means, 2))))
             .otherwise(line)
         )
 
@@ -98,8 +112,10 @@ def headings(markdown: Column, title: str = "Table of Contents") -> Column:
 
 # Facts of a bill in English and French.
 BILL_FACTS = (
-    ["- Session: {sessionId}", "?- Institution: {house}", "?- Introduced: {introduced}", "?- Status Date: {statusDate}", "?- Status: {statusCode}", "?- Became Law: {lawEn}", "?- Type: {billKind}"],
-    ["- Session: {sessionId}", "?- Institution: {houseFr}", "?- Présenté: {introduced}", "?- Date du statut: {statusDate}", "?- Statut: {statusCode}", "?- Devenu loi: {lawFr}", "?- Type: {billKindFr}"],
+    ["- Session: {sessionId}", "?- Institution: {house}", "?- Introduced: {introduced}", "?- Status Date: {statusDate}", "?- Status: {statusCode}",
+        "?- Became Law: {lawEn}", "?- Type: {billKind}"],
+    ["- Session: {sessionId}", "?- Institution: {houseFr}", "?- Présenté: {introduced}", "?- Date du statut: {statusDate}", "?- Statut: {statusCode}",
+        "?- Devenu loi: {lawFr}", "?- Type: {billKindFr}"],
 )
 
 

@@ -28,21 +28,30 @@ def link_terms(terms: DataFrame) -> DataFrame:
     base = base.withColumn("other", F.when(F.col("language") == "en", "fr").otherwise("en"))
     only = F.coalesce(F.col("paired").rlike(LANGUAGE_ONLY), F.lit(False))
     told = base.filter(F.col("paired").isNotNull() & (F.col("paired") != "") & ~only)
-    tried = told.select("id", "other", "doc", "section", F.posexplode(match_candidates(F.col("paired"))).alias("place", "candidate")).withColumn("key", folded_term(F.col("candidate"))).filter("key <> ''")
-    target = base.groupBy(F.col("language").alias("tl"), F.col("doc").alias("td"), F.col("section").alias("ts"), F.col("norm").alias("tn")).agg(F.max("id").alias("linked_id"))
-    first = tried.join(target, (F.col("other") == F.col("tl")) & (F.col("doc") == F.col("td")) & (F.col("section") == F.col("ts")) & (F.col("key") == F.col("tn")))
+    tried = told.select("id", "other", "doc", "section", F.posexplode(match_candidates(F.col("paired")))
+        .alias("place", "candidate")).withColumn("key", folded_term(F.col("candidate"))).filter("key <> ''")
+    target = base.groupBy(F.col("language").alias("tl"), F.col("doc").alias("td"), F.col("section").alias("ts"), F.col("norm")
+        .alias("tn")).agg(F.max("id").alias("linked_id"))
+    first = tried.join(target, (F.col("other") == F.col("tl")) & (F.col("doc") == F.col("td")) & (F.col("section") == F.col("ts"))
+        & (F.col("key") == F.col("tn")))
     pass1 = first.groupBy("id").agg(F.min_by("linked_id", "place").alias("linked_id")).withColumn("pass", F.lit(1))
 
     unique = base.groupBy("language", "doc", "norm").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("uid")).filter("n = 1")
-    single_source = told.join(unique.select(F.col("uid")), F.col("id") == F.col("uid"), "left_semi").join(pass1, "id", "left_anti").withColumn("key", folded_term(F.col("paired")))
+    single_source = told.join(unique.select(F.col("uid")), F.col("id") == F.col("uid"), "left_semi").join(pass1, "id", "left_anti").withColumn("key",
+        folded_term(F.col("paired")))
     pool = unique.select(F.col("language").alias("tl"), F.col("doc").alias("td"), F.col("norm").alias("tn"), F.col("uid").alias("linked_id"))
-    pass2 = single_source.join(pool, (F.col("other") == F.col("tl")) & (F.col("doc") == F.col("td")) & (F.col("key") == F.col("tn"))).select("id", "linked_id").withColumn("pass", F.lit(2))
+    pass2 = single_source.join(pool, (F.col("other") == F.col("tl")) & (F.col("doc") == F.col("td")) & (F.col("key") == F.col("tn"))).select("id",
+        "linked_id").withColumn("pass", F.lit(2))
 
     done = pass1.unionByName(pass2)
-    quiet = base.filter(F.col("paired").isNull() | (F.col("paired") == "")).join(done, "id", "left_anti").filter("doc is not null and section is not null")
+    quiet = base.filter(F.col("paired").isNull() | (F.col("paired") == "")).join(done, "id",
+        "left_anti").filter("doc is not null and section is not null")
     count = lambda code: F.count_if(F.col("language") == code)
-    alone = quiet.groupBy("doc", "section").agg(count("en").alias("en"), count("fr").alias("fr"), F.max(F.when(F.col("language") == "en", F.col("id"))).alias("a"), F.max(F.when(F.col("language") == "fr", F.col("id"))).alias("b")).filter("en = 1 and fr = 1")
-    pass3 = alone.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("linked_id")), F.struct(F.col("b").alias("id"), F.col("a").alias("linked_id")))).alias("p")).select("p.*").withColumn("pass", F.lit(3))
+    alone = quiet.groupBy("doc", "section").agg(count("en").alias("en"), count("fr").alias("fr"),
+        F.max(F.when(F.col("language") == "en", F.col("id"))).alias("a"), F.max(F.when(F.col("language") == "fr", F.col("id")))
+        .alias("b")).filter("en = 1 and fr = 1")
+    pass3 = alone.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("linked_id")),
+        F.struct(F.col("b").alias("id"), F.col("a").alias("linked_id")))).alias("p")).select("p.*").withColumn("pass", F.lit(3))
     return done.unionByName(pass3)
 
 
@@ -65,14 +74,20 @@ def near_matches(df: DataFrame, id_col: str, group: str, name: str, most: int =
     edge = lambda p, size: F.floor(p * size / pieces(size)).cast("int")
     size = F.length("s")
     cut = names.withColumn("len", size).withColumn("p", F.explode(F.sequence(F.lit(0), pieces(size) - 1)))
-    cut = cut.withColumn("lo", edge(F.col("p"), F.col("len"))).withColumn("piece", F.substring(F.col("s"), F.col("lo") + 1, edge(F.col("p") + 1, F.col("len")) - F.col("lo")))
+    cut = cut.withColumn("lo", edge(F.col("p"), F.col("len"))).withColumn("piece",
+        F.substring(F.col("s"), F.col("lo") + 1, edge(F.col("p") + 1, F.col("len")) - F.col("lo")))
     often = cut.groupBy("g", "p", "len", "piece").agg(F.count(F.lit(1)).alias("often"))
     rarest = F.row_number().over(Window.partitionBy("g", "s").orderBy("often", "p"))  # ``PIECES`` rows
-    short = cut.join(often, ["g", "p", "len", "piece"]).withColumn("place", rarest).filter(F.col("place") <= most + 1).select("g", "p", "len", "piece", "s")
-    slides = names.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(5), size - most), size))).withColumn("p", F.explode(F.sequence(F.lit(0), pieces(F.col("len")) - 1)))
-    slides = slides.withColumn("lo", edge(F.col("p"), F.col("len"))).withColumn("hi", edge(F.col("p") + 1, F.col("len"))).withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("lo") - most), F.col("lo") + most)))
-    long_ = slides.select("g", "p", "len", F.substring(F.col("s"), F.col("at") + 1, F.col("hi") - F.col("lo")).alias("piece"), F.col("s").alias("t")).distinct()
-    pairs = short.join(long_, ["g", "p", "len", "piece"]).filter((F.col("s") != F.col("t")) & ((F.length("s") < F.length("t")) | (F.col("s") < F.col("t")))).select("g", "s", "t").distinct()
+    short = cut.join(often, ["g", "p", "len", "piece"]).withColumn("place", rarest).filter(F.col("place") <= most + 1).select("g", "p", "len",
+        "piece", "s")
+    slides = names.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(5), size - most), size))).withColumn("p",
+        F.explode(F.sequence(F.lit(0), pieces(F.col("len")) - 1)))
+    slides = slides.withColumn("lo", edge(F.col("p"), F.col("len"))).withColumn("hi", edge(F.col("p") + 1, F.col("len"))).withColumn("at",
+        F.explode(F.sequence(F.greatest(F.lit(0), F.col("lo") - most), F.col("lo") + most)))
+    long_ = slides.select("g", "p", "len", F.substring(F.col("s"), F.col("at") + 1, F.col("hi") - F.col("lo")).alias("piece"), F.col("s")
+        .alias("t")).distinct()
+    pairs = short.join(long_, ["g", "p", "len", "piece"]).filter((F.col("s") != F.col("t"))
+        & ((F.length("s") < F.length("t")) | (F.col("s") < F.col("t")))).select("g", "s", "t").distinct()
     both = pairs.withColumn("distance", F.levenshtein("s", "t")).withColumn("name_a", F.least("s", "t")).withColumn("name_b", F.greatest("s", "t"))
     allowed = F.greatest(F.least(F.lit(most), F.floor(F.length("name_a") / 4)), F.lit(2))
     return both.filter(F.col("distance") <= allowed).select(F.col("g").alias(group), "name_a", "name_b", "distance")
@@ -94,13 +109,16 @@ def sequence_breaks(df: DataFrame, group: str, order: list[str], value: str, str
     ``stretch`` cuts a group into parts that follow each other in ``order`` (the day of a time), so that no task sorts a
     whole group; the last value of a part is carried into the next one.
     """
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(group).alias("_g"), (F.lit(0) if stretch is None else stretch).alias("_s"), F.struct(*order).alias("_o"), F.col(value).alias("_v"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(group).alias("_g"),
+        (F.lit(0) if stretch is None else stretch).alias("_s"), F.struct(*order).alias("_o"), F.col(value).alias("_v"))
     inner = Window.partitionBy("_g", "_s").orderBy("_o")
     placed = rows.withColumn("_b", F.lag("_v").over(inner)).withColumn("_first", F.row_number().over(inner) == 1)
     ends = rows.groupBy("_g", "_s").agg(F.max_by("_v", "_o").alias("_end"))
-    carried = ends.select(F.col("_g").alias("_eg"), F.col("_s").alias("_es"), F.lag("_end").over(Window.partitionBy("_g").orderBy("_s")).alias("_into"))
+    carried = ends.select(F.col("_g").alias("_eg"), F.col("_s").alias("_es"), F.lag("_end").over(Window.partitionBy("_g").orderBy("_s"))
+        .alias("_into"))
     joined = placed.join(carried, F.col("_g").eqNullSafe(F.col("_eg")) & F.col("_s").eqNullSafe(F.col("_es")), "left")
-    return joined.withColumn("before", F.when(F.col("_first"), F.col("_into")).otherwise(F.col("_b"))).filter(F.col("_v") <= F.col("before")).select("_row.*", "before")
+    return joined.withColumn("before", F.when(F.col("_first"), F.col("_into"))
+        .otherwise(F.col("_b"))).filter(F.col("_v") <= F.col("before")).select("_row.*", "before")
 
 
 def violations(df: DataFrame, **rules: Column) -> DataFrame:

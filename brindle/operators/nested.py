@@ -53,8 +53,10 @@ def flatten_nested(df: DataFrame, id_col: str, paths: list[Path], with_text: boo
                     for index, rows, place, pos, tokens in found.parts:
                         n = len(rows)
                         text = gathered(index.data, index.start[tokens], index.end[tokens]) if with_text else pa.nulls(n, pa.large_string())
-                        columns = [batch.column(0).take(pa.array(rows)), pa.array([item] * n, pa.string()), pa.array(place if outer else np.full(n, -1), pa.int32()), pa.array(pos, pa.int32()), text]  # noqa: B023
-                        out.append(pa.RecordBatch.from_arrays([c.cast(pa.string()) for c in columns[:2]] + columns[2:4] + [text.cast(pa.string())], NAMES))  # noqa: B023
+                        columns = [batch.column(0).take(pa.array(rows)), pa.array([item] * n, pa.string()),
+                            pa.array(place if outer else np.full(n, -1), pa.int32()), pa.array(pos, pa.int32()), text]  # noqa: B023
+                        out.append(pa.RecordBatch.from_arrays([c.cast(pa.string()) for c in columns[:2]] + columns[2:4] + [text.cast(pa.string())],
+                            NAMES))  # noqa: B023
 
                 tops = {c: Values.parse(batch.column(i + 1).to_pylist()) for i, c in enumerate(columns)}
                 for path in paths:
@@ -73,4 +75,5 @@ def flatten_nested(df: DataFrame, id_col: str, paths: list[Path], with_text: boo
 
 def element_fields(flat: DataFrame, item: str, schema: str) -> DataFrame:
     """The rows of one ``item`` with the members of ``schema`` as columns; absent members are null."""
-    return flat.filter(F.col("item") == item).select("parent_id", "outer_pos", "pos", F.from_json("element", schema).alias("_e")).select("parent_id", "outer_pos", "pos", "_e.*")
+    return flat.filter(F.col("item") == item).select("parent_id", "outer_pos", "pos", F.from_json("element", schema).alias("_e")).select("parent_id",
+        "outer_pos", "pos", "_e.*")

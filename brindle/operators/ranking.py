@@ -108,7 +108,8 @@ def diversify(results: DataFrame, candidates: DataFrame, keys: list[str], least:
     entry = F.min("rank").over(Window.partitionBy("list_id", "source_type"))
     unseen = dedup_first(candidates.withColumn("_entry", entry), *keys).join(results.select("list_id", *keys), ["list_id", *keys], "left_anti")
     place = F.row_number().over(Window.partitionBy("list_id", "source_type").orderBy("rank"))
-    extra = unseen.withColumn("_place", place).join(have, ["list_id", "source_type"], "left").filter(F.col("_place") <= least - F.coalesce(F.col("_have"), F.lit(0)))
+    extra = unseen.withColumn("_place", place).join(have, ["list_id", "source_type"],
+        "left").filter(F.col("_place") <= least - F.coalesce(F.col("_have"), F.lit(0)))
     extra = extra.join(tail, "list_id", "left").withColumn("similarity", F.greatest(F.coalesce(F.col("_last"), F.lit(0.0)) * 0.9, F.lit(0.1)))
     extra = reranked(extra, F.col("_entry"), F.col("rank")).withColumn("rank", F.col("rank") + F.coalesce(F.col("_len"), F.lit(0)))
     return results.unionByName(extra.select(*columns))
@@ -118,7 +119,8 @@ def heuristic_scores(df: DataFrame, lang: Column, factual: Column, says_debate:
     """Similarity with small boosts for language, first chunks of factual questions, named source kinds and recent dates."""
     boost = lambda when, by: F.when(F.coalesce(when, F.lit(False)), by).otherwise(0.0)
     committee = F.col("source_type").isin("committee", "committee_report", "committee_meeting")
-    total = F.col("similarity") + boost(F.col("language") == lang, 0.12) + boost(factual & (F.col("chunk_index") == 0), 0.03) + boost(says_debate & (F.col("source_type") == "hansard"), 0.03) + boost(says_committee & committee, 0.03) + boost(date >= "2022-01-01", 0.01)
+    total = F.col("similarity") + boost(F.col("language") == lang, 0.12) + boost(factual & (F.col("chunk_index") == 0), 0.03) + boost(says_debate
+        & (F.col("source_type") == "hansard"), 0.03) + boost(says_committee & committee, 0.03) + boost(date >= "2022-01-01", 0.01)
     return reranked(df.withColumn("similarity", F.round(total, 6)), F.desc("similarity"), F.col("rank"))
 
 

@@ -17,7 +17,8 @@ def all_of(*conditions: Column | None) -> Column:
 
 def date_condition(col: Column, before=None, after=None, on=None, between: tuple | None = None) -> Column:
     """Before and after exclude the day, between includes both; conditions not given do not count."""
-    return all_of(col < F.lit(before) if before else None, col > F.lit(after) if after else None, col == F.lit(on) if on else None, col.between(*map(F.lit, between)) if between else None)
+    return all_of(col < F.lit(before) if before else None, col > F.lit(after) if after else None, col == F.lit(on) if on else None,
+        col.between(*map(F.lit, between)) if between else None)
 
 
 def overlaps(start: Column, end: Column, low: Column, high: Column) -> Column:
@@ -72,8 +73,10 @@ def as_of(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time
     Of right rows at one time the greatest values stand.
     """
     carried = F.struct(*[F.col(v) for v in values])
-    r = right.filter(F.col(by).isNotNull() & F.col(right_time).isNotNull()).groupBy(F.col(by).alias("_k"), F.col(right_time).alias("_t")).agg(F.max(carried).alias("_v"))
-    rows = left.withColumn("_row", F.struct(*[F.col(c) for c in left.columns])).select(F.col(by).alias("_k"), F.col(left_time).alias("_t"), F.lit(None).cast(r.schema["_v"].dataType).alias("_v"), "_row", F.lit(1).alias("_side"))
+    r = right.filter(F.col(by).isNotNull() & F.col(right_time).isNotNull()).groupBy(F.col(by).alias("_k"), F.col(right_time)
+        .alias("_t")).agg(F.max(carried).alias("_v"))
+    rows = left.withColumn("_row", F.struct(*[F.col(c) for c in left.columns])).select(F.col(by).alias("_k"), F.col(left_time).alias("_t"),
+        F.lit(None).cast(r.schema["_v"].dataType).alias("_v"), "_row", F.lit(1).alias("_side"))
     both = rows.unionByName(r.select("_k", "_t", "_v", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.lit(0).alias("_side")))
     both = both.withColumn("_month", F.date_trunc("month", "_t"))
     in_stretch = Window.partitionBy("_k", "_month").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)

@@ -71,7 +71,8 @@ def _scorer(block, k: int, threshold: float, per_source: bool, fallback: bool):
                 vectors = _matrix(batch.column(3), matrix.shape[1])
                 norms = np.sqrt((vectors * vectors).sum(1))
                 vectors /= np.where(norms > 0, norms, 1)[:, None]
-                said = [Counter(w for w in _WORD.findall((text or "").lower()) if w in known) for text in batch.column(4).to_pylist()] if known else []
+                said = [Counter(w for w in _WORD.findall((text or "").lower()) if w in known) for text in batch.column(4).to_pylist()] if known else [
+                    ]
                 kind = np.array([kinds.setdefault(s, len(kinds)) for s in batch.column(1).to_pylist()], np.int64)
                 names = batch.column(2).to_pylist()
                 tongue = np.array([tongues.setdefault(s, len(tongues)) for s in names], np.int64)
@@ -92,7 +93,8 @@ def _scorer(block, k: int, threshold: float, per_source: bool, fallback: bool):
                     own = names[:, None] == langs[None, part]
                     r, q = np.nonzero((cosine >= threshold) | matched)
                     group = ((q + start) * (1 << 20) + (kind[r] if per_source else 0)) * 2 + (own[r, q] if fallback else 0)
-                    held += _best([(group, score[r, q], q + start, batch.column(0).to_numpy()[r], kind[r], tongue[r], cosine[r, q], keyword[r, q], own[r, q])], k)
+                    held += _best([(group, score[r, q], q + start, batch.column(0).to_numpy()[r], kind[r], tongue[r], cosine[r, q], keyword[r, q],
+                        own[r, q])], k)
                     rows += len(held[-1][0])
                     if rows > 2 * room:
                         held = _best(held, k)
@@ -103,12 +105,15 @@ def _scorer(block, k: int, threshold: float, per_source: bool, fallback: bool):
             name = lambda codes, known: pa.array(list(known), pa.string()).take(pa.array(codes))
             for at in range(0, len(q), 50_000):
                 p = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q[p]]), pa.array(found[p]), name(kind[p], kinds), name(tongue[p], tongues), pa.array(cosine[p]), pa.array(keyword[p]), pa.array(score[p]), pa.array(own[p])], ["query_id", "resource_id", "source_type", "language", "cosine", "keyword", "score", "own_language"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q[p]]), pa.array(found[p]), name(kind[p], kinds), name(tongue[p], tongues),
+                    pa.array(cosine[p]), pa.array(keyword[p]), pa.array(score[p]), pa.array(own[p])],
+                    ["query_id", "resource_id", "source_type", "language", "cosine", "keyword", "score", "own_language"])
 
     return run
 
 
-def search(queries: DataFrame, resources: DataFrame, k: int, threshold: float, *, fallback: bool = False, per_source: bool = False, block: int = BLOCK) -> DataFrame:
+def search(queries: DataFrame, resources: DataFrame, k: int, threshold: float, *, fallback: bool = False, per_source: bool = False,
+    block: int = BLOCK) -> DataFrame:
     """The best ``k`` resources of each query, with ``rank`` from 1.
 
     ``queries``: ``query_id``, ``vector``, ``language``, ``terms`` (array); ``resources``: ``resource_id``, ``source_type``,
@@ -131,9 +136,12 @@ def search(queries: DataFrame, resources: DataFrame, k: int, threshold: float, *
     for b in range(n_blocks):
         rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).select("query_id", "vector", "language", "terms").collect()
         width = max((len(r["vector"]) for r in rows if r["vector"]), default=1)
-        matrix = np.array([r["vector"] if r["vector"] and len(r["vector"]) == width else [0.0] * width for r in rows], np.float64).reshape(len(rows), width)
+        matrix = np.array([r["vector"] if r["vector"] and len(r["vector"]) == width else [0.0] * width for r in rows], np.float64).reshape(len(rows),
+            width)
         norms = np.sqrt((matrix * matrix).sum(1))
-        sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), matrix / np.where(norms > 0, norms, 1)[:, None], np.array([r["language"] if r["language"] is not None else "?" for r in rows], object), [list(dict.fromkeys(t for t in r["terms"] or [] if t)) for r in rows]))
+        sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), matrix / np.where(norms > 0, norms, 1)[:, None],
+            np.array([r["language"] if r["language"] is not None else "?" for r in rows], object),
+            [list(dict.fromkeys(t for t in r["terms"] or [] if t)) for r in rows]))
         if rows:
             parts.append(picked.mapInArrow(_scorer(sent, k, threshold, per_source, fallback), SCORED))
     if not parts:
@@ -156,19 +164,23 @@ def search_by_reference(queries: DataFrame, resources: DataFrame, k: int, thresh
     not count. Null references match nothing.
     """
     q = queries.filter("reference is not null").select("query_id", F.col("vector").alias("_q"), "reference")
-    pairs = q.join(resources.select("resource_id", "vector", "reference"), "reference").withColumn("cosine", F.round(cosine(F.col("_q"), F.col("vector")), 6))
+    pairs = q.join(resources.select("resource_id", "vector", "reference"), "reference").withColumn("cosine",
+        F.round(cosine(F.col("_q"), F.col("vector")), 6))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "resource_id"))
-    return pairs.filter(F.col("cosine") >= threshold).withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "resource_id", "reference", "cosine", "rank")
+    return pairs.filter(F.col("cosine") >= threshold).withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "resource_id",
+        "reference", "cosine", "rank")
 
 
 # Least cosine of a search, and of one for a bill's own number.
 THRESHOLD, STRICT = 0.4, 0.5
 #: Source types, and which of them are narrowed to the query's bill number if it has one.
-SOURCES = ["bill", "vote_question", "vote_party", "vote_member", "hansard", "committee", "committee_report", "committee_meeting", "politician", "party", "election", "candidacy", "session", "riding"]
+SOURCES = ["bill", "vote_question", "vote_party", "vote_member", "hansard", "committee", "committee_report", "committee_meeting", "politician",
+    "party", "election", "candidacy", "session", "riding"]
 BY_NUMBER = {"bill": STRICT, "vote_question": None}
 
 
-def search_source(queries: DataFrame, resources: DataFrame, source: str, k: int = 10, threshold: float | None = None, where: Column | None = None, fallback: bool = False) -> DataFrame:
+def search_source(queries: DataFrame, resources: DataFrame, source: str, k: int = 10, threshold: float | None = None, where: Column | None = None,
+    fallback: bool = False) -> DataFrame:
     """A search within one source type: ``query_id``, ``resource_id``, ``cosine``, ``rank``.
 
     Bills and vote questions are narrowed to the number in a query (column ``reference``) where it has one, bills then with
@@ -179,4 +191,5 @@ def search_source(queries: DataFrame, resources: DataFrame, source: str, k: int
     if source not in BY_NUMBER:
         return search(queries, own, k, least, fallback=fallback).select("query_id", "resource_id", "cosine", "rank")
     narrowed = search_by_reference(queries, own, k, max(least, BY_NUMBER[source] or least)).select("query_id", "resource_id", "cosine", "rank")
-    return narrowed.unionByName(search(queries.filter("reference is null"), own, k, least, fallback=fallback).select("query_id", "resource_id", "cosine", "rank"))
+    return narrowed.unionByName(search(queries.filter("reference is null"), own, k, least, fallback=fallback)
+        .select("query_id", "resource_id", "cosine", "rank"))

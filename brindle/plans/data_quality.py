@@ -24,7 +24,8 @@ def _side(spark: SparkSession, base: str, name: str, table: str, latest: bool) -
     df = load(spark, base, name)
     ids = [c for c in ("id",) if c in df.columns]
     rows = df.select(norm_key(F.col(id_col)).alias("doc_key"), "language", "updated_at", *ids, *fields).filter("doc_key is not null")
-    rows = standing(rows, ["doc_key", "language"], "updated_at", *ids) if latest else (rows.dropDuplicates(["id", "updated_at", "doc_key", "language", *fields]) if ids else rows)
+    rows = standing(rows, ["doc_key", "language"], "updated_at",
+        *ids) if latest else (rows.dropDuplicates(["id", "updated_at", "doc_key", "language", *fields]) if ids else rows)
     return rows.select("doc_key", "language", *[norm_value(F.col(c)).alias(c) for c in fields])
 
 
@@ -32,8 +33,11 @@ def _diff(spark: SparkSession, base: str, latest: bool) -> DataFrame:
     parts = []
     for table, (_, fields) in COPIED.items():
         main, copy = (_side(spark, base, n, table, latest) for n in (table, f"{table}_copy"))
-        named = F.when(F.col("difference") == "missing_in_right", "missing_in_copy").when(F.col("difference") == "missing_in_left", "missing_in_main").otherwise(F.col("difference"))
-        parts.append(diff_copies(main, copy, ["doc_key", "language"], fields).select(F.lit(table).alias("table_name"), "doc_key", "language", named.alias("difference"), F.col("left_value").alias("main_value"), F.col("right_value").alias("copy_value"), "copies"))
+        named = F.when(F.col("difference") == "missing_in_right", "missing_in_copy").when(F.col("difference") == "missing_in_left",
+            "missing_in_main").otherwise(F.col("difference"))
+        parts.append(diff_copies(main, copy, ["doc_key", "language"], fields)
+            .select(F.lit(table).alias("table_name"), "doc_key", "language", named.alias("difference"), F.col("left_value").alias("main_value"),
+            F.col("right_value").alias("copy_value"), "copies"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -50,29 +54,42 @@ def p1_versions(spark: SparkSession, base: str) -> DataFrame:
 def _references(spark: SparkSession, base: str) -> DataFrame:
     fields = ["crossRefId", "targetType", "targetRef", "enablingActId"]
     meta = F.from_json("metadata", ", ".join(f"{f} string" for f in fields))
-    res = load(spark, base, "leg_resources").select("id", "updated_at", "created_at", meta.alias("m")).select("id", "updated_at", "created_at", *[F.col(f"m.{f}").alias(f) for f in fields])
-    res = standing(res, ["id"], "updated_at").filter("crossRefId is not null or targetRef is not null or enablingActId is not null")  # the latest version may have dropped its references
+    res = load(spark, base, "leg_resources").select("id", "updated_at", "created_at", meta.alias("m")).select("id", "updated_at", "created_at",
+        *[F.col(f"m.{f}").alias(f) for f in fields])
+    res = standing(res, ["id"],
+        "updated_at").filter(
+        "crossRefId is not null or targetRef is not null or enablingActId is not null")  # the latest version may have dropped its references
     target = F.lower(F.trim("targetType"))
     ref = lambda field, kind: F.struct(F.lit(field).alias("field_name"), kind.alias("kind"), norm_key(F.col(field)).alias("key"))
-    refs = F.explode(F.array(ref("crossRefId", F.lit("cross_reference")), ref("targetRef", F.when(target == "act", "act").when(target == "regulation", "regulation").otherwise("none")), ref("enablingActId", F.lit("act"))))
-    rows = res.select(F.lit("leg_resources").alias("table_name"), F.col("id").alias("row_id"), F.col("created_at").alias("at"), refs.alias("r")).select("table_name", "row_id", "at", "r.*")
+    refs = F.explode(F.array(ref("crossRefId", F.lit("cross_reference")),
+        ref("targetRef", F.when(target == "act", "act").when(target == "regulation", "regulation").otherwise("none")),
+        ref("enablingActId", F.lit("act"))))
+    rows = res.select(F.lit("leg_resources").alias("table_name"), F.col("id").alias("row_id"), F.col("created_at").alias("at"),
+        refs.alias("r")).select("table_name", "row_id", "at", "r.*")
     votes = load(spark, base, "bills_votequestion").select("id", "bill_id", "vote_date")
-    votes = standing(votes, ["id"], None).select(F.lit("bills_votequestion").alias("table_name"), F.col("id").cast("string").alias("row_id"), F.col("vote_date").cast("timestamp_ntz").alias("at"), F.lit("bill_id").alias("field_name"), F.lit("bill").alias("kind"), F.col("bill_id").cast("string").alias("key"))
+    votes = standing(votes, ["id"], None).select(F.lit("bills_votequestion").alias("table_name"), F.col("id").cast("string").alias("row_id"),
+        F.col("vote_date").cast("timestamp_ntz").alias("at"), F.lit("bill_id").alias("field_name"), F.lit("bill").alias("kind"), F.col("bill_id")
+        .cast("string").alias("key"))
     return rows.unionByName(votes)
 
 
 def _parents(spark: SparkSession, base: str) -> DataFrame:
-    acts = standing(load(spark, base, "acts").select(norm_key(F.col("act_id")).alias("key"), "language", "updated_at", "id", "created_at", "deleted_at"), ["key", "language"], "updated_at", "id")
-    regs = standing(load(spark, base, "regulations").select(norm_key(F.col("regulation_id")).alias("key"), "language", "updated_at", "id", "created_at", "deleted_at"), ["key", "language"], "updated_at", "id")
+    acts = standing(load(spark, base, "acts").select(norm_key(F.col("act_id")).alias("key"), "language", "updated_at", "id", "created_at",
+        "deleted_at"), ["key", "language"], "updated_at", "id")
+    regs = standing(load(spark, base, "regulations").select(norm_key(F.col("regulation_id")).alias("key"), "language", "updated_at", "id",
+        "created_at", "deleted_at"), ["key", "language"], "updated_at", "id")
     cross = load(spark, base, "cross_references").select(norm_key(F.col("id")).alias("key"), "created_at", "deleted_at")
-    bills = load(spark, base, "bills_bill").select(F.col("id").cast("string").alias("key"), F.col("added").cast("timestamp_ntz").alias("created_at"), "deleted_at")
-    span = lambda df, kind: df.select(F.lit(kind).alias("kind"), "key", F.col("created_at").alias("start"), F.col("deleted_at").alias("end"))
+    bills = load(spark, base, "bills_bill").select(F.col("id").cast("string").alias("key"), F.col("added").cast("timestamp_ntz").alias("created_at"),
+        "deleted_at")
+    span = lambda df, kind: df.select(F.lit(kind).alias("kind"), "key", F.col("created_at").alias("start"), F.col("deleted_at")
+        .alias("end"))
     return reduce(DataFrame.unionByName, [span(acts, "act"), span(regs, "regulation"), span(cross, "cross_reference"), span(bills, "bill")])
 
 
 def p3_orphans(spark: SparkSession, base: str) -> DataFrame:
     """Each reference without a record at its time, with its key, time and status."""
-    return orphan_references(_references(spark, base), _parents(spark, base)).select("table_name", "row_id", "field_name", "kind", "key", "at", "status")
+    return orphan_references(_references(spark, base), _parents(spark, base)).select("table_name", "row_id", "field_name", "kind", "key", "at",
+        "status")
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
@@ -124,7 +141,8 @@ p5_amendments = _item("amendment", "citation string, date string, link string",
 QUERIES = {
     "p1_found": p1_found, "p1_versions": p1_versions,
     "p3_found": p3_found, "p3_orphans": p3_orphans, "p3_report": p3_report,
-    "p5_found": p5_found, "p5_preamble": p5_preamble, "p5_signature_blocks": p5_signature_blocks, "p5_signature_lines": p5_signature_lines, "p5_stages": p5_stages, "p5_amendments": p5_amendments,
+    "p5_found": p5_found, "p5_preamble": p5_preamble, "p5_signature_blocks": p5_signature_blocks, "p5_signature_lines": p5_signature_lines,
+        "p5_stages": p5_stages, "p5_amendments": p5_amendments,
 }
 
 WS = r"\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -147,33 +165,62 @@ def _sql_p1() -> str:
     for table, (id_col, fields) in COPIED.items():
         for name in (table, f"{table}_copy"):
             values = ", ".join(f"{_sql_value(f)} AS {f}" for f in fields)
-            views.append(f"{name}_s AS (SELECT {_sql_key(id_col)} AS k, language AS l, {values} FROM {name} WHERE {_sql_key(id_col)} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {_sql_key(id_col)}, language ORDER BY updated_at DESC NULLS LAST) = 1)")
+            views.append((
+                f"{name}_s AS (SELECT {_sql_key(id_col)} AS k, language AS l, {values} FROM {name} WHERE {_sql_key(id_col)} IS NOT NULL QUALIFY "
+                f"row_number() OVER (PARTITION BY {_sql_key(id_col)}, language ORDER BY updated_at DESC NULLS LAST) = 1)"
+            ))
         both = f"{table}_s a FULL JOIN {table}_copy_s b ON a.k = b.k AND a.l IS NOT DISTINCT FROM b.l"
         head = f"SELECT '{table}' AS table_name, coalesce(a.k, b.k) AS doc_key, coalesce(a.l, b.l) AS language"
-        parts.append(f"{head}, CASE WHEN a.k IS NULL THEN 'missing_in_main' ELSE 'missing_in_copy' END AS difference FROM {both} WHERE a.k IS NULL OR b.k IS NULL")
-        parts += [f"{head}, '{f}' AS difference FROM {both} WHERE a.k IS NOT NULL AND b.k IS NOT NULL AND a.{f} IS DISTINCT FROM b.{f}" for f in fields]
+        parts.append((
+            f"{head}, CASE WHEN a.k IS NULL THEN 'missing_in_main' ELSE 'missing_in_copy' END AS difference FROM {both} WHERE a.k IS NULL OR b.k "
+            f"IS NULL"
+        ))
+        parts += [f"{head}, '{f}' AS difference FROM {both} WHERE a.k IS NOT NULL AND b.k IS NOT NULL AND a.{f} IS DISTINCT FROM b.{f}"
+            for f in fields]
     return "WITH " + ", ".join(views) + " " + " UNION ALL ".join(parts)
 
 
 def _sql_references() -> str:
     meta = lambda f: f"json_extract_string(metadata, '$.{f}')"
     target = f"lower(trim({meta('targetType')}))"
-    latest = f"SELECT id, created_at, {meta('crossRefId')} AS cross_id, {meta('targetRef')} AS target, {target} AS target_type, {meta('enablingActId')} AS enabling FROM leg_resources QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1"
-    ref = lambda field, kind, key: f"SELECT 'leg_resources' AS table_name, id AS row_id, '{field}' AS field_name, {kind} AS kind, {_sql_key(key)} AS key, created_at AS at FROM res WHERE {_sql_key(key)} IS NOT NULL"
-    votes = "SELECT DISTINCT 'bills_votequestion', CAST(id AS VARCHAR), 'bill_id', 'bill', CAST(bill_id AS VARCHAR), CAST(vote_date AS TIMESTAMP) FROM bills_votequestion WHERE bill_id IS NOT NULL"
-    refs = " UNION ALL ".join([ref("crossRefId", "'cross_reference'", "cross_id"), ref("targetRef", "CASE WHEN target_type IN ('act', 'regulation') THEN target_type ELSE 'none' END", "target"), ref("enablingActId", "'act'", "enabling"), votes])
-    law = lambda table, id_col, kind: f"SELECT '{kind}' AS kind, {_sql_key(id_col)} AS key, created_at AS s, deleted_at AS e FROM {table} QUALIFY row_number() OVER (PARTITION BY {_sql_key(id_col)}, language ORDER BY updated_at DESC NULLS LAST) = 1"
-    parents = " UNION ALL ".join([f"({law('acts', 'act_id', 'act')})", f"({law('regulations', 'regulation_id', 'regulation')})", f"SELECT 'cross_reference', {_sql_key('id')}, created_at, deleted_at FROM cross_references", "SELECT 'bill', CAST(id AS VARCHAR), CAST(added AS TIMESTAMP), deleted_at FROM bills_bill"])
+    latest = (
+        f"SELECT id, created_at, {meta('crossRefId')} AS cross_id, {meta('targetRef')} AS target, {target} AS target_type, "
+        f"{meta('enablingActId')} AS enabling FROM leg_resources QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1"
+    )
+    ref = lambda field, kind, key: (
+        f"SELECT 'leg_resources' AS table_name, id AS row_id, '{field}' AS field_name, {kind} AS kind, {_sql_key(key)} AS key, created_at AS "
+        f"at FROM res WHERE {_sql_key(key)} IS NOT NULL"
+    )
+    votes = (
+        "SELECT DISTINCT 'bills_votequestion', CAST(id AS VARCHAR), 'bill_id', 'bill', CAST(bill_id AS VARCHAR), CAST(vote_date AS "
+        "TIMESTAMP) FROM bills_votequestion WHERE bill_id IS NOT NULL"
+    )
+    refs = " UNION ALL ".join([ref("crossRefId", "'cross_reference'", "cross_id"),
+        ref("targetRef", "CASE WHEN target_type IN ('act', 'regulation') THEN target_type ELSE 'none' END", "target"),
+        ref("enablingActId", "'act'", "enabling"), votes])
+    law = lambda table, id_col, kind: (
+        f"SELECT '{kind}' AS kind, {_sql_key(id_col)} AS key, created_at AS s, deleted_at AS e FROM {table} QUALIFY row_number() OVER "
+        f"(PARTITION BY {_sql_key(id_col)}, language ORDER BY updated_at DESC NULLS LAST) = 1"
+    )
+    parents = " UNION ALL ".join([f"({law('acts', 'act_id', 'act')})", f"({law('regulations', 'regulation_id', 'regulation')})",
+        f"SELECT 'cross_reference', {_sql_key('id')}, created_at, deleted_at FROM cross_references",
+        "SELECT 'bill', CAST(id AS VARCHAR), CAST(added AS TIMESTAMP), deleted_at FROM bills_bill"])
     return f"WITH res AS ({latest}), refs AS ({refs}), parents AS ({parents})"
 
 
 def _sql_p3(columns: str | None) -> str:
     """The orphans' ``columns``, or their report."""
     backed = "SELECT 1 FROM parents p WHERE p.kind = r.kind AND p.key = r.key AND p.s <= r.at"
-    status = f"CASE WHEN NOT EXISTS (SELECT 1 FROM parents p WHERE p.kind = r.kind AND p.key = r.key) THEN 'missing' WHEN NOT EXISTS ({backed}) THEN 'late' ELSE 'deleted' END"
+    status = (
+        f"CASE WHEN NOT EXISTS (SELECT 1 FROM parents p WHERE p.kind = r.kind AND p.key = r.key) THEN 'missing' WHEN NOT EXISTS ({backed}) "
+        f"THEN 'late' ELSE 'deleted' END"
+    )
     orphans = f"SELECT r.*, {status} AS status FROM refs r WHERE NOT EXISTS ({backed} AND (p.e IS NULL OR p.e > r.at))"
     if columns is None:
-        return f"{_sql_references()} SELECT table_name, field_name, strftime(o.at, '%Y-%m') AS month, status, count(*) AS orphans FROM ({orphans}) o GROUP BY ALL"
+        return (
+            f"{_sql_references()} SELECT table_name, field_name, strftime(o.at, '%Y-%m') AS month, status, count(*) AS orphans FROM ({orphans}) "
+            f"o GROUP BY ALL"
+        )
     return f"{_sql_references()} SELECT {columns} FROM ({orphans}) o"
 
 
@@ -188,21 +235,27 @@ def _elements_sql(name: str, source: str, value: str) -> str:
     """The objects of the array ``value`` of each row of ``source`` (``id``, ``place``) as ``name``: ``id``, ``place``, ``pos``, ``e``."""
     count = "CASE json_type(v) WHEN 'ARRAY' THEN CAST(json_array_length(v) AS INT) WHEN 'OBJECT' THEN 1 ELSE 0 END"
     rows = f"SELECT id, place, v, unnest(range(0, {count}))::INT AS pos FROM (SELECT id, place, {_unwrapped(value)} AS v FROM {source})"
-    return f"{name} AS (SELECT * FROM (SELECT id, place, pos, CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[' || pos || ']') ELSE v END AS e FROM ({rows})) WHERE json_type(e) = 'OBJECT')"
+    return (
+        f"{name} AS (SELECT * FROM (SELECT id, place, pos, CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[' || pos || ']') ELSE v "
+        f"END AS e FROM ({rows})) WHERE json_type(e) = 'OBJECT')"
+    )
 
 
 def _nested_sql(out: str) -> str:
     latest = lambda t, columns: f"SELECT id, -1 AS place, {columns} FROM {t} QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1"
     member = lambda x, m: f"(SELECT CASE WHEN json_type(w) = 'OBJECT' THEN json_extract(w, '$.{m}') END FROM (SELECT {_unwrapped(x)} AS w))"
     ctes = [
-        f"ac AS ({latest('acts', 'TRY_CAST(preamble AS JSON) AS p, TRY_CAST(signature_blocks AS JSON) AS s')})", f"rs AS ({latest('leg_resources', 'TRY_CAST(metadata AS JSON) AS m')})",
-        _elements_sql("pre", "ac", "p"), _elements_sql("blk", "ac", "s"), "bl AS (SELECT id, pos AS place, e FROM blk)", _elements_sql("lin", "bl", "json_extract(e, '$.lines')"),
+        f"ac AS ({latest('acts', 'TRY_CAST(preamble AS JSON) AS p, TRY_CAST(signature_blocks AS JSON) AS s')})",
+            f"rs AS ({latest('leg_resources', 'TRY_CAST(metadata AS JSON) AS m')})",
+        _elements_sql("pre", "ac", "p"), _elements_sql("blk", "ac", "s"), "bl AS (SELECT id, pos AS place, e FROM blk)",
+            _elements_sql("lin", "bl", "json_extract(e, '$.lines')"),
         _elements_sql("stg", "rs", member(member("m", "billHistory"), "stages")), _elements_sql("amd", "rs", member("m", "recentAmendments")),
     ]
     return f"WITH {', '.join(ctes)} {out}"
 
 
-_ITEMS = {"preamble": ("acts", "pre"), "signature_block": ("acts", "blk"), "signature_line": ("acts", "lin"), "stage": ("leg_resources", "stg"), "amendment": ("leg_resources", "amd")}
+_ITEMS = {"preamble": ("acts", "pre"), "signature_block": ("acts", "blk"), "signature_line": ("acts", "lin"), "stage": ("leg_resources", "stg"),
+    "amendment": ("leg_resources", "amd")}
 
 
 def _fields_sql(item: str, *fields: str) -> str:
@@ -211,8 +264,11 @@ def _fields_sql(item: str, *fields: str) -> str:
 
 
 NESTED_ORACLE = {
-    "p5_found": _nested_sql(" UNION ALL ".join(f"SELECT '{t}' AS table_name, id AS parent_id, '{item}' AS item, place AS outer_pos, pos FROM {cte}" for item, (t, cte) in _ITEMS.items())),
+    "p5_found": _nested_sql(" UNION ALL ".join(f"SELECT '{t}' AS table_name, id AS parent_id, '{item}' AS item, place AS outer_pos, pos FROM {cte}"
+        for item, (t, cte) in _ITEMS.items())),
     "p5_preamble": _fields_sql("preamble", "text", "marginalNote"), "p5_signature_blocks": _fields_sql("signature_block", "witnessClause", "doneAt"),
-    "p5_signature_lines": _fields_sql("signature_line", "signatureName", "signatureTitle", "signatureDate", "signatureLocation"), "p5_stages": _fields_sql("stage", "stage", "date"), "p5_amendments": _fields_sql("amendment", "citation", "date", "link"),
+    "p5_signature_lines": _fields_sql("signature_line", "signatureName", "signatureTitle", "signatureDate", "signatureLocation"),
+        "p5_stages": _fields_sql("stage", "stage", "date"), "p5_amendments": _fields_sql("amendment", "citation", "date", "link"),
 }
-ORACLE = {"p1_found": _sql_p1(), "p3_found": _sql_p3("table_name, row_id, field_name"), "p3_orphans": _sql_p3("table_name, row_id, field_name, kind, key, o.at, status"), "p3_report": _sql_p3(None)} | NESTED_ORACLE
+ORACLE = {"p1_found": _sql_p1(), "p3_found": _sql_p3("table_name, row_id, field_name"),
+    "p3_orphans": _sql_p3("table_name, row_id, field_name, kind, key, o.at, status"), "p3_report": _sql_p3(None)} | NESTED_ORACLE

@@ -18,7 +18,8 @@ from brindle.tables import load
 def _resources(spark: SparkSession, base: str) -> DataFrame:
     docs, vectors = load(spark, base, "documents"), load(spark, base, "embeddings")
     joined = docs.join(vectors, docs["doc_id"] == vectors["vec_id"])
-    return joined.select(F.col("doc_id").alias("resource_id"), F.lower(F.trim("source")).alias("source_type"), F.lower(F.trim("lang")).alias("language"), F.col("embedding").alias("vector"), "text")
+    return joined.select(F.col("doc_id").alias("resource_id"), F.lower(F.trim("source")).alias("source_type"), F.lower(F.trim("lang"))
+        .alias("language"), F.col("embedding").alias("vector"), "text")
 
 
 def _queries(resources: DataFrame) -> DataFrame:
@@ -82,7 +83,8 @@ def variant_search(spark: SparkSession, base: str) -> DataFrame:
     q = _queries(r).join(r.select(F.col("resource_id").alias("query_id"), "text"), "query_id")
     wordings = F.concat(F.array(F.array_join("terms", " ")), tx.reformulations(F.coalesce("text", F.lit("")), F.col("language")))
     words = F.filter(F.split(F.lower("wording"), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    v = q.select("query_id", "vector", "language", F.posexplode(wordings).alias("variant", "wording")).select((F.col("query_id") * 3 + F.col("variant")).alias("query_id"), "vector", "language", words.alias("terms"))
+    v = q.select("query_id", "vector", "language", F.posexplode(wordings)
+        .alias("variant", "wording")).select((F.col("query_id") * 3 + F.col("variant")).alias("query_id"), "vector", "language", words.alias("terms"))
     found = search(v, r, 10, 0.2).withColumn("list_id", F.floor(F.col("query_id") / 3)).withColumn("similarity", F.col("score"))
     best = found.groupBy("list_id", "resource_id").agg(F.max("similarity").alias("similarity"))
     return rk.reranked(best, F.desc("similarity"), F.col("resource_id")).filter("rank <= 10").select("list_id", "resource_id", "similarity", "rank")
@@ -96,8 +98,10 @@ def scored_rerank(spark: SparkSession, base: str) -> DataFrame:
 
 
 def cosine_topk(spark: SparkSession, base: str) -> DataFrame:
-    e = load(spark, base, "embeddings").select(F.col("vec_id").alias("resource_id"), F.lit(None).cast("string").alias("source_type"), F.lit(None).cast("string").alias("language"), F.col("embedding").alias("vector"), F.lit(None).cast("string").alias("text"))
-    q = e.filter("resource_id % 100 = 0").select(F.col("resource_id").alias("query_id"), "vector", "language", F.array().cast("array<string>").alias("terms"))
+    e = load(spark, base, "embeddings").select(F.col("vec_id").alias("resource_id"), F.lit(None).cast("string").alias("source_type"), F.lit(None)
+        .cast("string").alias("language"), F.col("embedding").alias("vector"), F.lit(None).cast("string").alias("text"))
+    q = e.filter("resource_id % 100 = 0").select(F.col("resource_id").alias("query_id"), "vector", "language", F.array().cast("array<string>")
+        .alias("terms"))
     return search(q, e, 10, -1.0).select("query_id", "resource_id", "cosine", "rank")
 
 
@@ -118,7 +122,8 @@ def _ranking(operator):
 def multi_query_union_dedup(spark: SparkSession, base: str) -> DataFrame:
     """The lists of all queries merged into one, the best row of each resource, the first fifty."""
     merged = candidates(spark, base, 10).withColumn("list_id", F.lit(0).cast("bigint"))
-    best = merged.groupBy("list_id", "resource_id").agg(F.max(F.struct("similarity", "source_type")).alias("b")).select("list_id", "resource_id", "b.*")
+    best = merged.groupBy("list_id", "resource_id").agg(F.max(F.struct("similarity", "source_type")).alias("b")).select("list_id", "resource_id",
+        "b.*")
     top = best.orderBy(F.desc("similarity"), "resource_id").limit(50).withColumn("rank", F.lit(0))
     return rk.reranked(top, F.desc("similarity"), F.col("resource_id")).select(*COLUMNS)
 
@@ -138,7 +143,8 @@ def heuristic_rerank(spark: SparkSession, base: str) -> DataFrame:
 
 def rerank_pipeline(spark: SparkSession, base: str) -> DataFrame:
     """Dedup, scores, diversity, slots and filter as one chain; six rows a list."""
-    return rk.rerank_pipeline(candidates(spark, base), ["resource_id"], 6, "mp_statement").withColumn("similarity", F.round("similarity", 6)).select(*COLUMNS)
+    return rk.rerank_pipeline(candidates(spark, base), ["resource_id"], 6, "mp_statement").withColumn("similarity",
+        F.round("similarity", 6)).select(*COLUMNS)
 
 
 def definition_boost(spark: SparkSession, base: str) -> DataFrame:
@@ -176,20 +182,39 @@ QUERIES = {
     "slot_allocation": _ranking(lambda c: rk.slots(c, ["legal_section", "bill_summary"], ["hansard"], 2, 8)),
     "multi_query_union_dedup": multi_query_union_dedup, "source_diversity": source_diversity, "heuristic_rerank": heuristic_rerank,
     "rerank_pipeline": rerank_pipeline, "definition_boost": definition_boost, "snippet_citations": snippet_citations,
-    "source_searches": source_searches, "reference_search": reference_search, "filtered_search": filtered_search, "variant_search": variant_search, "scored_rerank": scored_rerank,
+    "source_searches": source_searches, "reference_search": reference_search, "filtered_search": filtered_search, "variant_search": variant_search,
+        "scored_rerank": scored_rerank,
     "top_per_type": top_per_type, "allowed_citations": allowed_citations, "valid_vectors": valid_vectors,
 }
 
-_R = r"r AS (SELECT d.doc_id AS id, lower(trim(d.source)) AS source_type, lower(trim(d.lang)) AS language, CAST(e.embedding AS DOUBLE[]) AS v, regexp_extract_all(lower(coalesce(d.text, '')), '[\p{L}\p{N}]+') AS tokens, d.text FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"
-_TERMS = "(WITH w AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{8,}')) AS t, generate_subscripts(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{8,}'), 1) AS i) SELECT list(t ORDER BY i) FROM (SELECT t, min(i) AS i FROM w GROUP BY t ORDER BY i LIMIT 3))"
+_R = (
+    r"r AS (SELECT d.doc_id AS id, lower(trim(d.source)) AS source_type, lower(trim(d.lang)) AS language, CAST(e.embedding AS DOUBLE[]) "
+    r"AS v, regexp_extract_all(lower(coalesce(d.text, '')), '[\p{L}\p{N}]+') AS tokens, d.text FROM documents d JOIN embeddings e ON "
+    r"d.doc_id = e.vec_id)"
+)
+_TERMS = (
+    "(WITH w AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{8,}')) AS t, "
+    "generate_subscripts(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{8,}'), 1) AS i) SELECT list(t ORDER BY i) FROM (SELECT t, "
+    "min(i) AS i FROM w GROUP BY t ORDER BY i LIMIT 3))"
+)
 _Q = f"q AS (SELECT id AS query_id, v, language, coalesce({_TERMS}[1:(id // 100) % 3 + 1], []) AS terms FROM r WHERE id % 100 = 0)"
-_PAIRS = "p1 AS (SELECT q.query_id, r.id AS resource_id, r.source_type, r.language, list_cosine_similarity(q.v, r.v) AS c, list_transform(q.terms, lambda t: len(list_filter(r.tokens, lambda w: w = t))) AS tfs, coalesce({lang} = r.language, false) AS own FROM q CROSS JOIN r), p0 AS (SELECT *, CASE WHEN len(tfs) > 0 AND len(list_filter(tfs, lambda n: n = 0)) = 0 THEN list_avg(list_transform(tfs, lambda n: n / (n + 1.0))) ELSE 0 END AS kw FROM p1), p AS (SELECT *, round(c, 6) AS cosine, round(kw, 6) AS keyword, round(0.7 * c + 0.3 * kw, 6) AS score FROM p0)"
+_PAIRS = (
+    "p1 AS (SELECT q.query_id, r.id AS resource_id, r.source_type, r.language, list_cosine_similarity(q.v, r.v) AS c, "
+    "list_transform(q.terms, lambda t: len(list_filter(r.tokens, lambda w: w = t))) AS tfs, coalesce({lang} = r.language, false) AS own "
+    "FROM q CROSS JOIN r), p0 AS (SELECT *, CASE WHEN len(tfs) > 0 AND len(list_filter(tfs, lambda n: n = 0)) = 0 THEN "
+    "list_avg(list_transform(tfs, lambda n: n / (n + 1.0))) ELSE 0 END AS kw FROM p1), p AS (SELECT *, round(c, 6) AS cosine, round(kw, "
+    "6) AS keyword, round(0.7 * c + 0.3 * kw, 6) AS score FROM p0)"
+)
 
 
 def _search_sql(k: int, threshold: float, by: str = "query_id", lang: str = "q.language", fallback: bool = False) -> str:
-    keep = "f AS (SELECT *, max(CAST(own AS INT)) OVER (PARTITION BY query_id) AS any_own FROM p WHERE round(c, 6) >= {t} OR kw > 0)".format(t=threshold)
+    keep = "f AS (SELECT *, max(CAST(own AS INT)) OVER (PARTITION BY query_id) AS any_own FROM p WHERE round(c, 6) >= {t} OR kw > 0)".format(
+        t=threshold)
     where = "WHERE own OR any_own = 0" if fallback else ""
-    return f"{_R}, {_Q}, {_PAIRS.format(lang=lang)}, {keep}, s AS (SELECT query_id, resource_id, source_type, language, cosine, keyword, score, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, resource_id) AS rank FROM f {where} QUALIFY rank <= {k})"
+    return (
+        f"{_R}, {_Q}, {_PAIRS.format(lang=lang)}, {keep}, s AS (SELECT query_id, resource_id, source_type, language, cosine, keyword, score, "
+        f"row_number() OVER (PARTITION BY {by} ORDER BY score DESC, resource_id) AS rank FROM f {where} QUALIFY rank <= {k})"
+    )
 
 
 def _lists(k: int = 30) -> str:
@@ -197,23 +222,38 @@ def _lists(k: int = 30) -> str:
 
 
 _OUT = "list_id, resource_id, source_type, similarity, rank"
-_ADAPT = "SELECT {o}, row_number() OVER (PARTITION BY list_id ORDER BY rank) AS rank FROM (SELECT *, count(*) FILTER (inside) OVER (PARTITION BY list_id) AS n, count(*) OVER (PARTITION BY list_id) AS total FROM (SELECT *, similarity >= greatest({ratio} * first_value(similarity) OVER (PARTITION BY list_id ORDER BY rank), {floor}) AS inside FROM {of})) WHERE CASE WHEN n < least(3, total) THEN rank <= 3 ELSE inside END"
+_ADAPT = (
+    "SELECT {o}, row_number() OVER (PARTITION BY list_id ORDER BY rank) AS rank FROM (SELECT *, count(*) FILTER (inside) OVER "
+    "(PARTITION BY list_id) AS n, count(*) OVER (PARTITION BY list_id) AS total FROM (SELECT *, similarity >= greatest({ratio} * "
+    "first_value(similarity) OVER (PARTITION BY list_id ORDER BY rank), {floor}) AS inside FROM {of})) WHERE CASE WHEN n < least(3, "
+    "total) THEN rank <= 3 ELSE inside END"
+)
 _O = "list_id, resource_id, source_type, language, similarity"
 
 
 def _cut(of: str, gap: float) -> str:
     gaps = f"SELECT *, similarity - lead(similarity) OVER (PARTITION BY list_id ORDER BY rank) AS gap FROM {of}"
     best = f"SELECT list_id, arg_max(rank, (gap, -rank)) AS at, max(gap) AS gap FROM ({gaps}) WHERE rank >= 3 AND gap IS NOT NULL GROUP BY list_id"
-    return f"SELECT {', '.join('a.' + x.strip() for x in _OUT.split(','))} FROM ({of}) a LEFT JOIN ({best}) b USING (list_id) WHERE b.at IS NULL OR b.gap <= {gap} OR a.rank <= b.at" if of.startswith("SELECT") else f"SELECT {', '.join('a.' + x.strip() for x in _OUT.split(','))} FROM {of} a LEFT JOIN ({best}) b USING (list_id) WHERE b.at IS NULL OR b.gap <= {gap} OR a.rank <= b.at"
+    return (
+        f"SELECT {', '.join('a.' + x.strip() for x in _OUT.split(','))} FROM ({of}) a LEFT JOIN ({best}) b USING (list_id) WHERE b.at IS "
+        f"NULL OR b.gap <= {gap} OR a.rank <= b.at"
+    ) if of.startswith("SELECT") else (
+        f"SELECT {', '.join('a.' + x.strip() for x in _OUT.split(','))} FROM {of} a LEFT JOIN ({best}) b USING (list_id) WHERE b.at IS NULL "
+        f"OR b.gap <= {gap} OR a.rank <= b.at"
+    )
 
 
 def _diverse(of: str, first: str) -> str:
     """Rows of ``first`` and the additions from ``of``."""
     return (
-        f"have AS (SELECT list_id, source_type, count(*) AS n FROM {first} GROUP BY ALL), tail AS (SELECT list_id, max(rank) AS len, arg_max(similarity, rank) AS last FROM {first} GROUP BY ALL), "
+        f"have AS (SELECT list_id, source_type, count(*) AS n FROM {first} GROUP BY ALL), tail AS (SELECT list_id, max(rank) AS len, "
+            f"arg_max(similarity, rank) AS last FROM {first} GROUP BY ALL), "
         f"x AS (SELECT o.*, min(o.rank) OVER (PARTITION BY o.list_id, o.source_type) AS entry FROM {of} o), "
-        f"u AS (SELECT x.*, row_number() OVER (PARTITION BY x.list_id, x.source_type ORDER BY x.rank) AS place FROM x WHERE NOT EXISTS (SELECT 1 FROM {first} f WHERE f.list_id = x.list_id AND f.resource_id = x.resource_id)), "
-        "add AS (SELECT u.list_id, u.resource_id, u.source_type, round(greatest(0.9 * tail.last, 0.1), 6) AS similarity, tail.len + row_number() OVER (PARTITION BY u.list_id ORDER BY u.entry, u.rank) AS rank FROM u LEFT JOIN have USING (list_id, source_type) JOIN tail USING (list_id) WHERE u.place <= 2 - coalesce(have.n, 0)), "
+        f"u AS (SELECT x.*, row_number() OVER (PARTITION BY x.list_id, x.source_type ORDER BY x.rank) AS place FROM x WHERE NOT EXISTS "
+            f"(SELECT 1 FROM {first} f WHERE f.list_id = x.list_id AND f.resource_id = x.resource_id)), "
+        "add AS (SELECT u.list_id, u.resource_id, u.source_type, round(greatest(0.9 * tail.last, 0.1), 6) AS similarity, tail.len + "
+            "row_number() OVER (PARTITION BY u.list_id ORDER BY u.entry, u.rank) AS rank FROM u LEFT JOIN have USING (list_id, source_type) "
+            "JOIN tail USING (list_id) WHERE u.place <= 2 - coalesce(have.n, 0)), "
         f"d AS (SELECT {_OUT} FROM {first} UNION ALL SELECT {_OUT} FROM add)"
     )
 
@@ -221,26 +261,261 @@ def _diverse(of: str, first: str) -> str:
 def _slots_sql(of: str, primary: str, secondary: str, cap: int, limit: int) -> str:
     kind = f"SELECT *, CASE WHEN source_type IN ({primary}) THEN 0 WHEN source_type IN ({secondary}) THEN 1 END AS kind FROM {of}"
     place = f"SELECT *, row_number() OVER (PARTITION BY list_id, kind ORDER BY rank) AS place FROM ({kind}) WHERE kind IS NOT NULL"
-    bucket = f"SELECT *, CASE WHEN kind = 0 THEN CASE WHEN place <= {max(0, limit - cap)} THEN 0 ELSE 2 END ELSE CASE WHEN place <= {cap} THEN 1 ELSE 3 END END AS bucket FROM ({place})"
-    return f"SELECT * EXCLUDE (rank, kind, place, bucket), row_number() OVER (PARTITION BY list_id ORDER BY bucket, rank) AS new_rank FROM ({bucket}) QUALIFY new_rank <= {limit}"
+    bucket = (
+        f"SELECT *, CASE WHEN kind = 0 THEN CASE WHEN place <= {max(0, limit - cap)} THEN 0 ELSE 2 END ELSE CASE WHEN place <= {cap} THEN 1 "
+        f"ELSE 3 END END AS bucket FROM ({place})"
+    )
+    return (
+        f"SELECT * EXCLUDE (rank, kind, place, bucket), row_number() OVER (PARTITION BY list_id ORDER BY bucket, rank) AS new_rank FROM "
+        f"({bucket}) QUALIFY new_rank <= {limit}"
+    )
 
 
 _SEARCHED = "SELECT query_id, resource_id, source_type, language, cosine, keyword, score, rank FROM s"
 _SNIPPET = r"""WITH_SNIP AS (SELECT c.list_id, c.resource_id, c.rank, trim(regexp_replace(coalesce(d.text, ''), '[\s\x0B]+', ' ', 'g')) AS t FROM c JOIN documents d ON d.doc_id = c.resource_id), h AS (SELECT *, left(t, 480) AS head FROM WITH_SNIP), e AS (SELECT *, greatest(CASE WHEN instr(head, '. ') > 0 THEN length(head) - instr(reverse(head), ' .') ELSE 0 END, CASE WHEN instr(head, '? ') > 0 THEN length(head) - instr(reverse(head), ' ?') ELSE 0 END, CASE WHEN instr(head, '! ') > 0 THEN length(head) - instr(reverse(head), ' !') ELSE 0 END) AS last FROM h), sn AS (SELECT list_id, resource_id, rank, CASE WHEN length(t) <= 480 THEN t WHEN last > 200 THEN left(head, last) ELSE rtrim(head) || '…' END AS snippet FROM e)"""
 
-_NUMBERED = f"WITH {_R}, n AS (SELECT id, v, language, text, [{', '.join(repr(x) for x in SOURCES)}][id % {len(SOURCES)} + 1] AS kind, nullif(upper(regexp_extract(text, '\\b([CScs]-\\d+)\\b', 1)), '') AS ref FROM r), x AS (SELECT q.id AS query_id, n.id AS resource_id, n.kind, n.text, n.language, q.language AS own, q.ref AS qref, n.ref, round(list_cosine_similarity(q.v, n.v), 6) AS cosine FROM n q CROSS JOIN n WHERE q.id % 100 = 0)"
+_NUMBERED = (
+    f"WITH {_R}, n AS (SELECT id, v, language, text, [{', '.join(repr(x) for x in SOURCES)}][id % {len(SOURCES)} + 1] AS kind, "
+    f"nullif(upper(regexp_extract(text, '\\b([CScs]-\\d+)\\b', 1)), '') AS ref FROM r), x AS (SELECT q.id AS query_id, n.id AS "
+    f"resource_id, n.kind, n.text, n.language, q.language AS own, q.ref AS qref, n.ref, round(list_cosine_similarity(q.v, n.v), 6) AS "
+    f"cosine FROM n q CROSS JOIN n WHERE q.id % 100 = 0)"
+)
 _BEST = "row_number() OVER (PARTITION BY query_id, kind ORDER BY round(0.7 * cosine, 6) DESC, resource_id)"
 _WORDED = "list_filter(regexp_split_to_array(lower(wording), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
-_VARIANTS = "v0 AS (SELECT query_id, v, language, terms, nullif(upper(regexp_extract(coalesce((SELECT text FROM documents WHERE doc_id = query_id), ''), '\\b([CScs]-\\d+)\\b', 1)), '') AS bill FROM q), v1 AS (SELECT query_id, v, unnest([array_to_string(terms, ' '), CASE WHEN bill IS NULL THEN CASE WHEN coalesce(language, '') = 'fr' THEN 'Contexte parlementaire lié' ELSE 'Related parliamentary context' END WHEN coalesce(language, '') = 'fr' THEN 'Résumé du projet de loi ' || bill ELSE 'Summary of Bill ' || bill END, CASE WHEN bill IS NULL THEN CASE WHEN coalesce(language, '') = 'fr' THEN 'Informations officielles pertinentes' ELSE 'Relevant official information' END WHEN coalesce(language, '') = 'fr' THEN 'Contexte et statut du projet de loi ' || bill ELSE 'Context and status of Bill ' || bill END]) AS wording, unnest([0, 1, 2]) AS variant FROM v0), v2 AS (SELECT query_id, variant, v, list_distinct({w}) AS terms FROM v1), vp AS (SELECT v2.query_id, variant, r.id AS resource_id, list_cosine_similarity(v2.v, r.v) AS c, list_transform(v2.terms, lambda t: len(list_filter(r.tokens, lambda w: w = t))) AS tfs FROM v2 CROSS JOIN r), vs AS (SELECT *, CASE WHEN len(tfs) > 0 AND len(list_filter(tfs, lambda n: n = 0)) = 0 THEN list_avg(list_transform(tfs, lambda n: n / (n + 1.0))) ELSE 0 END AS kw FROM vp), vk AS (SELECT query_id, variant, resource_id, round(0.7 * c + 0.3 * kw, 6) AS score FROM vs WHERE round(c, 6) >= 0.2 OR kw > 0 QUALIFY row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, resource_id) <= 10)".format(w=_WORDED)
+_VARIANTS = (
+    "v0 AS (SELECT query_id, v, language, terms, nullif(upper(regexp_extract(coalesce((SELECT text FROM documents WHERE doc_id = "
+    "query_id), ''), '\\b([CScs]-\\d+)\\b', 1)), '') AS bill FROM q), v1 AS (SELECT query_id, v, unnest([array_to_string(terms, ' '), "
+    "CASE WHEN bill IS NULL THEN CASE WHEN coalesce(language, '') = 'fr' THEN 'Contexte parlementaire lié' ELSE 'Related parliamentary "
+    "context' END WHEN coalesce(language, '') = 'fr' THEN 'Résumé du projet de loi ' || bill ELSE 'Summary of Bill ' || bill END, CASE "
+    "WHEN bill IS NULL THEN CASE WHEN coalesce(language, '') = 'fr' THEN 'Informations officielles pertinentes' ELSE 'Relevant official "
+    "information' END WHEN coalesce(language, '') = 'fr' THEN 'Contexte et statut du projet de loi ' || bill ELSE 'Context and status "
+    "of Bill ' || bill END]) AS wording, unnest([0, 1, 2]) AS variant FROM v0), v2 AS (SELECT query_id, variant, v, list_distinct({w}) "
+    "AS terms FROM v1), vp AS (SELECT v2.query_id, variant, r.id AS resource_id, list_cosine_similarity(v2.v, r.v) AS c, "
+    "list_transform(v2.terms, lambda t: len(list_filter(r.tokens, lambda w: w = t))) AS tfs FROM v2 CROSS JOIN r), vs AS (SELECT *, "
+    "CASE WHEN len(tfs) > 0 AND len(list_filter(tfs, lambda n: n = 0)) = 0 THEN list_avg(list_transform(tfs, lambda n: n / (n + 1.0))) "
+    "ELSE 0 END AS kw FROM vp), vk AS (SELECT query_id, variant, resource_id, round(0.7 * c + 0.3 * kw, 6) AS score FROM vs WHERE "
+    "round(c, 6) >= 0.2 OR kw > 0 QUALIFY row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, resource_id) <= 10)"
+).format(w=_WORDED)
 
 ORACLE = {
-    "source_searches": f"{_NUMBERED}, g AS (SELECT query_id, resource_id, cosine, kind AS source_type, CASE WHEN kind IN ('bill', 'vote_question') AND qref IS NOT NULL THEN row_number() OVER (PARTITION BY query_id, kind ORDER BY cosine DESC, resource_id) ELSE {_BEST} END AS rank FROM x WHERE CASE WHEN kind IN ('bill', 'vote_question') AND qref IS NOT NULL THEN ref = qref AND cosine >= CASE kind WHEN 'bill' THEN 0.5 ELSE 0.1 END ELSE cosine >= 0.1 END) SELECT * FROM g WHERE rank <= 3",
-    "reference_search": f"{_NUMBERED} SELECT query_id, resource_id, ref AS reference, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, resource_id) AS rank FROM x WHERE language = 'en' AND ref = qref AND cosine >= -0.2 QUALIFY rank <= 10",
-    "filtered_search": f"{_NUMBERED}, h AS (SELECT *, coalesce(own = language, false) AS mine FROM x WHERE kind = 'hansard' AND length(text) > 300 AND cosine >= 0), a AS (SELECT *, max(mine::INT) OVER (PARTITION BY query_id) AS any_mine FROM h) SELECT query_id, resource_id, cosine, {_BEST} AS rank FROM a WHERE mine OR any_mine = 0 QUALIFY rank <= 5",
-    "variant_search": f"WITH {_R}, {_Q}, {_VARIANTS} SELECT query_id AS list_id, resource_id, max(score) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, resource_id) AS rank FROM vk GROUP BY query_id, resource_id QUALIFY rank <= 10",
-    "scored_rerank": f"{_lists()}, sc AS (SELECT list_id, resource_id, source_type, round(1.0 / (1 + resource_id % 17), 6) AS similarity, rank AS old FROM c), sr AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY similarity DESC, old) AS rank FROM sc), f24 AS (SELECT * FROM sr WHERE rank <= 24), {_diverse('sr', 'f24')} SELECT {_OUT} FROM ({_ADAPT.format(o='list_id, resource_id, source_type, similarity', ratio=0.7, floor=0.1, of='d')}) WHERE rank <= 8 AND similarity >= 0.1",
+    "source_searches": (
+        f"{_NUMBERED}, g AS (SELECT query_id, resource_id, cosine, kind AS source_type, CASE WHEN kind IN ('bill', 'vote_question') AND qref "
+        f"IS NOT NULL THEN row_number() OVER (PARTITION BY query_id, kind ORDER BY cosine DESC, resource_id) ELSE {_BEST} END AS rank FROM x "
+        f"WHERE CASE WHEN kind IN ('bill', 'vote_question') AND qref IS NOT NULL THEN ref = qref AND cosine >= CASE kind WHEN 'bill' THEN "
+        f"0.5 ELSE 0.1 END ELSE cosine >= 0.1 END) SELECT * FROM g WHERE rank <= 3"
+    ),
+    "reference_search": (
+        f"{_NUMBERED} SELECT query_id, resource_id, ref AS reference, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, "
+        f"resource_id) AS rank FROM x WHERE language = 'en' AND ref = qref AND cosine >= -0.2 QUALIFY rank <= 10"
+    ),
+    "filtered_search": (
+        f"{_NUMBERED}, h AS (SELECT *, coalesce(own = language, false) AS mine FROM x WHERE kind = 'hansard' AND length(text) > 300 AND "
+        f"cosine >= 0), a AS (SELECT *, max(mine::INT) OVER (PARTITION BY query_id) AS any_mine FROM h) SELECT query_id, resource_id, "
+        f"cosine, {_BEST} AS rank FROM a WHERE mine OR any_mine = 0 QUALIFY rank <= 5"
+    ),
+    "variant_search": (
+        f"WITH {_R}, {_Q}, {_VARIANTS} SELECT query_id AS list_id, resource_id, max(score) AS similarity, row_number() OVER (PARTITION BY "
+        f"query_id ORDER BY max(score) DESC, resource_id) AS rank FROM vk GROUP BY query_id, resource_id QUALIFY rank <= 10"
+    ),
+    "scored_rerank": (
+        f"{_lists()}, sc AS (SELECT list_id, resource_id, source_type, round(1.0 / (1 + resource_id % 17), 6) AS similarity, rank AS old "
+        f"FROM c), sr AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY similarity DESC, old) AS rank FROM sc), f24 AS (SELECT "
+        f"* FROM sr WHERE rank <= 24), {_diverse('sr', 'f24')} SELECT {_OUT} FROM "
+        f"({_ADAPT.format(o='list_id, resource_id, source_type, similarity', ratio=0.7, floor=0.1, of='d')}) WHERE rank <= 8 AND similarity "
+        f">= 0.1"
+    ),
     "hybrid_search": f"WITH {_search_sql(10, 0.2)} {_SEARCHED}",
-    "hybrid_lang_fallback": f"WITH {_search_sql(10, 0.2, lang=chr(40) + 'CASE WHEN q.query_id % 200 = 0 THEN ' + chr(39) + 'xx' + chr(39) + ' ELSE q.language END' + chr(41), fallback=True)} {_SEARCHED}",
+    "hybrid_lang_fallback": (
+        f"WITH "
+        f"{_search_sql(10, 0.2, lang=chr(40) + 'CASE WHEN q.query_id % 200 = 0 THEN ' + chr(39) + 'xx' + chr(39) + ' ELSE q.language END' + chr(41), fallback=True)} "
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+        f"{_SEARCHED}"
+    ),
     "per_source_topk": f"WITH {_search_sql(3, 0.0, by='query_id, source_type')} {_SEARCHED}",
     "cosine_topk": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, r.vec_id AS resource_id, round(list_cosine_similarity(q.v, r.v), 6) AS cosine, round(0.7 * list_cosine_similarity(q.v, r.v), 6) AS score FROM e q CROSS JOIN e r WHERE q.vec_id % 100 = 0) SELECT query_id, resource_id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, resource_id) AS rank FROM p QUALIFY rank <= 10",
     "score_gaps": f"{_lists()} SELECT list_id, resource_id, rank, round(similarity - lead(similarity) OVER (PARTITION BY list_id ORDER BY rank), 6) AS gap FROM c",

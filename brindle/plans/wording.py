@@ -21,7 +21,8 @@ META = ["sourceType", "language", "actId", "regulationId", "documentTitle", "sec
 
 def _resources(spark: SparkSession, base: str) -> DataFrame:
     """The standing row of each resource, its metadata's members as columns."""
-    r = load(spark, base, "leg_resources").select("id", "updated_at", "resource_key", "content", F.from_json("metadata", ", ".join(f"{m} string" for m in META)).alias("m"))
+    r = load(spark, base, "leg_resources").select("id", "updated_at", "resource_key", "content",
+        F.from_json("metadata", ", ".join(f"{m} string" for m in META)).alias("m"))
     return standing(r.select("id", "updated_at", "resource_key", "content", "m.*"), ["id"], "updated_at")
 
 
@@ -35,15 +36,24 @@ def legislation_citations(spark: SparkSession, base: str) -> DataFrame:
 #: Members that the test tables lack, filled from others so that every wording is used: name to SQL over a resource's row.
 LAW_FIELDS = {
     **{m: m for m in META},
-    "term": "left(content, 12)", "treatyTitle": "CASE WHEN length(content) % 2 = 0 THEN left(content, 20) END", "provisionCount": "CASE WHEN length(content) % 3 = 0 THEN length(content) END",
-    "signatureName": "CASE WHEN length(content) % 4 < 3 THEN 'A. Clerk' END", "signatureTitle": "CASE WHEN length(content) % 4 = 1 THEN 'Registrar' END", "relatedProvisionLabel": "CASE WHEN length(content) % 5 < 3 THEN 'Transitional' END",
-    "relatedProvisionSource": "CASE WHEN length(content) % 5 = 1 THEN '2001, c. 4' END", "relatedSections": "CASE WHEN length(content) % 3 = 1 THEN ' (s 2)' END", "footnoteLabel": "CASE WHEN length(content) % 3 = 2 THEN '*' END",
-    "footnoteStatus": "CASE WHEN length(content) % 2 = 1 THEN 'editorial' END", "marginalNote": "CASE WHEN length(content) % 6 < 4 THEN left(content, 9) END", "publicationType": "CASE WHEN length(content) % 2 = 1 THEN 'recommendation' END",
+    "term": "left(content, 12)", "treatyTitle": "CASE WHEN length(content) % 2 = 0 THEN left(content, 20) END",
+        "provisionCount": "CASE WHEN length(content) % 3 = 0 THEN length(content) END",
+    "signatureName": "CASE WHEN length(content) % 4 < 3 THEN 'A. Clerk' END",
+        "signatureTitle": "CASE WHEN length(content) % 4 = 1 THEN 'Registrar' END",
+        "relatedProvisionLabel": "CASE WHEN length(content) % 5 < 3 THEN 'Transitional' END",
+    "relatedProvisionSource": "CASE WHEN length(content) % 5 = 1 THEN '2001, c. 4' END",
+        "relatedSections": "CASE WHEN length(content) % 3 = 1 THEN ' (s 2)' END", "footnoteLabel": "CASE WHEN length(content) % 3 = 2 THEN '*' END",
+    "footnoteStatus": "CASE WHEN length(content) % 2 = 1 THEN 'editorial' END",
+        "marginalNote": "CASE WHEN length(content) % 6 < 4 THEN left(content, 9) END",
+        "publicationType": "CASE WHEN length(content) % 2 = 1 THEN 'recommendation' END",
 }
 LAW_DERIVED = {
-    "anchor": "regexp_replace(sectionLabel, '[^a-zA-Z0-9.]', '', 'g')", "targetKind": "CASE WHEN targetType = 'act' THEN 'Act' ELSE 'Regulation' END", "targetKindFr": "CASE WHEN targetType = 'act' THEN 'Loi' ELSE 'Règlement' END",
-    "targetAct": "CASE WHEN targetType = 'act' THEN targetRef END", "targetRegulation": "CASE WHEN targetType = 'regulation' THEN targetRef END", "editorial": "CASE WHEN footnoteStatus = 'editorial' THEN '1' END",
-    "publication": "CASE WHEN publicationType = 'recommendation' THEN 'Recommendation' ELSE 'Notice' END", "publicationFr": "CASE WHEN publicationType = 'recommendation' THEN 'Recommandation' ELSE 'Avis' END",
+    "anchor": "regexp_replace(sectionLabel, '[^a-zA-Z0-9.]', '', 'g')", "targetKind": "CASE WHEN targetType = 'act' THEN 'Act' ELSE 'Regulation' END",
+        "targetKindFr": "CASE WHEN targetType = 'act' THEN 'Loi' ELSE 'Règlement' END",
+    "targetAct": "CASE WHEN targetType = 'act' THEN targetRef END", "targetRegulation": "CASE WHEN targetType = 'regulation' THEN targetRef END",
+        "editorial": "CASE WHEN footnoteStatus = 'editorial' THEN '1' END",
+    "publication": "CASE WHEN publicationType = 'recommendation' THEN 'Recommendation' ELSE 'Notice' END",
+        "publicationFr": "CASE WHEN publicationType = 'recommendation' THEN 'Recommandation' ELSE 'Avis' END",
 }
 
 
@@ -57,17 +67,27 @@ def legislation_citation_kinds(spark: SparkSession, base: str) -> DataFrame:
 
 #: Members of parliament's resources, from a bill's row.
 HOUSE_FIELDS = {
-    "billNumber": "bill_number", "sessionId": "session_id", "billTitle": "short_title_en", "committeeNameEn": "short_title_en", "committeeNameFr": "short_title_fr", "committeeSlug": "CASE WHEN id % 3 > 0 THEN 'FINA' END",
-    "title": "CASE WHEN id % 4 = 0 THEN name_en END", "nameEn": "CASE WHEN id % 2 = 0 THEN name_en END", "nameFr": "CASE WHEN id % 5 > 0 THEN name_fr END", "date": "CAST(introduced AS STRING)", "meetingNumber": "CASE WHEN id % 7 > 1 THEN id END",
-    "politicianName": "CASE WHEN id % 6 > 0 THEN 'P. Vale' END", "ridingNameEn": "CASE WHEN id % 4 > 1 THEN 'Ostrand East' END", "ridingNameFr": "CASE WHEN id % 3 = 1 THEN 'Ostrand-Est' END", "speakerNameEn": "CASE WHEN id % 4 = 2 THEN 'A. Member' END",
-    "speakerNameFr": "CASE WHEN id % 3 = 2 THEN 'Une députée' END", "docNumber": "CASE WHEN id % 2 = 1 THEN id END", "partyNameEn": "CASE WHEN id % 3 > 0 THEN 'Blue Party' END", "partyNameFr": "CASE WHEN id % 4 > 0 THEN 'Parti bleu' END",
-    "partyShortEn": "CASE WHEN id % 5 = 1 THEN 'BP' END", "partyShortFr": "CASE WHEN id % 5 = 2 THEN 'PB' END", "politicianSlug": "CASE WHEN id % 2 = 0 THEN 'p-vale' END", "memberId": "CASE WHEN id % 3 = 0 THEN id END", "province": "CASE WHEN id % 2 = 0 THEN 'QC' END",
-    "sessionName": "CASE WHEN id % 6 = 0 THEN 'A session' END", "result": "CASE id % 4 WHEN 0 THEN 'Y' WHEN 1 THEN 'N' WHEN 2 THEN 'T' END", "voteNumber": "CASE WHEN id % 3 > 0 THEN id END",
+    "billNumber": "bill_number", "sessionId": "session_id", "billTitle": "short_title_en", "committeeNameEn": "short_title_en",
+        "committeeNameFr": "short_title_fr", "committeeSlug": "CASE WHEN id % 3 > 0 THEN 'FINA' END",
+    "title": "CASE WHEN id % 4 = 0 THEN name_en END", "nameEn": "CASE WHEN id % 2 = 0 THEN name_en END",
+        "nameFr": "CASE WHEN id % 5 > 0 THEN name_fr END", "date": "CAST(introduced AS STRING)", "meetingNumber": "CASE WHEN id % 7 > 1 THEN id END",
+    "politicianName": "CASE WHEN id % 6 > 0 THEN 'P. Vale' END", "ridingNameEn": "CASE WHEN id % 4 > 1 THEN 'Ostrand East' END",
+        "ridingNameFr": "CASE WHEN id % 3 = 1 THEN 'Ostrand-Est' END", "speakerNameEn": "CASE WHEN id % 4 = 2 THEN 'A. Member' END",
+    "speakerNameFr": "CASE WHEN id % 3 = 2 THEN 'Une députée' END", "docNumber": "CASE WHEN id % 2 = 1 THEN id END",
+        "partyNameEn": "CASE WHEN id % 3 > 0 THEN 'Blue Party' END", "partyNameFr": "CASE WHEN id % 4 > 0 THEN 'Parti bleu' END",
+    "partyShortEn": "CASE WHEN id % 5 = 1 THEN 'BP' END", "partyShortFr": "CASE WHEN id % 5 = 2 THEN 'PB' END",
+        "politicianSlug": "CASE WHEN id % 2 = 0 THEN 'p-vale' END", "memberId": "CASE WHEN id % 3 = 0 THEN id END",
+        "province": "CASE WHEN id % 2 = 0 THEN 'QC' END",
+    "sessionName": "CASE WHEN id % 6 = 0 THEN 'A session' END", "result": "CASE id % 4 WHEN 0 THEN 'Y' WHEN 1 THEN 'N' WHEN 2 THEN 'T' END",
+        "voteNumber": "CASE WHEN id % 3 > 0 THEN id END",
 }
 
 
 def _sql_ordinal(x: str) -> str:
-    return f"(SELECT n || CASE WHEN n % 100 BETWEEN 11 AND 13 THEN 'th' WHEN n % 10 = 1 THEN 'st' WHEN n % 10 = 2 THEN 'nd' WHEN n % 10 = 3 THEN 'rd' ELSE 'th' END FROM (SELECT TRY_CAST({x} AS INT) AS n))"
+    return (
+        f"(SELECT n || CASE WHEN n % 100 BETWEEN 11 AND 13 THEN 'th' WHEN n % 10 = 1 THEN 'st' WHEN n % 10 = 2 THEN 'nd' WHEN n % 10 = 3 "
+        f"THEN 'rd' ELSE 'th' END FROM (SELECT TRY_CAST({x} AS INT) AS n))"
+    )
 
 
 def _sql_code(yes: str, no: str) -> str:
@@ -75,10 +95,14 @@ def _sql_code(yes: str, no: str) -> str:
 
 
 HOUSE_DERIVED = {
-    "parliament": _sql_ordinal("string_split(sessionId, '-')[1]"), "session": _sql_ordinal("string_split(sessionId, '-')[2]"), "billLower": "lower(billNumber)", "sessionPath": "replace(sessionId, '-', '/')",
-    "meetingEn": "'/DocumentViewer/en/' || nullif(sessionId, '') || '/' || committeeSlug || '/meeting-' || meetingNumber || '/evidence'", "meetingFr": "'/DocumentViewer/fr/' || nullif(sessionId, '') || '/' || committeeSlug || '/reunion-' || meetingNumber || '/temoignages'",
-    "memberPath": "politicianSlug || '(' || memberId || ')'", "anyParty": "coalesce(partyShortEn, partyShortFr)", "anyRiding": "coalesce(ridingNameEn, ridingNameFr)",
-    "passed": _sql_code("Passed", "Failed"), "passedFr": _sql_code("Adopté", "Rejeté"), "vote": _sql_code("Yea", "Nay"), "voteFr": _sql_code("Oui", "Non"),
+    "parliament": _sql_ordinal("string_split(sessionId, '-')[1]"), "session": _sql_ordinal("string_split(sessionId, '-')[2]"),
+        "billLower": "lower(billNumber)", "sessionPath": "replace(sessionId, '-', '/')",
+    "meetingEn": "'/DocumentViewer/en/' || nullif(sessionId, '') || '/' || committeeSlug || '/meeting-' || meetingNumber || '/evidence'",
+        "meetingFr": "'/DocumentViewer/fr/' || nullif(sessionId, '') || '/' || committeeSlug || '/reunion-' || meetingNumber || '/temoignages'",
+    "memberPath": "politicianSlug || '(' || memberId || ')'", "anyParty": "coalesce(partyShortEn, partyShortFr)",
+        "anyRiding": "coalesce(ridingNameEn, ridingNameFr)",
+    "passed": _sql_code("Passed", "Failed"), "passedFr": _sql_code("Adopté", "Rejeté"), "vote": _sql_code("Yea", "Nay"),
+        "voteFr": _sql_code("Oui", "Non"),
 }
 
 
@@ -96,26 +120,55 @@ def parliament_citation_kinds(spark: SparkSession, base: str) -> DataFrame:
 
 #: Facts of all kinds of records, from a bill's row.
 FACTS = {
-    **{f"name{x}": f"name_{x.lower()}" for x in ("En", "Fr")}, **{f"shortTitle{x}": f"short_title_{x.lower()}" for x in ("En", "Fr")}, "number": "bill_number", "sessionId": "session_id", "statusCode": "status_code", "introduced": "CAST(introduced AS STRING)",
-    "statusDate": "CASE WHEN id % 3 = 0 THEN CAST(added AS STRING) END", "house": "CASE institution WHEN 'C' THEN 'House of Commons' WHEN 'S' THEN 'Senate' END", "houseFr": "CASE institution WHEN 'C' THEN 'Chambre des communes' WHEN 'S' THEN 'Sénat' END",
-    "billKind": "CASE id % 3 WHEN 0 THEN 'Government Bill' WHEN 1 THEN 'Private Member''s Bill' END", "billKindFr": "CASE id % 3 WHEN 0 THEN 'Projet de loi du gouvernement' WHEN 1 THEN 'Projet de loi d’initiative parlementaire' END",
-    "lawEn": "CASE WHEN law THEN 'Yes' WHEN NOT law THEN 'No' END", "lawFr": "CASE WHEN law THEN 'Oui' WHEN NOT law THEN 'Non' END", "date": "CASE WHEN id % 4 > 0 THEN CAST(added AS STRING) END", "result": "CASE WHEN id % 2 = 0 THEN 'Y' END", "vote": "'Y'",
-    "yea": "id % 200", "nay": "id % 90", "paired": "id % 7", "descriptionEn": "short_title_en", "descriptionFr": "short_title_fr", "member": "CASE WHEN id % 5 > 0 THEN 'P. Vale' END", "memberId": "id", "slug": "CASE WHEN id % 2 = 0 THEN 'slug' END",
-    "yes": "CASE WHEN id % 2 = 0 THEN 'Yes' ELSE 'No' END", "oui": "CASE WHEN id % 2 = 0 THEN 'Oui' ELSE 'Non' END", "yes2": "CASE WHEN id % 3 = 0 THEN 'Yes' ELSE 'No' END", "oui2": "CASE WHEN id % 3 = 0 THEN 'Oui' ELSE 'Non' END",
-    "partyEn": "CASE WHEN id % 3 > 0 THEN 'Blue Party' END", "partyFr": "CASE WHEN id % 3 > 0 THEN 'Parti bleu' END", "partyShortEn": "CASE WHEN id % 2 = 1 THEN 'BP' END", "partyShortFr": "CASE WHEN id % 2 = 1 THEN 'PB' END",
-    "adopted": "CASE WHEN law THEN CAST(introduced AS STRING) END", "sessionName": "CASE WHEN id % 2 = 0 THEN 'A session' END", "parliament": "left(session_id, 2)", "session": "right(session_id, 1)", "ridingEn": "CASE WHEN id % 4 > 1 THEN 'Ostrand East' END",
-    "ridingFr": "CASE WHEN id % 4 > 1 THEN 'Ostrand-Est' END", "province": "'QC'", "percent": "CASE WHEN id % 2 = 0 THEN id % 100 END", "votes": "CASE WHEN id % 3 = 0 THEN id END", "electedEn": "CASE WHEN law THEN 'Yes' END", "electedFr": "CASE WHEN law THEN 'Oui' END",
-    "title": "name_en", "longTitle": "short_title_en", "runningHead": "CASE WHEN id % 4 = 0 THEN 'Head' END", "shortTitleStatus": "CASE WHEN id % 4 = 1 THEN 'official' END", "shortTitleStatusFr": "CASE WHEN id % 4 = 1 THEN 'officiel' END", "reversed": "CASE WHEN id % 5 = 0 THEN 'Act, An' END",
-    "id": "id", "status": "'in-force'", "inForce": "CAST(introduced AS STRING)", "enacted": "CASE WHEN id % 2 = 0 THEN '2001-02-03' END", "amended": "CASE WHEN id % 3 = 0 THEN '2011-02-03' END", "consolidation": "CASE WHEN id % 3 = 1 THEN '2012-02-03' END",
-    "origin": "CASE institution WHEN 'C' THEN 'House of Commons' WHEN 'S' THEN 'Senate' END", "originFr": "CASE institution WHEN 'C' THEN 'Chambre des communes' WHEN 'S' THEN 'Sénat' END", "billType": "CASE WHEN id % 7 = 0 THEN 'govt-public' END", "consolidatedNumber": "CASE WHEN id % 7 > 3 THEN 'C-46' END",
-    "billNumber": "bill_number", "assent": "CASE WHEN law THEN '2010-01-01' END", "amendmentsEn": "CASE WHEN id % 6 = 0 THEN 'Recent Amendments:' || chr(10) || '  - 2023, c. 8' END", "amendmentsFr": "CASE WHEN id % 6 = 0 THEN 'Modifications récentes:' || chr(10) || '  - 2023, c. 8' END",
-    "instrument": "CASE WHEN id % 3 = 0 THEN 'SOR/2001-1' END", "kind": "CASE WHEN id % 2 = 0 THEN 'SOR' END", "registered": "CAST(introduced AS STRING)", "enabling": "CASE WHEN id % 5 > 2 THEN short_title_en END", "gazettePart": "CASE WHEN id % 3 = 0 THEN 'II' END",
-    "term": "left(name_en, 10)", "paired": "CASE WHEN id % 2 = 0 THEN left(name_fr, 10) END", "document": "coalesce(nullif(short_title_en, ''), 'Unknown Document')", "section": "CASE WHEN id % 3 > 0 THEN '12' END", "scope": "CASE WHEN id % 4 = 0 THEN 'part' END",
-    "scopeFr": "CASE WHEN id % 4 = 0 THEN 'partie' END", "scopeSectionsEn": "CASE WHEN id % 8 = 0 THEN 'Applicable to sections: 1, 2' END", "scopeSectionsFr": "CASE WHEN id % 8 = 0 THEN 'S''applique aux articles: 1, 2' END", "scopeTextEn": "CASE WHEN id % 12 = 0 THEN 'Scope declaration: here' END",
-    "scopeTextFr": "CASE WHEN id % 12 = 0 THEN 'Déclaration de portée: ici' END", "text": "name_en", "note": "CASE WHEN id % 2 = 1 THEN 'note' END", "outline": "CASE WHEN id % 3 = 0 THEN 'I: One' END", "definitions": "CASE WHEN id % 4 = 0 THEN '• a: b' END", "target": "'Act'", "targetFr": "'Loi'",
-    "reference": "bill_number", "targetTitleEn": "short_title_en", "targetTitleFr": "short_title_fr", "shownEn": "short_title_en", "shownFr": "short_title_fr", "witness": "CASE WHEN id % 2 = 0 THEN 'In witness' END", "doneAt": "CASE WHEN id % 3 = 0 THEN 'Ostrand' END",
-    "signaturesEn": "CASE WHEN id % 5 = 0 THEN 'Signatory: A' END", "signaturesFr": "CASE WHEN id % 5 = 0 THEN 'Signataire: A' END", "source": "CASE WHEN id % 3 = 1 THEN '2001, c. 4' END", "sections": "CASE WHEN id % 4 = 2 THEN '1, 2' END", "footnoteStatus": "CASE WHEN id % 2 = 0 THEN 'editorial' END",
-    "footnoteStatusFr": "CASE WHEN id % 2 = 0 THEN 'éditoriale' END", "publication": "'Notice'", "publicationFr": "'Avis'", "requirement": "CASE WHEN id % 3 = 2 THEN 'Statutory requirement' END", "requirementFr": "CASE WHEN id % 3 = 2 THEN 'Exigence légale' END",
+    **{f"name{x}": f"name_{x.lower()}" for x in ("En", "Fr")}, **{f"shortTitle{x}": f"short_title_{x.lower()}" for x in ("En", "Fr")},
+        "number": "bill_number", "sessionId": "session_id", "statusCode": "status_code", "introduced": "CAST(introduced AS STRING)",
+    "statusDate": "CASE WHEN id % 3 = 0 THEN CAST(added AS STRING) END",
+        "house": "CASE institution WHEN 'C' THEN 'House of Commons' WHEN 'S' THEN 'Senate' END",
+        "houseFr": "CASE institution WHEN 'C' THEN 'Chambre des communes' WHEN 'S' THEN 'Sénat' END",
+    "billKind": "CASE id % 3 WHEN 0 THEN 'Government Bill' WHEN 1 THEN 'Private Member''s Bill' END",
+        "billKindFr": "CASE id % 3 WHEN 0 THEN 'Projet de loi du gouvernement' WHEN 1 THEN 'Projet de loi d’initiative parlementaire' END",
+    "lawEn": "CASE WHEN law THEN 'Yes' WHEN NOT law THEN 'No' END", "lawFr": "CASE WHEN law THEN 'Oui' WHEN NOT law THEN 'Non' END",
+        "date": "CASE WHEN id % 4 > 0 THEN CAST(added AS STRING) END", "result": "CASE WHEN id % 2 = 0 THEN 'Y' END", "vote": "'Y'",
+    "yea": "id % 200", "nay": "id % 90", "paired": "id % 7", "descriptionEn": "short_title_en", "descriptionFr": "short_title_fr",
+        "member": "CASE WHEN id % 5 > 0 THEN 'P. Vale' END", "memberId": "id", "slug": "CASE WHEN id % 2 = 0 THEN 'slug' END",
+    "yes": "CASE WHEN id % 2 = 0 THEN 'Yes' ELSE 'No' END", "oui": "CASE WHEN id % 2 = 0 THEN 'Oui' ELSE 'Non' END",
+        "yes2": "CASE WHEN id % 3 = 0 THEN 'Yes' ELSE 'No' END", "oui2": "CASE WHEN id % 3 = 0 THEN 'Oui' ELSE 'Non' END",
+    "partyEn": "CASE WHEN id % 3 > 0 THEN 'Blue Party' END", "partyFr": "CASE WHEN id % 3 > 0 THEN 'Parti bleu' END",
+        "partyShortEn": "CASE WHEN id % 2 = 1 THEN 'BP' END", "partyShortFr": "CASE WHEN id % 2 = 1 THEN 'PB' END",
+    "adopted": "CASE WHEN law THEN CAST(introduced AS STRING) END", "sessionName": "CASE WHEN id % 2 = 0 THEN 'A session' END",
+        "parliament": "left(session_id, 2)", "session": "right(session_id, 1)", "ridingEn": "CASE WHEN id % 4 > 1 THEN 'Ostrand East' END",
+    "ridingFr": "CASE WHEN id % 4 > 1 THEN 'Ostrand-Est' END", "province": "'QC'", "percent": "CASE WHEN id % 2 = 0 THEN id % 100 END",
+        "votes": "CASE WHEN id % 3 = 0 THEN id END", "electedEn": "CASE WHEN law THEN 'Yes' END", "electedFr": "CASE WHEN law THEN 'Oui' END",
+    "title": "name_en", "longTitle": "short_title_en", "runningHead": "CASE WHEN id % 4 = 0 THEN 'Head' END",
+        "shortTitleStatus": "CASE WHEN id % 4 = 1 THEN 'official' END", "shortTitleStatusFr": "CASE WHEN id % 4 = 1 THEN 'officiel' END",
+        "reversed": "CASE WHEN id % 5 = 0 THEN 'Act, An' END",
+    "id": "id", "status": "'in-force'", "inForce": "CAST(introduced AS STRING)", "enacted": "CASE WHEN id % 2 = 0 THEN '2001-02-03' END",
+        "amended": "CASE WHEN id % 3 = 0 THEN '2011-02-03' END", "consolidation": "CASE WHEN id % 3 = 1 THEN '2012-02-03' END",
+    "origin": "CASE institution WHEN 'C' THEN 'House of Commons' WHEN 'S' THEN 'Senate' END",
+        "originFr": "CASE institution WHEN 'C' THEN 'Chambre des communes' WHEN 'S' THEN 'Sénat' END",
+        "billType": "CASE WHEN id % 7 = 0 THEN 'govt-public' END", "consolidatedNumber": "CASE WHEN id % 7 > 3 THEN 'C-46' END",
+    "billNumber": "bill_number", "assent": "CASE WHEN law THEN '2010-01-01' END",
+        "amendmentsEn": "CASE WHEN id % 6 = 0 THEN 'Recent Amendments:' || chr(10) || '  - 2023, c. 8' END",
+        "amendmentsFr": "CASE WHEN id % 6 = 0 THEN 'Modifications récentes:' || chr(10) || '  - 2023, c. 8' END",
+    "instrument": "CASE WHEN id % 3 = 0 THEN 'SOR/2001-1' END", "kind": "CASE WHEN id % 2 = 0 THEN 'SOR' END",
+        "registered": "CAST(introduced AS STRING)", "enabling": "CASE WHEN id % 5 > 2 THEN short_title_en END",
+        "gazettePart": "CASE WHEN id % 3 = 0 THEN 'II' END",
+    "term": "left(name_en, 10)", "paired": "CASE WHEN id % 2 = 0 THEN left(name_fr, 10) END",
+        "document": "coalesce(nullif(short_title_en, ''), 'Unknown Document')", "section": "CASE WHEN id % 3 > 0 THEN '12' END",
+        "scope": "CASE WHEN id % 4 = 0 THEN 'part' END",
+    "scopeFr": "CASE WHEN id % 4 = 0 THEN 'partie' END", "scopeSectionsEn": "CASE WHEN id % 8 = 0 THEN 'Applicable to sections: 1, 2' END",
+        "scopeSectionsFr": "CASE WHEN id % 8 = 0 THEN 'S''applique aux articles: 1, 2' END",
+        "scopeTextEn": "CASE WHEN id % 12 = 0 THEN 'Scope declaration: here' END",
+    "scopeTextFr": "CASE WHEN id % 12 = 0 THEN 'Déclaration de portée: ici' END", "text": "name_en", "note": "CASE WHEN id % 2 = 1 THEN 'note' END",
+        "outline": "CASE WHEN id % 3 = 0 THEN 'I: One' END", "definitions": "CASE WHEN id % 4 = 0 THEN '• a: b' END", "target": "'Act'",
+        "targetFr": "'Loi'",
+    "reference": "bill_number", "targetTitleEn": "short_title_en", "targetTitleFr": "short_title_fr", "shownEn": "short_title_en",
+        "shownFr": "short_title_fr", "witness": "CASE WHEN id % 2 = 0 THEN 'In witness' END", "doneAt": "CASE WHEN id % 3 = 0 THEN 'Ostrand' END",
+    "signaturesEn": "CASE WHEN id % 5 = 0 THEN 'Signatory: A' END", "signaturesFr": "CASE WHEN id % 5 = 0 THEN 'Signataire: A' END",
+        "source": "CASE WHEN id % 3 = 1 THEN '2001, c. 4' END", "sections": "CASE WHEN id % 4 = 2 THEN '1, 2' END",
+        "footnoteStatus": "CASE WHEN id % 2 = 0 THEN 'editorial' END",
+    "footnoteStatusFr": "CASE WHEN id % 2 = 0 THEN 'éditoriale' END", "publication": "'Notice'", "publicationFr": "'Avis'",
+        "requirement": "CASE WHEN id % 3 = 2 THEN 'Statutory requirement' END", "requirementFr": "CASE WHEN id % 3 = 2 THEN 'Exigence légale' END",
 }
 
 
@@ -136,16 +189,21 @@ def _titles(spark: SparkSession, base: str, table: str, id_col: str) -> DataFram
 def reference_contents(spark: SparkSession, base: str) -> DataFrame:
     """Texts of cross references in both languages, with the titles of source and target in each: four lookups a row as left
     joins on sides that have one row a key."""
-    x = standing(load(spark, base, "cross_references").select("id", "source_act_id", "source_regulation_id", "source_section_label", "target_type", "target_ref", "reference_text"), ["id"], None)
-    titles = _titles(spark, base, "acts", "act_id").withColumn("of", F.lit("act")).unionByName(_titles(spark, base, "regulations", "regulation_id").withColumn("of", F.lit("regulation")))
+    x = standing(load(spark, base, "cross_references")
+        .select("id", "source_act_id", "source_regulation_id", "source_section_label", "target_type", "target_ref", "reference_text"), ["id"], None)
+    titles = _titles(spark, base, "acts", "act_id").withColumn("of", F.lit("act")).unionByName(_titles(spark, base, "regulations", "regulation_id")
+        .withColumn("of", F.lit("regulation")))
     side = titles.groupBy("of", "key").agg(*[F.max(F.when(F.col("language") == code, F.col("title"))).alias(code) for code in ("en", "fr")])
     out = x
-    for name, of, key in (("act", F.lit("act"), "source_act_id"), ("reg", F.lit("regulation"), "source_regulation_id"), ("target", F.col("target_type"), "target_ref")):
+    for name, of, key in (("act", F.lit("act"), "source_act_id"), ("reg", F.lit("regulation"), "source_regulation_id"),
+        ("target", F.col("target_type"), "target_ref")):
         own = side.select(F.col("of").alias("_of"), F.col("key").alias("_key"), F.col("en").alias(f"{name}_en"), F.col("fr").alias(f"{name}_fr"))
         out = out.join(own, (of == F.col("_of")) & (norm_key(F.col(key)) == F.col("_key")), "left").drop("_of", "_key")
     rows = []
     for code, unknown in (("en", "Unknown Document"), ("fr", "Document inconnu")):
-        fields = {"document": F.coalesce(f"act_{code}", f"reg_{code}", F.lit(unknown)), "section": F.col("source_section_label"), "target": F.when(F.col("target_type") == "act", "Act").otherwise("Regulation"), "targetFr": F.when(F.col("target_type") == "act", "Loi").otherwise("Règlement"), "reference": F.col("target_ref")}
+        fields = {"document": F.coalesce(f"act_{code}", f"reg_{code}", F.lit(unknown)), "section": F.col("source_section_label"),
+            "target": F.when(F.col("target_type") == "act", "Act").otherwise("Regulation"), "targetFr": F.when(F.col("target_type") == "act", "Loi")
+            .otherwise("Règlement"), "reference": F.col("target_ref")}
         fields |= {f"targetTitle{code.title()}": F.col(f"target_{code}"), f"shown{code.title()}": F.coalesce(f"target_{code}", "reference_text")}
         rows.append(out.select("id", F.lit(code).alias("language"), cn.content("cross_reference", code, fields).alias("content")))
     return reduce(DataFrame.unionByName, rows)
@@ -162,12 +220,16 @@ def resource_titles(spark: SparkSession, base: str) -> DataFrame:
 
 def hydrate_documents(spark: SparkSession, base: str) -> DataFrame:
     """Acts with the sections of their resources as Markdown."""
-    acts = standing(load(spark, base, "acts").select(norm_key(F.col("act_id")).alias("doc"), "language", "updated_at", "id", "title", "long_title", "status", "enacted_date").filter("doc is not null"), ["doc", "language"], "updated_at", "id")
-    docs = acts.select("doc", "language", "title", "long_title", "status", F.col("enacted_date").alias("consolidated"), F.lit(None).cast("string").alias("enabling"))
+    acts = standing(load(spark, base, "acts").select(norm_key(F.col("act_id")).alias("doc"), "language", "updated_at", "id", "title", "long_title",
+        "status", "enacted_date").filter("doc is not null"), ["doc", "language"], "updated_at", "id")
+    docs = acts.select("doc", "language", "title", "long_title", "status", F.col("enacted_date").alias("consolidated"), F.lit(None).cast("string")
+        .alias("enabling"))
     r = _resources(spark, base).filter("actId is not null")
     kind = F.when(F.length("content") % 7 == 0, "heading").when(F.length("content") % 7 == 1, "schedule").otherwise("section")
-    sections = r.select(norm_key(F.col("actId")).alias("doc"), "language", F.col("id").alias("ord"), F.col("sectionLabel").alias("label"), F.when(F.length("content") % 3 == 0, F.left("content", F.lit(15))).alias("note"), kind.alias("kind"), "content")
-    return hy.document_markdown(docs, sections).select("doc", "language", F.md5("markdown").alias("digest"), F.length("markdown").alias("chars"), "shown", "total")
+    sections = r.select(norm_key(F.col("actId")).alias("doc"), "language", F.col("id").alias("ord"), F.col("sectionLabel").alias("label"),
+        F.when(F.length("content") % 3 == 0, F.left("content", F.lit(15))).alias("note"), kind.alias("kind"), "content")
+    return hy.document_markdown(docs, sections).select("doc", "language", F.md5("markdown").alias("digest"), F.length("markdown").alias("chars"),
+        "shown", "total")
 
 
 def bill_bodies(spark: SparkSession, base: str) -> DataFrame:
@@ -179,16 +241,23 @@ def bill_bodies(spark: SparkSession, base: str) -> DataFrame:
 
 def hydrate_bills(spark: SparkSession, base: str) -> DataFrame:
     """Bills with the text of their latest vote, in French where there is one, else in English, as Markdown."""
-    votes = load(spark, base, "bills_votequestion").select("bill_id", "vote_date", "id", "description_en", "description_fr").filter("bill_id is not null")
-    text = standing(votes, ["bill_id"], "vote_date", "id").select(F.col("bill_id").alias("id"), F.coalesce(filled(F.col("description_fr")), "description_en").alias("text"), F.when(filled(F.col("description_fr")).isNull(), "en").otherwise("fr").alias("text_language"))
+    votes = load(spark, base, "bills_votequestion").select("bill_id", "vote_date", "id", "description_en",
+        "description_fr").filter("bill_id is not null")
+    text = standing(votes, ["bill_id"], "vote_date", "id").select(F.col("bill_id").alias("id"),
+        F.coalesce(filled(F.col("description_fr")), "description_en").alias("text"), F.when(filled(F.col("description_fr")).isNull(), "en")
+        .otherwise("fr").alias("text_language"))
     b = _bills(spark, base).join(text, "id", "left")
-    fields = {name: F.expr(FACTS[name]) for name in ("sessionId", "house", "houseFr", "introduced", "statusDate", "statusCode", "lawEn", "lawFr", "billKind", "billKindFr")}
-    return b.select("id", "text_language", hy.bill_markdown(F.col("bill_number"), F.col("name_fr"), "fr", fields, F.coalesce("text", F.lit(""))).alias("markdown"))
+    fields = {name: F.expr(FACTS[name]) for name in ("sessionId", "house", "houseFr", "introduced", "statusDate", "statusCode", "lawEn", "lawFr",
+        "billKind", "billKindFr")}
+    return b.select("id", "text_language", hy.bill_markdown(F.col("bill_number"), F.col("name_fr"), "fr", fields, F.coalesce("text", F.lit("")))
+        .alias("markdown"))
 
 
-QUERIES = {f.__name__: f for f in (legislation_citations, legislation_citation_kinds, parliament_citation_kinds, content_kinds, reference_contents, resource_titles, hydrate_documents, bill_bodies, hydrate_bills)}
+QUERIES = {f.__name__: f for f in (legislation_citations, legislation_citation_kinds, parliament_citation_kinds, content_kinds, reference_contents,
+    resource_titles, hydrate_documents, bill_bodies, hydrate_bills)}
 
-_R = "r AS (SELECT id, resource_key, content, " + ", ".join(f"metadata->>'{m}' AS {m}" for m in META) + " FROM leg_resources QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1)"
+_R = "r AS (SELECT id, resource_key, content, " + ", ".join(f"metadata->>'{m}' AS {m}"
+    for m in META) + " FROM leg_resources QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1)"
 _B = "b AS (SELECT * EXCLUDE (deleted_at) FROM bills_bill QUALIFY row_number() OVER (PARTITION BY id ORDER BY bill_number DESC) = 1)"
 
 
@@ -206,9 +275,14 @@ def _kinds_sql(codes, table: str, fields: dict[str, str]) -> str:
     return f"k AS (SELECT id, unnest([{', '.join(repr(c) for c in codes)}]) AS kind, {columns} FROM {table})"
 
 
-_LINES_SQL = "CASE record " + " ".join(f"WHEN '{code}' THEN CASE language WHEN 'fr' THEN {lined_sql(fr, lambda n: '_' + n)} ELSE {lined_sql(en, lambda n: '_' + n)} END" for code, (en, fr) in cn.LINES.items()) + " END"
+_LINES_SQL = "CASE record " + " ".join(
+    f"WHEN '{code}' THEN CASE language WHEN 'fr' THEN {lined_sql(fr, lambda n: '_' + n)} ELSE {lined_sql(en, lambda n: '_' + n)} END" for code,
+    (en, fr) in cn.LINES.items()) + " END"
 _FACTS_SQL = ", ".join(f"CAST({sql.replace('AS STRING', 'AS VARCHAR')} AS VARCHAR) AS _{name}" for name, sql in FACTS.items())
-_T = "tt AS (" + " UNION ALL ".join(f"(SELECT '{of}' AS o, {_sql_key(id_col)} AS k, language, title FROM {table} WHERE {_sql_key(id_col)} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {_sql_key(id_col)}, language ORDER BY updated_at DESC NULLS LAST, id DESC) = 1)" for of, table, id_col in (("act", "acts", "act_id"), ("regulation", "regulations", "regulation_id"))) + ")"
+_T = "tt AS (" + " UNION ALL ".join((
+    f"(SELECT '{of}' AS o, {_sql_key(id_col)} AS k, language, title FROM {table} WHERE {_sql_key(id_col)} IS NOT NULL QUALIFY "
+    f"row_number() OVER (PARTITION BY {_sql_key(id_col)}, language ORDER BY updated_at DESC NULLS LAST, id DESC) = 1)"
+) for of, table, id_col in (("act", "acts", "act_id"), ("regulation", "regulations", "regulation_id"))) + ")"
 
 
 def _title_of(of: str, key: str, code: str) -> str:
@@ -219,29 +293,75 @@ def _references_sql() -> str:
     parts = []
     for code, unknown in (("en", "Unknown Document"), ("fr", "Document inconnu")):
         target = _title_of("x.target_type", "x.tk", code)
-        inner = f"SELECT id, source_section_label AS section, target_ref AS reference, reference_text, target_type, coalesce({_title_of(chr(39) + 'act' + chr(39), 'x.ak', code)}, {_title_of(chr(39) + 'regulation' + chr(39), 'x.rk', code)}, '{unknown}') AS document, {target} AS t FROM x"
-        own = {"target": "CASE WHEN target_type = 'act' THEN 'Act' ELSE 'Regulation' END", "targetFr": "CASE WHEN target_type = 'act' THEN 'Loi' ELSE 'Règlement' END", f"targetTitle{code.title()}": "t", f"shown{code.title()}": "coalesce(t, reference_text)", "document": "document", "section": "section", "reference": "reference"}
-        parts.append(f"SELECT id, '{code}' AS language, {lined_sql(cn.LINES['cross_reference'][code == 'fr'], lambda n: own.get(n, 'NULL'))} AS content FROM ({inner})")
-    x = f"x AS (SELECT id, source_section_label, target_type, target_ref, reference_text, {_sql_key('source_act_id')} AS ak, {_sql_key('source_regulation_id')} AS rk, {_sql_key('target_ref')} AS tk FROM cross_references QUALIFY row_number() OVER (PARTITION BY id ORDER BY source_act_id DESC NULLS LAST, source_regulation_id DESC NULLS LAST, source_section_label DESC NULLS LAST, target_type DESC NULLS LAST, target_ref DESC NULLS LAST, reference_text DESC NULLS LAST) = 1)"
+        inner = (
+            f"SELECT id, source_section_label AS section, target_ref AS reference, reference_text, target_type, "
+            f"coalesce({_title_of(chr(39) + 'act' + chr(39), 'x.ak', code)}, {_title_of(chr(39) + 'regulation' + chr(39), 'x.rk', code)}, "
+            f"'{unknown}') AS document, {target} AS t FROM x"
+        )
+        own = {"target": "CASE WHEN target_type = 'act' THEN 'Act' ELSE 'Regulation' END",
+            "targetFr": "CASE WHEN target_type = 'act' THEN 'Loi' ELSE 'Règlement' END", f"targetTitle{code.title()}": "t",
+            f"shown{code.title()}": "coalesce(t, reference_text)", "document": "document", "section": "section", "reference": "reference"}
+        parts.append((
+            f"SELECT id, '{code}' AS language, {lined_sql(cn.LINES['cross_reference'][code == 'fr'], lambda n: own.get(n, 'NULL'))} AS content "
+            f"FROM ({inner})"
+        ))
+    x = (
+        f"x AS (SELECT id, source_section_label, target_type, target_ref, reference_text, {_sql_key('source_act_id')} AS ak, "
+        f"{_sql_key('source_regulation_id')} AS rk, {_sql_key('target_ref')} AS tk FROM cross_references QUALIFY row_number() OVER "
+        f"(PARTITION BY id ORDER BY source_act_id DESC NULLS LAST, source_regulation_id DESC NULLS LAST, source_section_label DESC NULLS "
+        f"LAST, target_type DESC NULLS LAST, target_ref DESC NULLS LAST, reference_text DESC NULLS LAST) = 1)"
+    )
     return f"WITH {_T}, {x} " + " UNION ALL ".join(parts)
 
 
 def _documents_sql() -> str:
-    fr = lambda pair: "CASE WHEN language = 'fr' THEN '" + pair[1].replace("\n", "' || chr(10) || '") + "' ELSE '" + pair[0].replace("\n", "' || chr(10) || '") + "' END"
+    fr = lambda pair: "CASE WHEN language = 'fr' THEN '" + pair[1].replace("\n", "' || chr(10) || '") + "' ELSE '" + pair[0].replace("\n",
+        "' || chr(10) || '") + "' END"
     nl = "chr(10)"
-    acts = f"a AS (SELECT {_sql_key('act_id')} AS doc, language, title, long_title, status, CAST(enacted_date AS VARCHAR) AS consolidated FROM acts WHERE {_sql_key('act_id')} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {_sql_key('act_id')}, language ORDER BY updated_at DESC NULLS LAST, id DESC) = 1)"
-    sections = f"s0 AS (SELECT {_sql_key('actId')} AS doc, language, id, coalesce(sectionLabel, '') AS label, CASE WHEN length(content) % 3 = 0 THEN nullif(left(content, 15), '') END AS note, length(content) % 7 AS m, coalesce(content, '') AS content FROM r WHERE actId IS NOT NULL)"
+    acts = (
+        f"a AS (SELECT {_sql_key('act_id')} AS doc, language, title, long_title, status, CAST(enacted_date AS VARCHAR) AS consolidated FROM "
+        f"acts WHERE {_sql_key('act_id')} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {_sql_key('act_id')}, language ORDER BY "
+        f"updated_at DESC NULLS LAST, id DESC) = 1)"
+    )
+    sections = (
+        f"s0 AS (SELECT {_sql_key('actId')} AS doc, language, id, coalesce(sectionLabel, '') AS label, CASE WHEN length(content) % 3 = 0 "
+        f"THEN nullif(left(content, 15), '') END AS note, length(content) % 7 AS m, coalesce(content, '') AS content FROM r WHERE actId IS "
+        f"NOT NULL)"
+    )
     dash = "CASE WHEN note IS NOT NULL THEN ' — ' || note ELSE '' END"
-    head = f"CASE WHEN m = 0 THEN '## ' || label || {dash} WHEN m = 1 THEN '## ' || label || CASE WHEN note IS NOT NULL THEN {nl} || '*' || note || '*' ELSE '' END ELSE {fr(hy.LABELS['section'])} || label || {dash} END"
-    s1 = f"s1 AS (SELECT *, count(*) OVER (PARTITION BY doc, language) AS total, row_number() OVER (PARTITION BY doc, language ORDER BY id) AS n, {head} || {nl} || {nl} || content || {nl} AS text, CASE WHEN m = 0 THEN trim('- **' || label || '** ' || coalesce(note, ''), ' ') ELSE '- ' || label || {dash} END AS entry FROM s0)"
+    head = (
+        f"CASE WHEN m = 0 THEN '## ' || label || {dash} WHEN m = 1 THEN '## ' || label || CASE WHEN note IS NOT NULL THEN {nl} || '*' || "
+        f"note || '*' ELSE '' END ELSE {fr(hy.LABELS['section'])} || label || {dash} END"
+    )
+    s1 = (
+        f"s1 AS (SELECT *, count(*) OVER (PARTITION BY doc, language) AS total, row_number() OVER (PARTITION BY doc, language ORDER BY id) "
+        f"AS n, {head} || {nl} || {nl} || content || {nl} AS text, CASE WHEN m = 0 THEN trim('- **' || label || '** ' || coalesce(note, ''), "
+        f"' ') ELSE '- ' || label || {dash} END AS entry FROM s0)"
+    )
     s2 = f"s2 AS (SELECT *, sum(length(text)) OVER (PARTITION BY doc, language ORDER BY n) AS upto FROM s1 WHERE n <= {hy.MOST_SECTIONS})"
-    agg = f"g AS (SELECT doc, language, max(total) AS total, count(*) AS c, string_agg(entry, {nl} ORDER BY n) FILTER (n <= {hy.CONTENTS}) AS entries FROM s2 GROUP BY ALL)"
+    agg = (
+        f"g AS (SELECT doc, language, max(total) AS total, count(*) AS c, string_agg(entry, {nl} ORDER BY n) FILTER (n <= {hy.CONTENTS}) AS "
+        f"entries FROM s2 GROUP BY ALL)"
+    )
     fact = lambda name: f"CASE WHEN {name} <> '' THEN '- **' || {fr(hy.LABELS[name])} || ':** ' || {name} END"
     facts = f"concat_ws({nl}, {fact('status')}, {fact('consolidated')})"
     shown = f"replace(replace({fr(hy.SHOWN)}, '{{a}}', CAST(c AS VARCHAR)), '{{b}}', CAST(total AS VARCHAR))"
-    h = f"h AS (SELECT *, '# ' || coalesce(title, '') || CASE WHEN long_title <> '' AND long_title IS DISTINCT FROM title THEN {nl} || {nl} || '*' || long_title || '*' ELSE '' END || {nl} || CASE WHEN total > c THEN {nl} || {shown} || {nl} ELSE '' END || CASE WHEN {facts} <> '' THEN {nl} || {facts} || {nl} ELSE '' END || CASE WHEN c > {hy.CONTENTS_FROM} THEN {nl} || '## ' || {fr(hy.LABELS['contents'])} || {nl} || {nl} || entries || CASE WHEN c > {hy.CONTENTS} THEN {nl} || '- ... (' || (c - {hy.CONTENTS}) || ' more sections)' ELSE '' END || {nl} ELSE '' END AS head FROM (SELECT a.*, coalesce(total, 0) AS total, coalesce(c, 0) AS c, entries FROM a LEFT JOIN g USING (doc, language)))"
-    body = f"f AS (SELECT h.doc, h.language, h.total, h.c, h.head, count(s2.n) AS kept, string_agg(s2.text, {nl} ORDER BY s2.n) AS body FROM h LEFT JOIN s2 ON h.doc = s2.doc AND h.language = s2.language AND length(h.head) + s2.upto <= {hy.MOST_CHARS} GROUP BY ALL)"
-    out = f"SELECT doc, language, md5(m) AS digest, length(m) AS chars, kept AS shown, total FROM (SELECT *, concat_ws({nl}, head, body, CASE WHEN kept < c THEN {fr(hy.CUT)} END) AS m FROM f)"
+    h = (
+        f"h AS (SELECT *, '# ' || coalesce(title, '') || CASE WHEN long_title <> '' AND long_title IS DISTINCT FROM title THEN {nl} || {nl} "
+        f"|| '*' || long_title || '*' ELSE '' END || {nl} || CASE WHEN total > c THEN {nl} || {shown} || {nl} ELSE '' END || CASE WHEN "
+        f"{facts} <> '' THEN {nl} || {facts} || {nl} ELSE '' END || CASE WHEN c > {hy.CONTENTS_FROM} THEN {nl} || '## ' || "
+        f"{fr(hy.LABELS['contents'])} || {nl} || {nl} || entries || CASE WHEN c > {hy.CONTENTS} THEN {nl} || '- ... (' || (c - "
+        f"{hy.CONTENTS}) || ' more sections)' ELSE '' END || {nl} ELSE '' END AS head FROM (SELECT a.*, coalesce(total, 0) AS total, "
+        f"coalesce(c, 0) AS c, entries FROM a LEFT JOIN g USING (doc, language)))"
+    )
+    body = (
+        f"f AS (SELECT h.doc, h.language, h.total, h.c, h.head, count(s2.n) AS kept, string_agg(s2.text, {nl} ORDER BY s2.n) AS body FROM h "
+        f"LEFT JOIN s2 ON h.doc = s2.doc AND h.language = s2.language AND length(h.head) + s2.upto <= {hy.MOST_CHARS} GROUP BY ALL)"
+    )
+    out = (
+        f"SELECT doc, language, md5(m) AS digest, length(m) AS chars, kept AS shown, total FROM (SELECT *, concat_ws({nl}, head, body, CASE "
+        f"WHEN kept < c THEN {fr(hy.CUT)} END) AS m FROM f)"
+    )
     return f"WITH {_R}, {acts}, {sections}, {s1}, {s2}, {agg}, {h}, {body} {out}"
 
 
@@ -250,29 +370,431 @@ _WS = r"[\s\x0B]"
 
 def _body_sql(x: str) -> str:
     """Lines of a bill's body as Markdown; the engine's patterns cannot look ahead, so markers side by side take two passes."""
-    t = f"trim(regexp_replace(regexp_replace(replace(replace({x}, chr(13) || chr(10), chr(10)), chr(160), ' '), '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))"
-    for mark in (r"(PART\s+\d+(?:\s+[A-Z][A-Za-z0-9 ,''''()-]+)?)", r"(Short Title)\b", r"(Definitions)\b", r"(Enactment(?: of Act)?)\b", r"(\d+\s*\(\d+\)\s+)"):
+    t = (
+        f"trim(regexp_replace(regexp_replace(replace(replace({x}, chr(13) || chr(10), chr(10)), chr(160), ' '), '[ \\t]{{2,}}', ' ', 'g'), "
+        f"'\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))"
+    )
+    for mark in (r"(PART\s+\d+(?:\s+[A-Z][A-Za-z0-9 ,''''()-]+)?)", r"(Short Title)\b", r"(Definitions)\b", r"(Enactment(?: of Act)?)\b",
+        r"(\d+\s*\(\d+\)\s+)"):
         t = f"regexp_replace({t}, '{_WS}+{mark}', chr(10) || chr(10) || '\\1', 'g')"
     lines = f"string_split(regexp_replace({t}, '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10))"
     line = "trim(y, ' ' || chr(9) || chr(13))"
-    cut = lambda letters, flags: f"replace(regexp_replace(regexp_replace({line}, '{flags}{_WS}(\\({letters}\\){_WS})', chr(57585) || '\\1', 'g'), '{flags}{_WS}(\\({letters}\\){_WS})', chr(57585) || '\\1', 'g'), chr(57585), chr(10))"
+    cut = lambda letters, flags: (
+        f"replace(regexp_replace(regexp_replace({line}, '{flags}{_WS}(\\({letters}\\){_WS})', chr(57585) || '\\1', 'g'), "
+        f"'{flags}{_WS}(\\({letters}\\){_WS})', chr(57585) || '\\1', 'g'), chr(57585), chr(10))"
+    )
     listed = lambda letters, dash, flags: f"regexp_replace({cut(letters, flags)}, '(?m{flags[2:-1] if flags else ''})^\\(({letters})\\)[^\\S\\n]*', '{dash}(\\1) ', 'g')"
     means = r"^([A-Za-z][A-Za-z -]{1,60})\s+means\s+(.+)$"
     one = (
-        f"CASE WHEN regexp_matches({line}, '^PART\\s+(\\d+)(?:\\s+(.+))?$') THEN '## Part ' || regexp_extract({line}, '^PART\\s+(\\d+)', 1) || CASE WHEN regexp_extract({line}, '^PART\\s+(\\d+)(?:\\s+(.+))?$', 2) <> '' THEN ' — ' || trim(regexp_extract({line}, '^PART\\s+(\\d+)(?:\\s+(.+))?$', 2)) ELSE '' END "
+        f"CASE WHEN regexp_matches({line}, '^PART\\s+(\\d+)(?:\\s+(.+))?$') THEN '## Part ' || regexp_extract({line}, '^PART\\s+(\\d+)', 1) "
+            f"|| CASE WHEN regexp_extract({line}, '^PART\\s+(\\d+)(?:\\s+(.+))?$', 2) <> '' THEN ' — ' || trim(regexp_extract({line}, "
+            f"'^PART\\s+(\\d+)(?:\\s+(.+))?$', 2)) ELSE '' END "
         f"WHEN regexp_matches({line}, '(?i)^(Short Title|Definitions|Enactment(?: of Act)?)\\b') THEN '### ' || regexp_replace({line}, '{_WS}+', ' ', 'g') "
-        f"WHEN regexp_matches({line}, '{_WS}\\([a-z]\\){_WS}') THEN {listed('[a-z]', '- ', '')} WHEN regexp_matches({line}, '(?i){_WS}\\([ivx]+\\){_WS}') THEN {listed('[ivx]+', '  - ', '(?i)')} "
-        f"WHEN regexp_matches({line}, '{means}') THEN '- **' || trim(regexp_extract({line}, '{means}', 1)) || '** — ' || trim(regexp_extract({line}, '{means}', 2)) ELSE {line} END"
+        f"WHEN regexp_matches({line}, '{_WS}\\([a-z]\\){_WS}') THEN {listed('[a-z]', '- ', '')} WHEN regexp_matches({line}, "
+            f"'(?i){_WS}\\([ivx]+\\){_WS}') THEN {listed('[ivx]+', '  - ', '(?i)')} "
+        f"WHEN regexp_matches({line}, '{means}') THEN '- **' || trim(regexp_extract({line}, '{means}', 1)) || '** — ' || "
+            f"trim(regexp_extract({line}, '{means}', 2)) ELSE {line} END"
     )
     return f"array_to_string(list_transform({lines}, lambda y: {one}), chr(10))"
 
 
-_CONTENTS = "CASE WHEN len(list_filter(string_split(body, chr(10)), lambda y: starts_with(y, '## '))) > 0 THEN chr(10) || '## Table of Contents' || chr(10) || array_to_string(list_transform(list_filter(string_split(body, chr(10)), lambda y: starts_with(y, '## ')), lambda y: '- ' || regexp_replace(y, '^##\\s+', '')), chr(10)) END"
+_CONTENTS = (
+    "CASE WHEN len(list_filter(string_split(body, chr(10)), lambda y: starts_with(y, '## '))) > 0 THEN chr(10) || '## Table of "
+    "Contents' || chr(10) || array_to_string(list_transform(list_filter(string_split(body, chr(10)), lambda y: starts_with(y, '## ')), "
+    "lambda y: '- ' || regexp_replace(y, '^##\\s+', '')), chr(10)) END"
+)
 _MARKED = r"regexp_replace(regexp_replace(text, '([.!?]) The ', '\1 PART 2 Fees' || chr(10) || 'The ', 'g'), '([.!?]) (It|We) ', '\1 (a) \2 ', 'g')"
-_BILL = f"SELECT id, text_language, concat_ws(chr(10), rtrim('# Bill ' || coalesce(bill_number, '') || ': ' || coalesce(name_fr, '')), nullif({lined_sql(hy.BILL_FACTS[1], lambda n: '(' + FACTS[n].replace('AS STRING', 'AS VARCHAR') + ')')}, ''), {_CONTENTS}, nullif(body, '')) AS markdown"
+_BILL = (
+    f"SELECT id, text_language, concat_ws(chr(10), rtrim('# Bill ' || coalesce(bill_number, '') || ': ' || coalesce(name_fr, '')), "
+    f"nullif({lined_sql(hy.BILL_FACTS[1], lambda n: '(' + FACTS[n].replace('AS STRING', 'AS VARCHAR') + ')')}, ''), {_CONTENTS}, "
+    f"nullif(body, '')) AS markdown"
+)
 
 ORACLE = {
-    "legislation_citations": f"WITH {_R} SELECT id, sourceType, {_cited_sql('sourceType', ct.LEGISLATION, LAW_DERIVED | {'editorial': 'NULL', 'publication': repr('Notice'), 'publicationFr': repr('Avis')}, set(META), ct.OTHER_LEGISLATION)} FROM r",
+    "legislation_citations": (
+        f"WITH {_R} SELECT id, sourceType, "
+        f"{_cited_sql('sourceType', ct.LEGISLATION, LAW_DERIVED | {'editorial': 'NULL', 'publication': repr('Notice'), 'publicationFr': repr('Avis')}, set(META), ct.OTHER_LEGISLATION)} "
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+        f"FROM r"
+    ),
     "legislation_citation_kinds": f"WITH {_R}, {_kinds_sql(ct.LEGISLATION, 'r', LAW_FIELDS)} SELECT id, kind, {_cited_sql('kind', ct.LEGISLATION, LAW_DERIVED, set(LAW_FIELDS))} FROM k",
     "parliament_citation_kinds": f"WITH {_B}, {_kinds_sql(ct.PARLIAMENT, 'b', HOUSE_FIELDS)} SELECT id, kind, {_cited_sql('kind', ct.PARLIAMENT, HOUSE_DERIVED, set(HOUSE_FIELDS))} FROM k",
     "content_kinds": f"WITH {_B}, k0 AS (SELECT id AS row_id, {_FACTS_SQL} FROM b), k1 AS (SELECT *, unnest([{', '.join(repr(c) for c in cn.LINES)}]) AS record FROM k0), k AS (SELECT *, unnest(['en', 'fr']) AS language FROM k1) SELECT row_id AS id, record, language, {_LINES_SQL} AS content FROM k",

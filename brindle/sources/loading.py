@@ -58,7 +58,8 @@ def dump_rows(lines: DataFrame, schema: str, keep: list[str] | None = None) -> D
     marks = lines.filter(F.col("line").rlike(head) | (F.col("line") == "\\.")).withColumn("table", F.regexp_extract("line", head, 1))
     after = F.lead("place").over(Window.orderBy("place"))  # two rows a table
     names = F.transform(F.split(F.regexp_extract("line", head, 2), ","), lambda c: F.replace(F.trim(c), F.lit('"'), F.lit("")))
-    spans = marks.withColumn("until", after).filter("table <> ''").select(F.concat(F.lit(f"{schema}."), F.col("table")).alias("table_name"), names.alias("columns"), F.col("place").alias("since"), "until")
+    spans = marks.withColumn("until", after).filter("table <> ''").select(F.concat(F.lit(f"{schema}."), F.col("table")).alias("table_name"),
+        names.alias("columns"), F.col("place").alias("since"), "until")
     if keep is not None:
         spans = spans.filter(F.substring_index("table_name", ".", -1).isin(keep))
     within = (F.col("place") > F.col("since")) & (F.col("until").isNull() | (F.col("place") < F.col("until")))
@@ -112,7 +113,8 @@ def resource_key(source_type, source_id, language, chunk):
 
 def reconcile(spark: SparkSession, pairs: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
     """Rows of each table in source and target, and whether they agree."""
-    counts = [a.agg(F.count(F.lit(1)).alias("source_rows")).crossJoin(b.agg(F.count(F.lit(1)).alias("target_rows"))).select(F.lit(name).alias("table_name"), "source_rows", "target_rows") for name, (a, b) in pairs.items()]
+    counts = [a.agg(F.count(F.lit(1)).alias("source_rows")).crossJoin(b.agg(F.count(F.lit(1)).alias("target_rows")))
+        .select(F.lit(name).alias("table_name"), "source_rows", "target_rows") for name, (a, b) in pairs.items()]
     return reduce(DataFrame.unionByName, counts).withColumn("agree", F.col("source_rows") == F.col("target_rows"))
 
 
@@ -135,4 +137,5 @@ def reembed(resources: DataFrame, vectors: DataFrame, key: str, old_model: str,
     fresh = vectors.select(F.col(key), F.col("vector").alias("_v"))
     take = (F.col("model") == old_model) & F.col("_v").isNotNull()
     joined = resources.join(fresh, key, "left")
-    return joined.withColumn("vector", F.when(take, F.col("_v")).otherwise(F.col("vector"))).withColumn("model", F.when(take, new_model).otherwise(F.col("model"))).select(*resources.columns)
+    return joined.withColumn("vector", F.when(take, F.col("_v")).otherwise(F.col("vector"))).withColumn("model", F.when(take, new_model)
+        .otherwise(F.col("model"))).select(*resources.columns)

@@ -15,12 +15,17 @@ from pyspark.sql import functions as F
 from brindle.functions.keys import standing
 
 # Elements that are captured whole, that count as one section inside a schedule, and that are looked through.
-WHOLE = {"Preamble": "preamble", "Enacts": "enacting_clause", "Order": "enabling_authority", "ConventionAgreementTreaty": "treaty", "Convention": "treaty", "Agreement": "treaty", "Treaty": "treaty", "SignatureBlock": "signature_block", "RecentAmendments": "amendments", "BillHistory": "bill_history"}
+WHOLE = {"Preamble": "preamble", "Enacts": "enacting_clause", "Order": "enabling_authority", "ConventionAgreementTreaty": "treaty",
+    "Convention": "treaty", "Agreement": "treaty", "Treaty": "treaty", "SignatureBlock": "signature_block", "RecentAmendments": "amendments",
+    "BillHistory": "bill_history"}
 IN_SCHEDULE = {"Item", "FormGroup", "TableGroup", "Provision", "Section"}
 FLAGS = {
-    "TableGroup": "has_table", "FormulaGroup": "has_formula", "MathML": "has_formula", "ImageGroup": "has_image", "Image": "has_image", "Repealed": "has_repealed", "EditorialNote": "has_editorial_note", "Reserved": "has_reserved",
-    "ExplanatoryNote": "has_explanatory_note", "SignatureBlock": "has_signature_block", "BilingualGroup": "has_bilingual_group", "QuotedText": "has_quoted_text", "ReadAsText": "has_read_as_text", "AmendedText": "has_amended_text",
-    "AlternateText": "has_alternate_text", "FormGroup": "has_form_group", "Oath": "has_oath", "Caption": "has_caption", "Footnote": "has_footnote", "List": "has_list",
+    "TableGroup": "has_table", "FormulaGroup": "has_formula", "MathML": "has_formula", "ImageGroup": "has_image", "Image": "has_image",
+        "Repealed": "has_repealed", "EditorialNote": "has_editorial_note", "Reserved": "has_reserved",
+    "ExplanatoryNote": "has_explanatory_note", "SignatureBlock": "has_signature_block", "BilingualGroup": "has_bilingual_group",
+        "QuotedText": "has_quoted_text", "ReadAsText": "has_read_as_text", "AmendedText": "has_amended_text",
+    "AlternateText": "has_alternate_text", "FormGroup": "has_form_group", "Oath": "has_oath", "Caption": "has_caption", "Footnote": "has_footnote",
+        "List": "has_list",
 }
 CHANGES = {"ins", "del", "off", "alt"}
 
@@ -28,7 +33,9 @@ CHANGES = {"ins", "del", "off", "alt"}
 def discover(spark: SparkSession, base: str, pattern: str = r"/(eng|fra)/(acts|regulations)/[^/]+\.xml$", limit: int | None = None) -> DataFrame:
     """``path``, ``content``, ``language`` and ``kind`` of the XML files under ``base`` whose path fits; file names give the id."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").load(base)
-    found = files.filter(F.col("path").rlike(pattern)).select("path", "content", F.when(F.regexp_extract("path", pattern, 1) == "fra", "fr").otherwise("en").alias("language"), F.regexp_extract("path", pattern, 2).alias("kind"), F.regexp_extract("path", r"([^/]+)\.xml$", 1).alias("doc_id"))
+    found = files.filter(F.col("path").rlike(pattern)).select("path", "content", F.when(F.regexp_extract("path", pattern, 1) == "fra", "fr")
+        .otherwise("en").alias("language"), F.regexp_extract("path", pattern, 2).alias("kind"), F.regexp_extract("path", r"([^/]+)\.xml$", 1)
+        .alias("doc_id"))
     return found if limit is None else found.orderBy("path").limit(limit)
 
 
@@ -40,7 +47,8 @@ def flat_text(node: ET.Element, skip: frozenset[str] = frozenset()) -> str:
         for child in n:
             if child.tag not in skip:
                 walk(child)
-                parts.append(" " if child.tag not in ("XRefExternal", "XRefInternal", "Emphasis", "DefinedTermEn", "DefinedTermFr", "Sup", "Sub") else "")
+                parts.append(" " if child.tag not in ("XRefExternal", "XRefInternal", "Emphasis", "DefinedTermEn", "DefinedTermFr", "Sup", "Sub")
+                    else "")
             parts.append(child.tail or "")
 
     walk(node)
@@ -72,13 +80,19 @@ def facts_of(root: ET.Element) -> dict[str, str | None]:
     said = lambda path: flat_text(e) or None if (e := own.find(path)) is not None else None
     mark = lambda path, name, known: v if (e := own.find(path)) is not None and (v := attribute(e, name)) in known else None
     status = "repealed" if root.find("Repealed") is not None else "not-in-force" if attribute(root, "in-force") == "no" else "in-force"
-    facts = {"kind": "act" if is_act else "regulation", "title": said("ShortTitle"), "long_title": said("LongTitle"), "running_head": said("RunningHead"), "status": status, "title_status": mark("ShortTitle", "status", ("official", "unofficial"))}
-    facts |= {"in_force": day(attribute(root, "inforce-start-date")), "consolidated": day(attribute(root, "current-date")), "last_amended": day(attribute(root, "lastAmendedDate")), "enacted": day(attribute(root, "enacted-date"))}
+    facts = {"kind": "act" if is_act else "regulation", "title": said("ShortTitle"), "long_title": said("LongTitle"),
+        "running_head": said("RunningHead"), "status": status, "title_status": mark("ShortTitle", "status", ("official", "unofficial"))}
+    facts |= {"in_force": day(attribute(root, "inforce-start-date")), "consolidated": day(attribute(root, "current-date")),
+        "last_amended": day(attribute(root, "lastAmendedDate")), "enacted": day(attribute(root, "enacted-date"))}
     if is_act:
-        facts |= {"id": said("Chapter/ConsolidatedNumber") or said("Chapter/OfficialNumber"), "number_official": mark("Chapter/ConsolidatedNumber", "official", ("yes", "no")), "origin": attribute(root, "bill-origin"), "bill_type": attribute(root, "bill-type"), "bill": said("BillHistory/BillNumber") or said("BillNumber")}
+        facts |= {"id": said("Chapter/ConsolidatedNumber") or said("Chapter/OfficialNumber"),
+            "number_official": mark("Chapter/ConsolidatedNumber", "official", ("yes", "no")), "origin": attribute(root, "bill-origin"),
+            "bill_type": attribute(root, "bill-type"), "bill": said("BillHistory/BillNumber") or said("BillNumber")}
     else:
         number = said("InstrumentNumber")
-        facts |= {"id": re.sub(r",\s*", "_", number.replace("/", "-")) if number else None, "instrument": number, "enabling": said("EnablingAuthority/XRefExternal"), "gazette_part": attribute(root, "gazette-part"), "regulation_type": attribute(root, "regulation-type"), "maker": said("RegulationMakerOrder/RegulationMaker")}
+        facts |= {"id": re.sub(r",\s*", "_", number.replace("/", "-")) if number else None, "instrument": number,
+            "enabling": said("EnablingAuthority/XRefExternal"), "gazette_part": attribute(root, "gazette-part"),
+            "regulation_type": attribute(root, "regulation-type"), "maker": said("RegulationMakerOrder/RegulationMaker")}
     return facts
 
 
@@ -90,11 +104,13 @@ def document_rows(text: str) -> list[dict]:
     form, table, provision and section counts, nested ones too. What an enabling order holds is not walked.
     """
     root, rows, count, stack = ET.fromstring(text), [], {}, []
-    named = lambda node, *names: json.dumps({n: v for n in names if (v := attribute(node, n)) is not None}, sort_keys=True, ensure_ascii=False)
+    named = lambda node, *names: json.dumps({n: v for n in names if (v := attribute(node, n)) is not None}, sort_keys=True,
+        ensure_ascii=False)
 
     def emit(kind: str, node: ET.Element, **more) -> dict:
         count[kind] = count.get(kind, 0) + 1
-        row = {"kind": kind, "ordinal": count[kind], "label": None, "title": None, "text": "", "path": [h for _, h in stack], "section": None, "attributes": json.dumps(node.attrib, sort_keys=True, ensure_ascii=False)} | more
+        row = {"kind": kind, "ordinal": count[kind], "label": None, "title": None, "text": "", "path": [h for _, h in stack], "section": None,
+            "attributes": json.dumps(node.attrib, sort_keys=True, ensure_ascii=False)} | more
         rows.append(row)
         return row
 
@@ -114,26 +130,32 @@ def document_rows(text: str) -> list[dict]:
                 emit("bill_stage", stage, label=attribute(stage, "stage"), title=day_of(stage.find("Date")))
             for change in node.iter("Amendment"):
                 cited = change.find("AmendmentCitation")
-                emit("amendment", change, label=None if cited is None else flat_text(cited), title=(change.findtext("AmendmentDate") or "").strip() or None, text="" if cited is None else attribute(cited, "link") or "")
+                emit("amendment", change, label=None if cited is None else flat_text(cited), title=(change.findtext("AmendmentDate") or "").strip()
+                    or None, text="" if cited is None else attribute(cited, "link") or "")
             for line in node.iter("SignatureLine"):
-                emit("signature_line", line, label=(line.findtext("SignatureName") or "").strip() or None, title=(line.findtext("SignatureTitle") or "").strip() or None, text=flat_text(line))
+                emit("signature_line", line, label=(line.findtext("SignatureName") or "").strip() or None,
+                    title=(line.findtext("SignatureTitle") or "").strip() or None, text=flat_text(line))
         if tag == "Provision" and node.find("TitleText") is not None and not schedule:
             emit("provision_entry", node, label=(node.findtext("Label") or "").strip() or None, title=flat_text(node.find("TitleText")))
         label = (node.findtext("Label") or "").strip() or None
         if (tag == "Section" and label) or (schedule and tag in IN_SCHEDULE):
             flags = sorted({name for element, name in FLAGS.items() if node.find(f".//{element}") is not None})
-            emit("section", node, label=label, title=(node.findtext("MarginalNote") or "").strip() or None, text=flat_text(node, frozenset({"Label", "MarginalNote", "HistoricalNote"})), flags=flags)
+            emit("section", node, label=label, title=(node.findtext("MarginalNote") or "").strip() or None,
+                text=flat_text(node, frozenset({"Label", "MarginalNote", "HistoricalNote"})), flags=flags)
             section = label or section
             changed = attribute(node, "change")
-            rows[-1]["attributes"] = json.dumps(node.attrib | ({"change_type": changed} if changed in CHANGES else {}), sort_keys=True, ensure_ascii=False)
+            rows[-1]["attributes"] = json.dumps(node.attrib | ({"change_type": changed} if changed in CHANGES else {}), sort_keys=True,
+                ensure_ascii=False)
         if tag == "Footnote" and attribute(node, "id"):
             body = node.find("Text")
-            emit("footnote", node, label=(node.findtext("Label") or "").strip() or None, title=attribute(node, "status"), text=flat_text(node if body is None else body), section=section, attributes=named(node, "id", "placement", "status"))
+            emit("footnote", node, label=(node.findtext("Label") or "").strip() or None, title=attribute(node, "status"),
+                text=flat_text(node if body is None else body), section=section, attributes=named(node, "id", "placement", "status"))
         if tag == "HistoricalNote":
             items = node.findall("HistoricalNoteSubItem")
             for item in items or [node]:
                 if told := flat_text(item):
-                    emit("historical_note", item, label=attribute(item, "type"), title=day(attribute(item, "enacted-date")), text=told, section=section, attributes=named(item, "type", "enacted-date", "inforce-start-date", "enactId"))
+                    emit("historical_note", item, label=attribute(item, "type"), title=day(attribute(item, "enacted-date")), text=told,
+                        section=section, attributes=named(item, "type", "enacted-date", "inforce-start-date", "enactId"))
         if tag == "Definition":
             terms = {t: flat_text(e) for t in ("DefinedTermEn", "DefinedTermFr") if (e := node.find(f".//{t}")) is not None}
             emit("definition", node, label=terms.get("DefinedTermEn"), title=terms.get("DefinedTermFr"), text=flat_text(node), section=section)
@@ -145,12 +167,14 @@ def document_rows(text: str) -> list[dict]:
         if tag == "Schedule":
             del stack[kept:]
 
-    emit("document", root, label=(facts := facts_of(root))["id"], title=facts["title"], attributes=json.dumps({k: v for k, v in facts.items() if v is not None}, sort_keys=True, ensure_ascii=False))
+    emit("document", root, label=(facts := facts_of(root))["id"], title=facts["title"],
+        attributes=json.dumps({k: v for k, v in facts.items() if v is not None}, sort_keys=True, ensure_ascii=False))
     walk(root, False, None)
     return rows
 
 
-FACTS = ["kind", "id", "title", "long_title", "running_head", "status", "title_status", "in_force", "consolidated", "last_amended", "enacted", "number_official", "origin", "bill_type", "bill", "instrument", "enabling", "gazette_part", "regulation_type", "maker"]
+FACTS = ["kind", "id", "title", "long_title", "running_head", "status", "title_status", "in_force", "consolidated", "last_amended", "enacted",
+    "number_official", "origin", "bill_type", "bill", "instrument", "enabling", "gazette_part", "regulation_type", "maker"]
 
 
 def document_facts(rows: DataFrame) -> DataFrame:
@@ -167,13 +191,21 @@ def lookup_maps(statutes: DataFrame, regulations: DataFrame) -> dict[str, DataFr
     """
     said = lambda tag, path: F.nullif(F.trim(F.xpath_string("xml", F.lit(f"/{tag}/{path}"))), F.lit(""))
     yes = lambda tag: F.lower(F.coalesce(said(tag, "ConsolidateFlag"), F.lit(""))).isin("true", "1")
-    language = lambda tag: F.when(said(tag, "Language").isNull(), None).when(F.lower(said(tag, "Language")) == "fr", "fr").otherwise("en")
-    common = lambda tag: [language(tag).alias("language"), F.coalesce(said(tag, "ShortTitle"), F.lit("")).alias("title"), F.coalesce(said(tag, "ReversedShortTitle"), said(tag, "ShortTitle"), F.lit("")).alias("reversed_title"), said(tag, "LastConsolidationDate").alias("consolidated"), yes(tag).alias("consolidate")]
-    s = statutes.select(said("Statute", "@id").alias("id"), said("Statute", "ChapterNumber").alias("number"), F.coalesce(said("Statute", "OfficialNumber"), said("Statute", "ChapterNumber")).alias("official"), *common("Statute"), F.xpath("xml", F.lit("/Statute/Relationships/Relationship/@rid")).alias("rids")).filter("id is not null and number is not null and language is not null")
-    r = regulations.select(said("Regulation", "@id").alias("id"), said("Regulation", "@olid").alias("other_id"), said("Regulation", "AlphaNumber").alias("number"), *common("Regulation")).filter("id is not null and number is not null and language is not null")
+    language = lambda tag: F.when(said(tag, "Language").isNull(), None).when(F.lower(said(tag, "Language")) == "fr",
+        "fr").otherwise("en")
+    common = lambda tag: [language(tag).alias("language"), F.coalesce(said(tag, "ShortTitle"), F.lit("")).alias("title"),
+        F.coalesce(said(tag, "ReversedShortTitle"), said(tag, "ShortTitle"), F.lit("")).alias("reversed_title"), said(tag, "LastConsolidationDate")
+        .alias("consolidated"), yes(tag).alias("consolidate")]
+    s = statutes.select(said("Statute", "@id").alias("id"), said("Statute", "ChapterNumber").alias("number"),
+        F.coalesce(said("Statute", "OfficialNumber"), said("Statute", "ChapterNumber")).alias("official"), *common("Statute"),
+        F.xpath("xml", F.lit("/Statute/Relationships/Relationship/@rid")).alias("rids")).filter(
+        "id is not null and number is not null and language is not null")
+    r = regulations.select(said("Regulation", "@id").alias("id"), said("Regulation", "@olid").alias("other_id"), said("Regulation", "AlphaNumber")
+        .alias("number"), *common("Regulation")).filter("id is not null and number is not null and language is not null")
     return {
         "statutes": standing(s.drop("rids"), ["number", "language"], "id"), "regulations": standing(r, ["number", "language"], "id"),
-        "numbers": r.groupBy("id").agg(F.max("number").alias("number")), "related": s.select("id", F.explode("rids").alias("regulation_id")).distinct(),
+        "numbers": r.groupBy("id").agg(F.max("number").alias("number")), "related": s.select("id", F.explode("rids").alias("regulation_id"))
+            .distinct(),
     }
 
 
@@ -181,11 +213,16 @@ def enabling_acts(maps: dict[str, DataFrame]) -> DataFrame:
     """``number``, ``language``, ``enabling``: the number of the statute that relates to a regulation, in its language."""
     r = maps["regulations"].select(F.col("id").alias("regulation_id"), F.col("number").alias("regulation_number"), "language")
     s = maps["statutes"].select("id", "language", F.col("number").alias("enabling"))
-    found = r.join(maps["related"], "regulation_id").join(s, ["id", "language"]).groupBy("regulation_number", "language").agg(F.min("enabling").alias("enabling"))
-    return r.select("regulation_number", "language").join(found, ["regulation_number", "language"], "left").withColumnRenamed("regulation_number", "number")
+    found = r.join(maps["related"], "regulation_id").join(s, ["id", "language"]).groupBy("regulation_number", "language").agg(F.min("enabling")
+        .alias("enabling"))
+    return r.select("regulation_number", "language").join(found, ["regulation_number", "language"], "left").withColumnRenamed("regulation_number",
+        "number")
 
 
-ROWS = "doc_id string, kind string, ordinal int, label string, title string, text string, path array<string>, section string, flags array<string>, attributes string, error string"
+ROWS = (
+    "doc_id string, kind string, ordinal int, label string, title string, text string, path array<string>, section string, flags "
+    "array<string>, attributes string, error string"
+)
 
 
 def document_table(docs: DataFrame, id_col: str, xml_col: str) -> DataFrame:
@@ -193,7 +230,8 @@ def document_table(docs: DataFrame, id_col: str, xml_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in ROWS.split(", ")]
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.string()), pa.string(), pa.string()]
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(),
+            pa.list_(pa.string()), pa.string(), pa.string()]
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -239,11 +277,13 @@ def element_audit(docs: DataFrame, xml_col: str, samples: int = 5) -> DataFrame:
                         seen[node.tag, "children", child.tag] += 1
                         todo.append((child, path))
             columns = list(zip(*seen)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([*[pa.array(list(c), pa.string()) for c in columns], pa.array(list(seen.values()), pa.int64())], ["tag", "kind", "value", "n"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(list(c), pa.string()) for c in columns], pa.array(list(seen.values()), pa.int64())],
+                ["tag", "kind", "value", "n"])
 
     found = docs.select(F.col(xml_col).cast("string").alias("xml")).mapInArrow(run, "tag string, kind string, value string, n bigint")
     values = found.groupBy("tag", "kind", "value").agg(F.sum("n").alias("n"))
-    counts = values.groupBy("tag").agg(F.sum(F.when(F.col("kind") == "elements", F.col("n"))).alias("elements"), F.count_if(F.col("kind") == "paths").alias("n_paths"), F.count_if(F.col("kind") == "children").alias("n_children"))
+    counts = values.groupBy("tag").agg(F.sum(F.when(F.col("kind") == "elements", F.col("n"))).alias("elements"), F.count_if(F.col("kind") == "paths")
+        .alias("n_paths"), F.count_if(F.col("kind") == "children").alias("n_children"))
     place = F.row_number().over(Window.partitionBy("tag", "kind").orderBy("value"))
     first = values.filter("kind <> 'elements'").withColumn("place", place).filter(F.col("place") <= samples)
     gather = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("value")))).alias(kind)

@@ -14,7 +14,8 @@ from brindle.sources.loading import append_new
 def windowed_counts(events: DataFrame, by: str, time: str, length: str = "24 hours", slide: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Rows per key and sliding window; state is bounded by the watermark, later rows are left out."""
     stamped = events.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", late)
-    return stamped.groupBy(F.window("_at", length, slide).alias("w"), by).agg(F.count(F.lit(1)).alias("rows")).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "rows")
+    return stamped.groupBy(F.window("_at", length, slide).alias("w"), by).agg(F.count(F.lit(1)).alias("rows")).select(by, F.col("w.start")
+        .alias("start"), F.col("w.end").alias("end"), "rows")
 
 
 def over_limit(counts: DataFrame, most: int = 20) -> DataFrame:

@@ -18,6 +18,7 @@ def register(spark: SparkSession, base: str, *names: str) -> None:
 
 #: Every table, by name.
 TABLES = [
-    "abuse_labels", "acts", "acts_copy", "bills_bill", "bills_votequestion", "chunk_input", "cross_references", "customer", "documents", "embeddings", "events", "hansards_statement",
+    "abuse_labels", "acts", "acts_copy", "bills_bill", "bills_votequestion", "chunk_input", "cross_references", "customer", "documents", "embeddings",
+        "events", "hansards_statement",
     "leg_resources", "lineitem", "message_v2", "nation", "orders", "part", "region", "regulations", "regulations_copy", "source_targets", "supplier",
 ]

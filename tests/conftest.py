@@ -10,7 +10,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from brindle.session import build_session
 
-    session = build_session("tests", master="local[4]", spark__sql__shuffle__partitions="4", spark__ui__showConsoleProgress="false", spark__driver__memory="4g", spark__sql__adaptive__coalescePartitions__parallelismFirst="false")
+    session = build_session("tests", master="local[4]", spark__sql__shuffle__partitions="4", spark__ui__showConsoleProgress="false",
+        spark__driver__memory="4g", spark__sql__adaptive__coalescePartitions__parallelismFirst="false")
     session.sparkContext.setLogLevel("ERROR")
     return session
 

@@ -36,9 +36,12 @@ def test_assignment_is_cheapest(n, m, rng):
     assert sum(cost[i, j] for i, j in found) == best
 
 
-LEFT = [("a", "x", "1", "9"), ("a", "x", "1", "9"), ("a", "y", "2", "9"), ("b", "x", None, "9"), (None, "x", "1", "9"), ("c", "x", "1", "9"), ("d", "u", "1", "9"), ("d", "v", "2", "9")]
-RIGHT = [("a", "x", "1", "8"), ("a", "z", "2", "8"), ("a", "x", "3", "8"), ("b", "x", "", "8"), (None, "x", "1", "8"), ("d", "v", "1", "8"), ("d", "w", "2", "8"), ("e", "x", "1", "8")]
-EXPECTED = {("a", "f", "y", "z", 1), ("a", "g", "1", "3", 1), ("b", "g", None, "", 1), ("c", "missing_in_right", None, None, 1), ("e", "missing_in_left", None, None, 1)}
+LEFT = [("a", "x", "1", "9"), ("a", "x", "1", "9"), ("a", "y", "2", "9"), ("b", "x", None, "9"), (None, "x", "1", "9"), ("c", "x", "1", "9"),
+    ("d", "u", "1", "9"), ("d", "v", "2", "9")]
+RIGHT = [("a", "x", "1", "8"), ("a", "z", "2", "8"), ("a", "x", "3", "8"), ("b", "x", "", "8"), (None, "x", "1", "8"), ("d", "v", "1", "8"),
+    ("d", "w", "2", "8"), ("e", "x", "1", "8")]
+EXPECTED = {("a", "f", "y", "z", 1), ("a", "g", "1", "3", 1), ("b", "g", None, "", 1), ("c", "missing_in_right", None, None, 1),
+    ("e", "missing_in_left", None, None, 1)}
 
 
 @pytest.mark.parametrize("exact_rows", [400, 0])
@@ -77,7 +80,8 @@ def test_hot_key_agrees_with_the_dense_assignment(spark):
     rows = lambda n: [(rng.choice(["hot", None]), *(rng.choice([None, "", *"abcd"]) for _ in range(3))) for _ in range(n)]
     left, right = (spark.createDataFrame(rows(n), "k string, f string, g string, h string") for n in (300, 260))
     dense, sparse = ([tuple(r) for r in diff_copies(left, right, ["k"], ["f", "g", "h"], n).collect()] for n in (10_000, 0))
-    count = lambda got: {(k, gone): sum(r[4] for r in got if r[0] == k and r[1].startswith("missing") == gone) for k in ("hot", None) for gone in (True, False)}
+    count = lambda got: {(k, gone): sum(r[4] for r in got if r[0] == k and r[1].startswith("missing") == gone) for k in ("hot", None)
+        for gone in (True, False)}
     assert count(dense) == count(sparse) and count(sparse)["hot", False] > 20
 
 
@@ -90,9 +94,12 @@ def test_diff_of_empty_tables(spark):
 
 def test_reference_status(spark):
     day = lambda n: dt.datetime(2024, 1, n)
-    parents = spark.createDataFrame([("t", "A", day(5), day(10)), ("t", "A", day(5), day(10)), ("t", "B", None, None), ("t", "C", day(5), None), ("t", None, day(1), None)], "kind string, key string, start timestamp_ntz, end timestamp_ntz")
-    cases = [("A", 4, "late"), ("A", 5, None), ("A", 10, "deleted"), ("B", 5, "missing"), ("C", 9, None), ("Z", 9, "missing"), (None, 9, None), ("C", None, None), ("Z", None, "missing")]
-    refs = spark.createDataFrame([(i, "t", k, None if n is None else day(n)) for i, (k, n, _) in enumerate(cases)], "start int, kind string, key string, at timestamp_ntz")
+    parents = spark.createDataFrame([("t", "A", day(5), day(10)), ("t", "A", day(5), day(10)), ("t", "B", None, None), ("t", "C", day(5), None),
+        ("t", None, day(1), None)], "kind string, key string, start timestamp_ntz, end timestamp_ntz")
+    cases = [("A", 4, "late"), ("A", 5, None), ("A", 10, "deleted"), ("B", 5, "missing"), ("C", 9, None), ("Z", 9, "missing"), (None, 9, None),
+        ("C", None, None), ("Z", None, "missing")]
+    refs = spark.createDataFrame([(i, "t", k, None if n is None else day(n)) for i, (k, n, _) in enumerate(cases)],
+        "start int, kind string, key string, at timestamp_ntz")
     got = {r["start"]: r["status"] for r in orphan_references(refs, parents).collect()}
     assert got == {i: s for i, (_, _, s) in enumerate(cases) if s}
     assert orphan_references(refs, parents.limit(0)).count() == 8 and orphan_references(refs.limit(0), parents).count() == 0
@@ -106,7 +113,8 @@ def test_dropped_references_are_not_reported(spark, small, tmp_path):
     like = spark.read.parquet(f"{small}/leg_resources.parquet").select("id", "metadata", "created_at", "updated_at")
     day = lambda n: dt.datetime(2024, 1, n)
     stale, none = json.dumps({"crossRefId": "no such"}), json.dumps({"language": "en"})
-    rows = [("dropped", stale, day(1), day(1)), ("dropped", none, day(1), day(2)), ("kept", none, day(1), day(1)), ("kept", stale, day(1), day(2)), ("nothing", stale, day(1), day(1)), ("nothing", None, day(1), day(2))]
+    rows = [("dropped", stale, day(1), day(1)), ("dropped", none, day(1), day(2)), ("kept", none, day(1), day(1)), ("kept", stale, day(1), day(2)),
+        ("nothing", stale, day(1), day(1)), ("nothing", None, day(1), day(2))]
     spark.createDataFrame(rows, like.schema).coalesce(1).write.parquet(f"{tmp_path}/leg_resources.dir")
     shutil.copy(next((tmp_path / "leg_resources.dir").glob("*.parquet")), tmp_path / "leg_resources.parquet")
     found = q.p3_found(spark, str(tmp_path)).filter("table_name = 'leg_resources'").collect()
@@ -116,7 +124,8 @@ def test_dropped_references_are_not_reported(spark, small, tmp_path):
 
 
 def test_slices_by_bytes():
-    batch = pa.RecordBatch.from_arrays([pa.array(["k"] * 6), pa.array(["x" * n if n is not None else None for n in (3, None, 8, 50, 0, 4)])], ["k", "t"])
+    batch = pa.RecordBatch.from_arrays([pa.array(["k"] * 6), pa.array(["x" * n if n is not None else None for n in (3, None, 8, 50, 0, 4)])],
+        ["k", "t"])
     assert [[len(t or "") for t in b.column(1).to_pylist()] for b in byte_slices(batch, [1], 11)] == [[3, 0, 8], [50], [0, 4]]
     assert list(byte_slices(batch.slice(0, 0), [1], 11)) == []
 
@@ -155,7 +164,8 @@ def test_index_agrees_with_a_strict_parser():
         r = rng.random()
         if d > 3 or r < 0.3:
             return rng.choice([None, True, 1, -2.5e3, '"q\\', "é\n", "", "[1]"])
-        return [make(d + 1) for _ in range(rng.randrange(4))] if r < 0.65 else {rng.choice(["lines", 'b"', "c\\"]): make(d + 1) for _ in range(rng.randrange(4))}
+        return [make(d + 1) for _ in range(rng.randrange(4))] if r < 0.65 else {rng.choice(["lines", 'b"', "c\\"]): make(d + 1)
+            for _ in range(rng.randrange(4))}
 
     for _ in range(3000):
         t = json.dumps(make(), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
@@ -178,7 +188,8 @@ def unwrap(value):
 
 def objects(value):
     value = unwrap(value)
-    return [(0, value)] if isinstance(value, dict) else [(i, x) for i, x in enumerate(value) if isinstance(x, dict)] if isinstance(value, list) else []
+    return [(0, value)] if isinstance(value, dict) else [(i, x) for i, x in enumerate(value) if isinstance(x, dict)] if isinstance(value,
+        list) else []
 
 
 def member(value, name):
@@ -201,10 +212,13 @@ def test_nested_tables_by_brute_force(spark, medium):
 
 
 def test_nested_edge_cases(spark):
-    rows = [("1", '[{"a": 1}, "{}", 3, {}]'), ("2", None), ("3", ""), ("4", "[{"), ("5", json.dumps(json.dumps([{"x": json.dumps([{"y": "é"}])}]))), (None, '{"x": {"y": 2}}'), ("6", "[" + ",".join(["{}"] * 5000) + "]")]
+    rows = [("1", '[{"a": 1}, "{}", 3, {}]'), ("2", None), ("3", ""), ("4", "[{"), ("5", json.dumps(json.dumps([{"x": json.dumps([{"y": "é"}])}]))),
+        (None, '{"x": {"y": 2}}'), ("6", "[" + ",".join(["{}"] * 5000) + "]")]
     df = spark.createDataFrame(rows, "element string, item string")
     got = flatten_nested(df, "element", [Path("o", "item", (), (("i", "x"),))]).collect()
-    assert {tuple(r) for r in got if r["parent_id"] != "6"} == {("1", "o", -1, 0, '{"a": 1}'), ("1", "o", -1, 3, "{}"), ("5", "o", -1, 0, json.dumps({"x": json.dumps([{"y": "é"}])})), ("5", "i", 0, 0, json.dumps({"y": "é"})), (None, "o", -1, 0, '{"x": {"y": 2}}'), (None, "i", 0, 0, '{"y": 2}')}
+    assert {tuple(r) for r in got if r["parent_id"] != "6"} == {("1", "o", -1, 0, '{"a": 1}'), ("1", "o", -1, 3, "{}"),
+        ("5", "o", -1, 0, json.dumps({"x": json.dumps([{"y": "é"}])})), ("5", "i", 0, 0, json.dumps({"y": "é"})),
+        (None, "o", -1, 0, '{"x": {"y": 2}}'), (None, "i", 0, 0, '{"y": 2}')}
     assert sorted(r["pos"] for r in got if r["parent_id"] == "6") == list(range(5000))
     assert flatten_nested(df.limit(0), "element", [Path("o", "item")]).count() == 0
     assert Values.parse([]).elements().parts == []
