@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import filled
 from brindle.functions.wording import lined
+from brindle.operators.relational import placed
 
 # Most sections and characters of a text, and from how many sections on it has a table of contents of how many.
 MOST_SECTIONS, MOST_CHARS, CONTENTS_FROM, CONTENTS = 150, 100_000, 10, 30
@@ -124,3 +125,91 @@ def bill_markdown(number: Column, title: Column, language: str, fields: dict[str
     text = bill_body(body)
     head = F.rtrim(F.concat(F.lit("# Bill "), F.coalesce(number, F.lit("")), F.lit(": "), F.coalesce(title, F.lit(""))))
     return F.concat_ws("\n", head, filled(lined(BILL_FACTS[language == "fr"], fields)), headings(text), filled(text))
+
+
+# Labels of votes and elections in English and French.
+VOTES = {"title": ("# Votes on Bill ", "# Votes sur le projet de loi "), "yea": ("Yea", "Pour"), "nay": ("Nay", "Contre"),
+    "paired": ("Paired", "Jumelés"), "result": ("Result", "Résultat"),
+         "breakdown": ("### Party Breakdown", "### Vote par parti"), "party": ("Party", "Parti"),
+             "dissent": ("### Notable Dissenters", "### Dissidents notables"), "and": ("and", "et"), "more": ("more", "autres")}
+ELECTIONS = {"general": ("General Election", "Élection générale"), "by": ("By-election", "Élection partielle"), "results": ("Results", "Résultats"),
+    "candidate": ("Candidate", "Candidat"), "party": ("Party", "Parti"),
+             "riding": ("Riding", "Circonscription"), "elected": ("Elected", "Élu"), "yes": ("Yes", "Oui"), "no": ("No", "Non")}
+#: Dissenters that a vote shows, candidates that an election shows.
+DISSENTERS, CANDIDATES = 5, 20
+
+
+def vote_sections(bills: DataFrame, votes: DataFrame, parties: DataFrame, dissents: DataFrame, lang: str = "en") -> DataFrame:
+    """``bill``, ``place`` and ``markdown``: the heading of each bill with votes (place 0) and a section for each vote, by day.
+
+    ``bills``: ``bill``, ``number``, ``name``, ``session``; ``votes``: ``vote``, ``bill``, ``vote_number``, ``day``, ``told``,
+    ``outcome``, ``yea``, ``nay``, ``paired``; ``parties``: ``vote``, ``party``, ``short``, ``cast`` (a few rows a vote);
+    ``dissents``: ``vote``, ``member``, ``cast``. Sections stay rows, so that a bill with very many votes is no single text;
+    of a vote's dissenters only the first leave a task, and their number.
+    """
+    i = int(lang == "fr")
+    by = Window.partitionBy("vote").orderBy("member")
+    first = dissents.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= DISSENTERS)
+    against = first.groupBy("vote").agg(F.sort_array(F.collect_list(F.struct("_n", "member", "cast"))).alias("d")).join(dissents.groupBy("vote")
+        .agg(F.count(F.lit(1)).alias("against")), "vote")
+    split = parties.groupBy("vote").agg(F.sort_array(F.collect_list(F.struct("party", "short", "cast"))).alias("p"))
+    full = votes.join(split, "vote", "left").join(against, "vote", "left")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    none = F.array().cast("array<string>")
+    lines = F.concat(
+        F.array(
+            F.concat(F.lit("## Vote #"), text("vote_number")), F.concat(F.lit("**Date:** "), text("day")),
+                F.concat(F.lit("**Description:** "), text("told")),
+            F.concat(F.lit(f"**{VOTES['result'][i]}:** "), text("outcome")), F.lit(""),
+                F.lit(f"| {VOTES['yea'][i]} | {VOTES['nay'][i]} | {VOTES['paired'][i]} |"),
+            F.lit("|------|-----|--------|"), F.concat(F.lit("| "), text("yea"), F.lit(" | "), text("nay"), F.lit(" | "), text("paired"),
+                F.lit(" |")), F.lit(""),
+        ),
+        F.when(
+            F.size("p") > 0,
+            F.concat(
+                F.array(F.lit(VOTES["breakdown"][i]), F.lit(f"| {VOTES['party'][i]} | Vote |"), F.lit("|-------|------|")),
+                F.transform("p", lambda x: F.concat(F.lit("| "), x["party"], F.lit(" ("), x["short"], F.lit(") | "), x["cast"], F.lit(" |"))),
+                    F.array(F.lit("")),
+            ),
+        ).otherwise(none),
+        F.when(
+            F.col("against") > 0,
+            F.concat(
+                F.array(F.lit(VOTES["dissent"][i])), F.transform("d", lambda x: F.concat(F.lit("- "), x["member"], F.lit(": "), x["cast"])),
+                F.when(F.col("against") > DISSENTERS,
+                    F.array(F.concat(F.lit(f"- {VOTES['and'][i]} "), (F.col("against") - DISSENTERS).cast("string"),
+                    F.lit(f" {VOTES['more'][i]}...")))).otherwise(none),
+                F.array(F.lit("")),
+            ),
+        ).otherwise(none),
+    )
+    sections = placed(full.join(bills.select("bill"), "bill", "left_semi").withColumn("markdown", F.array_join(lines, "\n"))
+        .select("bill", "day", "vote", "markdown"), ["bill"], ["day", "vote"], "place")
+    head = F.concat(F.lit(VOTES["title"][i]), text("number"), F.lit("\n\n**"), text("name"), F.lit("**\nSession: "), text("session"), F.lit("\n"))
+    heads = bills.join(votes.select("bill"), "bill", "left_semi").select("bill", F.lit(0).cast("bigint").alias("place"), head.alias("markdown"))
+    return heads.unionByName(sections.select("bill", "place", "markdown"))
+
+
+def election_markdown(candidacies: DataFrame, lang: str = "en", most: int = CANDIDATES) -> DataFrame:
+    """``election`` and ``markdown``: the results of each election, its ``most`` strongest candidates.
+
+    ``candidacies``: ``election``, ``day``, ``by_election``, ``candidacy``, ``candidate``, ``party``, ``riding``, ``share``,
+    ``elected``. An election is cut to its strongest candidates before the shuffle.
+    """
+    i = int(lang == "fr")
+    best = Window.partitionBy("election").orderBy(F.desc_nulls_last("share"), "candidacy")
+    first = candidacies.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= most)
+    share = F.when(F.col("share").isNotNull(), F.concat(F.round("share", 1).cast("string"), F.lit("%"))).otherwise("-")
+    cells = [F.coalesce("candidate", F.lit("Unknown")), F.coalesce("party", F.lit("?")), F.coalesce("riding", F.lit("Unknown")), share,
+        F.when(F.col("elected"), ELECTIONS["yes"][i]).otherwise(ELECTIONS["no"][i])]
+    rows = first.withColumn("row", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")))
+    held = rows.groupBy("election").agg(F.max("day").alias("day"), F.bool_or("by_election").alias("by"),
+        F.sort_array(F.collect_list(F.struct("_n", "row"))).alias("rows"))  # ``most`` rows
+    kind = F.when(F.coalesce("by", F.lit(False)), ELECTIONS["by"][i]).otherwise(ELECTIONS["general"][i])
+    table = (
+        f"## {ELECTIONS['results'][i]}\n\n| {ELECTIONS['candidate'][i]} | {ELECTIONS['party'][i]} | {ELECTIONS['riding'][i]} | % | "
+        f"{ELECTIONS['elected'][i]} |\n|----------|-------|---------|------|---------|\n"
+    )
+    return held.select("election", F.concat(F.lit("# "), kind, F.lit(" - "), F.coalesce("day", F.lit("Unknown Date")), F.lit("\n\n" + table),
+        F.array_join(F.transform("rows", lambda x: x["row"]), "\n"), F.lit("\n")).alias("markdown"))

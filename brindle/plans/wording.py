@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brindle.functions import citation as ct
 from brindle.functions import content as cn
 from brindle.functions.keys import norm_key, standing
-from brindle.functions.text import filled
+from brindle.functions.text import RESULTS, VOTES, filled, label
 from brindle.functions.wording import lined_sql, worded_sql
 from brindle.operators import hydration as hy
 from brindle.plans.data_quality import _sql_key
@@ -253,8 +253,38 @@ def hydrate_bills(spark: SparkSession, base: str) -> DataFrame:
         .alias("markdown"))
 
 
+def hydrate_votes(spark: SparkSession, base: str) -> DataFrame:
+    """Bills' votes as Markdown sections, with each party's vote and members who voted otherwise."""
+    b = _bills(spark, base).select(F.col("id").alias("bill"), F.col("bill_number").alias("number"), F.col("name_en").alias("name"),
+        F.col("session_id").alias("session"))
+    v = standing(load(spark, base, "bills_votequestion"), ["id"], None).filter("bill_id is not null")
+    votes = v.select(F.col("id").alias("vote"), F.col("bill_id").alias("bill"), "vote_number", F.col("vote_date").cast("string").alias("day"),
+        F.col("description_en").alias("told"), label(F.col("result"), RESULTS).alias("outcome"), F.col("yea_total").alias("yea"), F.col("nay_total")
+        .alias("nay"), F.col("paired_total").alias("paired"))
+    cast = lambda n: label(F.element_at(F.array(F.lit("Y"), F.lit("N"), F.lit("A")), (n % 3).cast("int") + 1), VOTES)
+    r = load(spark, base, "region").withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    parties = votes.join(r, F.col("vote") % 7 == F.col("of")).select("vote",
+        F.concat(F.left("r_name", F.lit(1)), F.lower(F.substring("r_name", 2, 99))).alias("party"), F.left("r_name", F.lit(2)).alias("short"),
+        cast(F.col("vote") + F.col("r_regionkey")).alias("cast"))
+    dissents = votes.select("vote", (F.col("vote") % 17).alias("k")).join(load(spark, base, "supplier")
+        .select("s_name", (F.col("s_suppkey") % 17).alias("k")), "k").select("vote", F.col("s_name").alias("member"), cast(F.col("vote"))
+        .alias("cast"))
+    return hy.vote_sections(b, votes, parties, dissents)
+
+
+def hydrate_elections(spark: SparkSession, base: str) -> DataFrame:
+    """A year's orders as an election in French: the twenty strongest candidates."""
+    o, c, n, r = (load(spark, base, t) for t in ("orders", "customer", "nation", "region"))
+    joined = o.join(c, o["o_custkey"] == c["c_custkey"], "left").join(n, c["c_nationkey"] == n["n_nationkey"], "left").join(r,
+        n["n_regionkey"] == r["r_regionkey"], "left")
+    rows = joined.select(F.year("o_orderdate").alias("election"), F.year("o_orderdate").cast("string").alias("day"), (F.year("o_orderdate") % 2 == 0)
+        .alias("by_election"), F.col("o_orderkey").alias("candidacy"), F.col("c_name").alias("candidate"), F.left("n_name", F.lit(3)).alias("party"),
+        F.col("r_name").alias("riding"), (F.col("o_totalprice") / 10_000).alias("share"), (F.col("o_orderstatus") == "F").alias("elected"))
+    return hy.election_markdown(rows, "fr")
+
+
 QUERIES = {f.__name__: f for f in (legislation_citations, legislation_citation_kinds, parliament_citation_kinds, content_kinds, reference_contents,
-    resource_titles, hydrate_documents, bill_bodies, hydrate_bills)}
+    resource_titles, hydrate_documents, bill_bodies, hydrate_bills, hydrate_votes, hydrate_elections)}
 
 _R = "r AS (SELECT id, resource_key, content, " + ", ".join(f"metadata->>'{m}' AS {m}"
     for m in META) + " FROM leg_resources QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1)"
@@ -410,6 +440,45 @@ _BILL = (
     f"nullif(body, '')) AS markdown"
 )
 
+
+def _votes_sql() -> str:
+    nl = "chr(10)"
+    label = lambda x: f"(CASE ({x}) % 3 WHEN 0 THEN 'Yea' WHEN 1 THEN 'Nay' ELSE 'Abstain' END)"
+    votes = (
+        "v AS (SELECT id AS vote, bill_id AS bill, * EXCLUDE (id, bill_id) FROM bills_votequestion WHERE true QUALIFY row_number() OVER "
+        "(PARTITION BY id ORDER BY bill_id DESC NULLS LAST) = 1)"
+    )
+    parties = (
+        f"p AS (SELECT vote, string_agg('| ' || upper(r_name[1]) || lower(r_name[2:]) || ' (' || left(r_name, 2) || ') | ' || "
+        f"{label('vote + r_regionkey')} || ' |', {nl} ORDER BY r_name) AS rows FROM v CROSS JOIN region GROUP BY vote)"
+    )
+    dissent = (
+        f"d0 AS (SELECT vote, s_name, row_number() OVER (PARTITION BY vote ORDER BY s_name) AS n, count(*) OVER (PARTITION BY vote) AS c "
+        f"FROM v JOIN supplier ON s_suppkey % 17 = vote % 17), d AS (SELECT vote, any_value(c) AS c, string_agg('- ' || s_name || ': ' || "
+        f"{label('vote')}, {nl} ORDER BY n) AS rows FROM d0 WHERE n <= 5 GROUP BY vote)"
+    )
+    outcome = "CASE result WHEN 'Y' THEN 'Passed' WHEN 'N' THEN 'Failed' WHEN 'T' THEN 'Tie' ELSE coalesce(result, '') END"
+    t = lambda c: f"coalesce(CAST({c} AS VARCHAR), '')"
+    rows = [f"'## Vote #' || {t('vote_number')}", f"'**Date:** ' || {t('vote_date')}", f"'**Description:** ' || {t('description_en')}",
+        f"'**Result:** ' || {outcome}", "''", "'| Yea | Nay | Paired |'", "'|------|-----|--------|'",
+        f"'| ' || {t('yea_total')} || ' | ' || {t('nay_total')} || ' | ' || {t('paired_total')} || ' |'", "''"]
+    text = f" || {nl} || ".join(
+        rows) + f" || {nl} || '### Party Breakdown' || {nl} || '| Party | Vote |' || {nl} || '|-------|------|' || {nl} || p.rows || {nl}"
+    text += (
+        f" || CASE WHEN d.c > 0 THEN {nl} || '### Notable Dissenters' || {nl} || d.rows || CASE WHEN d.c > 5 THEN {nl} || '- and ' || (d.c - "
+        f"5) || ' more...' ELSE '' END || {nl} ELSE '' END"
+    )
+    sections = (
+        f"SELECT v.bill, row_number() OVER (PARTITION BY v.bill ORDER BY vote_date NULLS FIRST, vote) AS place, {text} AS markdown FROM v "
+        f"JOIN p USING (vote) LEFT JOIN d USING (vote) WHERE v.bill IN (SELECT id FROM b)"
+    )
+    heads = (
+        f"SELECT id, 0, '# Votes on Bill ' || {t('bill_number')} || {nl} || {nl} || '**' || {t('name_en')} || '**' || {nl} || 'Session: ' || "
+        f"{t('session_id')} || {nl} FROM b WHERE id IN (SELECT bill FROM v WHERE bill IS NOT NULL)"
+    )
+    return f"WITH {_B}, {votes}, {parties}, {dissent} {sections} UNION ALL {heads}"
+
+
 ORACLE = {
     "legislation_citations": (
         f"WITH {_R} SELECT id, sourceType, "
@@ -793,6 +862,400 @@ ORACLE = {
             f""
             f""
             f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
+            f""
         f"FROM r"
     ),
     "legislation_citation_kinds": f"WITH {_R}, {_kinds_sql(ct.LEGISLATION, 'r', LAW_FIELDS)} SELECT id, kind, {_cited_sql('kind', ct.LEGISLATION, LAW_DERIVED, set(LAW_FIELDS))} FROM k",
@@ -801,6 +1264,8 @@ ORACLE = {
     "reference_contents": _references_sql(),
     "resource_titles": f"WITH {_T}, {_R} SELECT r.id, r.language, coalesce(a.title, g.title, 'Unknown Document') AS title FROM r LEFT JOIN tt a ON a.o = 'act' AND a.k = {_sql_key('r.actId')} AND a.language = r.language LEFT JOIN tt g ON g.o = 'regulation' AND g.k = {_sql_key('r.regulationId')} AND g.language = r.language",
     "hydrate_documents": _documents_sql(),
+    "hydrate_votes": _votes_sql(),
+    "hydrate_elections": "WITH o AS (SELECT year(o_orderdate)::INT AS election, o_totalprice, o_orderkey, '| ' || coalesce(c_name, 'Unknown') || ' | ' || coalesce(left(n_name, 3), '?') || ' | ' || coalesce(r_name, 'Unknown') || ' | ' || round(o_totalprice / 10000, 1) || '% | ' || CASE WHEN o_orderstatus = 'F' THEN 'Oui' ELSE 'Non' END || ' |' AS row, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey) SELECT election, '# ' || CASE WHEN election % 2 = 0 THEN 'Élection partielle' ELSE 'Élection générale' END || ' - ' || election || chr(10) || chr(10) || '## Résultats' || chr(10) || chr(10) || '| Candidat | Parti | Circonscription | % | Élu |' || chr(10) || '|----------|-------|---------|------|---------|' || chr(10) || string_agg(row, chr(10) ORDER BY n) || chr(10) AS markdown FROM o WHERE n <= 20 GROUP BY election",
     "bill_bodies": f"SELECT doc_id, body, {_CONTENTS} AS contents FROM (SELECT doc_id, {_body_sql(_MARKED)} AS body FROM documents WHERE text IS NOT NULL)",
     "hydrate_bills": f"WITH {_B}, v AS (SELECT bill_id, CASE WHEN coalesce(description_fr, '') <> '' THEN description_fr ELSE description_en END AS text, CASE WHEN coalesce(description_fr, '') = '' THEN 'en' ELSE 'fr' END AS text_language FROM bills_votequestion WHERE bill_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY bill_id ORDER BY vote_date DESC NULLS LAST, id DESC) = 1), j AS (SELECT b.*, v.text_language, {_body_sql(chr(99) + 'oalesce(v.text, ' + chr(39) * 2 + ')')} AS body FROM b LEFT JOIN v ON b.id = v.bill_id) {_BILL} FROM j",
 }
