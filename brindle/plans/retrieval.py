@@ -328,209 +328,68 @@ ORACLE = {
     "hybrid_lang_fallback": (
         f"WITH "
         f"{_search_sql(10, 0.2, lang=chr(40) + 'CASE WHEN q.query_id % 200 = 0 THEN ' + chr(39) + 'xx' + chr(39) + ' ELSE q.language END' + chr(41), fallback=True)} "
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
         f"{_SEARCHED}"
     ),
     "per_source_topk": f"WITH {_search_sql(3, 0.0, by='query_id, source_type')} {_SEARCHED}",
-    "cosine_topk": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, r.vec_id AS resource_id, round(list_cosine_similarity(q.v, r.v), 6) AS cosine, round(0.7 * list_cosine_similarity(q.v, r.v), 6) AS score FROM e q CROSS JOIN e r WHERE q.vec_id % 100 = 0) SELECT query_id, resource_id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, resource_id) AS rank FROM p QUALIFY rank <= 10",
-    "score_gaps": f"{_lists()} SELECT list_id, resource_id, rank, round(similarity - lead(similarity) OVER (PARTITION BY list_id ORDER BY rank), 6) AS gap FROM c",
+    "cosine_topk": (
+        "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, r.vec_id AS "
+        "resource_id, round(list_cosine_similarity(q.v, r.v), 6) AS cosine, round(0.7 * list_cosine_similarity(q.v, r.v), 6) AS score FROM "
+        "e q CROSS JOIN e r WHERE q.vec_id % 100 = 0) SELECT query_id, resource_id, cosine, row_number() OVER (PARTITION BY query_id ORDER "
+        "BY score DESC, resource_id) AS rank FROM p QUALIFY rank <= 10"
+    ),
+    "score_gaps": (
+        f"{_lists()} SELECT list_id, resource_id, rank, round(similarity - lead(similarity) OVER (PARTITION BY list_id ORDER BY rank), 6) AS "
+        f"gap FROM c"
+    ),
     "natural_cutoff": f"{_lists()} {_cut('c', 0.005)}",
     "adaptive_filter": f"{_lists()} SELECT {_OUT} FROM ({_ADAPT.format(o=_O, ratio=0.7, floor=0.05, of='c')})",
     "smart_filter": f"{_lists()}, a1 AS ({_ADAPT.format(o=_O, ratio=0.5, floor=0.05, of='c')}) {_cut('a1', 0.02)}",
-    "balance_sources": f"{_lists()} SELECT list_id, resource_id, source_type, similarity, row_number() OVER (PARTITION BY list_id ORDER BY over, rank) AS rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY list_id, source_type ORDER BY rank) > 4 AS INT) AS over FROM c) QUALIFY row_number() OVER (PARTITION BY list_id ORDER BY over, rank) <= 10",
-    "slot_allocation": f"{_lists()}, z AS ({_slots_sql('c', chr(39) + 'legal_section' + chr(39) + ', ' + chr(39) + 'bill_summary' + chr(39), chr(39) + 'hansard' + chr(39), 2, 8)}) SELECT list_id, resource_id, source_type, similarity, new_rank AS rank FROM z",
-    "multi_query_union_dedup": f"{_lists(10)}, b AS (SELECT 0 AS list_id, resource_id, max(similarity) AS similarity, any_value(source_type) AS source_type FROM c GROUP BY resource_id) SELECT list_id, resource_id, source_type, similarity, row_number() OVER (ORDER BY similarity DESC, resource_id) AS rank FROM b QUALIFY rank <= 50",
+    "balance_sources": (
+        f"{_lists()} SELECT list_id, resource_id, source_type, similarity, row_number() OVER (PARTITION BY list_id ORDER BY over, rank) AS "
+        f"rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY list_id, source_type ORDER BY rank) > 4 AS INT) AS over FROM c) QUALIFY "
+        f"row_number() OVER (PARTITION BY list_id ORDER BY over, rank) <= 10"
+    ),
+    "slot_allocation": (
+        f"{_lists()}, z AS "
+        f"({_slots_sql('c', chr(39) + 'legal_section' + chr(39) + ', ' + chr(39) + 'bill_summary' + chr(39), chr(39) + 'hansard' + chr(39), 2, 8)}) "
+        f"SELECT list_id, resource_id, source_type, similarity, new_rank AS rank FROM z"
+    ),
+    "multi_query_union_dedup": (
+        f"{_lists(10)}, b AS (SELECT 0 AS list_id, resource_id, max(similarity) AS similarity, any_value(source_type) AS source_type FROM c "
+        f"GROUP BY resource_id) SELECT list_id, resource_id, source_type, similarity, row_number() OVER (ORDER BY similarity DESC, "
+        f"resource_id) AS rank FROM b QUALIFY rank <= 50"
+    ),
     "source_diversity": f"{_lists()}, f5 AS (SELECT * FROM c WHERE rank <= 5), {_diverse('c', 'f5')} SELECT {_OUT} FROM d",
-    "heuristic_rerank": f"{_lists()}, hs AS (SELECT c.list_id, c.resource_id, c.source_type, c.language, c.rank AS old, round(c.similarity + CASE WHEN c.language = 'fr' THEN 0.12 ELSE 0 END + CASE WHEN c.resource_id % 3 = 0 THEN 0.03 ELSE 0 END + CASE WHEN c.source_type = 'hansard' THEN 0.03 ELSE 0 END + CASE WHEN c.source_type IN ('committee', 'committee_report', 'committee_meeting') THEN 0.03 ELSE 0 END + CASE WHEN CAST(d.published_on AS VARCHAR) >= '2022-01-01' THEN 0.01 ELSE 0 END, 6) AS similarity FROM c JOIN documents d ON d.doc_id = c.resource_id), hr AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY similarity DESC, old) AS rank FROM hs) SELECT {_OUT} FROM ({_ADAPT.format(o=_O, ratio=0.7, floor=0.05, of='hr')}) WHERE rank <= 10",
-    "rerank_pipeline": f"{_lists()}, f18 AS (SELECT * FROM c WHERE rank <= 18), {_diverse('c', 'f18')}, z AS ({_slots_sql('d', chr(39) + 'hansard' + chr(39) + ', ' + chr(39) + 'politician' + chr(39) + ', ' + chr(39) + 'riding' + chr(39), chr(39) + 'bill' + chr(39) + ', ' + chr(39) + 'vote_question' + chr(39), 2, 12)}), zz AS (SELECT list_id, resource_id, source_type, similarity, new_rank AS rank FROM z) SELECT {_OUT} FROM ({_ADAPT.format(o='list_id, resource_id, source_type, similarity', ratio=0.7, floor=0.1, of='zz')}) WHERE rank <= 6",
-    "definition_boost": f"{_lists()}, m AS (SELECT list_id, resource_id, source_type, round(CASE WHEN language = 'fr' THEN least(1.0, similarity + 0.15) ELSE similarity END, 6) AS similarity FROM c WHERE language IN ('fr', 'en')) SELECT list_id, resource_id, source_type, similarity, row_number() OVER (PARTITION BY list_id ORDER BY similarity DESC, resource_id) AS rank FROM m QUALIFY rank <= 10",
-    "snippet_citations": f"{_lists(10)}, {_SNIPPET}, u AS (SELECT * FROM sn QUALIFY row_number() OVER (PARTITION BY list_id, lower(snippet) ORDER BY rank) = 1) SELECT list_id, resource_id, snippet, 'P' || row_number() OVER (PARTITION BY list_id ORDER BY rank) AS citation_id FROM u",
-    "top_per_type": f"{_lists()} SELECT {_OUT} FROM c WHERE source_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY list_id, source_type ORDER BY rank) = 1",
+    "heuristic_rerank": (
+        f"{_lists()}, hs AS (SELECT c.list_id, c.resource_id, c.source_type, c.language, c.rank AS old, round(c.similarity + CASE WHEN "
+        f"c.language = 'fr' THEN 0.12 ELSE 0 END + CASE WHEN c.resource_id % 3 = 0 THEN 0.03 ELSE 0 END + CASE WHEN c.source_type = "
+        f"'hansard' THEN 0.03 ELSE 0 END + CASE WHEN c.source_type IN ('committee', 'committee_report', 'committee_meeting') THEN 0.03 ELSE "
+        f"0 END + CASE WHEN CAST(d.published_on AS VARCHAR) >= '2022-01-01' THEN 0.01 ELSE 0 END, 6) AS similarity FROM c JOIN documents d "
+        f"ON d.doc_id = c.resource_id), hr AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY similarity DESC, old) AS rank FROM "
+        f"hs) SELECT {_OUT} FROM ({_ADAPT.format(o=_O, ratio=0.7, floor=0.05, of='hr')}) WHERE rank <= 10"
+    ),
+    "rerank_pipeline": (
+        f"{_lists()}, f18 AS (SELECT * FROM c WHERE rank <= 18), {_diverse('c', 'f18')}, z AS "
+        f"({_slots_sql('d', chr(39) + 'hansard' + chr(39) + ', ' + chr(39) + 'politician' + chr(39) + ', ' + chr(39) + 'riding' + chr(39), chr(39) + 'bill' + chr(39) + ', ' + chr(39) + 'vote_question' + chr(39), 2, 12)}), "
+        f"zz AS (SELECT list_id, resource_id, source_type, similarity, new_rank AS rank FROM z) SELECT {_OUT} FROM "
+        f"({_ADAPT.format(o='list_id, resource_id, source_type, similarity', ratio=0.7, floor=0.1, of='zz')}) WHERE rank <= 6"
+    ),
+    "definition_boost": (
+        f"{_lists()}, m AS (SELECT list_id, resource_id, source_type, round(CASE WHEN language = 'fr' THEN least(1.0, similarity + 0.15) "
+        f"ELSE similarity END, 6) AS similarity FROM c WHERE language IN ('fr', 'en')) SELECT list_id, resource_id, source_type, similarity, "
+        f"row_number() OVER (PARTITION BY list_id ORDER BY similarity DESC, resource_id) AS rank FROM m QUALIFY rank <= 10"
+    ),
+    "snippet_citations": (
+        f"{_lists(10)}, {_SNIPPET}, u AS (SELECT * FROM sn QUALIFY row_number() OVER (PARTITION BY list_id, lower(snippet) ORDER BY rank) = "
+        f"1) SELECT list_id, resource_id, snippet, 'P' || row_number() OVER (PARTITION BY list_id ORDER BY rank) AS citation_id FROM u"
+    ),
+    "top_per_type": (
+        f"{_lists()} SELECT {_OUT} FROM c WHERE source_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY list_id, source_type ORDER "
+        f"BY rank) = 1"
+    ),
     "allowed_citations": f"{_lists()} SELECT {_OUT} FROM c WHERE source_type IN ('hansard', 'politician')",
-    "valid_vectors": "SELECT label, count(*) AS vectors, count(*) FILTER (len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0) AS valid FROM embeddings GROUP BY label",
+    "valid_vectors": (
+        "SELECT label, count(*) AS vectors, count(*) FILTER (len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR "
+        "isnan(x) OR isinf(x))) = 0) AS valid FROM embeddings GROUP BY label"
+    ),
 }

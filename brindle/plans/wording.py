@@ -483,789 +483,45 @@ ORACLE = {
     "legislation_citations": (
         f"WITH {_R} SELECT id, sourceType, "
         f"{_cited_sql('sourceType', ct.LEGISLATION, LAW_DERIVED | {'editorial': 'NULL', 'publication': repr('Notice'), 'publicationFr': repr('Avis')}, set(META), ct.OTHER_LEGISLATION)} "
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
-            f""
         f"FROM r"
     ),
-    "legislation_citation_kinds": f"WITH {_R}, {_kinds_sql(ct.LEGISLATION, 'r', LAW_FIELDS)} SELECT id, kind, {_cited_sql('kind', ct.LEGISLATION, LAW_DERIVED, set(LAW_FIELDS))} FROM k",
-    "parliament_citation_kinds": f"WITH {_B}, {_kinds_sql(ct.PARLIAMENT, 'b', HOUSE_FIELDS)} SELECT id, kind, {_cited_sql('kind', ct.PARLIAMENT, HOUSE_DERIVED, set(HOUSE_FIELDS))} FROM k",
-    "content_kinds": f"WITH {_B}, k0 AS (SELECT id AS row_id, {_FACTS_SQL} FROM b), k1 AS (SELECT *, unnest([{', '.join(repr(c) for c in cn.LINES)}]) AS record FROM k0), k AS (SELECT *, unnest(['en', 'fr']) AS language FROM k1) SELECT row_id AS id, record, language, {_LINES_SQL} AS content FROM k",
+    "legislation_citation_kinds": (
+        f"WITH {_R}, {_kinds_sql(ct.LEGISLATION, 'r', LAW_FIELDS)} SELECT id, kind, "
+        f"{_cited_sql('kind', ct.LEGISLATION, LAW_DERIVED, set(LAW_FIELDS))} FROM k"
+    ),
+    "parliament_citation_kinds": (
+        f"WITH {_B}, {_kinds_sql(ct.PARLIAMENT, 'b', HOUSE_FIELDS)} SELECT id, kind, "
+        f"{_cited_sql('kind', ct.PARLIAMENT, HOUSE_DERIVED, set(HOUSE_FIELDS))} FROM k"
+    ),
+    "content_kinds": (
+        f"WITH {_B}, k0 AS (SELECT id AS row_id, {_FACTS_SQL} FROM b), k1 AS (SELECT *, unnest([{', '.join(repr(c) for c in cn.LINES)}]) AS "
+        f"record FROM k0), k AS (SELECT *, unnest(['en', 'fr']) AS language FROM k1) SELECT row_id AS id, record, language, {_LINES_SQL} AS "
+        f"content FROM k"
+    ),
     "reference_contents": _references_sql(),
-    "resource_titles": f"WITH {_T}, {_R} SELECT r.id, r.language, coalesce(a.title, g.title, 'Unknown Document') AS title FROM r LEFT JOIN tt a ON a.o = 'act' AND a.k = {_sql_key('r.actId')} AND a.language = r.language LEFT JOIN tt g ON g.o = 'regulation' AND g.k = {_sql_key('r.regulationId')} AND g.language = r.language",
+    "resource_titles": (
+        f"WITH {_T}, {_R} SELECT r.id, r.language, coalesce(a.title, g.title, 'Unknown Document') AS title FROM r LEFT JOIN tt a ON a.o = "
+        f"'act' AND a.k = {_sql_key('r.actId')} AND a.language = r.language LEFT JOIN tt g ON g.o = 'regulation' AND g.k = "
+        f"{_sql_key('r.regulationId')} AND g.language = r.language"
+    ),
     "hydrate_documents": _documents_sql(),
     "hydrate_votes": _votes_sql(),
-    "hydrate_elections": "WITH o AS (SELECT year(o_orderdate)::INT AS election, o_totalprice, o_orderkey, '| ' || coalesce(c_name, 'Unknown') || ' | ' || coalesce(left(n_name, 3), '?') || ' | ' || coalesce(r_name, 'Unknown') || ' | ' || round(o_totalprice / 10000, 1) || '% | ' || CASE WHEN o_orderstatus = 'F' THEN 'Oui' ELSE 'Non' END || ' |' AS row, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey) SELECT election, '# ' || CASE WHEN election % 2 = 0 THEN 'Élection partielle' ELSE 'Élection générale' END || ' - ' || election || chr(10) || chr(10) || '## Résultats' || chr(10) || chr(10) || '| Candidat | Parti | Circonscription | % | Élu |' || chr(10) || '|----------|-------|---------|------|---------|' || chr(10) || string_agg(row, chr(10) ORDER BY n) || chr(10) AS markdown FROM o WHERE n <= 20 GROUP BY election",
+    "hydrate_elections": (
+        "WITH o AS (SELECT year(o_orderdate)::INT AS election, o_totalprice, o_orderkey, '| ' || coalesce(c_name, 'Unknown') || ' | ' || "
+        "coalesce(left(n_name, 3), '?') || ' | ' || coalesce(r_name, 'Unknown') || ' | ' || round(o_totalprice / 10000, 1) || '% | ' || "
+        "CASE WHEN o_orderstatus = 'F' THEN 'Oui' ELSE 'Non' END || ' |' AS row, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY "
+        "o_totalprice DESC, o_orderkey) AS n FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = "
+        "n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey) SELECT election, '# ' || CASE WHEN election % 2 = 0 THEN 'Élection "
+        "partielle' ELSE 'Élection générale' END || ' - ' || election || chr(10) || chr(10) || '## Résultats' || chr(10) || chr(10) || '| "
+        "Candidat | Parti | Circonscription | % | Élu |' || chr(10) || '|----------|-------|---------|------|---------|' || chr(10) || "
+        "string_agg(row, chr(10) ORDER BY n) || chr(10) AS markdown FROM o WHERE n <= 20 GROUP BY election"
+    ),
     "bill_bodies": f"SELECT doc_id, body, {_CONTENTS} AS contents FROM (SELECT doc_id, {_body_sql(_MARKED)} AS body FROM documents WHERE text IS NOT NULL)",
-    "hydrate_bills": f"WITH {_B}, v AS (SELECT bill_id, CASE WHEN coalesce(description_fr, '') <> '' THEN description_fr ELSE description_en END AS text, CASE WHEN coalesce(description_fr, '') = '' THEN 'en' ELSE 'fr' END AS text_language FROM bills_votequestion WHERE bill_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY bill_id ORDER BY vote_date DESC NULLS LAST, id DESC) = 1), j AS (SELECT b.*, v.text_language, {_body_sql(chr(99) + 'oalesce(v.text, ' + chr(39) * 2 + ')')} AS body FROM b LEFT JOIN v ON b.id = v.bill_id) {_BILL} FROM j",
+    "hydrate_bills": (
+        f"WITH {_B}, v AS (SELECT bill_id, CASE WHEN coalesce(description_fr, '') <> '' THEN description_fr ELSE description_en END AS text, "
+        f"CASE WHEN coalesce(description_fr, '') = '' THEN 'en' ELSE 'fr' END AS text_language FROM bills_votequestion WHERE bill_id IS NOT "
+        f"NULL QUALIFY row_number() OVER (PARTITION BY bill_id ORDER BY vote_date DESC NULLS LAST, id DESC) = 1), j AS (SELECT b.*, "
+        f"v.text_language, {_body_sql(chr(99) + 'oalesce(v.text, ' + chr(39) * 2 + ')')} AS body FROM b LEFT JOIN v ON b.id = v.bill_id) "
+        f"{_BILL} FROM j"
+    ),
 }
