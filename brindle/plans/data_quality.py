@@ -51,6 +51,14 @@ def p1_versions(spark: SparkSession, base: str) -> DataFrame:
     return _diff(spark, base, latest=False)
 
 
+def p1_costs(spark: SparkSession, base: str) -> DataFrame:
+    """By key, over all versions: unequal fields of the cheapest pairing, and rows that one side lacks."""
+    gone = F.col("difference").isin("missing_in_copy", "missing_in_main")
+    total = lambda what: F.sum(F.when(what, F.col("copies")).otherwise(0))
+    return _diff(spark, base, latest=False).groupBy("table_name", "doc_key", "language").agg(total(~gone).alias("unequal"), total(gone)
+        .alias("missing"))
+
+
 def _references(spark: SparkSession, base: str) -> DataFrame:
     fields = ["crossRefId", "targetType", "targetRef", "enablingActId"]
     meta = F.from_json("metadata", ", ".join(f"{f} string" for f in fields))
@@ -139,7 +147,7 @@ p5_stages = _item("stage", "stage string, date string", "leg_resources")
 p5_amendments = _item("amendment", "citation string, date string, link string", "leg_resources")
 
 QUERIES = {
-    "p1_found": p1_found, "p1_versions": p1_versions,
+    "p1_found": p1_found, "p1_versions": p1_versions, "p1_costs": p1_costs,
     "p3_found": p3_found, "p3_orphans": p3_orphans, "p3_report": p3_report,
     "p5_found": p5_found, "p5_preamble": p5_preamble, "p5_signature_blocks": p5_signature_blocks, "p5_signature_lines": p5_signature_lines,
         "p5_stages": p5_stages, "p5_amendments": p5_amendments,
@@ -180,6 +188,40 @@ def _sql_p1() -> str:
     return "WITH " + ", ".join(views) + " " + " UNION ALL ".join(parts)
 
 
+def _sql_costs() -> str:
+    """All ways to pair the leftovers of each key, row by row of the smaller side, and the least cost."""
+    parts, views = [], []
+    for table, (id_col, fields) in COPIED.items():
+        values = ", ".join(f"{_sql_value(f)} AS {f}" for f in fields)
+        own, names = ", ".join(f"{f} := {f}" for f in fields), ", ".join(fields)
+        side = lambda name, sign, raw: (
+            f"SELECT {_sql_key(id_col)} AS k, language AS l, {values}, {sign} AS n FROM ({raw.replace('{t}', name)}) WHERE {_sql_key(id_col)} IS "
+            f"NOT NULL"
+        )  # noqa: B023, E731
+        once = f"SELECT * FROM {{t}} QUALIFY row_number() OVER (PARTITION BY id, updated_at, {_sql_key(id_col)}, language, {names} ORDER BY id) = 1"
+        net = (
+            f"SELECT k, l, {names}, sum(n) AS n FROM ({side(table, 1, once)} UNION ALL {side(f'{table}_copy', -1, 'SELECT * FROM {t}')}) GROUP "
+            f"BY ALL HAVING sum(n) <> 0"
+        )
+        rows = f"SELECT k, l, n > 0 AS mine, struct_pack({own}) AS r, unnest(range(0, abs(n)::BIGINT)) FROM ({net})"
+        sides = f"SELECT k, l, coalesce(list(r) FILTER (mine), []) AS a, coalesce(list(r) FILTER (NOT mine), []) AS b FROM ({rows}) GROUP BY ALL"
+        views.append((
+            f"{table}_g AS (SELECT k, l, CASE WHEN len(a) <= len(b) THEN a ELSE b END AS s, CASE WHEN len(a) <= len(b) THEN b ELSE a END AS t "
+            f"FROM ({sides}))"
+        ))
+        cost = " + ".join(f"(g.s[w.i + 1].{f} IS DISTINCT FROM g.t[j].{f})::INT" for f in fields)
+        step = (
+            f"SELECT w.k, w.l, w.i + 1, list_append(w.used, j), w.cost + {cost} FROM {table}_w w JOIN {table}_g g ON w.k = g.k AND w.l IS NOT "
+            f"DISTINCT FROM g.l, unnest(range(1, len(g.t) + 1)) AS u(j) WHERE w.i < len(g.s) AND NOT list_contains(w.used, j)"
+        )
+        views.append(f"{table}_w(k, l, i, used, cost) AS (SELECT k, l, 0::BIGINT, []::BIGINT[], 0 FROM {table}_g UNION ALL {step})")
+        parts.append((
+            f"SELECT '{table}' AS table_name, w.k AS doc_key, w.l AS language, min(cost) AS unequal, any_value(len(g.t) - len(g.s)) AS missing "
+            f"FROM {table}_w w JOIN {table}_g g ON w.k = g.k AND w.l IS NOT DISTINCT FROM g.l WHERE w.i = len(g.s) GROUP BY w.k, w.l"
+        ))
+    return f"WITH RECURSIVE {', '.join(views)} " + " UNION ALL ".join(parts)
+
+
 def _sql_references() -> str:
     meta = lambda f: f"json_extract_string(metadata, '$.{f}')"
     target = f"lower(trim({meta('targetType')}))"
@@ -270,5 +312,5 @@ NESTED_ORACLE = {
     "p5_signature_lines": _fields_sql("signature_line", "signatureName", "signatureTitle", "signatureDate", "signatureLocation"),
         "p5_stages": _fields_sql("stage", "stage", "date"), "p5_amendments": _fields_sql("amendment", "citation", "date", "link"),
 }
-ORACLE = {"p1_found": _sql_p1(), "p3_found": _sql_p3("table_name, row_id, field_name"),
+ORACLE = {"p1_found": _sql_p1(), "p1_costs": _sql_costs(), "p3_found": _sql_p3("table_name, row_id, field_name"),
     "p3_orphans": _sql_p3("table_name, row_id, field_name, kind, key, o.at, status"), "p3_report": _sql_p3(None)} | NESTED_ORACLE
