@@ -12,6 +12,8 @@ from brindle.session import cut_lineage
 
 #: Newton steps at most, and the relative error of a source's tokens at which they end.
 STEPS, CLOSE = 60, 1e-9
+#: Bins a power of two of the lengths that the first solution is taken over.
+GRAIN = 16
 #: Bins of the rounding threshold's search, twice over, and the most sizes a power of two that fill what it leaves.
 BINS, SIZES = 1024, 64
 
@@ -61,38 +63,65 @@ def _rate(level: Column, tilt: Column, x: Column, cap: Column) -> Column:
 def balance(sizes: DataFrame, wanted: list[Goal], held: dict[str, int], docs: dict[str, int]) -> dict[str, tuple[float, float]]:
     """The dual's solution (level, tilt) of each source by Newton steps; sums are taken over all rows of ``sizes`` each step.
 
+    The steps begin at the solution over binned lengths, so that few are left.
+
     ``sizes`` has ``source``, ``n_tokens`` and the ``count`` of such documents. Rates of greatest entropy between 0 and the
     cap, given the source's tokens and mean length, are ``cap / (1 + exp(-level - tilt * length))``, lengths in units of
     the mean.
     """
     spark = sizes.sparkSession
-    dual = {g.source: np.zeros(2) for g in wanted if not g.full}
     of = {g.source: g for g in wanted}
+    mean, goal = {s: held[s] / docs[s] for s in of}, {s: of[s].tokens * docs[s] / held[s] for s in of}  # in mean lengths; as many documents
+    bins = sizes.groupBy("source", F.floor(F.log2("n_tokens") * GRAIN).alias("bin")).agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("n_tokens")).alias("t"))
+    coarse: dict[str, list] = {s: [] for s in of}
+    for r in bins.collect():  # sources times 64 powers times GRAIN at most
+        if r["source"] in of:
+            coarse[r["source"]].append((r["n"], r["t"] / r["n"] / mean[r["source"]]))
+    dual = {s: _coarse_dual(np.array(coarse[s]), float(of[s].cap), goal[s]) for s in of if not of[s].full}
     open_ = set(dual)
     for _ in range(STEPS):
         if not open_:
             break
-        rows = [(s, float(dual[s][0]), float(dual[s][1]), float(of[s].cap), held[s] / docs[s]) for s in sorted(open_)]
+        rows = [(s, float(dual[s][0]), float(dual[s][1]), float(of[s].cap), mean[s]) for s in sorted(open_)]
         now = spark.createDataFrame(rows, "source string, level double, tilt double, cap double, mean double")
         x = F.col("n_tokens") / F.col("mean")
         r = _rate(F.col("level"), F.col("tilt"), x, F.col("cap"))
         slope = r * (1 - r / F.col("cap"))
         c = F.col("count")
-        sums = sizes.join(F.broadcast(now), "source").groupBy("source").agg(F.sum(c * r).alias("g0"), F.sum(c * r * x).alias("g1"), F.sum(c * slope)
-            .alias("h0"), F.sum(c * slope * x).alias("h1"), F.sum(c * slope * x * x).alias("h2")).collect()
-        for s in sums:
-            goal = of[s["source"]].tokens * docs[s["source"]] / held[s["source"]]  # in mean lengths; as many documents
-            off = np.array([s["g0"] - goal, s["g1"] - goal])
-            if abs(off[1]) <= CLOSE * goal:
+        terms = {"g0": c * r, "g1": c * r * x, "h0": c * slope, "h1": c * slope * x, "h2": c * slope * x * x}
+        for s in sizes.join(F.broadcast(now), "source").groupBy("source").agg(*[F.sum(v).alias(k) for k, v in terms.items()]).collect():
+            step = _step(*[s[k] for k in terms], goal[s["source"]])
+            if step is None:
                 open_.discard(s["source"])
-                continue
-            hess = np.array([[s["h0"], s["h1"]], [s["h1"], s["h2"]]])
-            hess += np.eye(2) * 1e-9 * np.trace(hess)
-            step = np.linalg.solve(hess, off)
-            dual[s["source"]] = dual[s["source"]] - step * min(1.0, 3.0 / max(1e-12, np.abs(step).max()))
+            else:
+                dual[s["source"]] = dual[s["source"]] - step
     return {s: (float(a), float(b)) for s, (a, b) in dual.items()}
 
 
+def _step(g0: float, g1: float, h0: float, h1: float, h2: float, goal: float) -> np.ndarray | None:
+    """A bounded Newton step from the sums of rates and slopes; null where the tokens are close to the goal."""
+    off = np.array([g0 - goal, g1 - goal])
+    if abs(off[1]) <= CLOSE * goal:
+        return None
+    hess = np.array([[h0, h1], [h1, h2]])
+    hess += np.eye(2) * 1e-9 * np.trace(hess)
+    step = np.linalg.solve(hess, off)
+    return step * min(1.0, 3.0 / max(1e-12, np.abs(step).max()))
+
+
+def _coarse_dual(bins: np.ndarray, cap: float, goal: float) -> np.ndarray:
+    """Where the iterations over all rows begin: the solution over bins (documents, mean length) of one source."""
+    dual, (c, x) = np.zeros(2), bins.T
+    for _ in range(STEPS):
+        r = cap / (1 + np.exp(-np.clip(dual[0] + dual[1] * x, -500, 500)))
+        slope = r * (1 - r / cap)
+        step = _step((c * r).sum(), (c * r * x).sum(), (c * slope).sum(), (c * slope * x).sum(), (c * slope * x * x).sum(), goal)
+        if step is None:
+            break
+        dual = dual - step
+    return dual if np.isfinite(dual).all() else np.zeros(2)
+
+
 def mix_sources(docs: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
     """``doc_id``, ``source``, ``n_tokens``, ``rate`` and ``copies`` of every document.
 
