@@ -6,7 +6,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -61,11 +61,26 @@ def plain_words(line: str) -> Iterator[list[str]]:
             yield words
 
 
-#: Marks that a remembered token carries: letters that all stand alone, a last letter that does, white space within.
-_LONE, _LONE_END, _SPACED = "\x01", "\x02", "\x03"
-_SPELLED = re.compile(rf"[{_LONE}{_LONE_END}][^ ]* {_LONE}")
-_MARKED = re.compile(rf"[{_LONE}{_LONE_END}{_SPACED}]")
-_LETTER = re.compile(r"[^\W\d_]")
+#: Marks of a remembered token: one letter that stands alone at its beginning or end, several in a row there, and white
+#: space within. Letters that stand alone on both sides of a space may spell a word together.
+_BEGIN, _END, _BEGIN_MORE, _END_MORE, _SPACED = "\x01", "\x02", "\x03", "\x04", "\x05"
+_SPELLED = re.compile(
+    f"{_END_MORE} [{_BEGIN}{_BEGIN_MORE}]|[{_END}{_END_MORE}] {_BEGIN_MORE}|[{_END}{_END_MORE}] {_BEGIN}[^ ]{_END} [{_BEGIN}{_BEGIN_MORE}]"
+)
+_MARKED = re.compile(f"[{_BEGIN}{_END}{_BEGIN_MORE}{_END_MORE}{_SPACED}]")
+_RUNS = re.compile(r"[^\W_]+")
+_ANY_MARK = re.compile(f"[{_END}{_END_MORE}] |{_SPACED}")
+
+
+def _alone(runs: list[tuple[int, int]], whole: str) -> int:
+    """How many letters stand alone in a row from the token's beginning, one sign between each two; ``runs`` are its runs of
+    letters and digits."""
+    count, end = 0, -1
+    for a, z in runs:
+        if z - a > 1 or a != end + 1 or not whole[a].isalpha():
+            break
+        count, end = count + 1, z
+    return count
 
 
 class _Tokens(dict):
@@ -75,16 +90,15 @@ class _Tokens(dict):
         if len(self) > 300_000:
             self.clear()
         whole = folded(raw)
-        joined = _DRAWN.sub(lambda m: re.sub(r"[^\w]|_", "", m.group()), whole)
-        runs = re.findall(r"[^\W_]+", joined)
-        mark = ""
+        runs = [m.span() for m in _RUNS.finditer(whole)]
+        first, n = _alone(runs, whole), len(whole)
+        last = _alone([(n - z, n - a) for a, z in reversed(runs)], whole[::-1])
+        begin = _BEGIN_MORE if first > 1 else _BEGIN if first else ""
+        end = _END_MORE if last > 1 else _END if last else ""
         if any(c.isspace() for c in whole):
-            mark = _SPACED
-        elif runs and all(len(r) == 1 and _LETTER.match(r) for r in runs):
-            mark = _LONE * len(runs)
-        elif runs and len(runs[-1]) == 1 and _LETTER.match(runs[-1]):
-            mark = _LONE_END
-        found = self[raw] = mark + _word(joined) + ("\n" if whole[-1:] in tuple(".!?…") else "")
+            begin += _SPACED
+        word = _word(_DRAWN.sub(lambda m: re.sub(r"[^\w]|_", "", m.group()), whole))
+        found = self[raw] = begin + word + end + ("\n" if whole[-1:] in tuple(".!?…") else "")
         return found
 
 
@@ -100,17 +114,17 @@ _tokens, _words = _Tokens(), _Words()
 
 
 def words_of(text: str) -> Iterator[list[str]]:
-    """The words of each sentence: as :func:`plain_words`, but every token is folded once and remembered.
+    """The words of each sentence: those of :func:`plain_words`, but every token is folded once and remembered.
 
     Only lines with letters that stand alone side by side, which may spell a word, and tokens that fold to several, go
-    through the patterns again; letters at the beginning of a longer token do not count.
+    through the patterns again.
     """
     for line in text.split("\n"):
         joined = " ".join(map(_tokens.__getitem__, line.split()))
-        if _LONE in joined or _LONE_END in joined or _SPACED in joined:
-            if _SPACED in joined or _SPELLED.search(joined):
-                yield from plain_words(line)
-                continue
+        if _ANY_MARK.search(joined) and (_SPACED in joined or _SPELLED.search(joined)):
+            yield from plain_words(line)
+            continue
+        if _MARKED.search(joined):
             joined = _MARKED.sub("", joined)
         for sentence in joined.split("\n"):
             if words := sentence.split():
@@ -127,47 +141,50 @@ def passages(text: str) -> Iterator[str]:
                 yield " ".join(words[at : at + STRETCH])
 
 
-_OFFSETS = [(0, *o) for p, span in SPANS for o in combinations(range(1, span), p - 1)]
+#: Shapes of subsequences: the places of their characters from the first, in order of the last one; their weights; the mass of
+#: the subsequences that begin at one character.
+_OFFSETS = sorted(((0, *o) for p, span in SPANS for o in combinations(range(1, span), p - 1)), key=lambda o: (o[-1], o))
 _WEIGHTS = np.array([DECAY ** (o[-1] + 1 - len(o)) for o in _OFFSETS], np.float32)
-_MASS = float((_WEIGHTS**2).sum())  # of the subsequences that begin at one character
+_MASS = float((_WEIGHTS**2).sum())
 
 
 #: Odd factors of the hash.
 _MIX = [np.uint32(m) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
 
 
-def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray, np.float32]]]:
-    """(characters of each text, text of each character, and for every shape of subsequence: the hashed subsequence that
-    begins at each character, whether it ends within the text, and its weight)."""
+def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, np.ndarray, np.float32]]]:
+    """(characters of each text, characters from each one to its text's end, and for every shape of subsequence: the place of
+    its last character, the hashed subsequence that begins at each character, and its weight)."""
     padded = [f" {t} " for t in texts]
     size = np.fromiter(map(len, padded), np.int64, len(padded))
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32)
-    left = np.repeat(np.cumsum(size), size) - np.arange(len(codes))  # characters from here to the text's end
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(codes))
     mixed = [codes * m for m in _MIX[:4]]
     shift = np.uint32(33 - WIDTH.bit_length())
 
-    def shapes() -> Iterator[tuple[np.ndarray, np.ndarray, np.float32]]:
+    def shapes() -> Iterator[tuple[int, np.ndarray, np.float32]]:
         for offsets, weight in zip(_OFFSETS, _WEIGHTS):
             n = len(codes) - offsets[-1]
             if n > 0:
                 h = mixed[0][:n] + mixed[1][offsets[1] : n + offsets[1]]
                 for k in range(2, len(offsets)):
                     h += mixed[k][offsets[k] : n + offsets[k]]
-                h ^= h >> np.uint32(15)
                 h *= _MIX[4]
-                h ^= h >> np.uint32(13)
+                h ^= h >> np.uint32(15)
                 h *= _MIX[0]
-                yield h >> shift, left[:n] > offsets[-1], weight
+                h >>= shift
+                yield offsets[-1], h, weight
 
-    return size, np.repeat(np.arange(len(padded)), size), shapes()
+    return size, left, shapes()
 
 
 def embedded(texts: list[str]) -> np.ndarray:
     """Rows whose inner products are the kernel, each divided by the root of its text's length."""
-    _, owner, shapes = _hashed(texts)
+    size, left, shapes = _hashed(texts)
+    owner = np.repeat(np.arange(len(texts)), size) * WIDTH
     cells, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
-    for cols, whole, weight in shapes:
-        cells.append((owner[: len(cols)] * WIDTH + cols)[whole])
+    for last, cols, weight in shapes:
+        cells.append((owner[: len(cols)] + cols)[left[: len(cols)] > last])
         weights.append(np.full(len(cells[-1]), weight, np.float32))
     dense = np.bincount(np.concatenate(cells), np.concatenate(weights), len(texts) * WIDTH).astype(np.float32).reshape(len(texts), WIDTH)
     return dense / np.sqrt(_lengths(texts))[:, None]
@@ -187,10 +204,14 @@ def scores(texts: list[str], model: Model) -> np.ndarray:
     """Decision value of each passage; the sum over landmarks collapses to one weight a subsequence."""
     if not texts:
         return np.zeros(0)
-    size, _, shapes = _hashed(texts)
+    size, left, shapes = _hashed(texts)
     value = np.zeros(size.sum(), np.float32)  # of what begins at each character
-    for cols, whole, weight in shapes:
-        value[: len(cols)] += (model.weights * weight)[cols] * whole
+    for last, same in groupby(shapes, key=lambda shape: shape[0]):
+        n = len(value) - last
+        here = np.zeros(n, np.float32)
+        for _, cols, weight in same:
+            here += np.take(model.weights * weight, cols)
+        value[:n] += here * (left[:n] > last)
     return np.add.reduceat(value, np.cumsum(size) - size) / np.sqrt(_lengths(texts)) + model.bias
 
 

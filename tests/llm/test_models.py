@@ -161,20 +161,14 @@ def test_folding():
 
 
 def test_remembered_tokens_agree_with_the_patterns(medium):
-    """But for letters at the beginning of a longer token, the words are those of the patterns over whole lines."""
-    rng, odd = random.Random(3), ["i", "d.", "i", "o", "t!", "n'y", "a", "y", "a-t-il", "foo-b", "\u00a8x", "x\u00a0y", "…", "Ｆｕｌｌ", "ﬁn", "w\u200bo",
-        "s. t. u", "\u0301", "!!!", "ЅОЅ", "12", "e2e", "ça…", "\u2028", "\x85"]
-    texts = [t for t in pd.read_parquet(f"{medium}/documents.parquet").text if t] + [rng.choice([" ", "\n", "  "])
-        .join(rng.choice(odd) for _ in range(rng.randrange(12))) for _ in range(3000)]
-    checked = 0
+    """The words are those of the patterns over whole lines."""
+    rng, odd = random.Random(3), ["i", "d.", "i", "o", "t!", "n'y", "a", "y", "a-t-il", "foo-b", "i.d", ".i", "b-foo", "\u00a8x", "x\u00a0y", "…",
+        "Ｆｕｌｌ", "ﬁn",
+        "w\u200bo", "s. t. u", "\u0301", "!!!", "ЅОЅ", "12", "e2e", "ça…", "\u2028", "\x85", "i_d", "1", "a1", "_", "x_"]
+    texts = [t for t in pd.read_parquet(f"{medium}/documents.parquet").text if t]
+    texts += [rng.choice([" ", " ", "\n", "  "]).join(rng.choice(odd) for _ in range(rng.randrange(12))) for _ in range(6000)]
     for text in texts:
-        lines = text.split("\n")
-        if any(abuse._LONE in abuse._tokens[raw] or abuse._LONE_END in abuse._tokens[raw] for raw in text.split()) and any(
-            abuse.re.match(r"[^\W_][^\w\s]", abuse.folded(raw)) for raw in text.split()):
-            continue
-        checked += 1
-        assert list(abuse.words_of(text)) == [w for line in lines for w in abuse.plain_words(line)], text
-    assert checked > 1200
+        assert list(abuse.words_of(text)) == [w for line in text.split("\n") for w in abuse.plain_words(line)], text
 
 
 def test_held_out_accuracy(spark, medium):
