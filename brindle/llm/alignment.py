@@ -270,8 +270,9 @@ def _paths(docs: list[_Document], ratio: float) -> list[list[tuple[int, int]]]:
     return out
 
 
-def align_all(texts: list[tuple[list[str], list[str]]], ratio: float) -> list[list[tuple[int, int]]]:
-    """For each document (sentences of the left, of the right): the pairs that translate one another.
+def align_all(texts: list[tuple[list[str], list[str]]], ratio: float) -> list[list[tuple[int, int, bool]]]:
+    """For each document (sentences of the left, of the right): the pairs that translate one another, and whether a pair was
+    found out of order, off the path.
 
     The cheapest path of beads over the whole document, then sentences left over anywhere in it, paired out of order. Small
     documents are laid on one another in tables of up to ``CELLS`` cells, others have their own, computed in tiles of
@@ -289,12 +290,13 @@ def align_all(texts: list[tuple[list[str], list[str]]], ratio: float) -> list[li
         group.append(k)
     if group:
         paths |= zip(group, _paths([docs[g] for g in group], ratio))
-    return [sorted(paths[k] + docs[k].moved(paths[k])) if k in docs else [] for k in range(len(texts))]
+    moved = {k: docs[k].moved(path) for k, path in paths.items()}
+    return [sorted([(i, j, False) for i, j in paths[k]] + [(i, j, True) for i, j in moved[k]]) if k in docs else [] for k in range(len(texts))]
 
 
 def align(left: list[str], right: list[str], ratio: float) -> list[tuple[int, int]]:
     """The pairs of one document."""
-    return align_all([(left, right)], ratio)[0]
+    return [(i, j) for i, j, _ in align_all([(left, right)], ratio)[0]]
 
 
 def length_ratio(df: DataFrame, left: str, right: str) -> float:
@@ -316,17 +318,19 @@ def _aligner(keys: int, ratio: float, split: bool):
                 else:  # the places of blank sentences are kept
                     places = [(filled(a), filled(b)) for a, b in texts]
                     pairs = align_all([([a[i] for i in p], [b[j] for j in q]) for (a, b), (p, q) in zip(texts, places)], ratio)
-                    found = [[(p[i], q[j]) for i, j in own] for own, (p, q) in zip(pairs, places)]
+                    found = [[(p[i], q[j], moved) for i, j, moved in own] for own, (p, q) in zip(pairs, places)]
                 rows = pa.array(np.repeat(np.arange(len(found)), [len(own) for own in found]))
                 lefts, rights = (pa.array([pair[side] for own in found for pair in own], pa.int32()) for side in (0, 1))
-                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(rows) for k in range(keys)], lefts, rights],
-                    [*batch.schema.names[:keys], "en_pos", "fr_pos"])
+                moved = pa.array([pair[2] for own in found for pair in own], pa.bool_())
+                columns = [*[batch.column(k).take(rows) for k in range(keys)], lefts, rights, moved]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:keys], "en_pos", "fr_pos", "_moved"])
 
     return run
 
 
-def align_documents(df: DataFrame, keys: list[str], left: str, right: str, ratio: float | None = None) -> DataFrame:
-    """``keys``, ``en_pos``, ``fr_pos``: the sentences of texts ``left`` and ``right`` that translate one another.
+def align_documents(df: DataFrame, keys: list[str], left: str, right: str, ratio: float | None = None, moved: str | None = None) -> DataFrame:
+    """``keys``, ``en_pos``, ``fr_pos``: the sentences of texts ``left`` and ``right`` that translate one another. With a name
+    for it, a column ``moved`` tells pairs found out of order from those on the path.
 
     ``left`` and ``right`` are texts, split at white space after a full stop, exclamation or question mark, or arrays of
     sentences. Beads of one to one, omission, merge, split, two to two and crossing are weighed by a normal model of the
@@ -338,5 +342,6 @@ def align_documents(df: DataFrame, keys: list[str], left: str, right: str, ratio
     if ratio is None:
         ratio = length_ratio(df if split else df.select(F.array_join(left, " ").alias(left), F.array_join(right, " ").alias(right)), left, right)
     columns = df.select(*keys, left, right).filter(F.col(left).isNotNull() & F.col(right).isNotNull())
-    schema = columns.select(*keys).schema.add("en_pos", T.IntegerType()).add("fr_pos", T.IntegerType())
-    return columns.mapInArrow(_aligner(len(keys), ratio, split), schema)
+    schema = columns.select(*keys).schema.add("en_pos", T.IntegerType()).add("fr_pos", T.IntegerType()).add("_moved", T.BooleanType())
+    pairs = columns.mapInArrow(_aligner(len(keys), ratio, split), schema)
+    return pairs.drop("_moved") if moved is None else pairs.withColumnRenamed("_moved", moved)

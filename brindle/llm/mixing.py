@@ -72,7 +72,8 @@ def balance(sizes: DataFrame, wanted: list[Goal], held: dict[str, int], docs: di
     spark = sizes.sparkSession
     of = {g.source: g for g in wanted}
     mean, goal = {s: held[s] / docs[s] for s in of}, {s: of[s].tokens * docs[s] / held[s] for s in of}  # in mean lengths; as many documents
-    bins = sizes.groupBy("source", F.floor(F.log2("n_tokens") * GRAIN).alias("bin")).agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("n_tokens")).alias("t"))
+    bins = sizes.groupBy("source", F.floor(F.log2("n_tokens") * GRAIN).alias("bin")).agg(F.sum("count").alias("n"),
+        F.sum(F.col("count") * F.col("n_tokens")).alias("t"))
     coarse: dict[str, list] = {s: [] for s in of}
     for r in bins.collect():  # sources times 64 powers times GRAIN at most
         if r["source"] in of:
@@ -167,7 +168,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total: float | None = None)
         chosen = F.broadcast(spark.createDataFrame(picks, "source string, n_tokens bigint, most int"))
         place = F.row_number().over(Window.partitionBy("source", "n_tokens").orderBy("z", "doc_id"))
         extra = behind.join(chosen, ["source", "n_tokens"]).withColumn("place",
-            place).filter(F.col("place") <= F.least("most", F.lit(max(n for *_, n in picks)))).select(F.col("doc_id").alias("_id"), F.lit(True)
+            place).filter((F.col("place") <= max(n for *_, n in picks)) & (F.col("place") <= F.col("most"))).select(F.col("doc_id").alias("_id"),
+                F.lit(True)
             .alias("_extra"))
         rated = rated.join(extra, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
         up = up | F.coalesce("_extra", F.lit(False))

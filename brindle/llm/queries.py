@@ -43,12 +43,12 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return p4_pieces(spark, base).filter("chunk_index = 0 and n_pieces > 1").select("table_name", "item_id")
 
 
-def p6_found(spark: SparkSession, base: str) -> DataFrame:
-    """Sentences that translate one another: statements by sentence, acts by title and long title."""
+def p6_pairs(spark: SparkSession, base: str) -> DataFrame:
+    """Sentences that translate one another, on the path or moved: statements by sentence, acts by title and long title."""
     said = load(spark, base, "hansards_statement").select("id", "content_en", "content_fr")
     ratio = alignment.length_ratio(said, "content_en", "content_fr")  # repeats count too, so that they need not be settled twice
     said = standing(said, ["id"], None).withColumn("id", F.col("id").cast("string"))
-    said = alignment.align_documents(spread(said), ["id"], "content_en", "content_fr", ratio)
+    said = alignment.align_documents(spread(said), ["id"], "content_en", "content_fr", ratio, "moved")
     acts = load(spark, base, "acts").select(norm_key(F.col("act_id")).alias("key"), "language", "updated_at", "id", "title",
         "long_title").filter("key is not null and language in ('en', 'fr')")
     chars = lambda code: F.sum(F.when(F.col("language") == code, F.length(F.concat_ws(" ", "title", "long_title"))))
@@ -56,11 +56,21 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
     acts = standing(acts, ["key", "language"], "updated_at", "id")
     side = lambda code: F.max(F.when(F.col("language") == code, F.struct(F.array("title", "long_title").alias("a")))).getField("a").alias(
         code)
-    titles = alignment.align_documents(acts.groupBy("key").agg(side("en"), side("fr")), ["key"], "en", "fr", fr / en if en and fr else 1.0)
-    row = lambda df, table, key: df.select(F.lit(table).alias("table_name"), F.col(key).alias("record_key"), "en_pos", "fr_pos")
+    titles = alignment.align_documents(acts.groupBy("key").agg(side("en"), side("fr")), ["key"], "en", "fr", fr / en if en and fr else 1.0, "moved")
+    row = lambda df, table, key: df.select(F.lit(table).alias("table_name"), F.col(key).alias("record_key"), "en_pos", "fr_pos", "moved")
     return row(said, "hansards_statement", "id").unionByName(row(titles, "acts", "key"))
 
 
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    """Sentences that translate one another."""
+    return p6_pairs(spark, base).drop("moved")
+
+
+def p6_steps(spark: SparkSession, base: str) -> DataFrame:
+    """How many pairs lie on the path and how many were found out of order, by table."""
+    return p6_pairs(spark, base).groupBy("table_name", "moved").agg(F.count(F.lit(1)).alias("pairs"))
+
+
 def p7_ids(spark: SparkSession, base: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_texts(load(spark, base, "documents").select("doc_id", "text"), "text")
@@ -98,7 +108,7 @@ def p9_rates(spark: SparkSession, base: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found, "p2_reasons": p2_reasons, "p2_conversations": p2_conversations,
     "p4_found": p4_found, "p4_pieces": p4_pieces,
-    "p6_found": p6_found,
+    "p6_found": p6_found, "p6_steps": p6_steps,
     "p7_ids": p7_ids,
     "p8_mixture": p8_mixture, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates,
