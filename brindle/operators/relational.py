@@ -65,11 +65,11 @@ def cursor_page(df: DataFrame, order: list[Column], size: int, within: Column |
     return place.withColumn("has_more", F.max("_n").over(Window.partitionBy()) > size).filter(F.col("_n") <= size).drop("_n")
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, values: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, values: list[str], stretch: str = "day") -> DataFrame:
     """``left`` with ``values`` of the latest ``right`` row of the same key at or before its time; null without any.
 
     Both sides are one stream, sorted by key and time; the last value seen is carried on. A key that holds very many rows
-    is cut at equal times of the right side's months: each stretch begins with the last value carried out of those before.
+    is cut into stretches (days, hours ...): each begins with the last value carried out of those before.
     Of right rows at one time the greatest values stand.
     """
     carried = F.struct(*[F.col(v) for v in values])
@@ -78,14 +78,14 @@ def as_of(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time
     rows = left.withColumn("_row", F.struct(*[F.col(c) for c in left.columns])).select(F.col(by).alias("_k"), F.col(left_time).alias("_t"),
         F.lit(None).cast(r.schema["_v"].dataType).alias("_v"), "_row", F.lit(1).alias("_side"))
     both = rows.unionByName(r.select("_k", "_t", "_v", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.lit(0).alias("_side")))
-    both = both.withColumn("_month", F.date_trunc("month", "_t"))
-    in_stretch = Window.partitionBy("_k", "_month").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_stretch", F.date_trunc(stretch, "_t"))
+    in_stretch = Window.partitionBy("_k", "_stretch").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     here = both.withColumn("_here", F.last("_v", ignorenulls=True).over(in_stretch))
-    ends = r.withColumn("_month", F.date_trunc("month", "_t")).groupBy("_k", "_month").agg(F.max(F.struct("_t", "_v")).getField("_v").alias("_end"))
-    stretches = both.select("_k", "_month").distinct().join(ends, ["_k", "_month"], "left")
-    before = Window.partitionBy("_k").orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
-    into = stretches.select(F.col("_k").alias("_ik"), F.col("_month").alias("_im"), F.last("_end", ignorenulls=True).over(before).alias("_into"))
-    joined = here.filter("_side = 1").join(into, F.col("_k").eqNullSafe(F.col("_ik")) & F.col("_month").eqNullSafe(F.col("_im")), "left")
+    ends = r.withColumn("_stretch", F.date_trunc(stretch, "_t")).groupBy("_k", "_stretch").agg(F.max(F.struct("_t", "_v")).getField("_v").alias("_end"))
+    stretches = both.select("_k", "_stretch").distinct().join(ends, ["_k", "_stretch"], "left")
+    before = Window.partitionBy("_k").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    into = stretches.select(F.col("_k").alias("_ik"), F.col("_stretch").alias("_im"), F.last("_end", ignorenulls=True).over(before).alias("_into"))
+    joined = here.filter("_side = 1").join(into, F.col("_k").eqNullSafe(F.col("_ik")) & F.col("_stretch").eqNullSafe(F.col("_im")), "left")
     return joined.withColumn("_out", F.coalesce("_here", "_into")).select("_row.*", *[F.col(f"_out.{v}").alias(v) for v in values])
 
 
