@@ -195,7 +195,15 @@ def BILL_TEXT(col):  # noqa: N802
     return col
 
 
-QUERIES["bill_chunks"] = bill_chunks
+def marker_types(spark: SparkSession, base: str) -> DataFrame:
+    """Markers of provisions in the documents with their level, and how often each occurs."""
+    marks = F.explode(F.regexp_extract_all("text", F.lit(r"\([0-9A-Za-z]{1,6}\)"), 0)).alias("marker")
+    found = _docs(spark, base).filter("text is not null").select(marks).groupBy("marker").agg(F.count(F.lit(1)).alias("n"))
+    return found.select("marker", "n", tx.marker_type(F.col("marker")).alias("level"))
+
+
+QUERIES |= {"bill_chunks": bill_chunks, "marker_types": marker_types,
+    "header_chunks": _chunks(lambda t: ch.with_header(t, "Gazette | Part I", 600, 100))}
 
 _FR = "|".join(tx.FRENCH_WORDS + tx.FRENCH_PHRASES)
 _FOLD = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(replace(replace(lower({x}), 'œ', 'oe'), 'æ', 'ae'), '" + tx.ACCENTED + "', '" + tx.PLAIN + r"'), '[\x{{0300}}-\x{{036F}}]', '', 'g'), '[–—-]', ' ', 'g'), '[^a-z0-9\s\x0B]', '', 'g'), '[\s\x0B]+', ' ', 'g'))"
@@ -357,6 +365,14 @@ ORACLE = {
     "legal_chunks": _packed_sql(f"list_filter(list_transform({_PARTS}, lambda y: {_STRIP('y')}), lambda y: y <> '')", "89", 20,
         "(ceil((length(raw) + 2) / 4) <= 100 OR ceil(n / 4) <= 89)", "'§ '", "CASE WHEN ceil((length(raw) + 2) / 4) <= 100 THEN raw ELSE x END",
         whole_rest=True),
+    "marker_types": (
+        r"WITH t AS (SELECT unnest(regexp_extract_all(text, '\([0-9A-Za-z]{1,6}\)')) AS m FROM documents WHERE text IS NOT NULL) "
+        f"SELECT m AS marker, count(*) AS n, {_KIND} AS level FROM t GROUP BY m"
+    ),
+    "header_chunks": (
+        f"WITH RECURSIVE {_TEXTS}, src AS (SELECT k, 0 AS ord, 'Gazette | Part I' || chr(10) || chr(10) AS head, x AS body FROM t), "
+        f"{_under_sql('src', _CHUNKS.format(rows='FROM o'), 600, 100)}"
+    ),
     "paragraph_chunks": (
         f"WITH RECURSIVE {_SPEECHES}, {_pack_sql('pc2', '590', 0)}, src AS (SELECT k, 0 AS ord, {_HEADS} AS head, x AS body FROM p0 WHERE "
         f"NOT (len(ps) > 1 AND length(x) > 588) UNION ALL SELECT c.k, c.f, {_HEADS}, array_to_string(pc2.pieces[c.a:c.b], chr(10) || "

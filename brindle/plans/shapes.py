@@ -363,6 +363,15 @@ def dump_tables(spark: SparkSession, base: str) -> DataFrame:
     return named(parts, "parliament.part").unionByName(named(nations, "parliament.nation")).join(kept, "table_name", "left_semi")
 
 
+def progress_counts(spark: SparkSession, base: str) -> DataFrame:
+    """Keys of resources done by kind: how many there are, and how many stay when the French regulations are to be done again."""
+    done = load(spark, base, "leg_resources").select("resource_key").distinct()
+    kept = loading.without_prefix(done, "resource_key", "regulation:")
+    count = lambda df, name: df.groupBy(F.substring_index("resource_key", ":", 1).alias("kind")).agg(F.count(F.lit(1)).alias(name))
+    again = loading.keys_with_prefix(done, "resource_key", "regulation:").filter(F.col("resource_key").contains(":fr:"))
+    return count(done, "keys").join(count(kept, "kept"), "kind", "left").join(count(again, "again"), "kind", "left").na.fill(0)
+
+
 def table_sizes(spark: SparkSession, base: str) -> DataFrame:
     """Rows and columns of every table."""
     return reduce(DataFrame.unionByName, [load(spark, base, t).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -448,7 +457,8 @@ QUERIES = {f.__name__: f for f in (array_filters, json_containment, json_members
     instrument_ids, cache_keys, cached_values, event_lines, replayed_events, display_dates, term_pairs, provision_scopes, corrected_titles,
     top_orders, line_details, dissenting_lines, referenced_acts, bill_votes, members_in_range, sorted_members, act_statistics, stored_totals,
     categories, top_of_documents, mention_checks, verification, integrity_rules, integrity_keys, sequence_breaks, new_model, named_subset,
-    dump_tables, table_sizes, date_filters, law_search, latest_vote, enumerated_members, dimension_names, message_limits, mock_types, note_texts)}
+    dump_tables, progress_counts, table_sizes, date_filters, law_search, latest_vote, enumerated_members, dimension_names, message_limits, mock_types,
+        note_texts)}
 
 _L = "r AS (SELECT * FROM leg_resources QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1)"
 _IS_ARRAY = "json_type(metadata, '$.recentAmendments') = 'ARRAY'"
@@ -690,6 +700,11 @@ ORACLE = {
         f"|| CASE WHEN d <> '' AND NOT contains(c, d) THEN CASE WHEN language = 'fr' THEN ' (édicté: ' ELSE ' (enacted: ' END || d || ')' "
         f"ELSE '' END, '; ' ORDER BY pos) AS notes FROM y GROUP BY id, language"
     ),
+    "progress_counts": (
+        "WITH d AS (SELECT DISTINCT resource_key AS r FROM leg_resources) SELECT split_part(r, ':', 1) AS kind, count(*) AS keys, "
+        "count(*) FILTER (NOT starts_with(r, 'regulation:')) AS kept, count(*) FILTER (starts_with(r, 'regulation:') AND contains(r, ':fr:')) "
+        "AS again FROM d GROUP BY 1"
+    ),
     "table_sizes": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS n_rows, (SELECT count(*) FROM (DESCRIBE {t}))::INT AS n_columns" for t in TABLES),
 }
