@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import unicodedata
@@ -309,21 +310,25 @@ def _aligner(keys: int, ratio: float, split: bool):
     filled = lambda row: [i for i, s in enumerate(row) if s and s.strip()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                texts = list(zip(batch.column(keys).to_pylist(), batch.column(keys + 1).to_pylist()))
-                if split:
-                    found = align_all([(sentences(a), sentences(b)) for a, b in texts], ratio)
-                else:  # the places of blank sentences are kept
-                    places = [(filled(a), filled(b)) for a, b in texts]
-                    pairs = align_all([([a[i] for i in p], [b[j] for j in q]) for (a, b), (p, q) in zip(texts, places)], ratio)
-                    found = [[(p[i], q[j], moved) for i, j, moved in own] for own, (p, q) in zip(pairs, places)]
-                rows = pa.array(np.repeat(np.arange(len(found)), [len(own) for own in found]))
-                lefts, rights = (pa.array([pair[side] for own in found for pair in own], pa.int32()) for side in (0, 1))
-                moved = pa.array([pair[2] for own in found for pair in own], pa.bool_())
-                columns = [*[batch.column(k).take(rows) for k in range(keys)], lefts, rights, moved]
-                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:keys], "en_pos", "fr_pos", "_moved"])
+        gc.disable()  # the many sets of anchors form no cycles, but would be searched for them again and again
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 500):
+                    batch = whole.slice(at, 500)
+                    texts = list(zip(batch.column(keys).to_pylist(), batch.column(keys + 1).to_pylist()))
+                    if split:
+                        found = align_all([(sentences(a), sentences(b)) for a, b in texts], ratio)
+                    else:  # the places of blank sentences are kept
+                        places = [(filled(a), filled(b)) for a, b in texts]
+                        pairs = align_all([([a[i] for i in p], [b[j] for j in q]) for (a, b), (p, q) in zip(texts, places)], ratio)
+                        found = [[(p[i], q[j], moved) for i, j, moved in own] for own, (p, q) in zip(pairs, places)]
+                    rows = pa.array(np.repeat(np.arange(len(found)), [len(own) for own in found]))
+                    lefts, rights = (pa.array([pair[side] for own in found for pair in own], pa.int32()) for side in (0, 1))
+                    moved = pa.array([pair[2] for own in found for pair in own], pa.bool_())
+                    columns = [*[batch.column(k).take(rows) for k in range(keys)], lefts, rights, moved]
+                    yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:keys], "en_pos", "fr_pos", "_moved"])
+        finally:  # the worker serves other tasks too
+            gc.enable()
 
     return run
 
