@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Forms of identifiers and labels, and the bounds of a limit.
 ACT_ID, REGULATION_ID, LABEL = r"(?i)^[A-Z]+-\d+(\.\d+)?$", r"(?i)^(SOR|SI|CRC|DORS)-[A-Za-z0-9_.\-]+$", r"^[A-Za-z0-9_\s.\-–—]+$"
+AMENDMENT = r"(?i)(\d{4}),\s*c\.\s*(\d+)(?:,\s*s\.\s*(\d+))?"
 LABEL_CHARS, LEAST, MOST, MOST_INTEGER = 100, 1, 100, 1_000_000
 
 
@@ -65,9 +66,8 @@ def cache_key(prefix: str, query: Column, language: Column | None = None, thresh
 
 def amendment(col: Column) -> Column:
     """Year, chapter and section of a citation such as ``2023, c. 8, s. 46``; null for others, the section where it has none."""
-    pattern = r"(?i)(\d{4}),\s*c\.\s*(\d+)(?:,\s*s\.\s*(\d+))?"
-    number = lambda i: F.regexp_extract(col, pattern, i).try_cast("int")
-    return F.when(col.rlike(pattern), F.struct(number(1).alias("year"), number(2).alias("chapter"), number(3).alias("section")))
+    number = lambda i: F.regexp_extract(col, AMENDMENT, i).try_cast("int")
+    return F.when(col.rlike(AMENDMENT), F.struct(number(1).alias("year"), number(2).alias("chapter"), number(3).alias("section")))
 
 
 def paired(terms: Column, others: Column) -> Column:

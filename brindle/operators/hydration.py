@@ -73,13 +73,28 @@ def document_markdown(docs: DataFrame, sections: DataFrame, most: int = MOST_SEC
     return built.select("doc", "language", F.array_join(body, "\n").alias("markdown"), F.size("kept").alias("shown"), "total")
 
 
+# What begins a paragraph of a bill's text; lines that are headings of parts, other headings and definitions; the
+# letters of an enumeration and of one within it.
+BODY_MARKS = [
+    r"(PART\s+\d+(?:\s+[A-Z][A-Za-z0-9 ,''()-]+)?)",
+    r"(Short Title)\b",
+    r"(Definitions)\b",
+    r"(Enactment(?: of Act)?)\b",
+    r"(\d+\s*\(\d+\)\s+)",
+]
+PART_LINE = r"^PART\s+(\d+)(?:\s+(.+))?$"
+HEADING_LINE = r"(?i)^(Short Title|Definitions|Enactment(?: of Act)?)\b"
+DEFINITION_LINE = r"^([A-Za-z][A-Za-z -]{1,60})\s+means\s+(.+)$"
+LETTERS, NUMERALS = "[a-z]", "[ivx]+"
+
+
 def bill_body(text: Column) -> Column:
     """The plain text of a bill as Markdown: headings of parts, of short titles, definitions and enactments; enumerations and
     definitions as lists. Line by line, without leaving the JVM."""
-    t = F.regexp_replace(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit(" "), F.lit(" ")), "[ \t]{2,}", " ")
-    t = F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"), F.lit(" \t\n\r"))
-    for mark in (r"(PART\s+\d+(?:\s+[A-Z][A-Za-z0-9 ,''()-]+)?)", r"(Short Title)\b", r"(Definitions)\b", r"(Enactment(?: of Act)?)\b",
-        r"(\d+\s*\(\d+\)\s+)"):
+    plain = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\u00a0"), F.lit(" "))
+    t = F.regexp_replace(F.regexp_replace(plain, "[ \t]{2,}", " "), r"\n{3,}", "\n\n")
+    t = F.trim(t, F.lit(" \t\n\r"))
+    for mark in BODY_MARKS:
         t = F.regexp_replace(t, r"\s+" + mark, "\n\n$1")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
 
@@ -89,15 +104,14 @@ def bill_body(text: Column) -> Column:
 
     def one(raw: Column) -> Column:
         line = F.trim(raw, F.lit(" \t\r"))
-        part, title = F.regexp_extract(line, r"^PART\s+(\d+)(?:\s+(.+))?$", 1), F.trim(F.regexp_extract(line, r"^PART\s+(\d+)(?:\s+(.+))?$", 2))
-        means = r"^([A-Za-z][A-Za-z -]{1,60})\s+means\s+(.+)$"
+        part, title = F.regexp_extract(line, PART_LINE, 1), F.trim(F.regexp_extract(line, PART_LINE, 2))
+        term, meaning = (F.trim(F.regexp_extract(line, DEFINITION_LINE, i)) for i in (1, 2))
         return (
             F.when(part != "", F.concat(F.lit("## Part "), part, F.when(title != "", F.concat(F.lit(" — "), title)).otherwise("")))
-            .when(line.rlike(r"(?i)^(Short Title|Definitions|Enactment(?: of Act)?)\b"), F.concat(F.lit("### "), F.regexp_replace(line, r"\s+", " ")))
-            .when(line.rlike(r"\s\([a-z]\)\s"), listed(line, "[a-z]", "- "))
-            .when(line.rlike(r"(?i)\s\([ivx]+\)\s"), listed(line, "[ivx]+", "  - ", "i"))
-            .when(line.rlike(means), F.concat(F.lit("- **"), F.trim(F.regexp_extract(line, means, 1)), F.lit("** — "),
-                F.trim(F.regexp_extract(line, means, 2))))
+            .when(line.rlike(HEADING_LINE), F.concat(F.lit("### "), F.regexp_replace(line, r"\s+", " ")))
+            .when(line.rlike(rf"\s\({LETTERS}\)\s"), listed(line, LETTERS, "- "))
+            .when(line.rlike(rf"(?i)\s\({NUMERALS}\)\s"), listed(line, NUMERALS, "  - ", "i"))
+            .when(line.rlike(DEFINITION_LINE), F.concat(F.lit("- **"), term, F.lit("** — "), meaning))
             .otherwise(line)
         )
 
