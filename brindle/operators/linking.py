@@ -55,7 +55,7 @@ def link_terms(terms: DataFrame) -> DataFrame:
     return done.unionByName(pass3)
 
 
-#: Pieces that a name is cut into at most, and characters of a piece at least.
+#: Names are cut into pieces of ``PIECE_CHARS`` characters; longer ones where that gives over ``PIECES`` pieces, shorter ones in short names.
 PIECES, PIECE_CHARS = 12, 4
 
 
@@ -65,32 +65,37 @@ def near_matches(df: DataFrame, id_col: str, group: str, name: str, most: int =
     Names of five letters and more, of about the same length; the distance may be a quarter of the first name's length, 2 at
     least and ``most`` at most. Names are reduced to distinct ones first.
 
-    A name is cut into up to ``PIECES`` pieces. ``most`` edits break as many of them at most, so that of any ``most + 1``
-    pieces of the shorter name one stands in the longer one, at nearly its place. The pieces looked up are the rarest ones,
-    so that a beginning that many names share is no hot key; only names that share such a piece are compared.
+    With ``k`` edits at most, the shorter name is cut into pieces of one length and its ``k + 1`` rarest are looked up, so that
+    a beginning that many names share is no hot key. Of these, one stands whole in the longer name, the one at place ``i``
+    (from 0) with ``i`` edits before it and ``k - i`` at most behind: it has moved by ``i`` characters at most, and by all but
+    ``k - i`` of those by which the names' lengths differ. Only names that share such a piece are compared.
+
+    Both sides of a join are many rows a name, of which Spark's estimates know nothing: they are merged, never broadcast.
     """
     names = df.select(F.col(group).alias("g"), F.lower(name).alias("s")).filter("length(s) >= 5").distinct()
-    pieces = lambda size: F.greatest(F.lit(most + 1), F.least(F.lit(PIECES), F.floor(size / PIECE_CHARS))).cast("int")
-    edge = lambda p, size: F.floor(p * size / pieces(size)).cast("int")
     size = F.length("s")
-    cut = names.withColumn("len", size).withColumn("p", F.explode(F.sequence(F.lit(0), pieces(size) - 1)))
-    cut = cut.withColumn("lo", edge(F.col("p"), F.col("len"))).withColumn("piece",
-        F.substring(F.col("s"), F.col("lo") + 1, edge(F.col("p") + 1, F.col("len")) - F.col("lo")))
-    often = cut.groupBy("g", "p", "len", "piece").agg(F.count(F.lit(1)).alias("often"))
-    rarest = F.row_number().over(Window.partitionBy("g", "s").orderBy("often", "p"))  # ``PIECES`` rows
-    short = cut.join(often, ["g", "p", "len", "piece"]).withColumn("place", rarest).filter(F.col("place") <= most + 1).select("g", "p", "len",
-        "piece", "s")
-    slides = names.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(5), size - most), size))).withColumn("p",
-        F.explode(F.sequence(F.lit(0), pieces(F.col("len")) - 1)))
-    slides = slides.withColumn("lo", edge(F.col("p"), F.col("len"))).withColumn("hi", edge(F.col("p") + 1, F.col("len"))).withColumn("at",
-        F.explode(F.sequence(F.greatest(F.lit(0), F.col("lo") - most), F.col("lo") + most)))
-    long_ = slides.select("g", "p", "len", F.substring(F.col("s"), F.col("at") + 1, F.col("hi") - F.col("lo")).alias("piece"), F.col("s")
-        .alias("t")).distinct()
-    pairs = short.join(long_, ["g", "p", "len", "piece"]).filter((F.col("s") != F.col("t"))
+    edits = lambda n: F.greatest(F.lit(2), F.least(F.lit(most), F.floor(n / 3))).cast("int")  # noqa: E731  # from a quarter of n + edits
+    chars = lambda n: F.floor(n / F.greatest(edits(n) + 1, F.least(F.lit(PIECES), F.floor(n / PIECE_CHARS)))).cast("int")
+    piece = F.substring(F.col("s"), F.col("at") + 1, F.col("q"))
+    cut = names.withColumn("len", size).withColumn("q", chars(size)).withColumn("at",
+        F.explode(F.sequence(F.lit(0), size - F.col("q"), F.col("q")))).withColumn("piece", piece)
+    often = cut.groupBy("g", "len", "at", "piece").agg(F.count(F.lit(1)).alias("often")).hint("merge")
+    some = cut.join(often, ["g", "len", "at", "piece"]).groupBy("g", "s").agg(F.sort_array(F.collect_list(F.struct("often", "at",
+        "piece"))).alias("all"))  # a dozen or so a name
+    k, i, more = edits(size), F.col("i"), F.col("more")
+    rarest = F.array_sort(F.transform(F.slice("all", F.lit(1), k + 1), lambda x: F.struct(x["at"].alias("lo"), x["piece"].alias("piece"))))
+    short = some.select("g", "s", F.posexplode(rarest).alias("i", "x")).withColumn("more", F.explode(F.sequence(F.lit(0), k))).withColumn("moved",
+        F.explode(F.sequence(F.greatest(-i, more + i - k), F.least(i, more + k - i)))).select("g", chars(size).alias("q"),
+        (size + more).alias("len"), (F.col("x.lo") + F.col("moved")).alias("at"), F.col("x.piece").alias("piece"), "s").filter("at >= 0")
+    lengths = F.array_distinct(F.transform(F.sequence(F.greatest(F.lit(5), size - most), size), chars))
+    long_ = names.withColumn("len", size).withColumn("q", F.explode(lengths)).withColumn("at",
+        F.explode(F.sequence(F.lit(0), size - F.col("q")))).select("g", "q", "len", "at", piece.alias("piece"), F.col("s").alias("t"))
+    pairs = short.join(long_.hint("merge"), ["g", "q", "len", "at", "piece"]).filter((F.col("s") != F.col("t"))
         & ((F.length("s") < F.length("t")) | (F.col("s") < F.col("t")))).select("g", "s", "t").distinct()
-    both = pairs.withColumn("distance", F.levenshtein("s", "t")).withColumn("name_a", F.least("s", "t")).withColumn("name_b", F.greatest("s", "t"))
+    both = pairs.withColumn("distance", F.levenshtein("s", "t", most)).withColumn("name_a", F.least("s", "t")).withColumn("name_b",
+        F.greatest("s", "t"))
     allowed = F.greatest(F.least(F.lit(most), F.floor(F.length("name_a") / 4)), F.lit(2))
-    return both.filter(F.col("distance") <= allowed).select(F.col("g").alias(group), "name_a", "name_b", "distance")
+    return both.filter(F.col("distance").between(0, allowed)).select(F.col("g").alias(group), "name_a", "name_b", "distance")
 
 
 def missing_parents(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:

@@ -239,6 +239,25 @@ def test_names_that_share_a_beginning(spark):
     assert got == {(a, b, d) for a in set(names) for b in set(names) if a < b and (d := edit(a, b)) <= 3} and len(got) >= 80
 
 
+def test_near_names_are_merged_not_broadcast(spark):
+    """The joined rows are many a name, however small the table of names is estimated; edits stand together, apart and at the ends."""
+    rng = random.Random(5)
+    names = ["".join(rng.choice("ab é😀") for _ in range(n)) for n in [*range(5, 25), 33, 48, 61, 75]]
+    for n in names[:]:
+        for places in ([0, 0, 0], [len(n) - 1] * 3, [0, len(n) // 2, len(n) - 1], *([rng.randrange(len(n)) for _ in range(3)] for _ in range(3))):
+            x = n
+            for at in places[: rng.randrange(1, 4)]:
+                x = x[:at] + rng.choice(["", "z", "z" + x[at : at + 1]]) + x[at + 1 :]
+            names.append(x)
+    rows = spark.createDataFrame([(i, "g", n) for i, n in enumerate(names)], "i int, g string, n string")
+    found = ln.near_matches(rows, "i", "g", "n")
+    got = sorted((r["name_a"], r["name_b"], r["distance"]) for r in found.collect())
+    own = sorted({n for n in names if len(n) >= 5}, key=str.encode)
+    near = ((a, b, edit(a, b)) for i, a in enumerate(own) for b in own[i + 1 :] if abs(len(a) - len(b)) <= 3)
+    assert got == sorted((a, b, d) for a, b, d in near if d <= max(min(3, len(a) // 4), 2)) and len(got) > 100
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sequence_breaks_over_stretches(spark):
     rng, t0 = random.Random(6), dt.datetime(2024, 1, 1)
     rows = [(i, rng.choice(["hot", "hot", "b", None]), t0 + dt.timedelta(hours=rng.randrange(400)), rng.choice([None, *range(6)]), i)
